@@ -1,0 +1,143 @@
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lattica.llm import quality, secrets, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def base_rules(t):
+    t = t or ""
+    w = WORD.findall(t)
+    seen = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+    hit = {k + j for k in range(len(w) - 7) if seen[tuple(w[k : k + 8])] > 1 for j in range(8)}
+    lines, earlier, dup = t.split("\n"), set(), 0
+    for x in lines:
+        if WORD.search(x):
+            dup += x in earlier
+            earlier.add(x)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(hit), len(w) < 20 or 100 * len(hit) > 30 * len(w)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab \n\t　é#|\x0b"), max_size=120), min_size=1, max_size=5))
+def test_base_rules_equal_brute_force(texts):
+    got = quality.judge([t.encode() for t in texts])
+    assert [tuple(int(c[k]) for c in got[:5]) + (bool(got[5][k]),) for k in range(len(texts))] == [base_rules(t) for t in texts]
+
+
+def test_quality_table(odd_docs, odd_rows, empty_docs):
+    docs = odd_docs.withColumn("kept", F.lit("mine")).withColumn("ratio", F.lit(1))
+    got = sorted(tuple(r)[:7] for r in quality.score(docs).collect())
+    assert got == sorted((r[0], *base_rules(r[1])) for r in odd_rows if r[0] is not None)
+    assert quality.score(empty_docs).count() == 0
+    left = quality.filter_docs(docs)
+    assert left.columns == docs.columns and {r.kept for r in left.collect()} == {"mine"}
+    assert {r.doc_id for r in left.collect()} == {r.doc_id for r in quality.score(docs).filter("kept").collect()}
+
+
+def test_compression_bands():
+    rng = random.Random(3)
+    plain = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(3000))
+    noise = " ".join("".join(chr(rng.randrange(33, 127)) for _ in range(9)) for _ in range(900))
+    dull = " ".join(f"row {k % 7} again" for k in range(2000))
+    half = plain[:9000] + " " + " ".join(f"n{k % 3}" for k in range(9000))
+    kept = quality.judge([x.encode() for x in (plain, noise, dull, half)])[-1]
+    assert kept[0] and not kept[1] and not kept[2] and not kept[3]
+
+
+def base_spans(t):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+PIECES = ["password", "Token", "SECRET", "api_key", "apikey", "pasſword", "=", ": ", " ", '"', "'", "abcdef", "key", "AKIA", "ABCDEFGH01234567", "0123456789abcdef", "deadbeefdeadbeef", "é", "\n", "日本", ".", "zz"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=25).map("".join), min_size=1, max_size=4))
+def test_base_spans_equal_brute_force(texts):
+    raw = [t.encode() for t in texts]
+    for t, r, found in zip(texts, raw, secrets.spans(raw), strict=True):
+        assert [x for x in secrets.in_code_points(r, found) if x[1] < 3] == base_spans(t)
+
+
+def test_markov_models_part_held_out_samples():
+    rng = random.Random(99)
+    strange, plain = secrets.labelled_samples(2000, seed=1234)
+    found = lambda xs: sum(bool(s) for s in secrets.spans([x.encode() for x in xs])) / len(xs)
+    hexes = [x for x in plain if base_spans(x)]
+    assert found(strange) > 0.97 and found([x for x in plain if x not in hexes and len(x) >= secrets.MARKOV_LEAST]) < 0.01
+    prose = ["".join(rng.choices(("the", "tion", "her", "and", "ing", "est", "ment", "lich", "eau", "mente"), k=8)) for _ in range(1000)]
+    assert found(prose) == 0
+
+
+def test_secrets_table(odd_docs, odd_rows, empty_docs):
+    key = "Zk3Xq9LmT7vRw2YpB8nHs5JdFg4QcAe1"
+    docs = odd_docs.withColumn("text", F.when(F.col("doc_id") == 5, f"é token = '{key}' and {key}.").otherwise(F.col("text"))).withColumn("secret_spans", F.lit(1))
+    rows = {r.doc_id: r for r in secrets.digests(secrets.scan(docs, ["doc_id"])).collect()}
+    assert rows[5].n_assign == 1 and rows[5].spans == f"assign:2:{11 + len(key)},markov:{17 + len(key)}:{17 + 2 * len(key)}"
+    for r in odd_rows:
+        if r[0] not in (None, 5):
+            assert rows[r[0]].base_sha256 == secrets.sha_of(base_spans(r[1] or ""))
+    out = {r.doc_id: r for r in secrets.redact(docs).collect()}
+    assert out[5].text == "é [SECRET]' and [SECRET]." and out[5].n_chars == len(out[5].text)
+    assert all(out[r[0]].text == r[1] and out[r[0]].n_chars == r[4] for r in odd_rows if r[0] not in (None, 5))
+    assert secrets.scan(empty_docs, ["doc_id"]).count() == 0 and secrets.redact(empty_docs).count() == 0
+
+
+def all_segments(s):
+    """Maximal scoring segments by their definition: the best segment, then the same on both sides."""
+    best = max(((sum(s[i:j]), -(j - i), -i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=(0,))
+    if best[0] <= 0:
+        return []
+    i, j = -best[2], best[3]
+    return [*all_segments(s[:i]), (i, j, best[0]), *[(a + j, b + j, v) for a, b, v in all_segments(s[j:])]]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(-40, 40).filter(bool), max_size=14))
+def test_segments_equal_their_definition(scores):
+    s = [x + k * 1e-4 for k, x in enumerate(scores)]  # no ties
+    got = toxicity.segments(np.array(s, float))
+    assert [(b, e) for b, e, _ in got] == [(b, e) for b, e, _ in all_segments(s)]
+
+
+def toy(spark, n=600):
+    rng = random.Random(11)
+    rows, labels = [], []
+    for k in range(n):
+        w = [f"{rng.choice(('ab', 'cd', 'ef', 'gh'))}{rng.choice(('ing', 'ed', 'er', 'ly', 'o'))}{rng.randrange(30)}" for _ in range(rng.randrange(20, 200))]
+        toxic = k % 6 == 0
+        for _ in range(3 * toxic):
+            w.insert(rng.randrange(len(w)), rng.choice(("vile", "Rotten!", "nastyx")) if k % 4 else f"slurq{rng.randrange(50)}")
+        rows.append((k, " ".join(w))), labels.append((k, 1, int(toxic)))
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumn("toxic", F.lit("mine")), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_on_held_out_rows(spark, odd_docs, empty_docs):
+    docs, labels = toy(spark)
+    model = toxicity.fit(docs, labels)
+    got = toxicity.score(docs, model).withColumn("held_out", toxicity.held_out(F.col("doc_id"))).join(labels, "doc_id").collect()
+    held = [r for r in got if r.held_out]
+    right = sum((r.score >= 0.5) == (r.toxic == 1) for r in held)
+    assert len(held) > 80 and right / len(held) > 0.97 and all(0 <= r.score <= 1 for r in got)
+    assert all(r.passages for r in held if r.toxic and r.score >= 0.5)
+    odd = toxicity.score(odd_docs, model).collect()
+    assert len(odd) == odd_docs.count() and all(0 <= r.score < 0.5 for r in odd)
+    assert toxicity.score(empty_docs, model).count() == 0
+
+
+@pytest.mark.parametrize("rows", [[], [(1, 1, 0), (None, 1, 1), (2, 1, None)]])
+def test_toxicity_without_labels(spark, odd_docs, rows):
+    model = toxicity.fit(odd_docs, spark.createDataFrame(rows, "doc_id long, quality int, toxic int"))
+    assert all(r.score < 0.5 for r in toxicity.score(odd_docs, model).collect())
