@@ -2,7 +2,7 @@
 
 One pass over the texts gives each document's shingle set as a digest and a sketch. Documents with equal sets form a class; only
 classes go on. Bands of registers give buckets. A small bucket gives its pairs; a large one gives pairs with its least member (and
-after those are linked, blocks of what is still apart are compared by sketch). Pairs whose joint likelihood has its peak under a
+after those are linked, blocks of what is still apart are compared). Pairs whose joint likelihood has its peak under a
 floor go; the others are checked on their full sets. Links are joined to components by label propagation with pointer jumping.
 """
 
@@ -29,8 +29,8 @@ BAND, BANDS = 7, 36
 FLOOR = 0.75
 #: Buckets up to this size give all their pairs; larger ones go the other way.
 SMALL = 24
-#: Rows of a block when what a large bucket still keeps apart is compared.
-BLOCK = 512
+#: Rows, and shingles, of a block on average when what a large bucket still keeps apart is compared.
+BLOCK, BLOCK_SHINGLES = 256, 500_000
 
 SKETCH = T.StructType().add("n_shingles", "long").add("set_hash", "binary").add("registers", "binary")
 
@@ -272,16 +272,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _apart(hot: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of large buckets that aren't in one component yet and whose sketches make a link likely. A pair counts in the first band
-    that it shares, and a bucket's rows go to pairs of blocks of BLOCK rows."""
+def _apart(hot: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links within large buckets between what isn't in one component yet. A bucket's rows go to pairs of blocks, whose size in rows
+    and shingles is bounded on average; there, pairs that share no earlier band are held against the likelihood and then by full
+    sets. Only links leave."""
     now = by_ids(hot, labels, "left", "id").withColumn("component", F.coalesce("component", "id"))
-    mixed = now.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").drop("lo", "hi")
-    rows = now.join(mixed, ["band", "key"])
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.hash("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "n")
-    rows = rows.join(classes.select(F.col("rep").alias("id"), "registers", "n_shingles"), "id")
+    now = now.join(classes.select(F.col("rep").alias("id"), "registers", "n_shingles"), "id")
+    mixed = now.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("all"))
+    mixed = mixed.filter("lo <> hi").select("band", "key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("all") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = written(now.join(mixed, ["band", "key"]).withColumn("block", F.pmod(F.hash("id"), F.col("blocks"))))
+    ids = written(rows.select(F.col("id").alias("doc_id")).distinct())
+    texts = by_ids(docs.select("doc_id", "text"), ids, "left_semi").withColumnRenamed("doc_id", "id")
+    rows = rows.join(texts, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "blocks")
 
     def run(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
@@ -289,16 +292,21 @@ def _apart(hot: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
         regs = np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         band, lo, hi = t.column("band")[0].as_py(), t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
         left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        key = bands(regs)
-        out_a, out_b = [], []
-        for i in left:
+        key, text, sets = bands(regs), t.column("text"), {}
+
+        def full(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingles([(text[k].as_py() or "").encode()])[0]
+            return sets[k]
+
+        out = []
+        for i in left.tolist():
             j = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) if lo == hi else (ids[right] != ids[i]))]
             if len(j):
                 j = j[~(key[j, :band] == key[i, :band]).any(axis=1)]
                 j = j[likely((regs[i] > regs[j]).sum(1), (regs[i] < regs[j]).sum(1), np.full(len(j), n[i]), n[j])]
-                out_a.append(np.minimum(ids[j], ids[i])), out_b.append(np.maximum(ids[j], ids[i]))
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(out_a or none), "b": np.concatenate(out_b or none)})
+                out += [sorted((int(ids[i]), int(ids[k]))) for k in j.tolist() if similar(full(i), full(k), percent)]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return written(rows.groupBy("band", "key", "lo", "hi").applyInArrow(run, _PAIR).distinct())
 
@@ -325,10 +333,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     labels = components(links)
     hot = found.filter("a is null").select(F.col("b").alias("id"), "key", "band")
     if hot.limit(1).count():
-        more = _apart(hot, classes, written(labels))
+        more = _apart(hot, classes, labels, docs, percent)
         if more.limit(1).count():
-            links = written(links.union(_verify(more, docs, percent)))
-            labels = components(links)
+            labels = components(links.union(more))
     # classes of one that nothing is linked with need no lookup; a class' rows may be many
     of_class = by_ids(classes.select("set_hash", "rep", "n"), labels.withColumnRenamed("id", "rep"), "left", "rep")
     of_class = written(of_class.select("set_hash", F.coalesce("component", "rep").alias("component_id"), "n"))

@@ -68,7 +68,10 @@ def labelled_samples(n: int = SAMPLES, seed: int = SEED) -> tuple[list[str], lis
     rng = random.Random(seed)
     secrets = ["".join(rng.choices(rng.choice(CHARSETS), k=rng.randint(MARKOV_LEAST, 64))) for _ in range(n)]
     plain = []
-    for _ in range(n):
+    for k in range(n):
+        if k % 10 == 0:  # rulers and fillings are ordinary, too
+            plain.append(rng.choice(ALPHABET.decode()) * rng.randint(MARKOV_LEAST, 64))
+            continue
         words = rng.choices(WORDS, k=rng.randint(2, 6))
         style = rng.randrange(6)
         name = ("_".join(words), "-".join(words), words[0] + "".join(w.title() for w in words[1:]), "/".join(words), "".join(words), "_".join(words).upper())[style]
