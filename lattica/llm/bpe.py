@@ -25,13 +25,15 @@ from .common import column_out, offsets, pieces, ragged, tune
 #: White space by any of the libraries' definitions; a chunk that starts or ends with it is joined to its neighbour.
 SPACES = tuple(c.encode() for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　")
 #: Distinct chunks kept in a worker's table before it is emptied.
-TABLE_ROWS = 400_000
+TABLE_ROWS = 600_000
 #: Pre-tokens of more bytes are merged through a heap: rounds over a matrix would cost the square of the length.
 LONG = 512
 NONE = np.int32(2**31 - 1)
 #: Marks a text's first chunk, which no space precedes; not a byte of UTF-8.
 FIRST = b"\xff"
 EMPTY = np.zeros(0, np.int32)
+#: Marks that are one id and often follow a word.
+MARKS = (b".", b",")
 
 
 class PairTable:
@@ -177,12 +179,15 @@ class ByteBPE:
                 heapq.heappush(heap, (r, prv[i], ids[prv[i]], rank))
         return np.array([x for x in ids if x >= 0], np.int32)
 
-    def encode_chunks(self, chunks: list[bytes]) -> list[np.ndarray]:
-        """The ids of each chunk of text."""
+    def encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks of text in a row, and how many each has."""
         words: dict[bytes, int] = {}
         parts = [[words.setdefault(w.encode(), len(words)) for w in self.pattern.findall(c.decode())] for c in chunks]
         ids = self.merge(list(words))
-        return [ids[p[0]] if len(p) == 1 else np.concatenate([EMPTY, *(ids[k] for k in p)]) for p in parts]
+        flat, lens = np.concatenate([EMPTY, *ids]), np.array([len(x) for x in ids], np.int64)
+        rows = np.array([k for p in parts for k in p], np.int64)
+        at = offsets([len(p) for p in parts])
+        return ragged(flat, offsets(lens)[:-1][rows], lens[rows]), np.diff(offsets(lens[rows])[at])
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of a run of ids."""
@@ -207,6 +212,8 @@ class _Chunks(dict):
 
 
 def _odd(chunk: bytes) -> bool:
+    if chunk and 32 < chunk[0] < 127 and 32 < chunk[-1] < 127:
+        return False
     return not chunk or chunk.startswith(SPACES) or chunk.endswith(SPACES)
 
 
@@ -215,30 +222,55 @@ class ChunkTable:
 
     def __init__(self, encode_chunks, rows: int = TABLE_ROWS):
         self.encode_chunks, self.rows = encode_chunks, rows
+        self.marks = {m: int(encode_chunks([m])[0][0]) for m in MARKS}
         self._clear()
 
     def _clear(self) -> None:
         self.map, self.done = _Chunks(), 0
         self.flat, self.at, self.len, self.odd, self.size = EMPTY, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
-        self.used = 0
+        self.used, self.hits = 0, np.zeros(0, np.int64)
 
     def _learn(self) -> None:
-        """Encode the new chunks. A key stands for a space and itself; after FIRST, for itself alone."""
+        """Encode the new chunks. A key stands for a space and itself; after FIRST, for itself alone.
+
+        A word with a mark after it, when the bare word is known, takes that one's ids and the mark's: between an ASCII letter and
+        a mark there's always a border of pre-tokens."""
         new, self.map.new = self.map.new, []
         if not new:
             return
-        ids = self.encode_chunks([c[1:] if c[:1] == FIRST else b" " + c for c in new])
-        lens = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids)
+        known, n = self.map, len(self.at)
+        marked = [k for k, c in enumerate(new) if c[-1:] in MARKS and c[-2:-1].isalpha() and c[:-1] in known]
+        skip = set(marked)
+        plain = [c for k, c in enumerate(new) if k not in skip]
+        flat, lens = self.encode_chunks([c[1:] if c[:1] == FIRST else b" " + c for c in plain])
+        at, size = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        whole = np.ones(len(new), bool)
+        whole[marked] = False
+        at[whole], size[whole] = self.used + offsets(lens)[:-1], lens
+        self._keep(flat)
+        self.at, self.len = np.concatenate([self.at, at]), np.concatenate([self.len, size])
+        if marked:  # a bare word ends in a letter, so it isn't one of these
+            rows = np.array([known[new[k][:-1]] for k in marked], np.int64)
+            lens = self.len[rows] + 1
+            ends = offsets(lens)
+            at[marked], size[marked] = self.used + ends[:-1], lens
+            joined = np.zeros(int(ends[-1]), np.int32)
+            last = np.zeros(len(joined), bool)
+            last[ends[1:] - 1] = True
+            joined[~last] = ragged(self.flat, self.at[rows], self.len[rows])
+            joined[last] = [self.marks[new[k][-1:]] for k in marked]
+            self._keep(joined)
+            self.at[n:], self.len[n:] = at, size
+        self.odd = np.concatenate([self.odd, np.array([_odd(c.removeprefix(FIRST)) for c in new])])
+        self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
+        self.size = np.concatenate([self.size, np.array([len(c) if c[:1] == FIRST else len(c) + 2 for c in new], np.int64) - 1])
+
+    def _keep(self, flat: np.ndarray) -> None:
         if self.used + len(flat) > len(self.flat):
             grown = np.zeros(max(2 * len(self.flat), self.used + len(flat)), np.int32)
             grown[: self.used] = self.flat[: self.used]
             self.flat = grown
         self.flat[self.used : self.used + len(flat)] = flat
-        self.at = np.concatenate([self.at, self.used + offsets(lens)[:-1]])
-        self.len = np.concatenate([self.len, lens])
-        self.odd = np.concatenate([self.odd, np.array([_odd(c.removeprefix(FIRST)) for c in new])])
-        self.size = np.concatenate([self.size, np.array([len(c) if c[:1] == FIRST else len(c) + 2 for c in new], np.int64) - 1])
         self.used += len(flat)
 
     def bytes_of(self, rows: np.ndarray) -> np.ndarray:
@@ -248,12 +280,9 @@ class ChunkTable:
     def rows_of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Table rows of all chunks of the texts, and how many each text has."""
         if len(self.map) > self.rows:
-            self._clear()
-        get, raw = self.map.__getitem__, []
-        for t in texts:
-            raw.append(own := t.split(b" ") if t else [])
-            if own:
-                own[0] = FIRST + own[0]
+            self._forget()
+        get = self.map.__getitem__
+        raw = [(FIRST + t).split(b" ") if t else [] for t in texts]
         counts = np.array([len(own) for own in raw], np.int64)
         rows = np.array(list(map(get, itertools.chain.from_iterable(raw))), np.int64)
         self._learn()
@@ -267,8 +296,24 @@ class ChunkTable:
                 counts[k] = len(split[k])
             self._learn()
             rows = np.concatenate(split)
+        self.hits += np.bincount(rows, minlength=len(self.hits))
         return rows, counts
 
+    def _forget(self) -> None:
+        """Keep the chunks that were met more than once, if they're few enough; they come to a fresh count."""
+        keep = np.flatnonzero(self.hits > 1)
+        if len(keep) > 2 * self.rows // 3:
+            self._clear()
+            return
+        new = np.full(len(self.hits), -1, np.int64)
+        new[keep] = np.arange(len(keep))
+        old, self.map = self.map, _Chunks()
+        self.map.update((c, to) for c, to in zip(old, new.tolist(), strict=True) if to >= 0)
+        lens = self.len[keep]
+        self.flat = ragged(self.flat, self.at[keep], lens)
+        self.at, self.len, self.odd, self.size, self.used = offsets(lens)[:-1], lens, self.odd[keep], self.size[keep], len(self.flat)
+        self.hits = np.zeros(len(keep), np.int64)
+
     @staticmethod
     def _joined(raw: list[bytes]) -> list[bytes]:
         out, odd_before = [raw[0]], _odd(raw[0].removeprefix(FIRST))

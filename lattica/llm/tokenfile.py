@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import ChunkTable
-from .common import column_out, offsets, partitions, pieces, shared_dir, tune
+from .common import column_out, offsets, partitions, pieces, ragged, shared_dir, tune
 
 #: Id that ends each document.
 END = 2
 #: Bytes of a row group and of a page, and rows of a page: the unit of a selective read.
 ROW_GROUP, PAGE, PAGE_ROWS = 8 << 20, 256 << 10, 2000
 
+#: How the vocabulary writes a leading space, and how many chunks of text the library gets as one text.
+SPACE, JOINED = "\u0120", 500
+
 FILE = T.StructType().add("doc_id", "long").add("part", "integer").add("local_start", "long").add("n_tokens", "long").add("tokens", T.ArrayType(T.IntegerType(), False))
 
 
@@ -44,11 +47,33 @@ def library_table(path: str) -> ChunkTable:
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True  # their strings in a text are ordinary text
 
-    def encode(chunks: list[bytes]) -> list[np.ndarray]:
-        out = []
-        for i in range(0, len(chunks), 1000):
-            out += [np.array(e.ids, np.int32) for e in t.encode_batch_fast([c.decode() for c in chunks[i : i + 1000]], add_special_tokens=False)]
-        return out
+    size = t.get_vocab_size()
+    spaced = np.array([(t.id_to_token(k) or "").startswith(SPACE) for k in range(size)])
+
+    def alone(chunks: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in t.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+
+    def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks that begin with their only space are joined to longer texts, whose ids part again where one begins with a space."""
+        plain = [k for k, c in enumerate(chunks) if len(c) > 1 and c[0] == 32 and 32 < c[1] < 127 and 32 < c[-1] < 127 and c.find(b" ", 1) < 0]
+        runs = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        flat, lens, order = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], []
+        again: list[int] = []
+        for run, ids in zip(runs, alone([b"".join([chunks[k] for k in run]) for run in runs]), strict=True):
+            at = np.flatnonzero(spaced[ids])
+            if len(at) == len(run):
+                flat.append(ids), lens.append(np.diff(at, append=len(ids))), order.extend(run)
+            else:
+                again += run
+        rest = [*again, *sorted(set(range(len(chunks))).difference(plain))]
+        got = alone([chunks[k] for k in rest])
+        flat += got
+        lens.append(np.array([len(x) for x in got], np.int64))
+        order = np.array([*order, *rest], np.int64)
+        flat, lens = np.concatenate(flat), np.concatenate(lens)
+        place = np.empty(len(chunks), np.int64)
+        place[order] = np.arange(len(chunks))
+        return ragged(flat, offsets(lens)[:-1][place], lens[place]), lens[place]
 
     return ChunkTable(encode)
 
