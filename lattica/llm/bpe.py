@@ -227,8 +227,9 @@ class ChunkTable:
 
     def _clear(self) -> None:
         self.map, self.done = _Chunks(), 0
-        self.flat, self.at, self.len, self.odd, self.size = EMPTY, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
-        self.used, self.hits = 0, np.zeros(0, np.int64)
+        self.flat, self.used, self.n = EMPTY, 0, 0
+        self.at, self.len, self.size, self.hits = (np.zeros(1024, np.int64) for _ in range(4))
+        self.odd = np.zeros(1024, bool)
 
     def _learn(self) -> None:
         """Encode the new chunks. A key stands for a space and itself; after FIRST, for itself alone.
@@ -238,7 +239,12 @@ class ChunkTable:
         new, self.map.new = self.map.new, []
         if not new:
             return
-        known, n = self.map, len(self.at)
+        known, n, end = self.map, self.n, self.n + len(new)
+        if end > len(self.at):
+            more = np.zeros(max(len(self.at), end), np.int64)
+            self.at, self.len, self.size, self.hits = (np.concatenate([x, more]) for x in (self.at, self.len, self.size, self.hits))
+            self.odd = np.concatenate([self.odd, more.astype(bool)])
+        self.n = end
         marked = [k for k, c in enumerate(new) if c[-1:] in MARKS and c[-2:-1].isalpha() and c[:-1] in known]
         skip = set(marked)
         plain = [c for k, c in enumerate(new) if k not in skip]
@@ -248,7 +254,7 @@ class ChunkTable:
         whole[marked] = False
         at[whole], size[whole] = self.used + offsets(lens)[:-1], lens
         self._keep(flat)
-        self.at, self.len = np.concatenate([self.at, at]), np.concatenate([self.len, size])
+        self.at[n:end], self.len[n:end] = at, size
         if marked:  # a bare word ends in a letter, so it isn't one of these
             rows = np.array([known[new[k][:-1]] for k in marked], np.int64)
             lens = self.len[rows] + 1
@@ -260,10 +266,9 @@ class ChunkTable:
             joined[~last] = ragged(self.flat, self.at[rows], self.len[rows])
             joined[last] = [self.marks[new[k][-1:]] for k in marked]
             self._keep(joined)
-            self.at[n:], self.len[n:] = at, size
-        self.odd = np.concatenate([self.odd, np.array([_odd(c.removeprefix(FIRST)) for c in new])])
-        self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
-        self.size = np.concatenate([self.size, np.array([len(c) if c[:1] == FIRST else len(c) + 2 for c in new], np.int64) - 1])
+            self.at[n:end], self.len[n:end] = at, size
+        self.odd[n:end] = [_odd(c.removeprefix(FIRST)) for c in new]
+        self.size[n:end] = [len(c) - 1 if c[:1] == FIRST else len(c) + 1 for c in new]
 
     def _keep(self, flat: np.ndarray) -> None:
         if self.used + len(flat) > len(self.flat):
@@ -296,23 +301,24 @@ class ChunkTable:
                 counts[k] = len(split[k])
             self._learn()
             rows = np.concatenate(split)
-        self.hits += np.bincount(rows, minlength=len(self.hits))
+        np.add.at(self.hits, rows, 1)
         return rows, counts
 
     def _forget(self) -> None:
         """Keep the chunks that were met more than once, if they're few enough; they come to a fresh count."""
-        keep = np.flatnonzero(self.hits > 1)
+        keep = np.flatnonzero(self.hits[: self.n] > 1)
         if len(keep) > 2 * self.rows // 3:
             self._clear()
             return
-        new = np.full(len(self.hits), -1, np.int64)
+        new = np.full(self.n, -1, np.int64)
         new[keep] = np.arange(len(keep))
         old, self.map = self.map, _Chunks()
         self.map.update((c, to) for c, to in zip(old, new.tolist(), strict=True) if to >= 0)
         lens = self.len[keep]
         self.flat = ragged(self.flat, self.at[keep], lens)
-        self.at, self.len, self.odd, self.size, self.used = offsets(lens)[:-1], lens, self.odd[keep], self.size[keep], len(self.flat)
-        self.hits = np.zeros(len(keep), np.int64)
+        self.used, self.n = len(self.flat), len(keep)
+        self.odd[: self.n], self.size[: self.n], self.len[: self.n], self.at[: self.n] = self.odd[keep], self.size[keep], lens, offsets(lens)[:-1]
+        self.hits[:] = 0
 
     @staticmethod
     def _joined(raw: list[bytes]) -> list[bytes]:
