@@ -1,0 +1 @@
+"""Multi-hypothesis data association on Spark."""

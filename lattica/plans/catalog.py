@@ -1,2 +1,348 @@
-QUERIES = {}
-ORACLE = {}
+"""The queries of the association engine over the driver's tables, each with the DuckDB SQL that must give the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import gaussian, ragged
+from ..operators import assignment, conditioning, exact, lbp, metrics, stats
+from ..operators import hypotheses as hy
+from ..streaming import tracker
+from . import lbp_sql
+from .problems import ENUMERATION, SQL, frames, problem
+
+QUERIES, ORACLE = {}, {}
+#: Iterations of the fixed-length message passing that the oracle can follow.
+STEPS = 3
+R = 6
+
+
+def query(sql: str | None = None, walk: bool = True, more: str = ""):
+    """Register a query by its function's name. sql: the select of its oracle, after the tables of problems.SQL (and joint, total)."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = f"WITH RECURSIVE {SQL}{',' + ENUMERATION if walk else ''}{',' + more if more else ''} {sql}"
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Rounded, so that engines that add in another order agree; -0 becomes 0."""
+    return df.withColumns({c: F.round(c, R) + F.lit(0.0) for c in columns})
+
+
+def _joint(spark: SparkSession, sf_dir: str):
+    r, h = problem(spark, sf_dir)
+    cm = hy.merge_map(r, h)
+    return r, h, cm, exact.joint(r, h, cm)
+
+
+MARGINAL_SQL = """
+pick AS (SELECT frame, master, unnest(tracks) AS track, unnest(picks) AS meas, w FROM joint),
+exact_p AS (SELECT k.frame, track, CASE WHEN meas = 0 THEN 'missed' ELSE 'detection' END AS kind, meas, sum(w) / any_value(z) AS p FROM pick k JOIN total USING (frame, master) GROUP BY ALL
+  UNION ALL SELECT m.frame, m.track, 'nonexistence', NULL, 1 - coalesce(any_value(s.w), 0) / any_value(t.z) FROM member m JOIN cluster_map c USING (frame, cluster) JOIN total t ON t.frame = m.frame AND t.master = c.master
+  LEFT JOIN (SELECT frame, track, sum(w) AS w FROM pick GROUP BY ALL) s ON s.frame = m.frame AND s.track = m.track GROUP BY m.frame, m.track)
+"""
+
+
+@query(f"SELECT frame, track, kind, meas, round(p, {R}) + 0.0 AS p FROM exact_p", more=MARGINAL_SQL)
+def exact_marginals(spark, sf_dir):
+    """Probabilities of missed detection, each measurement and not existing, of every track of every frame."""
+    r, h, cm, j = _joint(spark, sf_dir)
+    return rounded(exact.marginals(j, exact.members(h, cm)), "p")
+
+
+@query(f"SELECT frame, round(product(z), {R}) AS z, round(sum(ln(z)), {R}) + 0.0 AS log_z, product(n::DOUBLE) AS n_joint FROM total GROUP BY ALL")
+def evidence(spark, sf_dir):
+    return rounded(exact.evidence(_joint(spark, sf_dir)[3]), "z", "log_z")
+
+
+@query(f"""SELECT frame, l.cluster, l.hypo, round(w / sum(w) OVER (PARTITION BY frame, l.cluster), {R}) + 0.0 AS p
+FROM (SELECT frame, l, sum(w) AS w FROM (SELECT frame, unnest(labels) AS l, w FROM joint) GROUP BY ALL)""")
+def theta_posteriors(spark, sf_dir):
+    return rounded(exact.theta_posteriors(_joint(spark, sf_dir)[3]), "p")
+
+
+@query(f"""SELECT frame, master, array_to_string([x.cluster || ':' || x.hypo FOR x IN labels], ',') AS labels, round(sum(w) / exp(any_value(lp)), {R}) + 0.0 AS likelihood
+FROM joint JOIN merged USING (frame, master, labels) GROUP BY frame, master, labels""")
+def hypothesis_likelihoods(spark, sf_dir):
+    r, h, cm, j = _joint(spark, sf_dir)
+    m = hy.merged(h, cm)
+    out = exact.hypothesis_likelihoods(j, m).join(m.select("frame", "master", "hypo", "labels"), ["frame", "master", "hypo"])
+    return rounded(out.select("frame", "master", _labels(), "likelihood"), "likelihood")
+
+
+def _labels():
+    return F.concat_ws(",", F.transform("labels", lambda x: F.concat_ws(":", x["cluster"].cast("string"), x["hypo"].cast("string")))).alias("labels")
+
+
+@query(f"""SELECT frame, meas, track, round(p, {R}) + 0.0 AS p FROM (SELECT k.frame, meas, track, sum(w) / any_value(z) AS p FROM pick k JOIN total USING (frame, master) WHERE meas > 0 GROUP BY k.frame, master, meas, track
+UNION ALL SELECT frame, meas, 0, 1 - sum(p) FROM (SELECT k.frame, meas, sum(w) / any_value(z) AS p FROM pick k JOIN total USING (frame, master) WHERE meas > 0 GROUP BY k.frame, master, meas) GROUP BY frame, meas)""", more=MARGINAL_SQL)
+def measurement_marginals(spark, sf_dir):
+    return rounded(exact.measurement_marginals(_joint(spark, sf_dir)[3]), "p")
+
+
+TOP = """ranked AS (SELECT *, row_number() OVER (PARTITION BY frame, master ORDER BY round(ln(w), 9) DESC, hypo, picks) AS rank, w / sum(w) OVER (PARTITION BY frame, master) AS share
+FROM (SELECT j.*, dense_rank() OVER (PARTITION BY frame, master ORDER BY labels) AS hypo FROM joint j))"""
+
+
+@query(f"SELECT frame, master, rank::INT AS rank, round(ln(w), {R}) + 0.0 AS ll, round(share, {R}) + 0.0 AS share FROM ranked WHERE rank <= 10", more=TOP)
+def top_associations(spark, sf_dir):
+    """The ten best joint associations of each master (the feature is a top-k)."""
+    return rounded(exact.top_associations(_joint(spark, sf_dir)[3], 10).select("frame", "master", "rank", "ll", "share"), "ll", "share")
+
+
+@query(f"""SELECT k, round(avg(mass), {R}) AS coverage, round(avg(mass_z), {R}) AS log_z FROM (SELECT k, frame, sum(ln(mass)) AS log_mass, product(mass) AS mass, sum(ln(zk)) AS mass_z
+FROM (SELECT k, frame, master, sum(share) AS mass, sum(w) AS zk FROM ranked, (SELECT unnest([1, 2, 5, 10]) AS k) WHERE rank <= k GROUP BY ALL) GROUP BY k, frame) GROUP BY k""", more=TOP)
+def truncation_curve(spark, sf_dir):
+    """Share of all mass, and log-evidence, that the k best associations of each master hold, as means over frames."""
+    top = exact.top_associations(_joint(spark, sf_dir)[3], 10).withColumn("k", F.explode(F.array(*[F.lit(k) for k in (1, 2, 5, 10)]))).filter("rank <= k")
+    per = top.groupBy("k", "frame", "master").agg(F.sum("share").alias("mass"), F.sum(F.exp("ll")).alias("zk")).groupBy("k", "frame").agg(F.product("mass").alias("mass"), F.sum(F.ln("zk")).alias("lz"))
+    return rounded(per.groupBy("k").agg(F.avg("mass").alias("coverage"), F.avg("lz").alias("log_z")), "coverage", "log_z")
+
+
+@query("SELECT frame, cluster, master, is_master FROM cluster_map", walk=False)
+def cluster_merging(spark, sf_dir):
+    return hy.merge_map(*problem(spark, sf_dir))
+
+
+@query(f"SELECT frame, master, array_to_string([x.cluster || ':' || x.hypo FOR x IN labels], ',') AS labels, array_to_string(tracks, ',') AS tracks, round(lp, {R}) + 0.0 AS log_prob FROM merged")
+def merged_hypotheses(spark, sf_dir):
+    """Joint hypotheses of merged clusters with their lineage."""
+    r, h = problem(spark, sf_dir)
+    m = hy.merged(h, hy.merge_map(r, h))
+    return rounded(m.select("frame", "master", _labels(), F.concat_ws(",", F.transform("tracks", lambda t: t.cast("string"))).alias("tracks"), "log_prob"), "log_prob")
+
+
+@query("""SELECT frame, master, meas, array_to_string(list(cluster ORDER BY cluster), ',') AS clusters FROM gated JOIN cluster_map USING (frame, cluster) GROUP BY frame, master, meas HAVING count(*) > 1""", walk=False)
+def linking_measurements(spark, sf_dir):
+    r, h = problem(spark, sf_dir)
+    out = hy.linking_measurements(r, h, hy.merge_map(r, h))
+    return out.withColumn("clusters", F.concat_ws(",", F.transform("clusters", lambda c: c.cast("string"))))
+
+
+@query("SELECT frame, master AS cluster FROM cluster_map GROUP BY frame, master HAVING count(*) = 1", walk=False)
+def unmerging_clusters(spark, sf_dir):
+    return hy.unmerging_clusters(hy.merge_map(*problem(spark, sf_dir)))
+
+
+@query(f"SELECT frame, master, round(z, {R}) AS z FROM total JOIN sizes USING (frame, master) WHERE sizes.n > 1")
+def conditioned_evidence(spark, sf_dir):
+    """Evidence by conditioning on the owners of linking measurements; the oracle enumerates merged hypotheses instead."""
+    r, h = problem(spark, sf_dir)
+    return rounded(conditioning.conditioned_evidence(r, h, hy.merge_map(r, h)), "z")
+
+
+@query("""SELECT frame, master, product(k)::BIGINT AS n_cases FROM (SELECT frame, master, meas, count(*) + 1 AS k FROM gated JOIN cluster_map USING (frame, cluster) GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL""", walk=False)
+def ownership_cases(spark, sf_dir):
+    r, h = problem(spark, sf_dir)
+    return conditioning.ownerships(r, h, hy.merge_map(r, h)).groupBy("frame", "master").agg(F.count("*").alias("n_cases"))
+
+
+@query(f"SELECT frame, cluster, track, round(sum(phi), {R}) AS p, count(*) AS n_hypos FROM (SELECT frame, cluster, unnest(tracks) AS track, prob / sum(prob) OVER (PARTITION BY frame, cluster) AS phi FROM hypothesis) GROUP BY ALL", walk=False)
+def track_probabilities(spark, sf_dir):
+    return rounded(hy.track_probability(problem(spark, sf_dir)[1]), "p")
+
+
+@query("SELECT frame, cluster, hypo, array_to_string([list_position(p.tracks, t) FOR t IN h.tracks], ',') AS tracks FROM hypothesis h JOIN per p USING (frame, cluster)", walk=False)
+def reindexed_hypotheses(spark, sf_dir):
+    return hy.reindexed(problem(spark, sf_dir)[1]).select("frame", "cluster", "hypo", F.concat_ws(",", F.transform("tracks", lambda t: t.cast("string"))).alias("tracks"))
+
+
+PRUNE = """post AS (SELECT frame, l.cluster AS cluster, l.hypo AS hypo, sum(w) AS w FROM (SELECT frame, unnest(labels) AS l, w FROM joint) GROUP BY ALL),
+prob AS (SELECT *, w / sum(w) OVER (PARTITION BY frame, cluster) AS p FROM post),
+tail AS (SELECT *, sum(p) OVER (PARTITION BY frame, cluster ORDER BY p DESC, hypo ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM prob)"""
+
+
+@query(f"SELECT frame, cluster, hypo, round(p / sum(p) OVER (PARTITION BY frame, cluster), {R}) + 0.0 AS prob FROM tail WHERE NOT (rest < 0.05 AND p < 0.05)", more=PRUNE)
+def pruned_hypotheses(spark, sf_dir):
+    post = exact.theta_posteriors(_joint(spark, sf_dir)[3]).withColumnRenamed("p", "prob")
+    return rounded(hy.pruned(post, 0.05, 0.05).select("frame", "cluster", "hypo", "prob"), "prob")
+
+
+LBP = lbp_sql.steps(STEPS) + "," + lbp_sql.bethe(STEPS)
+LBP_P = f"""{lbp_sql.steps(STEPS)}, z AS (SELECT frame, track, rho + sigma AS z, w0, sigma FROM node{STEPS}),
+lbp_p AS (SELECT frame, track, 'missed' AS kind, 0 AS meas, w0 / z AS p FROM z UNION ALL SELECT frame, track, 'nonexistence', NULL, sigma / z FROM z
+ UNION ALL SELECT frame, track, 'detection', meas, w * nu / z FROM edge{STEPS} JOIN z USING (frame, track))"""
+
+
+def _lbp(spark, sf_dir, iterations=STEPS):
+    r, h = problem(spark, sf_dir)
+    return lbp.lbp(r, h, r.select("frame").distinct().count(), iterations)
+
+
+@query(f"SELECT frame, track, kind, meas, round(p, {R}) + 0.0 AS p FROM lbp_p", walk=False, more=LBP_P)
+def lbp_marginals(spark, sf_dir):
+    """Marginals after three iterations; the oracle passes the same messages as joins and windows."""
+    out = _lbp(spark, sf_dir).filter("kind in ('missed', 'detection', 'nonexistence')")
+    return rounded(out.select("frame", "track", "kind", "meas", "p"), "p")
+
+
+@query(f"SELECT frame, cluster, hypo, round(mass / sum(mass) OVER (PARTITION BY frame, cluster), {R}) + 0.0 AS p FROM mass{STEPS}", walk=False, more=lbp_sql.steps(STEPS))
+def lbp_theta(spark, sf_dir):
+    return rounded(_lbp(spark, sf_dir).filter("kind = 'theta'").select("frame", "cluster", "hypo", "p"), "p")
+
+
+@query(f"SELECT frame, meas, track, round(mu / (1 + sum(mu) OVER (PARTITION BY frame, meas)), {R}) + 0.0 AS p FROM edge{STEPS}", walk=False, more=lbp_sql.steps(STEPS))
+def lbp_measurement_marginals(spark, sf_dir):
+    return rounded(_lbp(spark, sf_dir).filter("kind = 'measurement'").select("frame", "meas", "track", "p"), "p")
+
+
+@query(f"SELECT frame, round(log_z, {R}) + 0.0 AS log_z FROM bethe", walk=False, more=LBP)
+def bethe_evidence(spark, sf_dir):
+    return rounded(_lbp(spark, sf_dir).groupBy("frame").agg(F.first("log_z").alias("log_z")), "log_z")
+
+
+@query()
+def lbp_converged(spark, sf_dir):
+    """Until both criteria are met: iterations of each frame, and its Bethe log-evidence."""
+    out = _lbp(spark, sf_dir, None).groupBy("frame").agg(*[F.first(c).alias(c) for c in ("log_z", "iterations", "bethe_iterations", "message_iterations")])
+    return rounded(out, "log_z")
+
+
+@query(f"""SELECT b.frame, round(base * coalesce(x, 1), {R}) AS z FROM (SELECT frame, exp(-sum(1 - exp(ll))) AS base FROM reward WHERE meas = 0 GROUP BY ALL) b
+LEFT JOIN (SELECT frame, product(x) AS x FROM (SELECT frame, meas, 1 + sum(exp(ll)) AS x FROM reward WHERE meas > 0 GROUP BY ALL) GROUP BY frame) g USING (frame)""", walk=False)
+def phd_evidence(spark, sf_dir):
+    return rounded(lbp.phd_evidence(problem(spark, sf_dir)[0]), "z")
+
+
+ERR = MARGINAL_SQL + "," + LBP_P + """, err AS (SELECT coalesce(e.frame, a.frame) AS frame, coalesce(e.track, a.track) AS track, coalesce(e.kind, a.kind) AS kind, coalesce(e.p, 0) AS exact, coalesce(a.p, 0) AS approx, coalesce(e.p, 0) - coalesce(a.p, 0) AS error
+FROM exact_p e FULL JOIN lbp_p a ON e.frame = a.frame AND e.track = a.track AND e.kind = a.kind AND coalesce(e.meas, -1) = coalesce(a.meas, -1))"""
+
+
+def _errors(spark, sf_dir):
+    """Errors at a resolution of 1e-6, so that sums in another order don't cross a bin's edge."""
+    err = metrics.errors(exact_marginals(spark, sf_dir), lbp_marginals(spark, sf_dir))
+    return rounded(err, "error")
+
+
+ERR_R = ERR.replace("coalesce(e.p, 0)", f"(round(coalesce(e.p, 0), {R}) + 0.0)").replace("coalesce(a.p, 0)", f"(round(coalesce(a.p, 0), {R}) + 0.0)") + f", er AS (SELECT frame, track, kind, exact, approx, round(error, {R}) + 0.0 AS error FROM err)"
+
+
+@query("SELECT kind, round(avg(abs(error)), 6) AS mean, round(stddev_pop(error), 6) AS sd, round(max(abs(error)), 5) AS largest, count(*) AS n FROM er GROUP BY ROLLUP (kind)", more=ERR_R)
+def error_by_kind(spark, sf_dir):
+    return rounded(metrics.by_kind(_errors(spark, sf_dir)), "mean", "sd").withColumn("largest", F.round("largest", 5))
+
+
+@query("SELECT round(x, 2) AS x, round(sum(n) OVER (ORDER BY x DESC) / sum(n) OVER (), 3) AS share FROM (SELECT round(abs(error), 2) AS x, count(*) AS n FROM er GROUP BY 1)", more=ERR_R)
+def error_survival(spark, sf_dir):
+    return metrics.survival(_errors(spark, sf_dir), 2).withColumn("share", F.round("share", 3))
+
+
+@query("SELECT least(99, floor((error + 1) / 2 * 100))::INT AS bin, count(*) AS n FROM er GROUP BY 1", more=ERR_R)
+def error_histogram(spark, sf_dir):
+    return metrics.histogram(_errors(spark, sf_dir))
+
+
+@query("SELECT greatest(0, least(198, floor(round(exact, 9) * 199)))::INT AS row, greatest(0, least(198, floor(round(approx, 9) * 199)))::INT AS col, count(*) AS n FROM er GROUP BY ALL", more=ERR_R)
+def error_heatmap(spark, sf_dir):
+    return metrics.heatmap(_errors(spark, sf_dir))
+
+
+Z_SQL = LBP + f", zz AS (SELECT frame, exact, exp(log_z) AS approx FROM (SELECT frame, product(z) AS exact FROM total GROUP BY frame) JOIN bethe USING (frame)), rel AS (SELECT frame, round((exact - approx) / exact, {R}) + 0.0 AS relative FROM zz)"
+
+
+def _z(spark, sf_dir):
+    z = exact.evidence(_joint(spark, sf_dir)[3]).select("frame", F.col("z").alias("exact"))
+    b = _lbp(spark, sf_dir).groupBy("frame").agg(F.exp(F.first("log_z")).alias("approx"))
+    return rounded(metrics.relative(z.join(b, "frame")), "relative", "percent")
+
+
+@query(f"SELECT frame, relative, round((approx - exact) / exact * 100, {R}) + 0.0 AS percent FROM zz JOIN rel USING (frame)", more=Z_SQL)
+def evidence_errors(spark, sf_dir):
+    return _z(spark, sf_dir).select("frame", "relative", "percent")
+
+
+@query("""SELECT round(q1, 5) AS q1, round(median, 5) AS median, round(q3, 5) AS q3, round(min(relative) FILTER (relative >= q1 - 1.5 * (q3 - q1)), 5) AS low, round(max(relative) FILTER (relative <= q3 + 1.5 * (q3 - q1)), 5) AS high,
+count(*) FILTER (relative < q1 - 1.5 * (q3 - q1) OR relative > q3 + 1.5 * (q3 - q1)) AS outside FROM rel, (SELECT quantile_cont(relative, 0.25) AS q1, quantile_cont(relative, 0.5) AS median, quantile_cont(relative, 0.75) AS q3 FROM rel) GROUP BY q1, median, q3""", more=Z_SQL)
+def evidence_box(spark, sf_dir):
+    out = metrics.box(_z(spark, sf_dir), "relative")
+    return out.withColumns({c: F.round(c, 5) + F.lit(0.0) for c in ("q1", "median", "q3", "low", "high")})
+
+
+@query("SELECT count(*) FILTER (relative < 0) AS n_over, count(*) AS n, round(100 * avg((relative < 0)::INT), 4) AS percent_over FROM rel", more=Z_SQL)
+def overestimated_evidence(spark, sf_dir):
+    z = _z(spark, sf_dir).select(F.lit(0.0).alias("exact"), (-F.col("relative")).alias("approx"))
+    return metrics.overestimated(z).withColumn("percent_over", F.round("percent_over", 4))
+
+
+@query(f"""SELECT rank::INT AS rank, round(sum(prob) / any_value(n), {R}) AS mean, round(sqrt(greatest(0, sum(prob * prob) / any_value(n) - (sum(prob) / any_value(n)) ** 2)), 4) + 0.0 AS sd
+FROM (SELECT prob, row_number() OVER (PARTITION BY frame, cluster ORDER BY prob DESC, hypo) AS rank FROM hypothesis), (SELECT count(*) AS n FROM per) GROUP BY rank""", walk=False)
+def rank_profile(spark, sf_dir):
+    return rounded(metrics.rank_profile(problem(spark, sf_dir)[1]), "mean").withColumn("sd", F.round("sd", 4))
+
+
+SCENARIO = """scen AS (SELECT c.frame, count(*) AS n_prior, count(DISTINCT master) AS n_posterior FROM cluster_map c GROUP BY ALL),
+post_h AS (SELECT frame, count(*) AS n_hypos_posterior, avg(len(tracks)) AS mean_tracks FROM merged GROUP BY ALL),
+lk AS (SELECT frame, count(*) AS n FROM (SELECT frame, master, meas FROM gated JOIN cluster_map USING (frame, cluster) GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL),
+st AS (SELECT s.*, (SELECT count(*) FROM hypothesis h WHERE h.frame = s.frame) AS n_hypos_prior, n_hypos_posterior, mean_tracks, coalesce(lk.n, 0) AS n_linking, coalesce(g.n, 0) AS n_gated
+FROM scen s JOIN post_h USING (frame) LEFT JOIN lk USING (frame) LEFT JOIN (SELECT frame, count(DISTINCT meas) AS n FROM gated GROUP BY ALL) g USING (frame))"""
+
+
+@query(f"SELECT frame, n_prior, n_posterior, n_hypos_prior, n_hypos_posterior, round(mean_tracks, {R}) AS mean_tracks, n_linking, n_gated FROM st", more=SCENARIO)
+def scenario_stats(spark, sf_dir):
+    r, h = problem(spark, sf_dir)
+    return rounded(stats.scenario(r, h, hy.merge_map(r, h)), "mean_tracks")
+
+
+@query(f"""SELECT count(*) AS n_frames, round(sum(n_hypos_posterior) / sum(n_posterior), {R}) AS hypos_per_cluster, round(sum(n_prior) / sum(n_posterior), {R}) AS clusters_per_master,
+round(sum(mean_tracks * n_hypos_posterior) / sum(n_hypos_posterior), {R}) AS tracks_per_hypo, sum(n_linking)::BIGINT AS n_linking, max(n_prior) AS most_clusters FROM st""", more=SCENARIO)
+def scenario_summary(spark, sf_dir):
+    r, h = problem(spark, sf_dir)
+    return rounded(stats.summary(stats.scenario(r, h, hy.merge_map(r, h))), "hypos_per_cluster", "clusters_per_master", "tracks_per_hypo")
+
+
+@query("SELECT n_tracks, count(*) AS n_meas FROM (SELECT frame, meas, count(*) AS n_tracks FROM reward WHERE meas > 0 GROUP BY ALL) GROUP BY n_tracks", walk=False)
+def competing_tracks(spark, sf_dir):
+    return stats.competing_tracks(problem(spark, sf_dir)[0])
+
+
+FREE = """go AS (SELECT frame, list(track ORDER BY track) AS tracks FROM track GROUP BY ALL),
+free AS (SELECT frame, tracks, 0 AS done, []::INT[] AS picks, 0.0::DOUBLE AS ll FROM go UNION ALL
+SELECT f.frame, f.tracks, f.done + 1, list_append(f.picks, r.meas), f.ll + r.ll FROM free f JOIN reward r ON r.frame = f.frame AND r.track = f.tracks[f.done + 1] WHERE f.done < len(f.tracks) AND (r.meas = 0 OR NOT list_contains(f.picks, r.meas)))"""
+
+
+@query(f"SELECT frame, rank::INT AS rank, round(ll, {R}) + 0.0 AS reward FROM (SELECT frame, ll, row_number() OVER (PARTITION BY frame ORDER BY ll DESC) AS rank FROM free WHERE done = len(tracks)) WHERE rank <= 5", walk=False, more=FREE)
+def k_best_assignments(spark, sf_dir):
+    """The five best assignments of each frame by partitioning; the oracle sorts all of them."""
+    return rounded(assignment.best_per_frame(problem(spark, sf_dir)[0], 5), "reward")
+
+
+@query("SELECT cell, array_to_string(list(n ORDER BY cell2), ',') AS lengths FROM (SELECT frame // 1000 AS cell, frame AS cell2, count(*) AS n FROM meas GROUP BY ALL) GROUP BY cell", walk=False)
+def ragged_lengths(spark, sf_dir):
+    """Measurements of each cell as a ragged array: the lengths of its frames."""
+    m = frames(spark, sf_dir)[1].groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("meas", "value"))).alias("v"))
+    cells = m.groupBy(F.floor(F.col("frame") / 1000).alias("cell")).agg(F.array_sort(F.collect_list(F.struct("frame", "v"))).alias("fs"))
+    return cells.select("cell", F.concat_ws(",", F.transform(ragged.lengths(F.transform("fs", lambda x: x["v"])), lambda n: n.cast("string"))).alias("lengths"))
+
+
+@query("""SELECT label, count(*) AS n, round(sum(CASE WHEN d < 1.5 THEN 1 ELSE 0 END)::DOUBLE, 0)::BIGINT AS n_gated FROM (SELECT label, sqrt(power(embedding[1]::DOUBLE - mx, 2) + power(embedding[2]::DOUBLE - my, 2)) AS d
+FROM embeddings JOIN (SELECT label, avg(embedding[1]::DOUBLE) AS mx, avg(embedding[2]::DOUBLE) AS my FROM embeddings GROUP BY label) USING (label)) GROUP BY label""", walk=False)
+def centroid_gating(spark, sf_dir):
+    """Vectors within a gate around the centroid of their label, in the first two dimensions."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    c = e.groupBy("label").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    one, zero = F.lit(1.0), F.lit(0.0)
+    near = gaussian.mahalanobis_2d(F.col("x") - F.col("mx"), F.col("y") - F.col("my"), one, zero, one) < 1.5**2
+    return e.join(c, "label").groupBy("label").agg(F.count("*").alias("n"), F.sum(near.cast("long")).alias("n_gated"))
+
+
+@query(f"""SELECT frame, track, round(-ln(p), 4) + 0.0 AS surprise FROM (SELECT frame, track, p FROM exact_p WHERE kind = 'missed') WHERE round(p, {R}) > 0""", more=MARGINAL_SQL)
+def missed_surprise(spark, sf_dir):
+    """Information of a missed detection of each track."""
+    r, h, cm, j = _joint(spark, sf_dir)
+    out = exact.marginals(j, exact.members(h, cm)).filter("kind = 'missed'").filter(F.round("p", R) > 0)
+    return out.select("frame", "track", (F.round(-F.ln("p"), 4) + F.lit(0.0)).alias("surprise"))
+
+
+@query()
+def tracked_sectors(spark, sf_dir):
+    """The tracker over the events of each sector, an hour being a scan."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).cast("long")
+    out = tracker.track(ev.select((F.col("user_id") % 8).alias("scenario"), hour.alias("scan"), F.col("value").alias("z")))
+    return rounded(out, "x", "p", "exi")
