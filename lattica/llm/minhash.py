@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_ids, column_out, lookup_hot, mix, offsets, partitions, pieces, tune, written
+from .common import by_ids, column_out, lookup_hot, mix, offsets, pieces, tune, written
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = written(filled.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.min_by("registers", "doc_id").alias("registers"), F.first("n_shingles").alias("n_shingles")))
     tune(spark)
     rows = classes.select("rep", "registers").mapInArrow(_band_rows, _ROW)
-    rows = rows.repartition(partitions(spark), "band", "key").sortWithinPartitions("band", "key", "id")
+    rows = rows.repartition("band", "key").sortWithinPartitions("band", "key", "id")
     tune(spark, 20_000)
     found = written(rows.mapInArrow(_bucket_pairs, _FOUND))
     pairs = written(found.filter("a is not null and a <> b").select("a", "b").distinct())
