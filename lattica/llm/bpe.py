@@ -287,7 +287,7 @@ class ChunkTable:
         if len(self.map) > self.rows:
             self._forget()
         get = self.map.__getitem__
-        raw = [(FIRST + t).split(b" ") if t else [] for t in texts]
+        raw = [(t[1:] if t[:1] == b" " else FIRST + t).split(b" ") if t else [] for t in texts]
         counts = np.array([len(own) for own in raw], np.int64)
         rows = np.array(list(map(get, itertools.chain.from_iterable(raw))), np.int64)
         self._learn()

@@ -23,25 +23,21 @@ def parts(left: bytes, right: bytes) -> bool:
 class TokenTree:
     """Leaves of text, and sums of code points and tokens for each node; node 1 is the root, node k has 2 k and 2 k + 1."""
 
-    def __init__(self, leaves: list[bytes], points: np.ndarray, tokens: np.ndarray):
-        self.leaves = leaves
+    def __init__(self, leaves: list[bytes], points: list[int], tokens: list[int]):
         self.cap = 1 << max(0, len(leaves) - 1).bit_length()
-        self.leaves += [b""] * (self.cap - len(leaves))
-        self.points, self.tokens = (self._sums(x) for x in (points, tokens))
+        self.leaves = leaves + [b""] * (self.cap - len(leaves))
+        self.points, self.tokens = self._sums(points), self._sums(tokens)
         self.encoded = 0  # bytes that edits have encoded again
 
-    def _sums(self, leaf: np.ndarray) -> np.ndarray:
-        out = np.zeros(2 * self.cap, np.int64)
-        out[self.cap : self.cap + len(leaf)] = leaf
-        at = self.cap
-        while at > 1:
-            out[at // 2 : at] = out[at : 2 * at].reshape(-1, 2).sum(axis=1)
-            at //= 2
+    def _sums(self, leaf: list[int]) -> list[int]:
+        out = [0] * self.cap + leaf + [0] * (self.cap - len(leaf))
+        for k in range(self.cap - 1, 0, -1):
+            out[k] = out[2 * k] + out[2 * k + 1]
         return out
 
     @property
     def n_tokens(self) -> int:
-        return int(self.tokens[1])
+        return self.tokens[1]
 
     @property
     def text(self) -> bytes:
@@ -53,7 +49,7 @@ class TokenTree:
         while k < self.cap:
             k *= 2
             if point > self.points[k]:
-                point -= int(self.points[k])
+                point -= self.points[k]
                 k += 1
         leaf = self.leaves[k - self.cap]
         if leaf.isascii():
@@ -63,11 +59,11 @@ class TokenTree:
     def _put(self, leaf: int, text: bytes, tokens: int) -> None:
         self.leaves[leaf] = text
         k = leaf + self.cap
-        dp, dt = len(text.decode()) - int(self.points[k]), tokens - int(self.tokens[k])
+        dp, dt = (len(text) if text.isascii() else len(text.decode())) - self.points[k], tokens - self.tokens[k]
         while k:
             self.points[k] += dp
             self.tokens[k] += dt
-            k //= 2
+            k >>= 1
 
     def _beside(self, leaf: int, step: int) -> int | None:
         leaf += step
@@ -77,9 +73,10 @@ class TokenTree:
             leaf += step
         return None
 
-    def edit(self, at: int, deleted: int, inserted: bytes, count) -> None:
-        """Delete `deleted` code points at `at` (both cut to the text) and insert `inserted` there; count(text) gives tokens."""
-        total = int(self.points[1])
+    def change(self, at: int, deleted: int, inserted: bytes) -> tuple[int, bytes]:
+        """Delete `deleted` code points at `at` (both cut to the text) and insert `inserted` there: the leaf to encode again and its
+        text, with the leaves that it has to be joined with. Until settle() that leaf is out of date."""
+        total = self.points[1]
         at = min(max(0, at), total)
         (i, b), (j, e) = self._find(at), self._find(min(at + max(0, deleted), total))
         text = self.leaves[i][:b] + inserted + self.leaves[j][e:]
@@ -93,22 +90,33 @@ class TokenTree:
         while (k := self._beside(i, 1)) is not None and not parts(text, self.leaves[k]):
             text += self.leaves[k]
             self._put(k, b"", 0)
+        return i, text
+
+    def settle(self, leaf: int, text: bytes, tokens: int) -> None:
         self.encoded += len(text)
-        self._put(i, text, count(text))
+        self._put(leaf, text, tokens)
+
+    def edit(self, at: int, deleted: int, inserted: bytes, count) -> None:
+        """change() and settle() in one; count(text) gives tokens."""
+        leaf, text = self.change(at, deleted, inserted)
+        self.settle(leaf, text, count(text))
 
 
 def trees(texts: list[bytes], chunks: ChunkTable) -> list[TokenTree]:
-    """A tree for each text."""
+    """A tree for each text; the sums of all leaves of all texts are taken at once."""
     rows, n = chunks.rows_of(texts)
-    tokens, bytes_of = chunks.len[rows], chunks.bytes_of(rows)
-    at, out = offsets(n), []
-    for k, t in enumerate(texts):
-        lens = bytes_of[at[k] : at[k + 1]]
-        start = np.arange(0, len(lens), LEAF)
-        ends = offsets(lens)[np.append(start, len(lens))] if len(lens) else np.zeros(1, np.int64)
-        leaves = [t[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        points = np.array([len(x) if x.isascii() else len(x.decode()) for x in leaves], np.int64)
-        out.append(TokenTree(leaves, points, np.add.reduceat(tokens[at[k] : at[k + 1]], start) if len(start) else np.zeros(0, np.int64)))
+    at, per = offsets(n), -(-n // LEAF)
+    first = np.repeat(at[:-1], per) + LEAF * (np.arange(per.sum()) - np.repeat(offsets(per)[:-1], per))
+    tokens = np.add.reduceat(chunks.len[rows], first).tolist() if len(first) else []
+    begin = offsets(chunks.bytes_of(rows))[first]
+    own = np.repeat(offsets([len(t) for t in texts])[:-1], per)
+    begin, out, k = (begin - own).tolist(), [], 0
+    for t, m in zip(texts, per.tolist(), strict=True):
+        cut = [*begin[k : k + m], len(t)]
+        leaves = [t[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)] if m else []
+        points = [len(x) for x in leaves] if t.isascii() else [len(x.decode()) for x in leaves]
+        out.append(TokenTree(leaves, points, tokens[k : k + m]))
+        k += m
     return out
 
 
@@ -127,16 +135,17 @@ def count_edited(docs: DataFrame, path: str, pattern: str, keep: list[str] | Non
 
     def run(batches):
         chunks = table(path, pattern)
-        count = lambda t: int(chunks.count([t])[0])
         for part, texts in pieces(batches):
             given = part.column(part.schema.get_field_index(edits)).to_pylist()
             built = trees(texts, chunks)
             before = [t.n_tokens for t in built]
-            for t, own in zip(built, given, strict=True):
-                for e in own or ():
-                    t.edit(e["at"] or 0, e["deleted"] or 0, (e["inserted"] or "").encode(), count)
+            for k in range(max((len(own or ()) for own in given), default=0)):  # the k-th edits of all texts are encoded together
+                now = [(t, own[k]) for t, own in zip(built, given, strict=True) if own and len(own) > k]
+                changed = [t.change(e["at"] or 0, e["deleted"] or 0, (e["inserted"] or "").encode()) for t, e in now]
+                for (t, _), (leaf, text), c in zip(now, changed, chunks.count([text for _, text in changed]).tolist(), strict=True):
+                    t.settle(leaf, text, c)
             new = [before, [t.n_tokens for t in built], [sum(map(len, t.leaves)) for t in built], [t.encoded for t in built]]
-            sums = pa.ListArray.from_arrays(pa.array(offsets([2 * t.cap - 1 for t in built]).astype(np.int32)), pa.array(np.concatenate([t.tokens[1:] for t in built]), pa.int64()))
+            sums = pa.ListArray.from_arrays(pa.array(offsets([2 * t.cap - 1 for t in built]).astype(np.int32)), pa.array([x for t in built for x in t.tokens[1:]], pa.int64()))
             yield column_out(part, keep, dict(zip(RESULT.names, [*(pa.array(x, pa.int64()) for x in new), sums], strict=True)))
 
     return docs.select(*dict.fromkeys([*keep, "text", edits])).mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *RESULT]))
