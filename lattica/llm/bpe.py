@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding over padded numpy matrices.
 
-Texts are cut at spaces between two non-space characters, which the pre-token pattern never joins; each distinct
+Texts are cut at single spaces and newlines between two non-space characters, which the pre-token pattern never crosses; each distinct
 chunk is pre-tokenised once and remembered in a bounded table. Distinct pre-tokens are put into matrices by
 length (powers of two). In each round every row looks up the ranks of its adjacent pairs in a hash table, merges its
 leftmost pair of least rank and is compacted; rows without a pair leave.
@@ -11,11 +11,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import itertools
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -29,11 +29,13 @@ TABLE_ROWS = 600_000
 #: Pre-tokens of more bytes are merged through a heap: rounds over a matrix would cost the square of the length.
 LONG = 512
 NONE = np.int32(2**31 - 1)
-#: Marks a text's first chunk, which no space precedes; not a byte of UTF-8.
-FIRST = b"\xff"
+#: Marks a chunk that no space precedes, and stands for a lone newline; neither is a byte of UTF-8.
+FIRST, NEWLINE = b"\xff", b"\xfe"
 EMPTY = np.zeros(0, np.int32)
-#: Marks that are one id and often follow a word.
-MARKS = (b".", b",")
+#: Symbols that may end a word; between a letter and a run of these there's always a border of pre-tokens. At most RUN of them.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != ord("'"))
+RUN = 8
+IS_MARK = np.isin(np.arange(256), list(MARKS))
 
 
 class PairTable:
@@ -212,63 +214,92 @@ class _Chunks(dict):
 
 
 def _odd(chunk: bytes) -> bool:
-    if chunk and 32 < chunk[0] < 127 and 32 < chunk[-1] < 127:
-        return False
     return not chunk or chunk.startswith(SPACES) or chunk.endswith(SPACES)
 
 
+def _lettered(word: bytes) -> bool:
+    """Whether the word ends in a letter, by its last bytes: an ASCII one, or one of two bytes below U+0250."""
+    end = word[-2:]
+    return end[-1:].isalpha() or (len(end) == 2 and 0xC3 <= end[0] <= 0xC9 and end.decode(errors="replace").isalpha())
+
+
 class ChunkTable:
     """Encodes texts chunk by chunk through `encode_chunks`, remembering distinct chunks."""
 
     def __init__(self, encode_chunks, rows: int = TABLE_ROWS):
         self.encode_chunks, self.rows = encode_chunks, rows
-        self.marks = {m: int(encode_chunks([m])[0][0]) for m in MARKS}
+        self.newline = encode_chunks([b"\n"])[0]
         self._clear()
 
     def _clear(self) -> None:
-        self.map, self.done = _Chunks(), 0
-        self.flat, self.used, self.n = EMPTY, 0, 0
+        self.map, self.runs = _Chunks(), {}
+        self.flat, self.used, self.n = EMPTY, 0, 1
         self.at, self.len, self.size, self.hits = (np.zeros(1024, np.int64) for _ in range(4))
         self.odd = np.zeros(1024, bool)
+        self.map.update({NEWLINE: 0})
+        self._keep(self.newline)
+        self.len[0], self.size[0] = self.used, 1
 
     def _learn(self) -> None:
         """Encode the new chunks. A key stands for a space and itself; after FIRST, for itself alone.
 
-        A word with a mark after it, when the bare word is known, takes that one's ids and the mark's: between an ASCII letter and
-        a mark there's always a border of pre-tokens."""
-        new, self.map.new = self.map.new, []
+        A word with marks after it takes the ids of the bare word and those of the marks."""
+        new, known, n = self.map.new, self.map, self.n
         if not new:
             return
-        known, n, end = self.map, self.n, self.n + len(new)
+        self.map.new = []
+        end = n + len(new)
         if end > len(self.at):
             more = np.zeros(max(len(self.at), end), np.int64)
             self.at, self.len, self.size, self.hits = (np.concatenate([x, more]) for x in (self.at, self.len, self.size, self.hits))
             self.odd = np.concatenate([self.odd, more.astype(bool)])
         self.n = end
-        marked = [k for k, c in enumerate(new) if c[-1:] in MARKS and c[-2:-1].isalpha() and c[:-1] in known]
-        skip = set(marked)
-        plain = [c for k, c in enumerate(new) if k not in skip]
-        flat, lens = self.encode_chunks([c[1:] if c[:1] == FIRST else b" " + c for c in plain])
-        at, size = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
-        whole = np.ones(len(new), bool)
-        whole[marked] = False
-        at[whole], size[whole] = self.used + offsets(lens)[:-1], lens
+        lens = np.fromiter(map(len, new), np.int64, len(new))
+        ends = offsets(lens)
+        text = np.frombuffer(b"".join(new) + b" ", np.uint8)
+        first, last = text[ends[:-1]] == FIRST[0], text[np.maximum(ends[1:] - 1, 0)]
+        self.size[n:end] = np.where(first, lens - 1, lens + 1)
+        begin = text[np.minimum(ends[:-1] + first, ends[-1])]
+        self.odd[n:end] = False
+        for k in np.flatnonzero((begin <= 32) | (begin > 126) | (last <= 32) | (last > 126) | (lens <= first)).tolist():
+            self.odd[n + k] = _odd(new[k].removeprefix(FIRST))
+        marked, stems, runs, bare = [], [], [], {}
+        for k in np.flatnonzero(IS_MARK[last] & (lens > 0)).tolist():
+            stem = new[k].rstrip(MARKS)
+            if len(new[k]) - len(stem) <= RUN and _lettered(stem):
+                row = known.get(stem)
+                marked.append(k), runs.append(new[k][len(stem) :])
+                stems.append(row if row is not None else -1 - bare.setdefault(stem, len(bare)))
+        plain = np.ones(len(new), bool)
+        plain[marked] = False
+        whole = [new[k] for k in np.flatnonzero(plain).tolist()] if marked else new
+        flat, lens = self.encode_chunks([c[1:] if c[:1] == FIRST else b" " + c for c in [*whole, *bare]])
+        at = self.used + offsets(lens)[:-1]
         self._keep(flat)
-        self.at[n:end], self.len[n:end] = at, size
-        if marked:  # a bare word ends in a letter, so it isn't one of these
-            rows = np.array([known[new[k][:-1]] for k in marked], np.int64)
-            lens = self.len[rows] + 1
-            ends = offsets(lens)
-            at[marked], size[marked] = self.used + ends[:-1], lens
-            joined = np.zeros(int(ends[-1]), np.int32)
-            last = np.zeros(len(joined), bool)
-            last[ends[1:] - 1] = True
-            joined[~last] = ragged(self.flat, self.at[rows], self.len[rows])
-            joined[last] = [self.marks[new[k][-1:]] for k in marked]
-            self._keep(joined)
-            self.at[n:end], self.len[n:end] = at, size
-        self.odd[n:end] = [_odd(c.removeprefix(FIRST)) for c in new]
-        self.size[n:end] = [len(c) - 1 if c[:1] == FIRST else len(c) + 1 for c in new]
+        rows = n + np.flatnonzero(plain)
+        self.at[rows], self.len[rows] = at[: len(whole)], lens[: len(whole)]
+        if marked:
+            stem = np.array(stems, np.int64)
+            known_row, other = np.maximum(stem, 0), len(whole) - 1 - np.minimum(stem, -1)
+            at, lens = np.append(at, 0), np.append(lens, 0)  # where there's no bare stem, `other` points past the end
+            other = np.minimum(other, len(at) - 1)
+            self._mark(n + np.array(marked, np.int64), np.where(stem < 0, at[other], self.at[known_row]), np.where(stem < 0, lens[other], self.len[known_row]), runs)
+
+    def _mark(self, rows: np.ndarray, at: np.ndarray, size: np.ndarray, runs: list[bytes]) -> None:
+        """Give rows the ids at a place of `flat` and then those of a run of marks."""
+        fresh = [r for r in dict.fromkeys(runs) if r not in self.runs]
+        if fresh:
+            flat, lens = self.encode_chunks(fresh)
+            self.runs.update(zip(fresh, np.split(flat, np.cumsum(lens)[:-1]), strict=True))
+        added = [self.runs[r] for r in runs]
+        lens = np.stack([size, np.fromiter(map(len, added), np.int64, len(added))], 1)
+        mark = np.repeat(np.tile([False, True], len(rows)), lens.ravel())
+        joined = np.empty(len(mark), np.int32)
+        joined[mark] = np.concatenate(added)
+        joined[~mark] = ragged(self.flat, at, size)
+        total = lens.sum(1)
+        self.at[rows], self.len[rows] = self.used + offsets(total)[:-1], total
+        self._keep(joined)
 
     def _keep(self, flat: np.ndarray) -> None:
         if self.used + len(flat) > len(self.flat):
@@ -287,25 +318,39 @@ class ChunkTable:
         if len(self.map) > self.rows:
             self._forget()
         get = self.map.__getitem__
-        raw = [(t[1:] if t[:1] == b" " else FIRST + t).split(b" ") if t else [] for t in texts]
-        counts = np.array([len(own) for own in raw], np.int64)
-        rows = np.array(list(map(get, itertools.chain.from_iterable(raw))), np.int64)
+        some = [k for k, t in enumerate(texts) if t]
+        counts = np.zeros(len(texts), np.int64)
+        if not some:
+            return EMPTY.astype(np.int64), counts
+        raw = [texts[k][1:] if texts[k][:1] == b" " else FIRST + texts[k] for k in some]
+        lines = [t if b"\n\n" in t else t.replace(b"\n", b" " + NEWLINE + b" " + FIRST) for t in raw]
+        split = pc.split_pattern(pa.array(lines, pa.large_binary()), pattern=b" ")
+        counts[some] = np.diff(split.offsets.to_numpy())
+        coded = split.values.dictionary_encode()
+        _, ends, said = coded.dictionary.buffers()
+        ends, said = np.frombuffer(ends, np.int64)[: len(coded.dictionary) + 1].tolist(), said.to_pybytes() if said else b""
+        own = np.array([get(said[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], np.int64)  # to_pylist is slower
+        index = coded.indices.to_numpy()
         self._learn()
-        odd = offsets(self.odd[rows])
+        self.hits[own] += np.bincount(index, minlength=len(own))
+        rows = own[index]
         at = offsets(counts)
-        again = np.flatnonzero((odd[at[1:]] > odd[at[:-1]]) & (counts > 1))
-        if len(again):  # chunks at more than a single space, or at other white space, belong together
-            split = np.split(rows, at[1:-1])
-            for k in again:
-                split[k] = np.array([get(c) for c in self._joined(raw[k])], np.int64)
-                counts[k] = len(split[k])
+        if self.odd[own].any():  # chunks at more than a single space or newline, or at other white space, belong together
+            odd = offsets(self.odd[rows])
+            again = (odd[at[1:]] > odd[at[:-1]]) & (counts > 1)
+            parts = np.split(rows, at[1:-1])
+            for k in np.flatnonzero(again).tolist():
+                t = texts[k]
+                parts[k] = np.array([get(c) for c in self._joined((t[1:] if t[:1] == b" " else FIRST + t).split(b" "))], np.int64)
+                counts[k] = len(parts[k])
             self._learn()
-            rows = np.concatenate(split)
-        np.add.at(self.hits, rows, 1)
+            rows = np.concatenate(parts)
         return rows, counts
 
     def _forget(self) -> None:
         """Keep the chunks that were met more than once, if they're few enough; they come to a fresh count."""
+        self.hits[0] = 2  # the newline stays
+        self.runs = {}
         keep = np.flatnonzero(self.hits[: self.n] > 1)
         if len(keep) > 2 * self.rows // 3:
             self._clear()

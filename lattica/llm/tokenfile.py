@@ -47,32 +47,35 @@ def library_table(path: str) -> ChunkTable:
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True  # their strings in a text are ordinary text
 
-    size = t.get_vocab_size()
-    spaced = np.array([(t.id_to_token(k) or "").startswith(SPACE) for k in range(size)])
+    spaced = np.array([(t.id_to_token(k) or "").startswith(SPACE) for k in range(t.get_vocab_size())])
 
     def alone(chunks: list[bytes]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in t.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
 
+    newline = alone([b"\n"])[0]
+
     def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Chunks that begin with their only space are joined to longer texts, whose ids part again where one begins with a space."""
-        plain = [k for k, c in enumerate(chunks) if len(c) > 1 and c[0] == 32 and 32 < c[1] < 127 and 32 < c[-1] < 127 and c.find(b" ", 1) < 0]
-        runs = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        """Chunks between visible characters are joined to longer texts: those that begin with their only space directly, their ids
+        parting again where one begins with a space; those without a space at newlines, whose ids part them."""
+        visible = [k for k, c in enumerate(chunks) if len(c) > 1 and 32 <= c[0] < 127 and 32 < c[-1] < 127 and (c[0] != 32 or 32 < c[1] < 127)]
+        after = [k for k in visible if chunks[k][0] == 32 and chunks[k].find(b" ", 1) < 0]
+        bare = [k for k in visible if chunks[k][0] != 32 and b"\n" not in chunks[k] and b" " not in chunks[k]] if len(newline) == 1 else []
+        runs = [(own[i : i + JOINED], join) for own, join in ((after, b""), (bare, b"\n")) for i in range(0, len(own), JOINED)]
         flat, lens, order = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], []
-        again: list[int] = []
-        for run, ids in zip(runs, alone([b"".join([chunks[k] for k in run]) for run in runs]), strict=True):
-            at = np.flatnonzero(spaced[ids])
+        for (run, join), ids in zip(runs, alone([join.join([chunks[k] for k in run]) for run, join in runs]), strict=True):
+            if join:
+                cut = ids == newline[0]
+                ids, at = ids[~cut], np.append(0, np.flatnonzero(cut) - np.arange(cut.sum()))
+            else:
+                at = np.flatnonzero(spaced[ids])
             if len(at) == len(run):
                 flat.append(ids), lens.append(np.diff(at, append=len(ids))), order.extend(run)
-            else:
-                again += run
-        rest = [*again, *sorted(set(range(len(chunks))).difference(plain))]
-        got = alone([chunks[k] for k in rest])
-        flat += got
-        lens.append(np.array([len(x) for x in got], np.int64))
-        order = np.array([*order, *rest], np.int64)
-        flat, lens = np.concatenate(flat), np.concatenate(lens)
-        place = np.empty(len(chunks), np.int64)
-        place[order] = np.arange(len(chunks))
+        place = np.full(len(chunks), -1, np.int64)
+        place[order] = np.arange(len(order))
+        rest = np.flatnonzero(place < 0)
+        place[rest] = len(order) + np.arange(len(rest))
+        got = alone([chunks[k] for k in rest.tolist()])
+        flat, lens = np.concatenate([*flat, *got]), np.concatenate([*lens, np.array([len(x) for x in got], np.int64)])
         return ragged(flat, offsets(lens)[:-1][place], lens[place]), lens[place]
 
     return ChunkTable(encode)
