@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import gaussian, ragged
-from ..operators import assignment, conditioning, exact, lbp, metrics, stats
+from ..operators import assignment, conditioning, exact, layout, lbp, metrics, stats
 from ..operators import hypotheses as hy
 from ..streaming import tracker
 from . import lbp_sql
-from .problems import ENUMERATION, SQL, frames, problem
+from .problems import ENUMERATION, SQL, frames, problem, reward
 
 QUERIES, ORACLE = {}, {}
 #: Iterations of the fixed-length message passing that the oracle can follow.
@@ -312,6 +312,59 @@ def k_best_assignments(spark, sf_dir):
     return rounded(assignment.best_per_frame(problem(spark, sf_dir)[0], 5), "reward")
 
 
+@query("""SELECT m.frame, m.meas, coalesce(array_to_string(list(r.track ORDER BY r.track) FILTER (r.track IS NOT NULL), ','), '') AS tracks
+FROM meas m LEFT JOIN reward r ON r.frame = m.frame AND r.meas = m.meas GROUP BY m.frame, m.meas""", walk=False)
+def gating_tracks(spark, sf_dir):
+    """The tracks that gate each measurement, of all measurements."""
+    tracks, meas = frames(spark, sf_dir)
+    return layout.gating_tracks(reward(tracks, meas), meas).withColumn("tracks", F.concat_ws(",", F.transform("tracks", lambda t: t.cast("string"))))
+
+
+@query("""SELECT frame, track, min(other)::INT AS component FROM near GROUP BY frame, track""", walk=False, more="""
+touch AS (SELECT DISTINCT a.frame, a.track, b.track AS other FROM reward a JOIN reward b USING (frame, meas) WHERE a.meas > 0),
+near AS (SELECT frame, track, track AS other FROM track UNION SELECT n.frame, n.track, t.other FROM near n JOIN touch t ON t.frame = n.frame AND t.track = n.other)""")
+def track_components(spark, sf_dir):
+    return layout.components(problem(spark, sf_dir)[0])
+
+
+@query(f"""SELECT frame, track, CASE WHEN meas > 0 THEN meas ELSE m + track END::INT AS col, round(ll, {R}) + 0.0 AS ll FROM reward JOIN (SELECT frame, max(meas) AS m FROM reward GROUP BY frame) USING (frame)""", walk=False)
+def square_layout(spark, sf_dir):
+    return rounded(layout.edmund(problem(spark, sf_dir)[0]), "ll")
+
+
+@query(f"""SELECT frame, meas, track, round(ll, {R}) + 0.0 AS ll FROM (SELECT r.frame, r.meas, r.track, r.ll - o.ll AS ll FROM reward r JOIN reward o ON o.frame = r.frame AND o.track = r.track AND o.meas = 0 WHERE r.meas > 0
+UNION ALL SELECT DISTINCT frame, meas, 0, 0 FROM reward r WHERE meas > 0 AND NOT EXISTS (SELECT 1 FROM lm WHERE lm.frame = r.frame AND lm.meas = r.meas))""", walk=False, more="""
+lm AS (SELECT frame, meas FROM gated JOIN cluster_map USING (frame, cluster) GROUP BY frame, master, meas HAVING count(*) > 1)""")
+def measurement_form(spark, sf_dir):
+    """Weights by measurement, with the linking measurements forced on a track."""
+    r, h = problem(spark, sf_dir)
+    return rounded(layout.measurement_form(r, forced=hy.linking_measurements(r, h, hy.merge_map(r, h))), "ll")
+
+
+@query(f"""SELECT frame, track, meas, round(p, {R}) + 0.0 AS p FROM (SELECT frame, track, meas, p FROM exact_p WHERE kind = 'detection'
+UNION ALL SELECT t.frame, t.track, 0, 1 - coalesce(sum(e.p), 0) FROM track t LEFT JOIN exact_p e ON e.frame = t.frame AND e.track = t.track AND e.kind = 'detection' GROUP BY t.frame, t.track)""", more=MARGINAL_SQL)
+def track_form(spark, sf_dir):
+    """Marginals by measurement turned into marginals by track."""
+    r, _, _, j = _joint(spark, sf_dir)
+    return rounded(layout.track_form(exact.measurement_marginals(j), r), "p")
+
+
+@query(f"SELECT frame, track, kind, meas, round(p / nullif(sum(p) OVER (PARTITION BY frame, track), 0), {R}) + 0.0 AS p FROM exact_p WHERE kind <> 'nonexistence'", more=MARGINAL_SQL)
+def existing_marginals(spark, sf_dir):
+    """Marginals of tracks given that they exist."""
+    _, h, cm, j = _joint(spark, sf_dir)
+    return rounded(layout.nonexistence_removed(exact.marginals(j, exact.members(h, cm))), "p")
+
+
+@query("""SELECT frame, n_tracks, n_meas, (SELECT sum(factorial(n_tracks::INT) / (factorial(k) * factorial((n_tracks - k)::INT)) * factorial(n_meas::INT) / factorial((n_meas - k)::INT)) FROM (SELECT unnest(range(0, 1 + least(n_tracks, n_meas)))::INT AS k))::DOUBLE AS n_open
+FROM (SELECT frame, count(*) AS n_tracks FROM track GROUP BY frame) JOIN (SELECT frame, count(*) AS n_meas FROM meas GROUP BY frame) USING (frame)""", walk=False)
+def open_associations(spark, sf_dir):
+    """How many associations each frame would have without gates."""
+    tracks, meas = frames(spark, sf_dir)
+    n = tracks.groupBy("frame").agg(F.count("*").alias("n_tracks")).join(meas.groupBy("frame").agg(F.count("*").alias("n_meas")), "frame")
+    return n.withColumn("n_open", layout.open_associations(F.col("n_tracks"), F.col("n_meas")))
+
+
 @query("SELECT cell, array_to_string(list(n ORDER BY cell2), ',') AS lengths FROM (SELECT frame // 1000 AS cell, frame AS cell2, count(*) AS n FROM meas GROUP BY ALL) GROUP BY cell", walk=False)
 def ragged_lengths(spark, sf_dir):
     """Measurements of each cell as a ragged array: the lengths of its frames."""
