@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import gaussian, ragged
-from ..operators import assignment, conditioning, exact, layout, lbp, metrics, stats
+from ..operators import assignment, conditioning, exact, factors, layout, lbp, metrics, stats
 from ..operators import hypotheses as hy
 from ..streaming import tracker
 from . import lbp_sql
@@ -312,6 +312,17 @@ def k_best_assignments(spark, sf_dir):
     return rounded(assignment.best_per_frame(problem(spark, sf_dir)[0], 5), "reward")
 
 
+@query(f"""SELECT x.frame, kind, key::INT AS key, value::INT AS value, round(p, {R}) + 0.0 AS p, round(log_z, {R}) + 0.0 AS log_z FROM (
+SELECT frame, 'track' AS kind, track AS key, coalesce(meas, -1) AS value, p FROM exact_p
+UNION ALL SELECT k.frame, 'measurement', meas, track, sum(w) / any_value(z) FROM pick k JOIN total USING (frame, master) WHERE meas > 0 GROUP BY k.frame, meas, track
+UNION ALL SELECT frame, 'measurement', meas, 0, 1 - sum(p) FROM exact_p WHERE kind = 'detection' GROUP BY frame, meas
+UNION ALL SELECT frame, 'hypothesis', l.cluster, l.hypo, w / sum(w) OVER (PARTITION BY frame, l.cluster) FROM (SELECT frame, l, sum(w) AS w FROM (SELECT frame, unnest(labels) AS l, w FROM joint) GROUP BY ALL)
+) x JOIN (SELECT frame, sum(ln(z)) AS log_z FROM total GROUP BY frame) USING (frame)""", more=MARGINAL_SQL)
+def eliminated_marginals(spark, sf_dir):
+    """Marginals of hypotheses, tracks and measurements by elimination in the factor graph; the oracle enumerates."""
+    return rounded(factors.by_elimination(*problem(spark, sf_dir)), "p", "log_z")
+
+
 @query("""SELECT m.frame, m.meas, coalesce(array_to_string(list(r.track ORDER BY r.track) FILTER (r.track IS NOT NULL), ','), '') AS tracks
 FROM meas m LEFT JOIN reward r ON r.frame = m.frame AND r.meas = m.meas GROUP BY m.frame, m.meas""", walk=False)
 def gating_tracks(spark, sf_dir):

@@ -8,11 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica import schema
-from lattica.operators import layout
+from lattica.operators import factors, layout
 from lattica.plans import catalog
 from lattica.sources import matfile, snapshots
 
-NEW = ["gating_tracks", "track_components", "square_layout", "measurement_form", "track_form", "existing_marginals", "open_associations"]
+NEW = ["gating_tracks", "track_components", "square_layout", "measurement_form", "track_form", "existing_marginals", "open_associations", "eliminated_marginals"]
 
 
 @pytest.mark.parametrize("name", NEW)
@@ -122,3 +122,55 @@ def test_read_mat(spark, tmp_path):
     (tmp_path / "run_0009.mat").write_bytes(b"x" * 300)
     with pytest.raises(Exception, match="run_0009"):
         matfile.read_mat(spark, str(tmp_path)).collect()
+
+
+CANONICAL = {1: (-0.60, 3.0, None), 2: (-0.56, 3.2, None), 3: (-0.46, -3.0, 1.2), 4: (-0.62, None, 3.0), 5: (-0.55, None, -0.4)}
+HYPOTHESES = [(0, 0, [1, 2], 0.5), (0, 1, [1, 3], 0.5), (1, 0, [4], 0.5), (1, 1, [5], 0.5)]
+
+
+def canonical():
+    return [(t, j, ll) for t, lls in CANONICAL.items() for j, ll in enumerate(lls) if ll is not None]
+
+
+def test_elimination_of_the_canonical_problem():
+    domains, table = factors.graph(canonical(), HYPOTHESES)
+    assert math.isclose(math.exp(factors.eliminated(domains, table)[1]), 228.5276770589719)
+    p, _ = factors.eliminated(domains, table, ("track", 3))
+    assert dict(zip(domains["track", 3], p.round(8).tolist(), strict=True)) == {0: 0.31165938, 1: 0.00065374, 2: 0.08355627, -1: 0.60413061}
+    p, _ = factors.eliminated(domains, table, ("hypothesis", 1))
+    assert p.round(6).tolist() == [0.904496, 0.095504]
+
+
+def test_messages_are_exact_on_a_tree_and_close_elsewhere():
+    tree = [(1, 0, -0.5), (1, 1, 2.0), (2, 0, -0.5), (2, 2, 1.0)]
+    domains, table = factors.graph(tree, [(0, 0, [1], 0.7), (0, 1, [2], 0.3)])
+    beliefs, steps = factors.passed(domains, table)
+    assert steps < 20 and all(np.allclose(beliefs[v], factors.eliminated(domains, table, v)[0]) for v in domains)
+    domains, table = factors.graph(canonical(), HYPOTHESES)
+    beliefs, _ = factors.passed(domains, table)
+    assert max(np.abs(beliefs[v] - factors.eliminated(domains, table, v)[0]).max() for v in domains) < 0.1
+
+
+def test_elimination_of_odd_frames(spark, monkeypatch):
+    r = spark.createDataFrame([(1, 1, 0, 0.0), (1, 9, 0, 0.0)], schema.REWARD)
+    h = spark.createDataFrame([(1, 0, 0, [1], 1.0), (2, 0, 0, [], 1.0), (3, 0, 0, [4], 1.0)], schema.HYPOTHESIS)
+    got = {(x.frame, x.kind, x.key, x.value): (x.p, x.log_z) for x in factors.by_elimination(r, h).collect()}
+    assert got[1, "track", 1, 0] == (1.0, 0.0) and got[2, "hypothesis", 0, 0] == (1.0, 0.0)  # track 9 is in no hypothesis
+    assert got[3, "track", 4, 0] == (0.0, float("-inf"))  # without a weight nothing is possible
+    assert factors.by_elimination(r.limit(0), h.limit(0)).count() == 0
+    assert factors.by_messages(r, h).filter("frame = 1 and kind = 'track' and value = 0").first().p == 1.0
+    monkeypatch.setattr(factors, "LIMIT", 1)
+    with pytest.raises(ValueError):
+        factors.eliminated(*factors.graph(canonical(), HYPOTHESES))
+
+
+def test_messages_reach_the_fixed_point_of_propagation(spark, sf_dir):
+    from lattica.operators import lbp
+    from lattica.plans.problems import problem
+
+    r, h = problem(spark, sf_dir)
+    few = r.select("frame").distinct().orderBy("frame").limit(40)
+    r, h = r.join(few, "frame"), h.join(few, "frame")
+    want = {(x.frame, x.track, x.meas if x.kind != "nonexistence" else -1): x.p for x in lbp.lbp(r, h, 40).filter("kind IN ('missed', 'detection', 'nonexistence')").collect()}
+    got = {(x.frame, x.key, x.value): x.p for x in factors.by_messages(r, h, 2000).filter("kind = 'track'").collect()}
+    assert want and max(abs(want[k] - got[k]) for k in want if want[k] is not None) < 1e-3
