@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import gaussian, ragged
-from ..operators import assignment, conditioning, exact, factors, layout, lbp, metrics, stats
+from ..operators import assignment, conditioning, exact, factors, histories, layout, lbp, metrics, stats
 from ..operators import hypotheses as hy
 from ..streaming import tracker
 from . import lbp_sql
@@ -323,6 +323,29 @@ def eliminated_marginals(spark, sf_dir):
     return rounded(factors.by_elimination(*problem(spark, sf_dir)), "p", "log_z")
 
 
+@query(f"""SELECT frame, cluster, part::INT AS part, array_to_string(tracks, ',') AS tracks, round(prob, {R}) + 0.0 AS prob FROM (
+SELECT frame, cluster, track AS part, [track] AS tracks, p AS prob FROM major UNION ALL SELECT frame, cluster, track, [], 1 - p FROM major WHERE p < 1 - 1e-12
+UNION ALL SELECT frame, cluster, 0, tracks, prob FROM rest WHERE (frame, cluster) IN (SELECT (frame, cluster) FROM rest WHERE len(tracks) > 0))""", walk=False, more="""
+mass AS (SELECT frame, cluster, unnest(tracks) AS track, prob FROM hypothesis),
+major AS (SELECT frame, cluster, track, sum(prob) AS p FROM mass GROUP BY ALL HAVING sum(prob) > 0.9),
+rest AS (SELECT frame, cluster, tracks, sum(prob) AS prob FROM (SELECT h.frame, h.cluster, list_sort(list_filter(h.tracks, lambda t: NOT list_contains(coalesce(g.gone, []), t))) AS tracks, h.prob FROM hypothesis h LEFT JOIN (SELECT frame, list(track) AS gone FROM major GROUP BY frame) g USING (frame)) GROUP BY ALL)""")
+def split_clusters(spark, sf_dir):
+    """Tracks with most of their cluster's mass as clusters of their own."""
+    out = histories.split_clusters(problem(spark, sf_dir)[1])
+    return rounded(out.withColumn("tracks", F.concat_ws(",", F.transform("tracks", lambda t: t.cast("string")))), "prob")
+
+
+@query("""SELECT user_id, day, list_max([len(x) FOR x IN string_split(s, '1')])::INT AS longest, len(list_last(string_split(s, '1')))::INT AS last_misses FROM (
+SELECT user_id, epoch_us(ts) // 86400000000 AS day, array_to_string([CASE WHEN list_contains(list(DISTINCT (epoch_us(ts) // 3600000000) % 24), x) THEN '1' ELSE '0' END FOR x IN range(0, 24)], '') AS s FROM events GROUP BY ALL)""", walk=False)
+def silences(spark, sf_dir):
+    """The longest run of hours without an event, and the run at the day's end, of each user and day."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.floor(us / 86_400_000_000).cast("long").alias("day"), (F.floor(us / 3_600_000_000) % 24).cast("int").alias("hour"))
+    days = ev.groupBy("user_id", "day").agg(F.collect_set("hour").alias("hours"))
+    history = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda x: F.array_contains("hours", x).cast("int"))
+    return days.withColumn("history", history).select("user_id", "day", histories.longest_silence(F.col("history")).alias("longest"), histories.last_misses(F.col("history")).alias("last_misses"))
+
+
 @query("""SELECT m.frame, m.meas, coalesce(array_to_string(list(r.track ORDER BY r.track) FILTER (r.track IS NOT NULL), ','), '') AS tracks
 FROM meas m LEFT JOIN reward r ON r.frame = m.frame AND r.meas = m.meas GROUP BY m.frame, m.meas""", walk=False)
 def gating_tracks(spark, sf_dir):

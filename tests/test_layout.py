@@ -8,11 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica import schema
-from lattica.operators import factors, layout
+from lattica.operators import factors, histories, layout
 from lattica.plans import catalog
 from lattica.sources import matfile, snapshots
 
-NEW = ["gating_tracks", "track_components", "square_layout", "measurement_form", "track_form", "existing_marginals", "open_associations", "eliminated_marginals"]
+NEW = ["gating_tracks", "track_components", "square_layout", "measurement_form", "track_form", "existing_marginals", "open_associations", "eliminated_marginals", "split_clusters", "silences"]
 
 
 @pytest.mark.parametrize("name", NEW)
@@ -174,3 +174,33 @@ def test_messages_reach_the_fixed_point_of_propagation(spark, sf_dir):
     want = {(x.frame, x.track, x.meas if x.kind != "nonexistence" else -1): x.p for x in lbp.lbp(r, h, 40).filter("kind IN ('missed', 'detection', 'nonexistence')").collect()}
     got = {(x.frame, x.key, x.value): x.p for x in factors.by_messages(r, h, 2000).filter("kind = 'track'").collect()}
     assert want and max(abs(want[k] - got[k]) for k in want if want[k] is not None) < 1e-3
+
+
+def test_histories(spark):
+    rows = [(1, [None, 0, 3, 0, 0]), (2, [1, 0, 0, 0, 2]), (3, [3, 0, 0]), (4, []), (5, [None, None])]
+    t = spark.createDataFrame(rows, "track int, history array<int>")
+    h = F.col("history")
+    got = {r[0]: tuple(r[1:]) for r in t.select("track", histories.last_misses(h), histories.longest_silence(h), histories.encoded(h, 3).cast("long")).collect()}
+    code = lambda xs: sum((4 if x is None else x) * 5**i for i, x in enumerate(xs))
+    assert got == {1: (2, 2, code(rows[0][1])), 2: (0, 3, code(rows[1][1])), 3: (2, 2, code(rows[2][1])), 4: (0, 0, 0), 5: (0, 0, code([None, None]))}
+    ids = lambda df: sorted(r.track for r in df.collect())
+    assert ids(histories.found(t, [3, 0, 0])) == [1, 3, 4]  # an empty history has nothing to disagree
+    assert ids(histories.found(t, [None, 0, 3, 0, 0])) == [1, 3, 4] and ids(histories.found(t, [None])) == [4, 5]
+    assert ids(histories.others(t, [[0, 0], [2]])) == [5]
+
+
+def test_segments_splits_and_repeats(spark):
+    t = spark.createDataFrame([(1, 1, [5, 0, 7], 1.0), (1, 2, [5, 0, 0], 0.5), (1, 3, [0, 0], 0.8), (1, 4, [2, 7], 1.0)], "frame long, track int, history array<int>, exi double")
+    h = spark.createDataFrame([(1, 0, 0, [1, 2], 3.0), (1, 0, 1, [1], 1.0), (1, 1, 0, [3], 0.1), (1, 1, 1, [], 0.9), (1, 2, 0, [4, 1], 1.0)], schema.HYPOTHESIS)
+    a = histories.segment_probability(t, h.filter("cluster < 2"), [5, 0], 8, 9, 10).first()
+    assert a.tracks == [1, 2, 3] and math.isclose(a.p, 1.0 + 0.75 * 0.5 + 0.1 * 0.8)  # the third began at scan 9
+    assert histories.segment_probability(t, h, [9], 1, 1, 10).count() == 0  # before all histories
+    with pytest.raises(ValueError):
+        histories.segment_probability(t, h, [1], 1, 2, 3)
+    assert [tuple(r) for r in histories.repeated_measurements(h, t).collect()] == [(1, 2, 0, 7)]
+    weak = histories.splitting_tracks(h, t, 0.2)
+    assert [r.track for r in weak.collect()] == [3]
+    left = {(r.cluster, tuple(r.tracks)): r.prob for r in histories.without_tracks(h.filter("cluster < 2"), spark.createDataFrame([(1, 2), (1, 3)], "frame long, track int")).collect()}
+    assert left == {(0, (1,)): 1.0, (1, ()): 1.0}
+    parts = sorted((r.cluster, r.part, r.tracks, round(r.prob, 9)) for r in histories.split_clusters(h.filter("cluster < 2"), 0.7).collect())
+    assert parts == [(0, 1, [1], 1.0), (0, 2, [], 0.25), (0, 2, [2], 0.75), (1, 0, [], 0.9), (1, 0, [3], 0.1)]
