@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import hypotheses as hy
 
 
-def edmund(reward: DataFrame, n_meas: DataFrame | None = None) -> DataFrame:
+def square(reward: DataFrame, n_meas: DataFrame | None = None) -> DataFrame:
     """Long rows of the square layout: detections in columns 1..m, missed detections in column m + track, m being the largest
     measurement of the frame, or that of `n_meas` (frame, m)."""
     m = n_meas if n_meas is not None else reward.groupBy("frame").agg(F.max("meas").alias("m"))

@@ -363,7 +363,7 @@ def track_components(spark, sf_dir):
 
 @query(f"""SELECT frame, track, CASE WHEN meas > 0 THEN meas ELSE m + track END::INT AS col, round(ll, {R}) + 0.0 AS ll FROM reward JOIN (SELECT frame, max(meas) AS m FROM reward GROUP BY frame) USING (frame)""", walk=False)
 def square_layout(spark, sf_dir):
-    return rounded(layout.edmund(problem(spark, sf_dir)[0]), "ll")
+    return rounded(layout.square(problem(spark, sf_dir)[0]), "ll")
 
 
 @query(f"""SELECT frame, meas, track, round(ll, {R}) + 0.0 AS ll FROM (SELECT r.frame, r.meas, r.track, r.ll - o.ll AS ll FROM reward r JOIN reward o ON o.frame = r.frame AND o.track = r.track AND o.meas = 0 WHERE r.meas > 0
