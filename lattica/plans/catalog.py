@@ -426,10 +426,21 @@ def missed_surprise(spark, sf_dir):
     return out.select("frame", "track", (F.round(-F.ln("p"), 4) + F.lit(0.0)).alias("surprise"))
 
 
-@query()
-def tracked_users(spark, sf_dir):
-    """The tracker over the events of each user, an hour being a scan: many small recursions."""
+def _tracked(spark, sf_dir, scenario):
+    """The tracker over the events of each scenario, an hour being a scan."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).cast("long")
-    out = tracker.track(ev.select(F.col("user_id").alias("scenario"), hour.alias("scan"), F.col("value").alias("z")))
+    out = tracker.track(ev.select(scenario.alias("scenario"), hour.alias("scan"), F.col("value").alias("z")))
     return rounded(out, "x", "p", "exi")
+
+
+@query()
+def tracked_sectors(spark, sf_dir):
+    """The tracker over the events of each sector: scans with many measurements and targets that compete for them."""
+    return _tracked(spark, sf_dir, F.col("user_id") % 8)
+
+
+@query()
+def tracked_users(spark, sf_dir):
+    """The tracker over the events of each user: many small recursions, most scans with one measurement."""
+    return _tracked(spark, sf_dir, F.col("user_id"))

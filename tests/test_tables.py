@@ -93,3 +93,10 @@ def test_tracker_follows_a_target_and_the_stream_equals_the_fold(spark, tmp_path
     got = spark.read.parquet(told).collect()
     key = lambda r: (r.scenario, r.scan, r.track, round(r.x, 6), round(r.exi, 6), r.meas)
     assert sorted(map(key, got)) == sorted(map(key, out))
+
+
+def test_tracked_sectors_have_competing_targets(spark, sf_dir):
+    out = catalog.QUERIES["tracked_sectors"](spark, sf_dir).toPandas()
+    assert set(out["scenario"]) == set(range(8))
+    picked = out[out["meas"] > 0].groupby(["scenario", "scan"]).size()
+    assert (picked > 1).any()
