@@ -15,11 +15,12 @@ from pyspark.sql import types as T
 
 from .common import by_ids, column_out, mix, offsets, pieces, tune, written
 
-#: Tokens of a window, and how many of them must be no placeholder. Shorter items are one window.
+#: Tokens of a window, and how many of them must be no placeholder in a window of templates. Shorter items are one window of
+#: their length. Windows of the words as they stand have no such limit.
 WINDOW, LITERALS = 8, 5
 #: An item is in a document if so large a share of its windows match there in their order, or so many windows in a row.
 COVERAGE, RUN = 0.5, 6
-#: Windows of benchmark items that are held in a worker at once; more are taken in blocks, each against all documents.
+#: Windows of each kind (templates, words) of benchmark items that are held in a worker at once; more are taken in blocks, each against all documents.
 BLOCK_WINDOWS = 1_000_000
 #: Distinct words remembered in a worker.
 WORDS = 400_000
@@ -94,79 +95,99 @@ class Templates:
         return token, value, offsets(np.bincount(doc, minlength=len(texts)))
 
 
-def windows(token: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First token and hash of each window with enough literals; a text with fewer tokens than WINDOW is one window."""
-    slot = (token == _NUM) | (token == _NAME) | (token == _UNIT)
-    lit = offsets(~slot)
-    starts, keys = [], []
-    m = len(token) - WINDOW + 1
-    if m > 0:
-        key = np.zeros(m, np.uint64)
-        for k in range(WINDOW):
-            key += mix(token[k : k + m]) * _POWERS[k]
-        doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        here = np.flatnonzero((doc[:m] == doc[WINDOW - 1 :]) & (lit[WINDOW:] - lit[:m] >= LITERALS))
-        starts.append(here), keys.append(mix(key[here]))
-    for k in np.flatnonzero((np.diff(at) < WINDOW) & (np.diff(at) >= LITERALS)):
-        if lit[at[k + 1]] - lit[at[k]] >= LITERALS:
-            key = np.uint64(at[k + 1] - at[k])
-            for x in token[at[k] : at[k + 1]]:
-                key = mix(np.array([key ^ x]))[0]
-            starts.append(np.array([at[k]])), keys.append(np.array([key], np.uint64))
-    if not starts:
+def windows(mixed: np.ndarray, lit: np.ndarray, at: np.ndarray, length: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First token and hash of each window of `length` tokens of a text that has at least `least` literals. mixed: hashes of tokens,
+    lit: literals before each token."""
+    m = len(mixed) - length + 1
+    if m <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    start, key = np.concatenate(starts), np.concatenate(keys)
-    order = np.argsort(start, kind="stable")
-    return start[order], key[order]
+    whole = np.ones(m, bool)
+    for k in range(1, length):  # no window begins where it would run into the next text
+        edge = at[1:-1] - k
+        whole[edge[(edge >= 0) & (edge < m)]] = False
+    if least:
+        whole &= lit[length:] - lit[:m] >= least
+    start = np.flatnonzero(whole)
+    key = np.full(m, np.uint64(length))
+    for k in range(length):
+        key += mixed[k : k + m] * _POWERS[k]
+    return start, mix(key[start])
 
 
 class Index:
-    """Windows of a block of benchmark items, by hash."""
+    """Windows of a block of benchmark items, by hash: of templates, and of the words as they stand, whatever stands before them."""
 
     def __init__(self, ids: list[int], texts: list[bytes]):
         self.ids = np.array(ids, np.int64)
         self.token, self.value, self.at = Templates()(texts)
-        start, key = windows(self.token, self.at)
+        size = np.minimum(np.diff(self.at), WINDOW)
+        self.lengths = [(kind, int(n)) for kind in (0, 1) for n in np.unique(size) if n >= (1 if kind else LITERALS)]
+        start, key, kind, length = self._windows(self.token, self.value, self.at)
+        item = np.searchsorted(self.at, start, "right") - 1
+        own = size[item] == length
+        start, key, kind, item = start[own], key[own], kind[own], item[own]
         order = np.argsort(key, kind="stable")
-        self.key, self.start = key[order], start[order]
-        self.item = np.searchsorted(self.at, self.start, "right") - 1
-        self.count = np.bincount(self.item, minlength=len(ids))
-        self.bits = np.zeros(1 << 22, bool)
+        self.key, self.start, self.kind, self.item = key[order], start[order], kind[order], item[order]
+        self.count = np.stack([np.bincount(item[kind == k], minlength=len(ids)) for k in (0, 1)])
+        self.bits = np.zeros(1 << (22 if len(key) <= BLOCK_WINDOWS else 23), bool)
         self.bits[self.key & np.uint64(len(self.bits) - 1)] = True
 
-    def find(self, token: np.ndarray, value: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int, bool]]:
-        """(text, item, windows that match, windows in a row, first token, whether slots differ) of the items found."""
-        start, key = windows(token, at)
-        maybe = np.flatnonzero(self.bits[key & np.uint64(len(self.bits) - 1)])
-        start, key = start[maybe], key[maybe]
+    def _windows(self, token: np.ndarray, value: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """First token, hash, kind (0: templates, 1: words) and length of the windows of all kinds and lengths that items have."""
+        lit = offsets(~((token == _NUM) | (token == _NAME) | (token == _UNIT)))
+        mixed, parts = (mix(token), mix(value ^ _POWERS[0])), []
+        for kind, n in self.lengths:
+            start, key = windows(mixed[kind], lit, at, n, 0 if kind else LITERALS)
+            if hasattr(self, "bits"):
+                maybe = np.flatnonzero(self.bits[key & np.uint64(len(self.bits) - 1)])
+                start, key = start[maybe], key[maybe]
+            parts.append((start, key, np.full(len(start), kind), np.full(len(start), n)))
+        return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+
+    def find(self, token: np.ndarray, value: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int, int, bool]]:
+        """(text, item, windows that match, windows of the item, windows in a row, first token, whether slots differ) of the items
+        found. What windows of templates find is told by them, unless the item also stands there word for word and they say it differs."""
+        start, key, _, _ = self._windows(token, value, at)
         lo, hi = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
         n = hi - lo
         if not n.sum():
             return []
         start, row = np.repeat(start, n), np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(offsets(n)[:-1], n)
-        text, item, there = np.searchsorted(at, start, "right") - 1, self.item[row], self.start[row]
-        order = np.lexsort((start, start - there, item, text))
-        text, item, there, start = text[order], item[order], there[order], start[order]
-        edge = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | ((start - there)[1:] != (start - there)[:-1])]))
-        best: dict[tuple[int, int], tuple] = {}
+        text, item, kind, there = np.searchsorted(at, start, "right") - 1, self.item[row], self.kind[row], self.start[row]
+        order = np.lexsort((start, start - there, kind, item, text))
+        text, item, kind, there, start = text[order], item[order], kind[order], there[order], start[order]
+        again = np.concatenate([[False], (text[1:] == text[:-1]) & (item[1:] == item[:-1]) & (kind[1:] == 1) & (kind[:-1] == 1)])
+        first = np.flatnonzero(~(again & (self.count[1, item] == 1)))  # of items of one window of words the first place says all
+        text, item, kind, there, start = text[first], item[first], kind[first], there[first], start[first]
+        edge = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (kind[1:] != kind[:-1]) | ((start - there)[1:] != (start - there)[:-1])]))
+        best: tuple[dict[tuple[int, int], tuple], ...] = ({}, {})
         for s, e in zip(edge.tolist(), [*edge[1:].tolist(), len(start)], strict=True):
-            k, i, steps = int(text[s]), int(item[s]), there[s:e]
+            k, i, words, steps = int(text[s]), int(item[s]), int(kind[s]), there[s:e]
+            count = int(self.count[words, i])
+            if e - s < COVERAGE * count and e - s < RUN:
+                continue
             row_of = np.flatnonzero(np.concatenate([[True], np.diff(steps) != 1]))
             run = int(np.diff(np.append(row_of, len(steps))).max())
-            if e - s < COVERAGE * self.count[i] and run < RUN:
+            if e - s < COVERAGE * count and run < RUN:
                 continue
-            spot = np.unique(np.minimum(steps[:, None] + np.arange(WINDOW), self.at[i + 1] - 1))
-            spot = spot[(spot + start[s] - there[s] < at[k + 1])]
-            other = spot + (start[s] - there[s])
-            held = (self.token[spot] == token[other]) & np.isin(self.token[spot], (_NUM, _NAME, _UNIT))
-            mine, theirs = self.value[spot[held]], value[other[held]]
-            same, differ = True, bool((mine != theirs).any())
-            if differ:  # one value of the item always stands for one value of the document
-                pairs = np.unique(np.stack([mine, theirs], 1), axis=0)
-                same = len(np.unique(pairs[:, 0])) == len(pairs)
-            if same and (e - s) > best.get((k, i), (0,))[0]:
-                best[k, i] = (e - s, run, int(start[s] - at[k]), differ)
-        return [(k, i, *x) for (k, i), x in best.items()]
+            same, differ = True, False
+            if not words:
+                spot = np.unique(np.minimum(steps[:, None] + np.arange(WINDOW), self.at[i + 1] - 1))
+                spot = spot[(spot + start[s] - there[s] < at[k + 1])]
+                other = spot + (start[s] - there[s])
+                held = (self.token[spot] == token[other]) & np.isin(self.token[spot], (_NUM, _NAME, _UNIT))
+                mine, theirs = self.value[spot[held]], value[other[held]]
+                differ = bool((mine != theirs).any())
+                if differ:  # one value of the item always stands for one value of the document
+                    pairs = np.unique(np.stack([mine, theirs], 1), axis=0)
+                    same = len(np.unique(pairs[:, 0])) == len(pairs)
+            if same and (e - s) > best[words].get((k, i), (0,))[0]:
+                best[words][k, i] = (e - s, count, run, int(start[s] - at[k]), differ)
+        told = best[0]
+        for at_, x in best[1].items():
+            if at_ not in told or told[at_][-1] and x[0] == x[1]:
+                told[at_] = x
+        return [(k, i, *x) for (k, i), x in told.items()]
 
 
 MATCH = T.StructType().add("item_id", "long").add("n_windows", "long").add("n_item_windows", "long").add("longest_run", "long").add("first_token", "long").add("reparameterised", "boolean")
@@ -175,10 +196,11 @@ MATCH = T.StructType().add("item_id", "long").add("n_windows", "long").add("n_it
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id and MATCH for each benchmark item that a row of docs holds, as it is or with other numbers, names or units.
 
-    A row and an item match if their windows agree along one diagonal for COVERAGE of the item's windows or RUN windows in a
-    row, and no value of the item's slots stands for two values of the document. Null and empty texts, and items with fewer
-    than LITERALS literal tokens, match nothing; repeated rows match each; items with equal ids and texts count once. The
-    benchmark is read in blocks of BLOCK_WINDOWS windows, each sent to all workers; a block's size is bounded, their number isn't."""
+    A row and an item match if their windows of templates agree along one diagonal for COVERAGE of the item's windows or RUN
+    windows in a row, and no value of the item's slots stands for two values of the document; or if their windows of words (case
+    and outer marks aside) agree so, which finds verbatim copies of every item, also of a word or two. Null and empty texts match
+    nothing; n_windows and n_item_windows are of the kind of windows that found the item; repeated rows match each; items with equal ids and texts count once. The
+    benchmark is read in blocks of BLOCK_WINDOWS windows of each kind, each sent to all workers; a block's size is bounded, their number isn't."""
     spark = docs.sparkSession
     items = written(benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct())
     size = F.size(F.split("text", r"\s+"))
@@ -208,9 +230,9 @@ def _finder(held):
         for part, texts in pieces(batches):
             found = index.find(*templates(texts))
             if found:
-                rows = np.array([(k, index.ids[i], n, index.count[i], run_, first) for k, i, n, run_, first, _ in found], np.int64)
+                rows = np.array([(k, index.ids[i], *x[:-1]) for k, i, *x in found], np.int64)
                 part = part.take(pa.array(rows[:, 0]))
-                new = dict(zip(MATCH.names, [*(pa.array(rows[:, c]) for c in range(1, 6)), pa.array([bool(x[5]) for x in found])], strict=True))
+                new = dict(zip(MATCH.names, [*(pa.array(rows[:, c]) for c in range(1, 6)), pa.array([bool(x[-1]) for x in found])], strict=True))
                 yield column_out(part, ["doc_id"], new)
 
     return run

@@ -93,6 +93,27 @@ def test_slots_must_be_consistent(spark):
     assert [r.doc_id for r in got.collect()] == [1]
 
 
+def test_short_and_slot_dense_items_are_found(spark):
+    items = [
+        (1, "which river crosses the old town"),
+        (2, "Sum 12 14 16 18 20 22 24 26 28 30"),
+        (3, "Compute 17 + 25"),
+        (4, "Seven tall trees stand behind the small house"),
+        (5, "Anna met Bob, Carl met Dora, Emil met Fritz"),
+    ]
+    pad = "some plain sentence stands before it and goes on with "
+    docs = [(k, pad + t + " and then the text goes on for quite a while") for k, t in items] + [(6, pad * 3), (7, pad + items[1][1].replace("2", "3") + " " + pad), (8, items[0][1])]
+    docs.append((9, pad + "Which river crosses the old 5 town"))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: (r.item_ids, r.reparameterised) for r in got.collect()} == {**{k: ([k], False) for k in range(1, 6)}, 8: ([1], False)}
+
+
+def test_short_items_with_other_names_are_found_in_long_documents(spark):
+    items, docs = [(1, "which river crosses the town of Bern")], [(1, "some plain sentence asks: which river crosses the town of Graz and ends")]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_ids, r.reparameterised) for r in got] == [(1, [1], True)]
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     rng = random.Random(4)
     items = [(k, words(rng, 30)) for k in range(50)]
