@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import column_out, offsets, pieces, tune
+from .toxicity import segments
 
 #: Fixed values of the base patterns. They run over UTF-8, where case-folding stays within ASCII.
 ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -22,8 +23,9 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KINDS = ("assign", "access", "hex", "markov")
 
-#: Runs of so many characters of the alphabet are scored; longer runs are scored whole.
+#: Runs of so many characters of the alphabet are scored, whole and in their best parts, up to the next SEPARATORS.
 MARKOV_LEAST = 20
+SEPARATORS = b"/-_+"
 #: A run is a secret with at least this log-likelihood ratio (nats) for each character.
 MARKOV_RATIO = 0.7
 #: Labelled samples that the two models are trained on, for each class, and their seed.
@@ -59,6 +61,8 @@ CHARSETS = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ2
 
 _CODE = np.full(256, -1, np.int16)
 _CODE[list(ALPHABET)] = np.arange(len(ALPHABET))
+_SEPARATOR = np.zeros(256, bool)
+_SEPARATOR[list(SEPARATORS)] = True
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 
@@ -102,8 +106,69 @@ def runs(mask: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return begin[long], end[long]
 
 
+def _gain(run: np.ndarray, ratio: float) -> np.ndarray:
+    """What each character of a run tells for a random string, less the threshold."""
+    first, pairs = log_ratios()
+    c = _CODE[run]
+    return np.concatenate([first[c[:1]], pairs[c[:-1], c[1:]]]) - ratio
+
+
+def _best_parts(run: np.ndarray, ratio: float) -> list[tuple[int, int]]:
+    """The whole run if it reaches the ratio; else its maximal-sum parts, each up to the next separators, if the part alone or
+    with what was added is long enough and reaches it."""
+    if len(run) < MARKOV_LEAST:
+        return []
+    gain = _gain(run, ratio)
+    total = np.concatenate([[0.0], np.cumsum(gain)])
+    if total[-1] >= 0:
+        return [(0, len(run))]
+    if not (total[MARKOV_LEAST:] >= np.minimum.accumulate(total)[: len(total) - MARKOV_LEAST]).any():
+        return []
+    cut, found = np.concatenate([[-1], np.flatnonzero(_SEPARATOR[run]), [len(run)]]), []
+    for s, e, _ in segments(gain):
+        x = s if _SEPARATOR[run[s]] else int(cut[np.searchsorted(cut, s) - 1]) + 1
+        y = e if _SEPARATOR[run[e - 1]] else int(cut[np.searchsorted(cut, e)])
+        if e - s >= MARKOV_LEAST or y - x >= MARKOV_LEAST and total[y] >= total[x]:
+            if found and x <= found[-1][1]:
+                found[-1] = (found[-1][0], max(y, found[-1][1]))
+            else:
+                found.append((x, y))
+    return found
+
+
+def _random_parts(raw: np.ndarray, b: int, e: int, base: list[tuple[int, int]], ratio: float) -> list[tuple[int, int]]:
+    """Random parts of the run raw[b:e] outside of its base spans, of which each side is scored alone. What stands beside a base
+    span without a separator is a part of any length if both together reach the ratio."""
+    rest, last = [], b
+    for s, t in base:
+        if s > last:
+            rest.append((last, s))
+        last = max(last, t)
+    if last < e:
+        rest.append((last, e))
+    found = {}
+    for s, t in rest:
+        parts = [(s + x, s + y) for x, y in _best_parts(raw[s:t], ratio)]
+        if base and parts != [(s, t)]:
+            for at, beside in ((s, s > b), (t - 1, t < e)):
+                if beside and not _SEPARATOR[raw[at]]:
+                    x, y = at, at + 1
+                    while x > b and not _SEPARATOR[raw[x - 1]]:
+                        x -= 1
+                    while y < e and not _SEPARATOR[raw[y]]:
+                        y += 1
+                    if y - x >= MARKOV_LEAST and _gain(raw[x:y], ratio).sum() >= 0:
+                        parts.append((max(x, s), min(y, t)))
+        for x, y in sorted(parts):
+            if found and x <= (z := next(reversed(found))) + found[z]:
+                found[z] = max(found[z], y - z)
+            else:
+                found[x] = y - x
+    return [(x, x + n) for x, n in found.items()]
+
+
 def spans(texts: list[bytes], ratio: float = MARKOV_RATIO) -> list[list[tuple[int, int, int]]]:
-    """(begin, kind, end) in bytes for each text, sorted; base spans, and Markov spans that touch no base span."""
+    """(begin, kind, end) in bytes for each text, sorted; base spans, and Markov spans outside of them."""
     out: list[list[tuple[int, int, int]]] = []
     joined = b"\n".join(texts)  # no run goes over a line end
     raw = np.frombuffer(joined, np.uint8)
@@ -121,13 +186,10 @@ def spans(texts: list[bytes], ratio: float = MARKOV_RATIO) -> list[list[tuple[in
         out[k].append((b - int(at[k]), 2, e - int(at[k])))
     begin, end = runs(_CODE[raw] >= 0, MARKOV_LEAST)
     if len(begin):
-        first, pairs = log_ratios()
         for k, b, e in zip(np.searchsorted(at, begin, "right") - 1, begin.tolist(), end.tolist(), strict=True):
-            c = _CODE[raw[b:e]]
-            llr = first[c[0]] + pairs[c[:-1], c[1:]].sum()
-            b, e = b - int(at[k]), e - int(at[k])
-            if llr >= ratio * (e - b) and not any(x[0] < e and b < x[2] for x in out[k] if x[1] < 3):
-                out[k].append((b, 3, e))
+            o = int(at[k])
+            base = sorted((max(x[0] + o, b), min(x[2] + o, e)) for x in out[k] if x[1] < 3 and x[0] + o < e and b < x[2] + o)
+            out[k] += [(x - o, 3, y - o) for x, y in _random_parts(raw, b, e, base, ratio)]
     for own in out:
         own.sort()
     return out
