@@ -10,7 +10,7 @@ from ..operators import assignment, conditioning, exact, factors, histories, lay
 from ..operators import hypotheses as hy
 from ..streaming import tracker
 from . import lbp_sql
-from .problems import ENUMERATION, SQL, frames, problem, reward
+from .problems import ENUMERATION, SQL, cell_of, frames, problem, reward
 
 QUERIES, ORACLE = {}, {}
 #: Iterations of the fixed-length message passing that the oracle can follow.
@@ -403,7 +403,7 @@ def open_associations(spark, sf_dir):
 def ragged_lengths(spark, sf_dir):
     """Measurements of each cell as a ragged array: the lengths of its frames."""
     m = frames(spark, sf_dir)[1].groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("meas", "value"))).alias("v"))
-    cells = m.groupBy(F.floor(F.col("frame") / 1000).alias("cell")).agg(F.array_sort(F.collect_list(F.struct("frame", "v"))).alias("fs"))
+    cells = m.groupBy(cell_of(F.col("frame")).alias("cell")).agg(F.array_sort(F.collect_list(F.struct("frame", "v"))).alias("fs"))
     return cells.select("cell", F.concat_ws(",", F.transform(ragged.lengths(F.transform("fs", lambda x: x["v"])), lambda n: n.cast("string"))).alias("lengths"))
 
 

@@ -10,13 +10,27 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SECTORS, SIZE, PAIR = 8, 4, 2
 SCALE, GATE, DETECTION, CONSTANT = 20.0, 60.0, 0.9, 1.0
 PRIOR = (0.6, 0.4)
 HOUR_US = 3_600_000_000
+#: Frames of a cell are numbered within CELL; what a cell has beyond that is numbered from FAR, within FAR_CELL a cell.
+CELL, FAR, FAR_CELL = 1000, 1 << 62, 1 << 32
+
+
+def frame_of(cell: Column, block: Column) -> Column:
+    """The number of a cell's frame, no two alike. Below CELL frames a cell it is that of SQL, whose numbers run into the next
+    cell's beyond that."""
+    return F.when(block < CELL, cell * CELL + block).otherwise(F.lit(FAR) + cell * FAR_CELL + block)
+
+
+def cell_of(frame: Column) -> Column:
+    """The cell of a frame."""
+    near = lambda x, by: ((x - F.pmod(x, F.lit(by))) / by).cast("long")
+    return F.when(frame < FAR >> 1, near(frame, CELL)).otherwise(near(frame - FAR, FAR_CELL))
 
 
 def frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -25,7 +39,7 @@ def frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     cell = F.floor(F.col("us") / HOUR_US).cast("long") * SECTORS + F.col("user_id") % SECTORS
     ev = ev.withColumn("cell", cell)
     dealt = lambda df, name, *order: df.withColumn("rn", F.row_number().over(Window.partitionBy("cell").orderBy(*order)) - 1).select(
-        (F.col("cell") * 1000 + F.floor(F.col("rn") / SIZE)).cast("long").alias("frame"), (F.col("rn") % SIZE + 1).cast("int").alias(name), "value"
+        frame_of(F.col("cell"), F.floor(F.col("rn") / SIZE).cast("long")).alias("frame"), (F.col("rn") % SIZE + 1).cast("int").alias(name), "value"
     )
     before = ev.groupBy((F.col("cell") + SECTORS).alias("cell"), "user_id").agg(F.max_by("value", F.struct("us", "event_id")).alias("value"))
     return dealt(before, "track", "user_id"), dealt(ev, "meas", "us", "event_id")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from lattica import schema
 from lattica.functions import gaussian, logspace, ragged
-from lattica.plans import catalog
+from lattica.plans import catalog, problems
 from lattica.sources import snapshots
 from lattica.streaming import tracker
 
@@ -100,3 +100,17 @@ def test_tracked_sectors_have_competing_targets(spark, sf_dir):
     assert set(out["scenario"]) == set(range(8))
     picked = out[out["meas"] > 0].groupby(["scenario", "scan"]).size()
     assert (picked > 1).any()
+
+
+def test_frames_of_large_cells_stay_apart(spark, tmp_path):
+    base = 1_700_000_000 // 3600 * 3600
+    rows = [(k, base + 3600 * h, u, float(k % 97)) for k, (h, u) in enumerate([(0, 0)] * 4100 + [(0, 1)] * 300 + [(1, 0)] * 9)]
+    ev = spark.createDataFrame(rows, "event_id long, s long, user_id long, value double")
+    ev.select("event_id", F.timestamp_seconds("s").alias("ts"), "user_id", "value").write.parquet(str(tmp_path / "events.parquet"))
+    _, meas = problems.frames(spark, str(tmp_path))
+    assert meas.count() == 4409 == meas.select("frame", "meas").distinct().count()
+    cell = base // 3600 * 8
+    got = {r.cell: [int(n) for n in r.lengths.split(",")] for r in catalog.QUERIES["ragged_lengths"](spark, str(tmp_path)).collect()}
+    assert got == {cell: [4] * 1025, cell + 1: [4] * 75, cell + 8: [4, 4, 1]}
+    frame = spark.createDataFrame([(c, b) for c in (-9, 0, 4_000_007) for b in (0, 999, 1000, 2**31)], "cell long, block long")
+    assert frame.filter(problems.cell_of(problems.frame_of(F.col("cell"), F.col("block"))) != F.col("cell")).count() == 0
