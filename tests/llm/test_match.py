@@ -114,6 +114,13 @@ def test_short_items_with_other_names_are_found_in_long_documents(spark):
     assert [(r.doc_id, r.item_ids, r.reparameterised) for r in got] == [(1, [1], True)]
 
 
+def test_near_verbatim_copies_with_one_of_equal_values_changed_are_found(spark):
+    item = [(1, "if x has 7 coins and y has 7 stones then how many more of them do both hold in total when all is counted again")]
+    docs = [(1, "so " + item[0][1].replace("7 coins", "8 coins") + " indeed")]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(item, "item_id long, text string"))
+    assert [(r.doc_id, r.item_ids) for r in got.collect()] == [(1, [1])]
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     rng = random.Random(4)
     items = [(k, words(rng, 30)) for k in range(50)]
