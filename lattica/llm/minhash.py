@@ -27,6 +27,8 @@ REGISTERS, BASE, RATE, LARGEST = 256, 1.001, 20.0, 65535
 BAND, BANDS = 7, 36
 #: Pairs go on if their joint likelihood peaks at this similarity at least; 4.5 standard deviations under 0.85.
 FLOOR = 0.75
+#: Bands and floor are set for limits from here on; at lower ones pairs would be missed.
+LEAST_PERCENT = 85
 #: Buckets up to this size give all their pairs; larger ones go the other way.
 SMALL = 24
 #: Rows, and shingles, of a block on average when what a large bucket still keeps apart is compared.
@@ -317,7 +319,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Documents with 100 * |A and B| >= percent * |A or B| are linked; component_id is the least doc_id that links reach, itself
     included; kept says whether it's the row's own. Null and empty texts have no shingles and stay alone. Rows that share a
     doc_id are one document: each row has its own n_shingles, and what one of them is linked with, all are. Rows with a null
-    doc_id are left out. Other columns aren't returned. An empty table gives no rows."""
+    doc_id are left out. Other columns aren't returned. An empty table gives no rows. percent is LEAST_PERCENT or more."""
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"bands and floor miss pairs at limits under {LEAST_PERCENT} percent: {percent}")
     spark = docs.sparkSession
     docs = docs.filter("doc_id is not null")
     base = written(sketch(docs))

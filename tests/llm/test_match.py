@@ -57,6 +57,13 @@ def test_sketches_merge_and_tell_similarity():
         assert all(kept) if j >= 0.85 else not any(kept)
 
 
+def test_limits_that_the_bands_would_miss_are_refused(spark, empty_docs):
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(empty_docs, 84)
+    with pytest.raises(ValueError):
+        minhash.keep_one(empty_docs, 80)
+
+
 ITEMS = [
     (1, "Alice buys 12 apples at the old market for 3 dollars each and then sells 5 of them to Bob near the river."),
     (2, "the quick brown fox jumps over the lazy dog while seven sleepy cats watch from a warm wooden fence nearby"),
