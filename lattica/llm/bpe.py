@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding over padded numpy matrices.
 
-Texts are cut at single spaces and newlines between two non-space characters, which the pre-token pattern never crosses; each distinct
-chunk is pre-tokenised once and remembered in a bounded table. Distinct pre-tokens are put into matrices by
+Where the pattern is the one that CUT_PATTERN names, texts are cut at single spaces and newlines between visible characters and between
+letters and marks, which it never crosses; each distinct chunk is pre-tokenised once and remembered in a bounded table, which is looked up
+by arrays of hashes. Other patterns get whole texts. Distinct pre-tokens are put into matrices by
 length (powers of two). In each round every row looks up the ranks of its adjacent pairs in a hash table, merges its
 leftmost pair of least rank and is compacted; rows without a pair leave.
 """
@@ -11,12 +12,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import os
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -24,18 +26,31 @@ from .common import column_out, offsets, pieces, ragged, tune
 
 #: White space by any of the libraries' definitions; a chunk that starts or ends with it is joined to its neighbour.
 SPACES = tuple(c.encode() for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　")
-#: Distinct chunks kept in a worker's table before it is emptied.
-TABLE_ROWS = 600_000
+#: Fixed value: the pattern whose pre-tokens never cross the places where ChunkTable cuts.
+CUT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Distinct chunks kept in a worker's table before it is emptied, and bytes of the longest chunk that is kept.
+TABLE_ROWS, CHUNK_BYTES = 1_200_000, 512
+#: Bytes that are hashed at once.
+HASHED = 1 << 18
 #: Pre-tokens of more bytes are merged through a heap: rounds over a matrix would cost the square of the length.
 LONG = 512
 NONE = np.int32(2**31 - 1)
-#: Marks a chunk that no space precedes, and stands for a lone newline; neither is a byte of UTF-8.
-FIRST, NEWLINE = b"\xff", b"\xfe"
 EMPTY = np.zeros(0, np.int32)
-#: Symbols that may end a word; between a letter and a run of these there's always a border of pre-tokens. At most RUN of them.
-MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != ord("'"))
-RUN = 8
-IS_MARK = np.isin(np.arange(256), list(MARKS))
+
+
+def _bytes(*ranges: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for a, b in ranges:
+        out[a : b + 1] = True
+    return out
+
+
+LETTER = _bytes((65, 90), (97, 122))
+MARK = _bytes((33, 38), (40, 47), (58, 64), (91, 96), (123, 126))
+#: Visible characters that a text is cut beside: ASCII ones, and by their first bytes those that are never white space.
+_VISIBLE = _bytes((33, 126))
+_LEAD = (_bytes((0xC3, 0xDF)), _bytes((0xE4, 0xED)), _bytes((0xF0, 0xF4)))
+_BEGINS = _VISIBLE | _LEAD[0] | _LEAD[1] | _LEAD[2]
 
 
 class PairTable:
@@ -200,182 +215,159 @@ class ByteBPE:
         return ragged(self.said_flat, self.said_at[ids], self.said_len[ids])
 
 
-class _Chunks(dict):
-    """Chunk of text to row of the table; new ones get a row when they're asked for."""
+def cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where chunks of texts begin: at[:-1] (offsets of the texts in raw) and every place that CUT_PATTERN never crosses: before a single
+    space, on both sides of a single newline (both between visible characters), and between ASCII letters and marks (no apostrophe)."""
+    n = len(raw)
+    begin = np.zeros(n + 2, bool)
+    letter, mark = LETTER[raw], MARK[raw]
+    begin[1:n] = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+    k = np.flatnonzero((raw == 32) | (raw == 10))
+    k = k[(k > 0) & (k < n - 1)]
+    k = k[_BEGINS[raw[k + 1]]]
+    before = raw[k - 1]
+    ok = _VISIBLE[before]
+    high = np.flatnonzero(before >= 0x80)
+    for back, lead in enumerate(_LEAD, 2):
+        ok[high] |= lead[raw[np.maximum(k[high] - back, 0)]]
+    inside = np.zeros(n + 1, bool)  # whether a text begins here: no cut looks over its border
+    inside[at] = True
+    k = k[ok & ~inside[k] & ~inside[k + 1]]
+    begin[k] = True
+    begin[k[raw[k] == 10] + 1] = True
+    begin[at[:-1]] = True
+    return np.flatnonzero(begin[:n])
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[bytes] = []
 
-    def __missing__(self, key: bytes) -> int:
-        self[key] = at = len(self)
-        self.new.append(key)
-        return at
+class ChunkTable:
+    """Encodes texts chunk by chunk through `encode_chunks`, remembering distinct chunks by two 64-bit hashes of their bytes.
 
+    `cut` says whether the encoder's pre-tokens never cross the places of cuts(); else whole texts are chunks."""
 
-def _odd(chunk: bytes) -> bool:
-    return not chunk or chunk.startswith(SPACES) or chunk.endswith(SPACES)
+    def __init__(self, encode_chunks, rows: int = TABLE_ROWS, cut: bool = True):
+        self.encode_chunks, self.rows, self.cut = encode_chunks, rows, cut
+        bases = np.frombuffer(os.urandom(16), np.uint64) | np.uint64(1)
+        with np.errstate(over="ignore"):
+            self.powers = [np.concatenate([[np.uint64(1)], np.full(HASHED, b)]).cumprod() for b in bases]
+        self._clear()
 
+    def _clear(self) -> None:
+        self.flat, self.used, self.n = EMPTY, 0, 0
+        self.one, self.two = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
+        self.at, self.len, self.size, self.again = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, bool)
+        self._slots(1 << 12)
 
-def _lettered(word: bytes) -> bool:
-    """Whether the word ends in a letter, by its last bytes: an ASCII one, or one of two bytes below U+0250."""
-    end = word[-2:]
-    return end[-1:].isalpha() or (len(end) == 2 and 0xC3 <= end[0] <= 0xC9 and end.decode(errors="replace").isalpha())
+    def _slots(self, size: int) -> None:
+        """An empty index of `size` slots, filled with the rows that the table has."""
+        self.slots, self.shift = np.full(size, -1, np.int32), np.uint64(65 - size.bit_length())
+        self._index(np.arange(self.n))
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
-class ChunkTable:
-    """Encodes texts chunk by chunk through `encode_chunks`, remembering distinct chunks."""
+    def _index(self, rows: np.ndarray) -> None:
+        slot, mask = self._slot(self.one[rows]), len(self.slots) - 1
+        while len(rows):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = rows[free]  # of rows that want one slot the last stays
+            on = self.slots[slot] != rows
+            rows, slot = rows[on], (slot[on] + 1) & mask
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """Rows of the hashes, -1 where there's none."""
+        one, two, mask = np.ascontiguousarray(key[:, 0]), np.ascontiguousarray(key[:, 1]), len(self.slots) - 1
+        slot = self._slot(one)
+        out = self.slots[slot].astype(np.int64)
+        on = np.flatnonzero((out >= 0) & ((self.one[out] != one) | (self.two[out] != two)))
+        slot = slot[on]
+        while len(on):  # another chunk has the slot
+            slot = (slot + 1) & mask
+            row = self.slots[slot]
+            out[on] = row
+            left = (row >= 0) & ((self.one[row] != one[on]) | (self.two[row] != two[on]))
+            on, slot = on[left], slot[left]
+        return out
 
-    def __init__(self, encode_chunks, rows: int = TABLE_ROWS):
-        self.encode_chunks, self.rows = encode_chunks, rows
-        self.newline = encode_chunks([b"\n"])[0]
-        self._clear()
+    def _hashes(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Two hashes of each chunk: polynomials in odd numbers that each process draws; long chunks, for which these could be forged, have
+        a digest."""
+        out = np.empty((len(begin), 2), np.uint64)
+        k = 0
+        while k < len(begin):
+            e = max(k + 1, int(np.searchsorted(end, begin[k] + HASHED, "right")))
+            if end[k] - begin[k] <= HASHED:
+                a, b = begin[k:e] - begin[k], end[k:e] - begin[k]
+                part = raw[begin[k] : end[e - 1]].astype(np.uint64) + np.uint64(1)
+                for side, power in enumerate(self.powers):
+                    total = np.zeros(len(part) + 1, np.uint64)
+                    np.cumsum(part * power[: len(part)], out=total[1:])
+                    out[k:e, side] = (total[b] - total[a]) * power[HASHED - a]
+            k = e
+        for k in np.flatnonzero(end - begin > CHUNK_BYTES).tolist():
+            out[k] = np.frombuffer(xxhash.xxh3_128_digest(raw[begin[k] : end[k]].tobytes()), np.uint64)
+        return out
 
-    def _clear(self) -> None:
-        self.map, self.runs = _Chunks(), {}
-        self.flat, self.used, self.n = EMPTY, 0, 1
-        self.at, self.len, self.size, self.hits = (np.zeros(1024, np.int64) for _ in range(4))
-        self.odd = np.zeros(1024, bool)
-        self.map.update({NEWLINE: 0})
-        self._keep(self.newline)
-        self.len[0], self.size[0] = self.used, 1
-
-    def _learn(self) -> None:
-        """Encode the new chunks. A key stands for a space and itself; after FIRST, for itself alone.
-
-        A word with marks after it takes the ids of the bare word and those of the marks."""
-        new, known, n = self.map.new, self.map, self.n
-        if not new:
-            return
-        self.map.new = []
-        end = n + len(new)
-        if end > len(self.at):
-            more = np.zeros(max(len(self.at), end), np.int64)
-            self.at, self.len, self.size, self.hits = (np.concatenate([x, more]) for x in (self.at, self.len, self.size, self.hits))
-            self.odd = np.concatenate([self.odd, more.astype(bool)])
-        self.n = end
-        lens = np.fromiter(map(len, new), np.int64, len(new))
-        ends = offsets(lens)
-        text = np.frombuffer(b"".join(new) + b" ", np.uint8)
-        first, last = text[ends[:-1]] == FIRST[0], text[np.maximum(ends[1:] - 1, 0)]
-        self.size[n:end] = np.where(first, lens - 1, lens + 1)
-        begin = text[np.minimum(ends[:-1] + first, ends[-1])]
-        self.odd[n:end] = False
-        for k in np.flatnonzero((begin <= 32) | (begin > 126) | (last <= 32) | (last > 126) | (lens <= first)).tolist():
-            self.odd[n + k] = _odd(new[k].removeprefix(FIRST))
-        marked, stems, runs, bare = [], [], [], {}
-        for k in np.flatnonzero(IS_MARK[last] & (lens > 0)).tolist():
-            stem = new[k].rstrip(MARKS)
-            if len(new[k]) - len(stem) <= RUN and _lettered(stem):
-                row = known.get(stem)
-                marked.append(k), runs.append(new[k][len(stem) :])
-                stems.append(row if row is not None else -1 - bare.setdefault(stem, len(bare)))
-        plain = np.ones(len(new), bool)
-        plain[marked] = False
-        whole = [new[k] for k in np.flatnonzero(plain).tolist()] if marked else new
-        flat, lens = self.encode_chunks([c[1:] if c[:1] == FIRST else b" " + c for c in [*whole, *bare]])
-        at = self.used + offsets(lens)[:-1]
-        self._keep(flat)
-        rows = n + np.flatnonzero(plain)
-        self.at[rows], self.len[rows] = at[: len(whole)], lens[: len(whole)]
-        if marked:
-            stem = np.array(stems, np.int64)
-            known_row, other = np.maximum(stem, 0), len(whole) - 1 - np.minimum(stem, -1)
-            at, lens = np.append(at, 0), np.append(lens, 0)  # where there's no bare stem, `other` points past the end
-            other = np.minimum(other, len(at) - 1)
-            self._mark(n + np.array(marked, np.int64), np.where(stem < 0, at[other], self.at[known_row]), np.where(stem < 0, lens[other], self.len[known_row]), runs)
-
-    def _mark(self, rows: np.ndarray, at: np.ndarray, size: np.ndarray, runs: list[bytes]) -> None:
-        """Give rows the ids at a place of `flat` and then those of a run of marks."""
-        fresh = [r for r in dict.fromkeys(runs) if r not in self.runs]
-        if fresh:
-            flat, lens = self.encode_chunks(fresh)
-            self.runs.update(zip(fresh, np.split(flat, np.cumsum(lens)[:-1]), strict=True))
-        added = [self.runs[r] for r in runs]
-        lens = np.stack([size, np.fromiter(map(len, added), np.int64, len(added))], 1)
-        mark = np.repeat(np.tile([False, True], len(rows)), lens.ravel())
-        joined = np.empty(len(mark), np.int32)
-        joined[mark] = np.concatenate(added)
-        joined[~mark] = ragged(self.flat, at, size)
-        total = lens.sum(1)
-        self.at[rows], self.len[rows] = self.used + offsets(total)[:-1], total
-        self._keep(joined)
-
-    def _keep(self, flat: np.ndarray) -> None:
+    def _learn(self, key: np.ndarray, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Encode new chunks; their rows."""
+        _, first, of = np.unique(key[:, 0], return_index=True, return_inverse=True)
+        if (key[first[of], 1] != key[:, 1]).any():
+            _, first, of = np.unique(key, axis=0, return_index=True, return_inverse=True)
+        lens = end[first] - begin[first]
+        text, to = ragged(raw, begin[first], lens).tobytes(), np.cumsum(lens).tolist()
+        flat, counts = self.encode_chunks([text[a:b] for a, b in zip([0, *to[:-1]], to, strict=True)])
+        n, self.n = self.n, self.n + len(first)
+        if self.n > len(self.at):
+            room = max(self.n - len(self.at), len(self.at) // 2)
+            self.one, self.two, self.at, self.len, self.size, self.again = (np.concatenate([x, np.zeros(room, x.dtype)]) for x in (self.one, self.two, self.at, self.len, self.size, self.again))
+        self.one[n : self.n], self.two[n : self.n] = key[first].T
+        self.size[n : self.n], self.len[n : self.n] = lens, counts
+        self.at[n : self.n] = self.used + offsets(counts)[:-1]
         if self.used + len(flat) > len(self.flat):
-            grown = np.zeros(max(2 * len(self.flat), self.used + len(flat)), np.int32)
+            grown = np.zeros(max(len(self.flat) * 3 // 2, self.used + len(flat)), np.int32)
             grown[: self.used] = self.flat[: self.used]
             self.flat = grown
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
+        if 3 * self.n > len(self.slots):
+            self._slots(1 << (6 * self.n).bit_length())
+        else:
+            self._index(np.arange(n, self.n))
+        return n + of.ravel()
+
+    def _forget(self) -> None:
+        """Keep the chunks that were met again, if they're few enough; they have to be met again to stay once more."""
+        keep = np.flatnonzero(self.again[: self.n])
+        if len(keep) > 2 * self.rows // 3:
+            self._clear()
+            return
+        self.flat, n = ragged(self.flat, self.at[keep], self.len[keep]), len(keep)
+        for x in (self.one, self.two, self.len, self.size):
+            x[:n] = x[keep]
+        self.at[:n], self.used, self.n = offsets(self.len[:n])[:-1], len(self.flat), n
+        self.again[:] = False
+        self._slots(len(self.slots))
 
     def bytes_of(self, rows: np.ndarray) -> np.ndarray:
         """Bytes of text of each chunk."""
         return self.size[rows]
 
     def rows_of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Table rows of all chunks of the texts, and how many each text has."""
-        if len(self.map) > self.rows:
+        """Table rows of all chunks of the texts, and how many each text has. They hold until the next call."""
+        if self.n > self.rows:
             self._forget()
-        get = self.map.__getitem__
-        some = [k for k, t in enumerate(texts) if t]
-        counts = np.zeros(len(texts), np.int64)
-        if not some:
-            return EMPTY.astype(np.int64), counts
-        raw = [texts[k][1:] if texts[k][:1] == b" " else FIRST + texts[k] for k in some]
-        lines = [t if b"\n\n" in t else t.replace(b"\n", b" " + NEWLINE + b" " + FIRST) for t in raw]
-        split = pc.split_pattern(pa.array(lines, pa.large_binary()), pattern=b" ")
-        counts[some] = np.diff(split.offsets.to_numpy())
-        coded = split.values.dictionary_encode()
-        _, ends, said = coded.dictionary.buffers()
-        ends, said = np.frombuffer(ends, np.int64)[: len(coded.dictionary) + 1].tolist(), said.to_pybytes() if said else b""
-        own = np.array([get(said[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], np.int64)  # to_pylist is slower
-        index = coded.indices.to_numpy()
-        self._learn()
-        self.hits[own] += np.bincount(index, minlength=len(own))
-        rows = own[index]
-        at = offsets(counts)
-        if self.odd[own].any():  # chunks at more than a single space or newline, or at other white space, belong together
-            odd = offsets(self.odd[rows])
-            again = (odd[at[1:]] > odd[at[:-1]]) & (counts > 1)
-            parts = np.split(rows, at[1:-1])
-            for k in np.flatnonzero(again).tolist():
-                t = texts[k]
-                parts[k] = np.array([get(c) for c in self._joined((t[1:] if t[:1] == b" " else FIRST + t).split(b" "))], np.int64)
-                counts[k] = len(parts[k])
-            self._learn()
-            rows = np.concatenate(parts)
-        return rows, counts
-
-    def _forget(self) -> None:
-        """Keep the chunks that were met more than once, if they're few enough; they come to a fresh count."""
-        self.hits[0] = 2  # the newline stays
-        self.runs = {}
-        keep = np.flatnonzero(self.hits[: self.n] > 1)
-        if len(keep) > 2 * self.rows // 3:
-            self._clear()
-            return
-        new = np.full(self.n, -1, np.int64)
-        new[keep] = np.arange(len(keep))
-        old, self.map = self.map, _Chunks()
-        self.map.update((c, to) for c, to in zip(old, new.tolist(), strict=True) if to >= 0)
-        lens = self.len[keep]
-        self.flat = ragged(self.flat, self.at[keep], lens)
-        self.used, self.n = len(self.flat), len(keep)
-        self.odd[: self.n], self.size[: self.n], self.len[: self.n], self.at[: self.n] = self.odd[keep], self.size[keep], lens, offsets(lens)[:-1]
-        self.hits[:] = 0
-
-    @staticmethod
-    def _joined(raw: list[bytes]) -> list[bytes]:
-        out, odd_before = [raw[0]], _odd(raw[0].removeprefix(FIRST))
-        for c in raw[1:]:
-            odd = _odd(c)
-            if odd or odd_before:
-                out[-1] += b" " + c
-            else:
-                out.append(c)
-            odd_before = odd
-        return out
+        at = offsets([len(t) for t in texts])
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        if not len(raw):
+            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        begin = cuts(raw, at) if self.cut else np.unique(at[:-1][np.diff(at) > 0])
+        end = np.append(begin[1:], len(raw))
+        key = self._hashes(raw, begin, end)
+        rows = self._find(key)
+        new = rows < 0
+        self.again[rows[~new]] = True
+        if new.any():
+            rows[new] = self._learn(key[new], raw, begin[new], end[new])
+        return rows, np.diff(np.searchsorted(begin, at))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and how many each text has."""
@@ -403,7 +395,7 @@ def load(path: str, pattern: str) -> ByteBPE:
 
 @lru_cache(maxsize=2)
 def table(path: str, pattern: str) -> ChunkTable:
-    return ChunkTable(load(path, pattern).encode_chunks)
+    return ChunkTable(load(path, pattern).encode_chunks, cut=pattern == CUT_PATTERN)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, ids: str = "token_ids") -> DataFrame:

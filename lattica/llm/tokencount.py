@@ -8,16 +8,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bpe import SPACES, ChunkTable, table
+from .bpe import LETTER, MARK, SPACES, ChunkTable, table
 from .common import column_out, offsets, pieces, tune
 
-#: Chunks of text (runs between single spaces or newlines, which no pre-token crosses) in a leaf.
+#: Chunks of text (runs that no pre-token crosses) in a leaf.
 LEAF = 64
 
 
 def parts(left: bytes, right: bytes) -> bool:
     """Whether no pre-token can cross the border: it has a single space or newline on its right or a single newline on its left, between
-    two visible characters."""
+    two visible characters, or is one between an ASCII letter and a mark."""
+    if left and right and (LETTER[left[-1]] and MARK[right[0]] or MARK[left[-1]] and LETTER[right[0]]):
+        return True
     if left[-1:] == b"\n":
         return len(left) > 1 and bool(right) and not left.endswith(SPACES, 0, len(left) - 1) and not right.startswith(SPACES)
     return right[:1] in (b" ", b"\n") and len(right) > 1 and not right.startswith(SPACES, 1) and bool(left) and not left.endswith(SPACES)

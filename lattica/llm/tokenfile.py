@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from functools import lru_cache
@@ -40,7 +41,8 @@ def layout(encoding: str = "dictionary") -> dict[str, str]:
 
 @lru_cache(maxsize=2)
 def library_table(path: str) -> ChunkTable:
-    """Encodes through the tokenizers library, which gets each distinct run between single spaces once."""
+    """Encodes through the tokenizers library, which gets each distinct chunk once; whole texts, if it cuts by another pattern than
+    CUT_PATTERN."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -57,9 +59,13 @@ def library_table(path: str) -> ChunkTable:
     def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Chunks between visible characters are joined to longer texts: those that begin with their only space directly, their ids
         parting again where one begins with a space; those without a space at newlines, whose ids part them."""
-        visible = [k for k, c in enumerate(chunks) if len(c) > 1 and 32 <= c[0] < 127 and 32 < c[-1] < 127 and (c[0] != 32 or 32 < c[1] < 127)]
-        after = [k for k in visible if chunks[k][0] == 32 and chunks[k].find(b" ", 1) < 0]
-        bare = [k for k in visible if chunks[k][0] != 32 and b"\n" not in chunks[k] and b" " not in chunks[k]] if len(newline) == 1 else []
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        at, raw = offsets(size), np.frombuffer(b"".join(chunks) + b"  ", np.uint8)
+        first, second, last = raw[at[:-1]], raw[at[:-1] + 1], raw[np.maximum(at[1:] - 1, 0)]
+        seen = lambda x: (x > 32) & (x < 127)
+        n_space, n_line = (np.diff(offsets(raw[:-2] == c)[at]) for c in (32, 10))
+        after = np.flatnonzero((size > 1) & (first == 32) & seen(second) & seen(last) & (n_space == 1)).tolist()
+        bare = np.flatnonzero(seen(first) & seen(last) & (n_space == 0) & (n_line == 0)).tolist() if len(newline) == 1 else []
         runs = [(own[i : i + JOINED], join) for own, join in ((after, b""), (bare, b"\n")) for i in range(0, len(own), JOINED)]
         flat, lens, order = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], []
         for (run, join), ids in zip(runs, alone([join.join([chunks[k] for k in run]) for run, join in runs]), strict=True):
@@ -78,7 +84,11 @@ def library_table(path: str) -> ChunkTable:
         flat, lens = np.concatenate([*flat, *got]), np.concatenate([*lens, np.array([len(x) for x in got], np.int64)])
         return ragged(flat, offsets(lens)[:-1][place], lens[place]), lens[place]
 
-    return ChunkTable(encode)
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    own = spec.get("pre_tokenizer") or {}
+    byte_level = own.get("type") == "ByteLevel" and own.get("use_regex", True) and not own.get("add_prefix_space", True)
+    return ChunkTable(encode, cut=byte_level and spec.get("normalizer") is None and all(a["special"] for a in spec.get("added_tokens") or []))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END, encoding: str = "dictionary") -> None:
