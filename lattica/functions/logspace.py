@@ -19,6 +19,7 @@ def normalized(weight: Column, *by: str) -> Column:
 
 
 def logsumexp(df: DataFrame, column: str, *by: str, to: str = "lse") -> DataFrame:
-    """One row for each group: the log of the sum of exponentials, in one partial aggregation of (max, scaled sum) pairs."""
-    top = df.groupBy(*by).agg(F.max(column).alias("_top"))
-    return df.join(top, list(by)).groupBy(*by).agg((F.first("_top") + F.ln(F.sum(F.exp(F.col(column) - F.col("_top"))))).alias(to))
+    """One row for each group: the log of the sum of exponentials. The largest value is taken by a window over the partitioning that the
+    sum needs, so rows are shuffled once."""
+    top = df.withColumn("_top", F.max(column).over(Window.partitionBy(*by)))
+    return top.groupBy(*by).agg((F.first("_top") + F.ln(F.sum(F.exp(F.col(column) - F.col("_top"))))).alias(to))

@@ -1,40 +1,108 @@
-"""Evidence of merged clusters by conditioning on who owns each measurement that links them."""
+"""Results of merged clusters by conditioning on who owns each measurement that links them.
+
+A cluster is solved once for each distinct set of linking measurements that it uses, not for each ownership; `Solver` says how."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import Protocol
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hypotheses import linking_measurements
+from .hypotheses import linking_measurements, normalize
+
+#: Ownerships of a master that are listed at most; beyond, factors.by_elimination takes the frame.
+CASES = 1e6
+
+
+class Solver(Protocol):
+    """Solves clusters alone: (reward, member, shared) to rows (frame, master, cluster, hypo, uses, picks, w), the weights of the ways in which
+    a cluster uses sets of its shared measurements. Ways may be single associations or sums of them, exact or not."""
+
+    def __call__(self, reward: DataFrame, member: DataFrame, shared: DataFrame) -> DataFrame: ...
+
+
+def enumerated(reward: DataFrame, member: DataFrame, shared: DataFrame) -> DataFrame:
+    """The exact solver: every association of a cluster by itself."""
+    options = reward.groupBy("frame").agg(F.collect_list(F.struct("track", "meas", "ll")).alias("options"))
+    walk = """aggregate(tracks, array(struct(CAST(array() AS array<struct<track:int,meas:int>>) AS picks, ln(prob) AS ll)),
+      (acc, t) -> flatten(transform(acc, s -> transform(
+        filter(options, o -> o.track = t AND (o.meas = 0 OR NOT exists(s.picks, p -> p.meas = o.meas))),
+        o -> struct(array_append(s.picks, struct(t AS track, o.meas AS meas)) AS picks, s.ll + o.ll AS ll)))))"""
+    rows = member.join(options, "frame", "left").join(shared, ["frame", "master"], "left").withColumn("shared", F.coalesce("shared", F.expr("CAST(array() AS array<int>)")))
+    rows = rows.select("frame", "master", "cluster", "hypo", "shared", F.explode(F.expr(walk)).alias("x"))
+    uses = F.array_sort(F.array_intersect(F.transform("x.picks", lambda p: p["meas"]), F.col("shared")))
+    return rows.select("frame", "master", "cluster", "hypo", uses.alias("uses"), "x.picks", F.exp("x.ll").alias("w"))
 
 
 def ownerships(reward: DataFrame, h: DataFrame, cluster_map: DataFrame) -> DataFrame:
     """frame, master, case, owners: every way to give each linking measurement to none (-1) or one of its clusters."""
     links = linking_measurements(reward, h, cluster_map).groupBy("frame", "master").agg(F.array_sort(F.collect_list(F.struct("meas", "clusters"))).alias("links"))
+    ways = F.expr("aggregate(links, CAST(1 AS double), (a, l) -> a * (1 + size(l.clusters)))")
+    links = links.withColumn("links", F.when(ways <= CASES, F.col("links")).otherwise(F.raise_error(F.lit("too many ownerships"))))
     walk = """aggregate(links, array(CAST(array() AS array<struct<meas:int,owner:int>>)),
       (acc, l) -> flatten(transform(acc, s -> transform(concat(array(-1), l.clusters), c -> array_append(s, struct(l.meas AS meas, c AS owner))))))"""
     return links.select("frame", "master", F.posexplode(F.expr(walk)).alias("case", "owners"))
 
 
+def remapped(links: DataFrame) -> DataFrame:
+    """links (frame, master, meas, ...) with `place`: the linking measurements of a master numbered from 1."""
+    return links.withColumn("place", F.dense_rank().over(Window.partitionBy("frame", "master").orderBy("meas")))
+
+
+class Conditioned:
+    """Evidence, marginals and posteriors of all masters (those of one cluster, too) by summing over ownerships.
+
+    An owner must use what it owns (`forced`, exact), or merely may (approximate: an association counts once for each ownership that
+    allows it); others may not. Masters whose ownerships would be over CASES raise."""
+
+    def __init__(self, reward: DataFrame, h: DataFrame, cluster_map: DataFrame, forced: bool = True, solver: Solver = enumerated):
+        self.member = normalize(h).join(cluster_map.select("frame", "cluster", "master"), ["frame", "cluster"])
+        links = linking_measurements(reward, h, cluster_map)
+        shared = links.groupBy("frame", "master").agg(F.array_sort(F.collect_list("meas")).alias("shared"))
+        self.ways = solver(reward, self.member, shared)
+        self.masters = cluster_map.filter("is_master").select("frame", "master")
+        uses = self.ways.groupBy("frame", "master", "cluster", "uses").agg(F.sum("w").alias("w"))
+        cases = ownerships(reward, h, cluster_map)
+        empty = F.expr("CAST(array() AS array<struct<meas:int,owner:int>>)")
+        cases = self.masters.join(cases, ["frame", "master"], "left").withColumn("case", F.coalesce("case", F.lit(0))).withColumn("owners", F.coalesce("owners", empty))
+        owned = cases.join(cluster_map.select("frame", "master", "cluster"), ["frame", "master"])
+        owned = owned.withColumn("owns", F.array_sort(F.expr("transform(filter(owners, o -> o.owner = cluster), o -> o.meas)")))
+        fits = (F.col("uses") == F.col("owns")) if forced else (F.size(F.array_except("uses", "owns")) == 0)
+        #: What each set of used measurements weighs in each case, and the product over the other clusters of the case.
+        fit = owned.join(uses, ["frame", "master", "cluster"]).filter(fits).select("frame", "master", "case", "cluster", "uses", "w")
+        per = fit.groupBy("frame", "master", "case", "cluster").agg(F.sum("w").alias("own"))
+        n = cluster_map.groupBy("frame", "master").agg(F.count("*").alias("n"))
+        whole = per.groupBy("frame", "master", "case").agg(F.product("own").alias("whole"), F.count("*").alias("has")).join(n, ["frame", "master"]).filter("has = n AND whole > 0").drop("has", "n")
+        self.whole = whole
+        factor = fit.join(per, ["frame", "master", "case", "cluster"]).join(whole, ["frame", "master", "case"])
+        self.factor = factor.groupBy("frame", "master", "cluster", "uses").agg(F.sum(F.col("whole") / F.col("own")).alias("factor"))
+
+    def evidence(self) -> DataFrame:
+        """frame, master, z; 0 where nothing is possible."""
+        z = self.whole.groupBy("frame", "master").agg(F.sum("whole").alias("z"))
+        return self.masters.join(z, ["frame", "master"], "left").fillna({"z": 0.0})
+
+    def _weighed(self) -> DataFrame:
+        z = self.whole.groupBy("frame", "master").agg(F.sum("whole").alias("z"))
+        return self.ways.join(self.factor, ["frame", "master", "cluster", "uses"]).join(z, ["frame", "master"]).withColumn("p", F.col("w") * F.col("factor") / F.col("z"))
+
+    def marginals(self) -> DataFrame:
+        """MARGINAL of all tracks of hypotheses; tracks of a master where nothing is possible have p 0 of not existing."""
+        picked = self._weighed().select("frame", F.explode("picks").alias("x"), "p").groupBy("frame", F.col("x.track").alias("track"), F.col("x.meas").alias("meas")).agg(F.sum("p").alias("p"))
+        able = self.whole.select("frame", "master").distinct().withColumn("one", F.lit(1.0))
+        tracks = self.member.select("frame", "master", F.explode("tracks").alias("track")).distinct().join(able, ["frame", "master"], "left")
+        sums = picked.groupBy("frame", "track").agg(F.sum("p").alias("s"))
+        gone = tracks.join(sums, ["frame", "track"], "left").select("frame", "track", F.lit("nonexistence").alias("kind"), F.lit(None).cast("int").alias("meas"), F.coalesce(F.col("one") - F.coalesce("s", F.lit(0.0)), F.lit(0.0)).alias("p"))
+        return picked.select("frame", "track", F.when(F.col("meas") == 0, "missed").otherwise("detection").alias("kind"), "meas", "p").unionByName(gone)
+
+    def theta(self) -> DataFrame:
+        """frame, cluster, hypo, p: posteriors of prior hypotheses; 0 where nothing is possible."""
+        p = self._weighed().groupBy("frame", "cluster", "hypo").agg(F.sum("p").alias("p"))
+        return self.member.select("frame", "cluster", "hypo").join(p, ["frame", "cluster", "hypo"], "left").fillna({"p": 0.0})
+
+
 def conditioned_evidence(reward: DataFrame, h: DataFrame, cluster_map: DataFrame, forced: bool = True) -> DataFrame:
-    """frame, master, z of the masters with links: the sum over ownerships of the product over clusters of their evidence given
-    what they own. An owner must use what it owns (`forced`), or merely may; others may not. Clusters are enumerated once for
-    each distinct set of measurements, not for each ownership."""
-    member = h.join(cluster_map.select("frame", "cluster", "master"), ["frame", "cluster"])
-    linking = linking_measurements(reward, h, cluster_map).select("frame", "master", "meas")
-    options = reward.groupBy("frame").agg(F.collect_list(F.struct("track", "meas", "ll")).alias("options"))
-    walk = """aggregate(tracks, array(struct(CAST(array() AS array<int>) AS used, ln(prob) AS ll)),
-      (acc, t) -> flatten(transform(acc, s -> transform(
-        filter(options, o -> o.track = t AND (o.meas = 0 OR NOT array_contains(s.used, o.meas))),
-        o -> struct(CASE WHEN o.meas = 0 THEN s.used ELSE array_append(s.used, o.meas) END AS used, s.ll + o.ll AS ll)))))"""
-    shared = linking.groupBy("frame", "master").agg(F.array_sort(F.collect_list("meas")).alias("shared"))
-    ways = member.join(options, "frame").join(shared, ["frame", "master"]).select("frame", "master", "cluster", "shared", F.explode(F.expr(walk)).alias("x"))
-    uses = ways.select("frame", "master", "cluster", F.array_sort(F.array_intersect("x.used", "shared")).alias("uses"), F.exp("x.ll").alias("w")).groupBy("frame", "master", "cluster", "uses").agg(F.sum("w").alias("w"))
-    cases = ownerships(reward, h, cluster_map)
-    owned = cases.join(member.select("frame", "master", "cluster").distinct(), ["frame", "master"])
-    owned = owned.withColumn("owns", F.array_sort(F.expr("transform(filter(owners, o -> o.owner = cluster), o -> o.meas)")))
-    fits = (F.col("uses") == F.col("owns")) if forced else (F.size(F.array_except("uses", "owns")) == 0)
-    per = owned.join(uses, ["frame", "master", "cluster"]).filter(fits).groupBy("frame", "master", "case", "cluster").agg(F.sum("w").alias("w"))
-    n = member.groupBy("frame", "master").agg(F.countDistinct("cluster").alias("n"))
-    whole = per.groupBy("frame", "master", "case").agg(F.product("w").alias("w"), F.count("*").alias("has")).join(n, ["frame", "master"]).filter("has = n")
-    return whole.groupBy("frame", "master").agg(F.sum("w").alias("z"))
+    """frame, master, z of the masters with links. See Conditioned."""
+    links = linking_measurements(reward, h, cluster_map).select("frame", "master").distinct()
+    return Conditioned(reward, h, cluster_map, forced).evidence().join(links, ["frame", "master"], "left_semi")

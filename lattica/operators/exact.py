@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .hypotheses import merge_map, merged
 
-#: Joint associations of a hypothesis, bounded from above by the product of its tracks' options, that are enumerated at most.
-LIMIT = 1e9
+#: Joint associations of a hypothesis, bounded from above by the product of its tracks' options, that are enumerated at most: they stand
+#: in one row, at some 100 bytes each. factors.by_elimination takes larger problems.
+LIMIT = 1e6
 
 
 def joint(reward: DataFrame, h: DataFrame, cluster_map: DataFrame | None = None, limit: float = LIMIT) -> DataFrame:
@@ -26,22 +27,30 @@ def joint(reward: DataFrame, h: DataFrame, cluster_map: DataFrame | None = None,
     return rows.select("frame", "master", "hypo", "labels", F.explode(F.expr(walk)).alias("x")).select("frame", "master", "hypo", "labels", "x.picks", "x.ll")
 
 
-def evidence_by_master(j: DataFrame) -> DataFrame:
-    return j.groupBy("frame", "master").agg(F.sum(F.exp("ll")).alias("z"), F.count("*").alias("n"))
+def evidence_by_master(j: DataFrame, cluster_map: DataFrame | None = None) -> DataFrame:
+    """frame, master, z, n (associations). With the cluster map, masters without a possible association have z 0."""
+    per = j.groupBy("frame", "master").agg(F.sum(F.exp("ll")).alias("z"), F.count("*").alias("n"))
+    if cluster_map is None:
+        return per
+    every = cluster_map.filter("is_master").select("frame", "master")
+    return every.join(per, ["frame", "master"], "left").fillna({"z": 0.0, "n": 0})
 
 
-def evidence(j: DataFrame) -> DataFrame:
-    """frame, z (product over masters), log_z, n_joint (associations of the whole frame)."""
-    return evidence_by_master(j).groupBy("frame").agg(F.product("z").alias("z"), F.sum(F.ln("z")).alias("log_z"), F.product(F.col("n").cast("double")).alias("n_joint"))
+def evidence(j: DataFrame, cluster_map: DataFrame | None = None) -> DataFrame:
+    """frame, z (product over masters), log_z, n_joint (associations of the whole frame). j lacks masters without a possible association,
+    whose frame has z 0 and log_z -inf; only the cluster map tells of them."""
+    log = F.when(F.col("z") > 0, F.ln("z")).otherwise(float("-inf"))
+    return evidence_by_master(j, cluster_map).groupBy("frame").agg(F.product("z").alias("z"), F.sum(log).alias("log_z"), F.product(F.col("n").cast("double")).alias("n_joint"))
 
 
 def marginals(j: DataFrame, tracks: DataFrame) -> DataFrame:
     """MARGINAL: p of a missed detection (meas 0), of each measurement, and of not existing (meas null) for every track of `tracks`
-    (frame, track, master). Pre-aggregated by (master, track, measurement) before it's divided by the evidence."""
+    (frame, track, master). Tracks of a master without a possible association have p 0 of everything, told by their row of not existing.
+    Pre-aggregated by (master, track, measurement) before it's divided by the evidence."""
     picked = j.select("frame", "master", F.explode("picks").alias("p"), F.exp("ll").alias("w")).groupBy("frame", "master", F.col("p.track").alias("track"), F.col("p.meas").alias("meas")).agg(F.sum("w").alias("w"))
     z = evidence_by_master(j).select("frame", "master", "z")
     seen = picked.groupBy("frame", "master", "track").agg(F.sum("w").alias("w"))
-    gone = tracks.join(seen, ["frame", "master", "track"], "left").join(z, ["frame", "master"]).select("frame", "track", F.lit("nonexistence").alias("kind"), F.lit(None).cast("int").alias("meas"), (1 - F.coalesce("w", F.lit(0.0)) / F.col("z")).alias("p"))
+    gone = tracks.join(seen, ["frame", "master", "track"], "left").join(z, ["frame", "master"], "left").select("frame", "track", F.lit("nonexistence").alias("kind"), F.lit(None).cast("int").alias("meas"), F.coalesce(1 - F.coalesce("w", F.lit(0.0)) / F.col("z"), F.lit(0.0)).alias("p"))
     there = picked.join(z, ["frame", "master"]).select("frame", "track", F.when(F.col("meas") == 0, "missed").otherwise("detection").alias("kind"), "meas", (F.col("w") / F.col("z")).alias("p"))
     return there.unionByName(gone)
 

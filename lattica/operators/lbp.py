@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .single import single_hypothesis  # noqa: F401 (its former place)
+
 #: Stop when the Bethe log-evidence changes by no more than the first and the messages by no more than the second; once met, a
 #: criterion stays met.
 BETHE_TOL, MESSAGE_TOL, MAX_ITERATIONS = 1e-7, 1e-5, 10_000
@@ -26,12 +28,15 @@ class Frames:
     def __init__(self, reward: pd.DataFrame, hypo: pd.DataFrame):
         self.frames = np.unique(reward["frame"])
         at = np.searchsorted(self.frames, reward["frame"])
-        n, m = int(reward["track"].max()), int(reward["meas"].max())
+        # tracks and measurements are numbered anew in each frame, so that arrays are as wide as the largest frame, not the largest number
+        t_place, self.track_of = _numbered(at, reward["track"].to_numpy(int), len(self.frames))
+        hit = reward["meas"].to_numpy(int) > 0
+        j_place, self.meas_of = _numbered(at[hit], reward["meas"].to_numpy(int)[hit], len(self.frames))
+        n, m = self.track_of.shape[1], self.meas_of.shape[1]
         self.w, self.w0, self.track = np.zeros((len(self.frames), n, max(m, 1))), np.ones((len(self.frames), n)), np.zeros((len(self.frames), n), bool)
-        t, j, e = reward["track"].to_numpy(int) - 1, reward["meas"].to_numpy(int), np.exp(reward["ll"].to_numpy(float))
-        missed = j == 0
-        self.w0[at[missed], t[missed]] = e[missed]
-        self.w[at[~missed], t[~missed], j[~missed] - 1] = e[~missed]
+        t, e = t_place, np.exp(reward["ll"].to_numpy(float))
+        self.w0[at[~hit], t[~hit]] = e[~hit]
+        self.w[at[hit], t[hit], j_place] = e[hit]
         self.track[at, t] = True
         self.meas = (self.w > 0).any(axis=1)
         h = hypo[np.isin(hypo["frame"], self.frames)]
@@ -44,7 +49,7 @@ class Frames:
         self.phi = prob / np.bincount(self.h_group, prob)[self.h_group]
         self.has = np.zeros((len(h), n), bool)
         for k, ts in enumerate(h["tracks"]):
-            self.has[k, np.asarray(ts, int) - 1] = True
+            self.has[k] = np.isin(self.track_of[self.h_frame[k]], np.asarray(ts, int))
         self.of = np.zeros((len(self.cluster_key), n), bool)
         np.logical_or.at(self.of, self.h_group, self.has)
         self.track &= self._by_frame(self.of)
@@ -87,7 +92,16 @@ class Frames:
         return -(f_theta + f_t + f_j - log(z_tj, pair).sum((1, 2)) - f_tth)
 
 
-def propagate(x: Frames, iterations: int | None = None, most: int = MAX_ITERATIONS):
+def _numbered(frame: np.ndarray, number: np.ndarray, frames: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each number among those of its frame, and the numbers by frame and place (-1: none)."""
+    pairs, of = np.unique(np.stack([frame, number], 1), axis=0, return_inverse=True)
+    place = np.arange(len(pairs)) - np.searchsorted(pairs[:, 0], pairs[:, 0]) if len(pairs) else np.zeros(0, int)
+    out = np.full((frames, max(1, int(place.max(initial=0)) + 1)), -1)
+    out[pairs[:, 0], place] = pairs[:, 1]
+    return place[of.ravel()], out
+
+
+def propagate(x: Frames, iterations: int | None = None, most: int = MAX_ITERATIONS, tol: tuple[float, float] = (BETHE_TOL, MESSAGE_TOL)):
     """Messages after a fixed number of iterations, or until both criteria have been met."""
     live = x.track[:, :, None] & (x.w > 0)
     w = np.where(live, x.w, 0.0)
@@ -115,8 +129,8 @@ def propagate(x: Frames, iterations: int | None = None, most: int = MAX_ITERATIO
         b = x.bethe(mu, nu, rho, sigma)
         ratio = np.where(live, nu / last_nu, 1.0)
         err = np.log(np.maximum(ratio.max((1, 2)), 1 / ratio.min((1, 2))))
-        met[0][(met[0] == 0) & on & (np.abs(b - last) <= BETHE_TOL)] = k
-        met[1][(met[1] == 0) & on & (err <= MESSAGE_TOL)] = k
+        met[0][(met[0] == 0) & on & (np.abs(b - last) <= tol[0])] = k
+        met[1][(met[1] == 0) & on & (err <= tol[1])] = k
         last, last_nu = b, nu
         if iterations is None:
             done[on & (met > 0).all(axis=0)] = k
@@ -126,8 +140,8 @@ def propagate(x: Frames, iterations: int | None = None, most: int = MAX_ITERATIO
     return mu, nu, rho, sigma, last, done, met
 
 
-def _rows(x: Frames, iterations: int | None, most: int) -> pd.DataFrame:
-    mu, nu, rho, sigma, log_z, done, met = propagate(x, iterations, most)
+def _rows(x: Frames, iterations: int | None, most: int, tol: tuple[float, float]) -> pd.DataFrame:
+    mu, nu, rho, sigma, log_z, done, met = propagate(x, iterations, most, tol)
     parts = []
 
     def add(kind, frame, p, **cols):
@@ -136,17 +150,17 @@ def _rows(x: Frames, iterations: int | None, most: int) -> pd.DataFrame:
 
     total = x.w0 + (x.w * nu).sum(2) + sigma
     f, t = np.nonzero(x.track)
-    add("missed", f, (x.w0 / total)[f, t], track=t + 1, meas=0)
-    add("nonexistence", f, (sigma / total)[f, t], track=t + 1)
+    add("missed", f, (x.w0 / total)[f, t], track=x.track_of[f, t], meas=0)
+    add("nonexistence", f, (sigma / total)[f, t], track=x.track_of[f, t])
     f, t, j = np.nonzero(x.w > 0)
-    add("detection", f, (x.w * nu / total[:, :, None])[f, t, j], track=t + 1, meas=j + 1)
-    add("measurement", f, (mu / (1 + mu.sum(1, keepdims=True)))[f, t, j], track=t + 1, meas=j + 1)
+    add("detection", f, (x.w * nu / total[:, :, None])[f, t, j], track=x.track_of[f, t], meas=x.meas_of[f, j])
+    add("measurement", f, (mu / (1 + mu.sum(1, keepdims=True)))[f, t, j], track=x.track_of[f, t], meas=x.meas_of[f, j])
     mass = x.hypothesis_mass(rho)
     add("theta", x.h_frame, mass / np.bincount(x.h_group, mass)[x.h_group], cluster=x.h_cluster, hypo=x.h_hypo)
     return pd.concat(parts, ignore_index=True)
 
 
-def lbp(reward: DataFrame, h: DataFrame, frames: int, iterations: int | None = None, most: int = MAX_ITERATIONS) -> DataFrame:
+def lbp(reward: DataFrame, h: DataFrame, frames: int, iterations: int | None = None, most: int = MAX_ITERATIONS, tol: tuple[float, float] = (BETHE_TOL, MESSAGE_TOL)) -> DataFrame:
     """RESULT: marginals of tracks (missed, detection, nonexistence) and of measurements, and posteriors of hypotheses (theta), with
     the Bethe log-evidence and iterations of their frame. `frames` is about how many there are; they're dealt by a hash."""
     shares = F.pmod(F.xxhash64("frame"), F.lit(max(1, -(-frames // SHARE)))).alias("share")
@@ -154,7 +168,7 @@ def lbp(reward: DataFrame, h: DataFrame, frames: int, iterations: int | None = N
     def run(r: pd.DataFrame, hy: pd.DataFrame) -> pd.DataFrame:
         if not len(r):
             return pd.DataFrame(columns=[c.split()[0] for c in RESULT.split(", ")])
-        out = _rows(Frames(r, hy), iterations, most)
+        out = _rows(Frames(r, hy), iterations, most, tol)
         for c in ("track", "meas", "cluster", "hypo"):
             out[c] = out[c].astype("Int32")
         return out
@@ -169,27 +183,3 @@ def phd_evidence(reward: DataFrame) -> DataFrame:
     missed = reward.filter("meas = 0").groupBy("frame").agg(F.exp(-F.sum(1 - F.exp("ll"))).alias("base"))
     gated = reward.filter("meas > 0").groupBy("frame", "meas").agg((1 + F.sum(F.exp("ll"))).alias("x")).groupBy("frame").agg(F.product("x").alias("x"))
     return missed.join(gated, "frame", "left").select("frame", (F.col("base") * F.coalesce("x", F.lit(1.0))).alias("z"))
-
-
-def single_hypothesis(w: np.ndarray, w0: np.ndarray, tol: float = 1e-3, most: int = 300, check: int = 5) -> tuple[np.ndarray, int]:
-    """Belief propagation for one hypothesis (tracks all exist): probabilities (missed, detections) and iterations. Stops when the
-    contraction of the messages bounds what's left under half of ln(1 + tol), looked at every `check` iterations."""
-    a = w / w0[:, None]
-    mu, nu, half, k = np.zeros_like(a), np.ones_like(a), 0.5 * np.log1p(tol), 0
-    top = float(a.sum(1).max(initial=0.0))
-    while k < most:
-        k += 1
-        before = mu
-        an = a * nu
-        mu = a / (1 + an.sum(1, keepdims=True) - an)
-        nu = 1 / (1 + mu.sum(0, keepdims=True) - mu)
-        if k % check == 0 and a.any():
-            r = np.where(a > 0, mu / np.where(before > 0, before, 1), 1.0)
-            d = float(np.log(max(r.max(), 1 / r[r > 0].min())))
-            if d <= 0:
-                break
-            alpha = (np.log1p(top * np.exp(d)) - np.log1p(top)) / d
-            if alpha * (d + half) < half:
-                break
-    p = np.concatenate([np.ones((len(a), 1)), a * nu], 1)
-    return p / p.sum(1, keepdims=True), k

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -26,9 +28,55 @@ def write_results(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Results; files that can't be read are passed over."""
-    return spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+def read_results(spark: SparkSession, path: str, skip_corrupt: bool = False, start: int | None = None, stop: int | None = None) -> DataFrame:
+    """Results of the frames from `start` to before `stop` (null: no bound). Files that can't be read raise, unless they're to be passed
+    over; missing_frames tells what that lost."""
+    rows = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower()).parquet(path)
+    return rows.filter((F.lit(start is None) | (F.col("frame") >= (start or 0))) & (F.lit(stop is None) | (F.col("frame") < (stop or 0))))
+
+
+def missing_frames(expected: DataFrame, results: DataFrame) -> DataFrame:
+    """Frames of `expected` without a row in the results."""
+    return expected.select("frame").distinct().join(results.select("frame").distinct(), "frame", "left_anti")
+
+
+def read_murty(spark: SparkSession, path: str, tolerance: float = 1e-6) -> DataFrame:
+    """frame, track, meas, p, log_z of truncated results; raises on a row without evidence and on marginals of a track that don't sum to 1."""
+    rows = spark.read.schema("frame long, track int, meas int, p double, log_z double").parquet(path)
+    total = F.sum("p").over(Window.partitionBy("frame", "track"))
+    good = F.col("log_z").isNotNull() & ~F.isnan("log_z") & (F.col("log_z") > float("-inf")) & (F.abs(total - 1) <= tolerance)
+    return rows.withColumn("p", F.when(good, F.col("p")).otherwise(F.raise_error(F.lit("a truncated result isn't whole"))))
+
+
+def write_column(df: DataFrame, column: str, path: str, *order: str) -> None:
+    """A column as raw little-endian doubles: a file of one record for each partition of the rows sorted by `order`, whose names sort."""
+    ordered = df.select(*order, F.col(column).cast("double").alias("x")).repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, parts = TaskContext.get().partitionId(), [b["x"].to_numpy("<f8").tobytes() for b in batches]
+        if parts:
+            yield pd.DataFrame({"part": [part], "data": [b"".join(parts)]})
+
+    ordered.mapInPandas(run, "part int, data binary").write.mode("overwrite").parquet(path)
+
+
+def read_column(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
+    """place (from 0), x: doubles of write_column's table, or (raw) of files *.bin in the order of their names. A file is one task's."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select(F.col("path").alias("part"), F.col("content").alias("data")) if raw else spark.read.parquet(path)
+    sizes = sorted((r.part, r.n) for r in files.select("part", (F.length("data") / 8).cast("long").alias("n")).collect())
+    before, total = {}, 0
+    for part, n in sizes:
+        before[part], total = total, total + n
+
+    def run(batches):
+        for batch in batches:
+            for part, data in zip(batch["part"], batch["data"], strict=True):
+                x = np.frombuffer(data, "<f8")
+                yield pd.DataFrame({"place": before[part] + np.arange(len(x)), "x": x})
+
+    return files.mapInPandas(run, "place long, x double")
 
 
 def decode_hypotheses(snapshots: DataFrame) -> DataFrame:
