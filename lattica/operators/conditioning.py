@@ -9,6 +9,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written
 from .hypotheses import linking_measurements, normalize
 
 #: Ownerships of a master that are listed at most; beyond, factors.by_elimination takes the frame.
@@ -35,9 +36,9 @@ def enumerated(reward: DataFrame, member: DataFrame, shared: DataFrame) -> DataF
     return rows.select("frame", "master", "cluster", "hypo", uses.alias("uses"), "x.picks", F.exp("x.ll").alias("w"))
 
 
-def ownerships(reward: DataFrame, h: DataFrame, cluster_map: DataFrame) -> DataFrame:
-    """frame, master, case, owners: every way to give each linking measurement to none (-1) or one of its clusters."""
-    links = linking_measurements(reward, h, cluster_map).groupBy("frame", "master").agg(F.array_sort(F.collect_list(F.struct("meas", "clusters"))).alias("links"))
+def ownerships(links: DataFrame) -> DataFrame:
+    """frame, master, case, owners: every way to give each linking measurement (frame, master, meas, clusters) to none (-1) or one of its clusters."""
+    links = links.groupBy("frame", "master").agg(F.array_sort(F.collect_list(F.struct("meas", "clusters"))).alias("links"))
     ways = F.expr("aggregate(links, CAST(1 AS double), (a, l) -> a * (1 + size(l.clusters)))")
     links = links.withColumn("links", F.when(ways <= CASES, F.col("links")).otherwise(F.raise_error(F.lit("too many ownerships"))))
     walk = """aggregate(links, array(CAST(array() AS array<struct<meas:int,owner:int>>)),
@@ -57,24 +58,25 @@ class Conditioned:
     allows it); others may not. Masters whose ownerships would be over CASES raise."""
 
     def __init__(self, reward: DataFrame, h: DataFrame, cluster_map: DataFrame, forced: bool = True, solver: Solver = enumerated):
+        cluster_map = written(cluster_map)
         self.member = normalize(h).join(cluster_map.select("frame", "cluster", "master"), ["frame", "cluster"])
-        links = linking_measurements(reward, h, cluster_map)
+        links = written(linking_measurements(reward, h, cluster_map))
         shared = links.groupBy("frame", "master").agg(F.array_sort(F.collect_list("meas")).alias("shared"))
-        self.ways = solver(reward, self.member, shared)
+        self.ways = written(solver(reward, self.member, shared))
         self.masters = cluster_map.filter("is_master").select("frame", "master")
         uses = self.ways.groupBy("frame", "master", "cluster", "uses").agg(F.sum("w").alias("w"))
-        cases = ownerships(reward, h, cluster_map)
+        cases = ownerships(links)
         empty = F.expr("CAST(array() AS array<struct<meas:int,owner:int>>)")
         cases = self.masters.join(cases, ["frame", "master"], "left").withColumn("case", F.coalesce("case", F.lit(0))).withColumn("owners", F.coalesce("owners", empty))
         owned = cases.join(cluster_map.select("frame", "master", "cluster"), ["frame", "master"])
         owned = owned.withColumn("owns", F.array_sort(F.expr("transform(filter(owners, o -> o.owner = cluster), o -> o.meas)")))
         fits = (F.col("uses") == F.col("owns")) if forced else (F.size(F.array_except("uses", "owns")) == 0)
         #: What each set of used measurements weighs in each case, and the product over the other clusters of the case.
-        fit = owned.join(uses, ["frame", "master", "cluster"]).filter(fits).select("frame", "master", "case", "cluster", "uses", "w")
+        fit = written(owned.join(uses, ["frame", "master", "cluster"]).filter(fits).select("frame", "master", "case", "cluster", "uses", "w"))
         per = fit.groupBy("frame", "master", "case", "cluster").agg(F.sum("w").alias("own"))
         n = cluster_map.groupBy("frame", "master").agg(F.count("*").alias("n"))
         whole = per.groupBy("frame", "master", "case").agg(F.product("own").alias("whole"), F.count("*").alias("has")).join(n, ["frame", "master"]).filter("has = n AND whole > 0").drop("has", "n")
-        self.whole = whole
+        self.whole = whole = written(whole)
         factor = fit.join(per, ["frame", "master", "case", "cluster"]).join(whole, ["frame", "master", "case"])
         self.factor = factor.groupBy("frame", "master", "cluster", "uses").agg(F.sum(F.col("whole") / F.col("own")).alias("factor"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import gaussian, ragged
+from ..functions.lineage import written
 from ..operators import assignment, conditioning, exact, factors, histories, layout, lbp, metrics, stats
 from ..operators import hypotheses as hy
 from ..streaming import tracker
@@ -37,8 +38,8 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 def _joint(spark: SparkSession, sf_dir: str):
     r, h = problem(spark, sf_dir)
-    cm = hy.merge_map(r, h)
-    return r, h, cm, exact.joint(r, h, cm)
+    cm = written(hy.merge_map(r, h))
+    return r, h, cm, written(exact.joint(r, h, cm))
 
 
 MARGINAL_SQL = """
@@ -140,7 +141,7 @@ def conditioned_evidence(spark, sf_dir):
 @query("""SELECT frame, master, product(k)::BIGINT AS n_cases FROM (SELECT frame, master, meas, count(*) + 1 AS k FROM gated JOIN cluster_map USING (frame, cluster) GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL""", walk=False)
 def ownership_cases(spark, sf_dir):
     r, h = problem(spark, sf_dir)
-    return conditioning.ownerships(r, h, hy.merge_map(r, h)).groupBy("frame", "master").agg(F.count("*").alias("n_cases"))
+    return conditioning.ownerships(hy.linking_measurements(r, h, hy.merge_map(r, h))).groupBy("frame", "master").agg(F.count("*").alias("n_cases"))
 
 
 @query(f"SELECT frame, cluster, track, round(sum(phi), {R}) AS p, count(*) AS n_hypos FROM (SELECT frame, cluster, unnest(tracks) AS track, prob / sum(prob) OVER (PARTITION BY frame, cluster) AS phi FROM hypothesis) GROUP BY ALL", walk=False)
