@@ -23,9 +23,12 @@ def tune(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a folder of our own."""
+    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a folder of our own, which only a local master's tasks can
+    reach: other masters are refused."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="lattica-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/lattica-{uuid.uuid4().hex}"
@@ -109,13 +112,31 @@ def lookup_hot(facts: DataFrame, table: DataFrame, key: str, count: str, total:
     return by_broadcast.unionByName(rest)
 
 
-#: Ids that are broadcast at most: 8 bytes each.
-ID_LIMIT = 2_000_000
+#: Rows of a narrow table (ids and a few numbers, no texts) that are broadcast at most.
+ID_LIMIT = 1_000_000
 
 
-def by_ids(df: DataFrame, ids: DataFrame, how: str, on: str = "doc_id", limit: int = ID_LIMIT) -> DataFrame:
+def by_ids(df: DataFrame, ids: DataFrame, how: str, on: str | list[str] = "doc_id", limit: int = ID_LIMIT) -> DataFrame:
     """Semi, anti or left join with a table of ids (and columns); broadcast if it's counted to have few rows, else shuffled."""
     from pyspark.sql import functions as F
 
     few = ids.limit(limit + 1).count() <= limit
     return df.join(F.broadcast(ids) if few else ids, on, how)
+
+
+#: Copies of a hot key's row in a salted join.
+SALTS = 16
+
+
+def join_salted(facts: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join of facts with a table of one row for each key, of whatever size. Keys with a share of HOT_SHARE or more of the facts, of
+    which there are at most 1 / HOT_SHARE, are dealt to SALTS tasks by the column `by`, and their rows of the table copied so often."""
+    from pyspark.sql import functions as F
+
+    counts = written(facts.groupBy(key).agg(F.count("*").alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = F.broadcast(counts.filter(F.col("_n") >= max(1000, total * HOT_SHARE)).select(key, F.lit(True).alias("_hot")))
+    left = facts.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.hash(by), F.lit(SALTS))).otherwise(0)).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = table.join(hot, key, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return left.join(right, [key, "_salt"]).drop("_salt")

@@ -200,7 +200,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows in a row, and no value of the item's slots stands for two values of the document; or if their windows of words (case
     and outer marks aside) agree so, which finds verbatim copies of every item, also of a word or two. Null and empty texts match
     nothing; n_windows and n_item_windows are of the kind of windows that found the item; repeated rows match each; items with equal ids and texts count once. The
-    benchmark is read in blocks of BLOCK_WINDOWS windows of each kind, each sent to all workers; a block's size is bounded, their number isn't."""
+    benchmark is read in blocks of BLOCK_WINDOWS windows of each kind, each sent to all workers and dropped before the next; a block's size
+    is bounded, their number isn't. A block takes an item longer than it whole."""
     spark = docs.sparkSession
     items = written(benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct())
     size = F.size(F.split("text", r"\s+"))
@@ -213,6 +214,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         rows = part.collect()
         held = spark.sparkContext.broadcast(([r.item_id for r in rows], [r.text.encode() for r in rows], uuid.uuid4().hex))
         found = docs.select("doc_id", "text").mapInArrow(_finder(held), T.StructType([docs.schema["doc_id"], *MATCH]))
+        if blocks > 1:  # one block after the other, so that the driver and the workers hold one
+            found = written(found)
+            held.destroy()
         out = found if out is None else out.union(found)
     return out
 
@@ -239,7 +243,7 @@ def _finder(held):
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each doc_id that holds a benchmark item: doc_id, n_items, item_ids (ascending), n_windows (of the item that
+    """A row for each doc_id (null ids together) that holds a benchmark item: doc_id, n_items, item_ids (ascending), n_windows (of the item that
     matches in most), reparameterised (whether every item found has other values in its slots)."""
     found = matches(docs, benchmark)
     return found.groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("n_windows").alias("n_windows"), F.min("reparameterised").alias("reparameterised"))

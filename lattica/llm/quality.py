@@ -91,8 +91,8 @@ def judge(texts: list[bytes], level: int = 3) -> list:
     ratio = [len(pack(t)) / len(t) if t else None for t in texts]
     bad, of, kept = [], [], []
     for t, r, f in zip(texts, ratio, failed.tolist(), strict=True):
-        chunks = [t[i : i + CHUNK] for i in range(0, len(t) - CHUNK + 1, CHUNK)] if len(t) >= 2 * CHUNK else []
-        outside = sum(not CHUNK_BAND[0] <= len(pack(c)) / CHUNK <= CHUNK_BAND[1] for c in chunks)
+        chunks = [t[i : i + CHUNK] for i in range(0, len(t), CHUNK)] if len(t) >= CHUNK else []
+        outside = sum(not (CHUNK_BAND[0] <= len(pack(c)) / CHUNK <= CHUNK_BAND[1] if len(c) == CHUNK else in_band(len(pack(c)) / len(c), len(c))) for c in chunks)
         bad.append(outside), of.append(len(chunks))
         kept.append(not f and r is not None and in_band(r, len(t)) and outside <= CHUNK_SHARE * len(chunks))
     return [n, chars, symbols, [duplicate_lines(t) for t in texts], repeat, failed, ratio, bad, of, kept]
@@ -103,7 +103,7 @@ def score(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     A text (null: empty) fails the base rules with fewer than MIN_WORDS words or over REPEAT_PERCENT percent of its words in
     repeated windows. It is kept if it passes them, its ratio lies in the band of its length, and no more than CHUNK_SHARE of
-    its whole chunks of CHUNK bytes lie outside CHUNK_BAND. Empty texts have ratio null and aren't kept; repeated rows get a row each."""
+    its chunks of CHUNK bytes lie outside CHUNK_BAND (a shorter last one: outside the band of its length); texts under CHUNK have no chunks. Empty texts have ratio null and aren't kept; repeated rows get a row each."""
     tune(docs.sparkSession)
     keep = [c for c in keep or ["doc_id"] if c not in RESULT.names]
 

@@ -65,7 +65,9 @@ def _running(batches):
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write the whole rows below path/shard=<n>/, in their order. `key` must be unique in docs."""
+    """Write the whole rows below path/shard=<n>/, in their order. `key` must be unique in docs, which have no columns shard and slot."""
+    if {"shard", "slot"} & set(docs.columns):
+        raise ValueError("docs have a column shard or slot already")
     where = placed.select(F.col("doc_id").alias(key), "shard", "slot")
-    rows = docs.drop("shard", "slot").join(where, key)
+    rows = docs.join(where, key)
     rows.repartitionByRange(partitions(docs.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

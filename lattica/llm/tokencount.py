@@ -154,3 +154,55 @@ def count_edited(docs: DataFrame, path: str, pattern: str, keep: list[str] | Non
             yield column_out(part, keep, dict(zip(RESULT.names, [*(pa.array(x, pa.int64()) for x in new), sums], strict=True)))
 
     return docs.select(*dict.fromkeys([*keep, "text", edits])).mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *RESULT]))
+
+
+TREE = T.StructType().add("leaves", T.ArrayType(T.BinaryType())).add("leaf_tokens", T.ArrayType(T.LongType()))
+
+
+def _stored(part: pa.RecordBatch, keep: list[str], built: list[TokenTree], more: dict[str, pa.Array]) -> pa.RecordBatch:
+    some = [[(x, n) for x, n in zip(t.leaves, t.tokens[t.cap :], strict=True) if x] for t in built]
+    new = {"leaves": pa.array([[x for x, _ in own] for own in some], pa.list_(pa.binary())), "leaf_tokens": pa.array([[n for _, n in own] for own in some], pa.list_(pa.int64()))}
+    return column_out(part, keep, new | more)
+
+
+def build(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` (default doc_id) and TREE of each row: a text's leaves and their tokens, to be written as a table. Null and empty
+    texts have no leaves."""
+    tune(docs.sparkSession)
+    keep = [c for c in keep or ["doc_id"] if c not in TREE.names]
+
+    def run(batches):
+        chunks = table(path, pattern)
+        for part, texts in pieces(batches):
+            yield _stored(part, keep, trees(texts, chunks), {})
+
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *TREE]))
+
+
+def apply_edits(stored: DataFrame, edits: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
+    """key, TREE, n_tokens and n_bytes_encoded of each row of a stored table after a later table of edits (key, edits of the type EDITS; one
+    row for each key). Only what edits touch is encoded; rows without edits stay as they are. Leaves that edits made longer than
+    four times LEAF chunks of 16 bytes are cut anew, so trees stay balanced."""
+    tune(stored.sparkSession)
+    schema = T.StructType([stored.schema[key], *TREE]).add("n_tokens", "long").add("n_bytes_encoded", "long")
+
+    def run(batches):
+        chunks = table(path, pattern)
+        for part in batches:
+            rows = [part.column(part.schema.get_field_index(c)).to_pylist() for c in ("leaves", "leaf_tokens", "edits")]
+            built, encoded = [], []
+            for leaves, tokens, own in zip(*rows, strict=True):
+                leaves, tokens = leaves or [], tokens or []
+                t = TokenTree(leaves, [len(x) if x.isascii() else len(x.decode()) for x in leaves], tokens)
+                for e in own or ():
+                    t.edit(e["at"] or 0, e["deleted"] or 0, (e["inserted"] or "").encode(), lambda x: int(chunks.count([x])[0]))
+                n = t.encoded
+                if own and max(map(len, t.leaves)) > 64 * LEAF:
+                    parts_ = [trees([x], chunks)[0] if len(x) > 64 * LEAF else TokenTree([x], [len(x.decode())], [k]) for x, k in zip(t.leaves, t.tokens[t.cap :], strict=True) if x]
+                    n += sum(len(x) for x in t.leaves if len(x) > 64 * LEAF)
+                    flat = [(x, p, k) for q in parts_ for x, p, k in zip(q.leaves, q.points[q.cap :], q.tokens[q.cap :], strict=True) if x]
+                    t = TokenTree(*map(list, zip(*flat, strict=True)))
+                built.append(t), encoded.append(n)
+            yield _stored(part, [key], built, {"n_tokens": pa.array([t.n_tokens for t in built], pa.int64()), "n_bytes_encoded": pa.array(encoded, pa.int64())})
+
+    return stored.select(key, *TREE.names).join(edits.select(key, "edits"), key, "left").mapInArrow(run, schema)

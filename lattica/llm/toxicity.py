@@ -26,8 +26,6 @@ PRIOR = 0.1
 PREFIXES = (7, 6, 5, 4)
 #: A segment is significant if chance would give so many as high in a document of its length.
 SEGMENT_E = 0.05
-#: Features that are kept at most, by z-score; the sample bounds their number anyway.
-FEATURES = 200_000
 #: Distinct words remembered in a worker.
 WORDS = 400_000
 #: Distinct features that a task counts before it passes the counts on.
@@ -95,7 +93,8 @@ def _sample(labels: DataFrame, most: int) -> DataFrame:
 
 
 def held_out(doc_id):
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """Whether a document is held out; one without an id isn't."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def _counts(tokens: tuple[Counter, Counter], rows: tuple[Counter, Counter]):
@@ -113,10 +112,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     """Fit on at most `most` labelled documents. Without labels of both classes nothing is toxic (score 0)."""
     spark = docs.sparkSession
     tune(spark)
-    sample = docs.select("doc_id", "text").join(F.broadcast(written(_sample(labels, most))), "doc_id").select("text", "toxic")
+    sample = docs.select("doc_id", "text").join(F.broadcast(written(_sample(labels, most))), "doc_id").select("doc_id", "text", "toxic")
     sample = written(sample.mapInArrow(_marked, T.StructType([*sample.schema, T.StructField("mark", T.LongType())])))
-    # near copies, which mostly share their least shingle, would make rare words look telling
-    sample = written(sample.dropDuplicates(["mark"]).drop("mark"))
+    # near copies, which mostly share their least shingle, would make rare words look telling: of each mark the least id's text stays, toxic if
+    # any copy is
+    sample = written(sample.groupBy("mark").agg(F.min_by("text", F.struct("doc_id", F.xxhash64("text"))).alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"))
     schema = T.StructType().add("feature", "binary").add("toxic", "integer").add("tokens", "long").add("docs", "long")
 
     def count(batches):
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     odds = lambda y, n: F.log((y + a) / (n + prior - y - a))
     z = (odds(F.col("yt"), nt) - odds(F.col("yc"), nc)) / F.sqrt(1 / (F.col("yt") + a) + 1 / (F.col("yc") + a))
     least = math.sqrt(2 * math.log(max(2, counted.count())))
-    kept = counted.filter(F.col("feature") != F.lit(b"")).withColumn("z", z).filter(F.abs("z") >= least).orderBy(F.abs("z").desc(), "feature").limit(FEATURES).collect()
+    kept = counted.filter(F.col("feature") != F.lit(b"")).withColumn("z", z).filter(F.abs("z") >= least).collect()  # the sample bounds their number
     share = lambda y, n, both: (y + both * prior / (nt + nc)) / (n + prior)
     scores = {bytes(r.feature): math.log(share(r.yt, nt, r.yt + r.yc) / share(r.yc, nc, r.yt + r.yc)) for r in kept}
     words = [r for r in kept if bytes(r.feature)[:1] != b"\0"]
@@ -161,11 +161,27 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     found = sample.mapInArrow(_scorer(model, ["toxic"], _LARGEST), T.StructType([T.StructField("toxic", T.IntegerType()), *_LARGEST])).collect()
     clean = [r.largest - math.log(max(1, r.n_words)) for r in found if not r.toxic and r.n_words]
     model.ln_k = float(np.mean(clean)) - 0.5772156649 if clean else 0.0
-    x = np.array([r.largest - math.log(max(1, r.n_words)) - model.ln_k for r in found])
+    x = np.array([evidence(r.best, math.log(max(1, r.n_words)) + model.ln_k) for r in found])
     model.slope, model.bias = _logistic(x, np.array([r.toxic > 0 for r in found], float))
     return model
 
 
+def evidence(best: list[float], size: float) -> float:
+    """Minus the log of how likely chance gives segments as high as the r best together, for the r by which that is least likely. size: ln(K n).
+
+    By the joint law of the r largest segments, T = sum(S - ln(K n)) over them has P(T) = exp(-T) T^(r-1) / (r! (r-1)!) for large T, and
+    each more segment halves the chance that r is looked at. The law's rate is 1, as scores are log-likelihood ratios. best: descending."""
+    top = (best[0] if best else 0.0) - size
+    out, total = top, top
+    for r, s in enumerate(best[1:], 2):
+        if s <= size:
+            break
+        total += s - size
+        if total > r:
+            out = max(out, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(2))
+    return out
+
+
 def _marked(batches):
     """A mark that near copies mostly share: the least hash of five words in a row."""
     for part, texts in pieces(batches):
@@ -192,7 +208,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / sd), float(w[1] - w[0] * mean / sd)
 
 
-_LARGEST = T.StructType().add("n_words", "long").add("largest", "double")
+_LARGEST = T.StructType().add("n_words", "long").add("largest", "double").add("best", T.ArrayType(T.DoubleType()))
 PASSAGES = T.ArrayType(T.StructType().add("begin_word", "integer").add("end_word", "integer").add("segment_score", "double").add("p_value", "double"))
 RESULT = T.StructType().add("n_words", "long").add("largest", "double").add("score", "double").add("passages", PASSAGES)
 
@@ -204,27 +220,28 @@ def _scorer(model: Model, keep: list[str], result: T.StructType):
         get = _Scores(model).__getitem__
         kind = pa.list_(pa.struct([("begin_word", pa.int32()), ("end_word", pa.int32()), ("segment_score", pa.float64()), ("p_value", pa.float64())]))
         for part, texts in pieces(batches):
-            n, largest, passages, score = [], [], [], []
+            n, largest, passages, score, bests = [], [], [], [], []
             for t in texts:
                 words = t.split()
                 s = np.fromiter(map(get, words), np.float64, len(words))
                 found = segments(s)
                 top = max((x[2] for x in found), default=0.0)
-                n.append(len(s)), largest.append(top)
+                best = sorted((x[2] for x in found), reverse=True)
+                n.append(len(s)), largest.append(top), bests.append(best)
                 if full:
                     size = math.log(max(1, len(s))) + model.ln_k
                     expect = [(b, e, x, math.exp(min(50.0, size - x))) for b, e, x in found]
                     passages.append([{"begin_word": b, "end_word": e, "segment_score": x, "p_value": -math.expm1(-v)} for b, e, x, v in expect if v <= SEGMENT_E])
-                    score.append(1 / (1 + math.exp(-max(-500.0, min(500.0, model.slope * (top - size) + model.bias)))))
+                    score.append(1 / (1 + math.exp(-max(-500.0, min(500.0, model.slope * evidence(best, size) + model.bias)))))
             new = {"n_words": pa.array(n, pa.int64()), "largest": pa.array(largest, pa.float64())}
-            yield column_out(part, keep, new | ({"score": pa.array(score, pa.float64()), "passages": pa.array(passages, kind)} if full else {}))
+            yield column_out(part, keep, new | ({"score": pa.array(score, pa.float64()), "passages": pa.array(passages, kind)} if full else {"best": pa.array(bests, pa.list_(pa.float64()))}))
 
     return run
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (default doc_id) and RESULT: every significant toxic passage in words, and a score from the
-    largest segment's excess over what chance gives in a text of its length.
+    """The columns `keep` (default doc_id) and RESULT: every significant toxic passage in words, and a score from how unlikely
+    chance gives its best segments together in a text of its length.
 
     Only the text is an input. Null and empty texts score as one word without evidence. Repeated rows get a row each;
     columns named as the new ones are replaced."""

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,7 +112,7 @@ def frames(stream, chunk: int = 1 << 18) -> Iterator[bytes]:
 def parse(data: bytes) -> dict:
     """Headers and payload of a record, after all checks."""
     head, sep, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    lines = head.decode(errors="replace").split("\r\n")
     if not sep or lines[0] not in ("WARC/1.0", "WARC/1.1"):
         raise BadArchive(f"not a record: {lines[0][:40]}")
     fields: dict[str, str] = {}
@@ -126,20 +126,36 @@ def parse(data: bytes) -> dict:
             raise BadArchive(f"no {name}")
     if not fields["content-length"].isdigit() or len(rest) != int(fields["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
         raise BadArchive("the length of the block isn't that of its header")
-    http, sep, payload = rest[:-4].partition(b"\r\n\r\n")
+    kind, block = fields["warc-type"], rest[:-4]
+    out = {"type": kind, "id": fields["warc-record-id"], "url": fields.get("warc-target-uri"), "digest": fields.get("warc-payload-digest", ""), "payload": block, "payload_bytes": len(block), "refers_to": fields.get("warc-refers-to")}
+    if kind not in ("response", "revisit") or kind == "response" and not fields.get("content-type", "application/http").startswith("application/http"):
+        return out  # warcinfo, request, metadata, resource and others, whose block is no page
+    http, sep, payload = block.partition(b"\r\n\r\n")
+    if kind == "revisit" and not block:  # the HTTP head of a revisit may be left out
+        http, sep = b"HTTP/", b"\r\n\r\n"
     if not sep or not http.startswith(b"HTTP/"):
         raise BadArchive("the block isn't a response")
     length = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), -1)
-    out = {"type": fields["warc-type"], "id": fields["warc-record-id"], "url": fields.get("warc-target-uri"), "digest": fields.get("warc-payload-digest", ""), "payload": payload, "payload_bytes": length, "refers_to": fields.get("warc-refers-to")}
-    if out["type"] == "response" and (len(payload) != length or out["digest"] != "sha1:" + digest_of(payload)):
+    told = out["digest"].partition(":")[0].lower() == "sha1"
+    if kind == "response" and (0 <= length != len(payload) or told and out["digest"].partition(":")[2].upper() != digest_of(payload)):
         raise BadArchive("the payload isn't that of the headers")
-    if out["type"] == "revisit" and (payload or not out["refers_to"] or fields.get("warc-profile") != PROFILE):
+    if kind == "revisit" and (payload or out["id"].strip("<>").startswith(ID) and (not out["refers_to"] or fields.get("warc-profile") != PROFILE)):
         raise BadArchive("the revisit isn't whole")
-    return out
+    return out | {"payload": payload, "payload_bytes": length if length >= 0 else len(payload)}
 
 
 def _page(uri: str | None) -> int | None:
-    return int(uri.strip("<>").removeprefix(ID)) if uri else None
+    """The page that a record of ours stands for; null for others' records, whose whole name is in record_id."""
+    own = (uri or "").strip("<>")
+    return int(own.removeprefix(ID)) if own.startswith(ID) and own.removeprefix(ID).lstrip("-").isdigit() else None
+
+
+def _whole(spark: SparkSession, path: str) -> str:
+    """A path with the scheme that Spark gives it, so that executors look where Spark does."""
+    if "://" in path or path.startswith("file:"):
+        return path.replace("file:///", "file:/").replace("file:/", "file:///")
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return ("file://" if default.startswith("file:") else default.rstrip("/")) + path
 
 
 def revisits(pages: DataFrame, smallest: int = 0, html: str = "html", key: str = "page_id") -> DataFrame:
@@ -163,6 +179,7 @@ def write_archives(pages: DataFrame, folder: str, smallest: int = 0) -> DataFram
     has the attempt of its task, and the list of files is a written table, so that only files of tasks that Spark has
     committed are read. No file for an empty table."""
     tune(pages.sparkSession)
+    folder = _whole(pages.sparkSession, folder)
     to = by_ids(pages.filter("page_id is not null").select("page_id", "url", "html"), written(revisits(pages, smallest)), "left", "page_id")
 
     def run(batches):
@@ -178,9 +195,9 @@ def write_archives(pages: DataFrame, folder: str, smallest: int = 0) -> DataFram
 
         stream = records()
         if (first := next(stream, None)) is not None:
-            store, at = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+            store, at = fs.FileSystem.from_uri(folder)
             store.create_dir(at, recursive=True)
-            with store.open_output_stream(f"{at}/{path.rpartition('/')[2]}") as out:
+            with store.open_output_stream(f"{at}/{path.rpartition('/')[2]}", compression=None) as out:
                 n, size = write_archive(out, _chain(first, stream))
             yield pa.RecordBatch.from_pydict({"path": [path], "n_records": [n], "n_bytes": [size]})
 
@@ -192,22 +209,28 @@ def _chain(first: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
     yield from rest
 
 
-RECORD = T.StructType().add("page_id", "long").add("url", "string").add("record_type", "string").add("payload_digest", "string").add("payload_bytes", "long").add("refers_to", "long").add("payload", "binary")
+RECORD = T.StructType().add("page_id", "long").add("url", "string").add("record_type", "string").add("payload_digest", "string").add("payload_bytes", "long").add("refers_to", "long").add("record_id", "string").add("payload", "binary")
 
 
 def read_archives(files: DataFrame, payload: bool = True) -> DataFrame:
-    """The records of the archives that the column path names; each frame is decoded and checked alone."""
+    """The records of the archives that the column path names; each frame is decoded and checked alone. Records that we didn't write
+    have page_id null; those that are no pages (requests, metadata) have their block as payload."""
+    default = _whole(files.sparkSession, "/")
+
+    def whole(path: str) -> str:
+        return path if "://" in path else default.rstrip("/") + path
+
     schema = RECORD if payload else T.StructType(RECORD.fields[:-1])
 
     def run(batches):
         for batch in batches:
             for path in batch.column(batch.schema.get_field_index("path")).to_pylist():
-                store, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-                with store.open_input_stream(at) as stream:
+                store, at = fs.FileSystem.from_uri(whole(path))
+                with store.open_input_stream(at, compression=None) as stream:
                     rows, size = [], 0
                     for data in frames(stream):
                         r = parse(data)
-                        rows.append([_page(r["id"]), r["url"], r["type"], r["digest"].removeprefix("sha1:"), r["payload_bytes"], _page(r["refers_to"]), *[r["payload"]] * payload])
+                        rows.append([_page(r["id"]), r["url"], r["type"], r["digest"].removeprefix("sha1:"), r["payload_bytes"], _page(r["refers_to"]), r["id"].strip("<>"), *[r["payload"]] * payload])
                         size += len(data) * payload + 200
                         if size > 4 << 20:
                             yield _records(rows, schema)

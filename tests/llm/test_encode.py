@@ -160,3 +160,35 @@ def test_count_edited_table(spark, odd_docs, odd_rows, empty_docs):
 def test_ranks_are_those_of_the_file():
     ranks = bpe.read_ranks(RANKS)
     assert ranks[b"a"] == LIBRARY.encode_ordinary("a")[0] and base64.b64encode(b"a")
+
+
+def test_edits_of_a_stored_table_encode_little(spark, tmp_path):
+    texts = {1: "some plain words in a row " * 2000, 2: None, 3: "short text", 4: "one. two, three " * 500}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    tokencount.build(docs, RANKS, P.PATTERN).write.parquet(str(tmp_path / "trees"))
+    edits = {1: [(20_000, 3, "new words"), (5, 0, "x" * 9000)], 2: [(0, 0, "first")], 4: [(3, 900, "")]}
+    later = spark.createDataFrame(list(edits.items()), "doc_id long, edits array<struct<at:long,deleted:long,inserted:string>>")
+    again = tokencount.apply_edits(spark.read.parquet(str(tmp_path / "trees")), later, RANKS, P.PATTERN)
+    for r in again.collect():
+        want = edited(texts[r.doc_id] or "", edits.get(r.doc_id, []))
+        assert b"".join(map(bytes, r.leaves)).decode() == want and r.n_tokens == sum(r.leaf_tokens) == len(by_library(want))
+        assert r.n_bytes_encoded < 25_000 and (r.doc_id in edits or r.n_bytes_encoded == 0)
+
+
+def test_other_patterns_are_not_cut():
+    """Marks that take line ends with them, and a token of both."""
+    ranks = bpe.read_ranks(RANKS) | {b"!\n": 60_000}
+    pattern = r"[^\s\p{L}\p{N}]+[\r\n]*|\p{L}+|\s+|\p{N}+"
+    core = bpe.ByteBPE(ranks, pattern)
+    table = bpe.ChunkTable(core.encode_chunks, cut=pattern == bpe.CUT_PATTERN)
+    want = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary("a!\nb")
+    assert table.encode([b"a!\nb"])[0].tolist() == want and 60_000 in want
+
+
+def test_hashes_of_one_value_do_not_harm():
+    """Different chunks whose first hashes agree are told apart by the second."""
+    made = bpe.ChunkTable(bpe.load(RANKS, P.PATTERN).encode_chunks)
+    made.powers[0][:] = 0
+    text = "all of these words have one first hash"
+    for _ in range(2):
+        assert made.encode([text.encode()])[0].tolist() == by_library(text)

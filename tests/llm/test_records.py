@@ -105,3 +105,28 @@ def test_broken_archives_are_told():
         with pytest.raises(warc.BadArchive):
             warc.parse(bad)
     assert warc.parse(good)["digest"] == "sha1:" + __import__("base64").b32encode(hashlib.sha1(b"payload").digest()).decode()
+
+
+def test_archives_of_others_are_read(spark, tmp_path):
+    """Records of all kinds, names that aren't ours, digests of other kinds, and headers that aren't UTF-8."""
+    import io
+
+    head = lambda kind, block, *more: ("\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1-2>", "WARC-Date: 2020-01-01T00:00:00Z", *more, f"Content-Length: {len(block)}"])).encode("latin-1") + b"\r\n\r\n" + block + b"\r\n\r\n"
+    page = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\nhello"
+    records = [head("warcinfo", b"software: x"), head("request", b"GET / HTTP/1.1\r\n\r\n", "WARC-Target-URI: http://a/\xe9"), head("response", page, "WARC-Payload-Digest: md5:abc"), head("metadata", b"a: b")]
+    out = io.BytesIO()
+    warc.write_archive(out, iter(records))
+    (tmp_path / "other.warc.zst").write_bytes(out.getvalue())
+    files = spark.createDataFrame([(str(tmp_path / "other.warc.zst"),)], "path string")
+    got = warc.read_archives(files).collect()
+    assert [(r.record_type, r.page_id, r.record_id) for r in got] == [(k, None, "urn:uuid:1-2") for k in ("warcinfo", "request", "response", "metadata")]
+    assert bytes(got[2].payload) == b"hello" and got[2].payload_bytes == 5 and bytes(got[0].payload) == b"software: x"
+
+
+def test_files_hold_frames_as_they_are(spark, tmp_path):
+    """A file begins with the dictionary's skippable frame, or a frame: nothing compresses it once more by its name."""
+    pages = spark.createDataFrame([(k, f"http://a/{k}", f"<p>page {k} of many pages of one kind</p>" * 20) for k in range(200)], "page_id long, url string, html string").coalesce(1)
+    (file,) = warc.write_archives(pages, str(tmp_path / "w")).collect()
+    raw = open(file.path.removeprefix("file://"), "rb").read()
+    assert len(raw) == file.n_bytes and struct.unpack_from("<I", raw)[0] == warc.DICTIONARY_MAGIC
+    assert sum(1 for _ in warc.frames(io.BytesIO(raw))) == 200

@@ -161,3 +161,30 @@ def test_toxicity_on_held_out_rows(spark, odd_docs, empty_docs):
 def test_toxicity_without_labels(spark, odd_docs, rows):
     model = toxicity.fit(odd_docs, spark.createDataFrame(rows, "doc_id long, quality int, toxic int"))
     assert all(r.score < 0.5 for r in toxicity.score(odd_docs, model).collect())
+
+
+def test_middling_passages_add_up():
+    """Several segments that alone say little are evidence together; one by itself counts as it is."""
+    size = 8.0
+    assert toxicity.evidence([12.0], size) == 4.0 and toxicity.evidence([], size) == -8.0
+    assert toxicity.evidence([12.0] * 6, size) > 10 > toxicity.evidence([12.0, 8.5], size)
+    assert toxicity.evidence([12.0, 8.5], size) == 4.0
+
+
+def test_last_chunks_are_judged():
+    import random
+
+    rng = random.Random(2)
+    prose = " ".join("".join(rng.choices("etaoinshr", k=rng.randint(2, 9))) for _ in range(2000)).encode()
+    tail = prose[:4096] + b"x" * 4000
+    n, bad = quality.judge([tail, prose[:4095], prose[:4096]])[8], quality.judge([tail, prose[:4095], prose[:4096]])[7]
+    assert list(n) == [2, 0, 1] and list(bad) == [1, 0, 0]
+
+
+def test_the_model_does_not_depend_on_the_order_of_rows(spark):
+    """Near copies with different labels: the least id's text stays, toxic if any copy is."""
+    rows = [(k, f"calm words number {k} stand here {k % 7}") for k in range(40)] + [(k, f"vile rotten filth {k % 9} spit {k % 5}") for k in range(40, 80)]
+    rows += [(100 + k, rows[k][1]) for k in range(80)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, int(40 <= k < 80 or k % 3 == 0 and k > 140)) for k, _ in rows], "doc_id long, toxic int")
+    models = [toxicity.fit(docs.orderBy(o).repartition(n), labels.repartition(n)) for o, n in (("doc_id", 1), ("text", 5))]
+    assert models[0].scores == models[1].scores and models[0].slope == pytest.approx(models[1].slope)
