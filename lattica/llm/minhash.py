@@ -2,7 +2,7 @@
 
 One pass over the texts gives each document's shingle set as a digest and a sketch. Documents with equal sets form a class; only
 classes go on. Bands of registers give buckets. A small bucket gives its pairs; a large one gives pairs with its least member (and
-after those are linked, blocks of what is still apart are compared). Pairs whose joint likelihood has its peak under a
+after those are linked, what is apart from its largest component is held against the rest). Pairs whose joint likelihood has its peak under a
 floor go; the others are checked on their full sets. Links are joined to components by label propagation with pointer jumping.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_ids, column_out, lookup_hot, mix, offsets, pieces, tune, written
+from .common import by_ids, column_out, join_salted, lookup_hot, mix, offsets, pieces, tune, written
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -219,7 +219,7 @@ def _prune(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(_np(batch, x)[keep]) for x in ("a", "b")], names=["a", "b"])
 
     tune(pairs.sparkSession, 2000)
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    joined = join_salted(pairs, side("a"), "a", "b").join(side("b"), "b")
     return written(joined.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, _PAIR))
 
 
@@ -253,7 +253,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(_np(batch, x)[np.array(keep, bool)]) for x in ("a", "b")], names=["a", "b"])
 
     side = lambda x: needed.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
+    joined = join_salted(pairs, side("a"), "a", "b").join(side("b"), "b").select("a", "b", "ta", "tb")
     return written(joined.mapInArrow(run, _PAIR).distinct())
 
 
@@ -275,25 +275,34 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _apart(hot: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links within large buckets between what isn't in one component yet. A bucket's rows go to pairs of blocks, whose size in rows
-    and shingles is bounded on average; there, pairs that share no earlier band are held against the likelihood and then by full
-    sets. Only links leave."""
+    """Links within large buckets between what isn't in one component yet: strays, which aren't of the bucket's largest component, are held
+    against all of the bucket. Blocks of strays meet blocks of all rows, both bounded on average in rows and shingles, so a row goes to
+    as many places as the other side has blocks. There, pairs that share no earlier band are held against the likelihood and then by
+    full sets. Only links leave."""
     now = by_ids(hot, labels, "left", "id").withColumn("component", F.coalesce("component", "id"))
-    now = now.join(classes.select(F.col("rep").alias("id"), "registers", "n_shingles"), "id")
-    mixed = now.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("all"))
-    mixed = mixed.filter("lo <> hi").select("band", "key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("all") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    rows = written(now.join(mixed, ["band", "key"]).withColumn("block", F.pmod(F.hash("id"), F.col("blocks"))))
+    now = written(now.join(classes.select(F.col("rep").alias("id"), "n_shingles"), "id"))
+    of = now.groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    most = of.groupBy("band", "key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max(F.struct("n", "component", "s"))["s"].alias("s_largest"), F.max("n").alias("n_largest"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    size = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    mixed = written(most.filter("n > n_largest").select("band", "key", "largest", size(F.col("n"), F.col("s")).alias("blocks"), size(F.col("n") - F.col("n_largest"), F.col("s") - F.col("s_largest")).alias("stray_blocks")))
+    rows = by_ids(now, mixed, "inner", ["band", "key"]).withColumn("stray", F.col("component") != F.col("largest"))
+    rows = written(rows.join(classes.select(F.col("rep").alias("id"), "registers"), "id"))
     ids = written(rows.select(F.col("id").alias("doc_id")).distinct())
     texts = by_ids(docs.select("doc_id", "text"), ids, "left_semi").withColumnRenamed("doc_id", "id")
-    rows = rows.join(texts, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "blocks")
+    rows = rows.join(texts, "id")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.hash("id"), F.col(n))
+    left = rows.filter("stray").withColumns({"lo": own("stray_blocks"), "side": F.lit(0)}).withColumn("hi", every("blocks"))
+    right = rows.withColumns({"hi": own("blocks"), "side": F.lit(1)}).withColumn("lo", every("stray_blocks"))
+    names = ["band", "key", "lo", "hi", "side", "stray", "id", "component", "n_shingles", "registers", "text"]
+    rows = left.select(names).unionByName(right.select(names))
 
     def run(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
-        ids, comp, block, n = (t.column(c).to_numpy() for c in ("id", "component", "block", "n_shingles"))
+        ids, comp, side, n = (t.column(c).to_numpy() for c in ("id", "component", "side", "n_shingles"))
+        stray = t.column("stray").to_numpy(zero_copy_only=False)
         regs = np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        band, lo, hi = t.column("band")[0].as_py(), t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        band, left, right = t.column("band")[0].as_py(), np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         key, text, sets = bands(regs), t.column("text"), {}
 
         def full(k: int) -> np.ndarray:
@@ -303,7 +312,7 @@ def _apart(hot: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFram
 
         out = []
         for i in left.tolist():
-            j = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) if lo == hi else (ids[right] != ids[i]))]
+            j = right[(comp[right] != comp[i]) & (~stray[right] | (ids[right] > ids[i]))]
             if len(j):
                 j = j[~(key[j, :band] == key[i, :band]).any(axis=1)]
                 j = j[likely((regs[i] > regs[j]).sum(1), (regs[i] < regs[j]).sum(1), np.full(len(j), n[i]), n[j])]
