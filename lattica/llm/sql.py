@@ -15,6 +15,17 @@ SELECT page_id, payload_bytes,
 FROM quads
 """
 
+_SHARDS = r"""
+-- the table of the usual CRC-32, then a fold over each text's bytes
+WITH crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+raw AS (SELECT row_number() OVER () AS id, doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+bytes AS (SELECT id, doc_id, octet_length(raw) + 1 AS size, list_transform(regexp_extract_all(hex(raw), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM raw),
+sized AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes, crc),
+placed AS (SELECT *, sum(size) OVER w AS upto, sum(size) OVER () AS total, row_number() OVER w AS place FROM sized WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)),
+cut AS (SELECT *, ((2 * upto - size) * 16 // (2 * total))::INT AS shard FROM placed)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, NULL::INT AS grown_shard FROM cut
+"""
+
 _NEAR = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
@@ -31,4 +42,4 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id =
 FROM documents d JOIN component ON id = d.doc_id LEFT JOIN size USING (doc_id)
 """
 
-ORACLE = {"op4_warc": _WARC, "op9_near_duplicates": _NEAR}
+ORACLE = {"op2_shards": _SHARDS, "op4_warc": _WARC, "op9_near_duplicates": _NEAR}

@@ -4,10 +4,11 @@ import random
 import struct
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import sharding, warc
+from lattica.llm import queries, sharding, sql, warc
 
 
 def placed(docs, n):
@@ -29,6 +30,13 @@ def test_shards_equal_brute_force(odd_docs, odd_rows, n):
     assert sorted(map(tuple, got)) == sorted(placed([(r[0], r[1]) for r in odd_rows if r[0] is not None], n))
 
 
+def test_shards_equal_their_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = con.sql(sql.ORACLE["op2_shards"])
+    assert sorted(map(tuple, queries.op2_shards(spark, sf_dir).select(*want.columns).collect())) == sorted(want.fetchall())
+
+
 def test_shards_are_even(spark):
     rng = random.Random(1)
     docs = spark.createDataFrame([(k, "x" * rng.randrange(400)) for k in range(3000)], "doc_id long, text string").repartition(7)
