@@ -4,13 +4,18 @@ A cluster is solved once for each distinct set of linking measurements that it u
 
 from __future__ import annotations
 
+from itertools import combinations
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import written
+from .assignment import hungarian
 from .hypotheses import linking_measurements, normalize
+from .single import clean
 
 #: Ownerships of a master that are listed at most; beyond, factors.by_elimination takes the frame.
 CASES = 1e6
@@ -18,7 +23,8 @@ CASES = 1e6
 
 class Solver(Protocol):
     """Solves clusters alone: (reward, member, shared) to rows (frame, master, cluster, hypo, uses, picks, w), the weights of the ways in which
-    a cluster uses sets of its shared measurements. Ways may be single associations or sums of them, exact or not."""
+    a cluster uses sets of its shared measurements. Ways may be single associations or sums of them, exact or not: a pick
+    (track, meas, share) says which share of its way's weight it has."""
 
     def __call__(self, reward: DataFrame, member: DataFrame, shared: DataFrame) -> DataFrame: ...
 
@@ -26,16 +32,76 @@ class Solver(Protocol):
 def enumerated(reward: DataFrame, member: DataFrame, shared: DataFrame) -> DataFrame:
     """The exact solver: every association of a cluster by itself."""
     options = reward.groupBy("frame").agg(F.collect_list(F.struct("track", "meas", "ll")).alias("options"))
-    walk = """aggregate(tracks, array(struct(CAST(array() AS array<struct<track:int,meas:int>>) AS picks, ln(prob) AS ll)),
+    walk = """aggregate(tracks, array(struct(CAST(array() AS array<struct<track:int,meas:int,share:double>>) AS picks, ln(prob) AS ll)),
       (acc, t) -> flatten(transform(acc, s -> transform(
         filter(options, o -> o.track = t AND (o.meas = 0 OR NOT exists(s.picks, p -> p.meas = o.meas))),
-        o -> struct(array_append(s.picks, struct(t AS track, o.meas AS meas)) AS picks, s.ll + o.ll AS ll)))))"""
+        o -> struct(array_append(s.picks, struct(t AS track, o.meas AS meas, CAST(1 AS double) AS share)) AS picks, s.ll + o.ll AS ll)))))"""
     rows = member.join(options, "frame", "left").join(shared, ["frame", "master"], "left").withColumn("shared", F.coalesce("shared", F.expr("CAST(array() AS array<int>)")))
     rows = rows.select("frame", "master", "cluster", "hypo", "shared", F.explode(F.expr(walk)).alias("x"))
     uses = F.array_sort(F.array_intersect(F.transform("x.picks", lambda p: p["meas"]), F.col("shared")))
     return rows.select("frame", "master", "cluster", "hypo", uses.alias("uses"), "x.picks", F.exp("x.ll").alias("w"))
 
 
+#: Weight of no track for a measurement that must be used: none, but that messages stay finite.
+UNUSED = 1e-12
+WAYS = "frame long, master int, cluster int, hypo int, uses array<int>, picks array<struct<track:int,meas:int,share:double>>, w double"
+
+
+def propagated(reward: DataFrame, member: DataFrame, shared: DataFrame, tol: float = 1e-12, most: int = 300) -> DataFrame:
+    """The loopy solver: one way for each hypothesis and each set of its shared measurements that its tracks can use all at once, weighed by
+    the Bethe evidence of messages in which the set is used and the other shared measurements are left out.
+
+    Exact where a hypothesis' tracks and measurements have no loop. Sets are listed up to CASES a hypothesis; more raise. With tol 0
+    there are `most` rounds."""
+    options = reward.groupBy("frame").agg(F.collect_list("track").alias("t"), F.collect_list("meas").alias("j"), F.collect_list("ll").alias("ll"))
+    rows = member.select("frame", "master", "cluster", "hypo", "tracks", "prob").join(options, "frame", "left").join(shared, ["frame", "master"], "left")
+
+    def solve(tracks, prob, t, j, ll, links):
+        order = np.sort(np.asarray(tracks, int))
+        if not len(order):
+            return [([], [], prob)]
+        t, j, ll = (np.asarray([] if x is None else x, kind) for x, kind in ((t, int), (j, int), (ll, float)))
+        own = np.isin(t, order)
+        t, j, e = t[own], j[own], np.exp(ll[own])
+        meas, hit, at = np.unique(j[j > 0]), j > 0, np.searchsorted(order, t)
+        w, w0 = np.zeros((len(order), len(meas))), np.zeros(len(order))
+        w[at[hit], np.searchsorted(meas, j[hit])] = e[hit]
+        w0[at[~hit]] = e[~hit]
+        linked = np.isin(meas, [] if links is None else links)
+        if 2.0 ** linked.sum() > CASES:
+            raise ValueError("too many sets of shared measurements")
+        out = []
+        for n in range(min(int(linked.sum()), len(order)) + 1):
+            for used in combinations(np.flatnonzero(linked).tolist(), n):
+                # tracks that can't be missed need a measurement of their own as well
+                keep = np.flatnonzero(~linked | np.isin(np.arange(len(meas)), used))
+                sub, must = w[:, keep], np.isin(keep, used)
+                if not _feasible(sub, w0, must):
+                    continue
+                p, log_z = clean(sub, w0, tol, most, np.where(must, UNUSED, 1.0))
+                columns = [0, *meas[keep].tolist()]
+                picks = [{"track": int(order[r]), "meas": int(columns[c]), "share": float(p[r, c])} for r, c in zip(*np.nonzero(p), strict=True)]
+                out.append((meas[list(used)].tolist(), picks, prob * float(np.exp(log_z))))
+        return out
+
+    def run(batches):
+        for b in batches:
+            keys = zip(b["frame"], b["master"], b["cluster"], b["hypo"], strict=True)
+            given = zip(b["tracks"], b["prob"], b["t"], b["j"], b["ll"], b["shared"], strict=True)
+            out = [(*k, *x) for k, g in zip(keys, given, strict=True) for x in solve(*g)]
+            yield pd.DataFrame(out, columns=["frame", "master", "cluster", "hypo", "uses", "picks", "w"])
+
+    return rows.mapInPandas(run, WAYS)
+
+
+def _feasible(w: np.ndarray, w0: np.ndarray, must: np.ndarray) -> bool:
+    """Whether tracks can use all measurements that must be used while those that can't be missed have one, too. Both hold at once if
+    each holds by itself, as matchings of the two sides can be joined."""
+    some = lambda x: hungarian(np.where(x > 0, 0.0, np.inf)) is not None
+    sure = w[w0 <= 0]
+    return (not must.any() or some(w[:, must].T)) and (not len(sure) or (sure.shape[0] <= sure.shape[1] and some(sure)))
+
+
 def ownerships(links: DataFrame) -> DataFrame:
     """frame, master, case, owners: every way to give each linking measurement (frame, master, meas, clusters) to none (-1) or one of its clusters."""
     links = links.groupBy("frame", "master").agg(F.array_sort(F.collect_list(F.struct("meas", "clusters"))).alias("links"))
@@ -91,7 +157,7 @@ class Conditioned:
 
     def marginals(self) -> DataFrame:
         """MARGINAL of all tracks of hypotheses; tracks of a master where nothing is possible have p 0 of not existing."""
-        picked = self._weighed().select("frame", F.explode("picks").alias("x"), "p").groupBy("frame", F.col("x.track").alias("track"), F.col("x.meas").alias("meas")).agg(F.sum("p").alias("p"))
+        picked = self._weighed().select("frame", F.explode("picks").alias("x"), "p").groupBy("frame", F.col("x.track").alias("track"), F.col("x.meas").alias("meas")).agg(F.sum(F.col("p") * F.col("x.share")).alias("p"))
         able = self.whole.select("frame", "master").distinct().withColumn("one", F.lit(1.0))
         tracks = self.member.select("frame", "master", F.explode("tracks").alias("track")).distinct().join(able, ["frame", "master"], "left")
         sums = picked.groupBy("frame", "track").agg(F.sum("p").alias("s"))

@@ -52,21 +52,22 @@ def bethe(a: np.ndarray, w0: np.ndarray, mu: np.ndarray, nu: np.ndarray) -> floa
     return float(np.log(w0).sum() + np.log1p((a * nu).sum(1)).sum() + np.log1p(mu.sum(0)).sum() - np.log1p(mu * nu).sum())
 
 
-def clean(w: np.ndarray, w0: np.ndarray, tol: float = TOL, most: int = MOST) -> tuple[np.ndarray, float]:
+def clean(w: np.ndarray, w0: np.ndarray, tol: float = TOL, most: int = MOST, free: np.ndarray | float = 1.0) -> tuple[np.ndarray, float]:
     """Probabilities (missed, detections) and log-evidence without division by missed detections, whose weight may be 0 where a track has
-    detections. Sums over others are taken without the own term, as messages may be very large."""
+    detections. Sums over others are taken without the own term, as messages may be very large. `free`: what each measurement weighs
+    without a track."""
     others = lambda n: 1.0 - np.eye(n)
     rows, columns, nu = others(len(w)), others(w.shape[1]), np.ones_like(w)
     mu = np.zeros_like(w)
     for _ in range(most):
         before = nu
         mu = w / np.maximum(w0[:, None] + (w * nu) @ columns, 1e-300)
-        nu = 1 / (1 + rows @ mu)
-        if np.abs(nu - before).max(initial=0.0) <= tol:
+        nu = 1 / (free + rows @ mu)
+        if tol > 0 and np.abs(nu - before).max(initial=0.0) <= tol * max(1.0, nu.max(initial=0.0)):
             break
     p = np.concatenate([w0[:, None], w * nu], 1)
     total = p.sum(1)
-    return p / total[:, None], float(np.log(total).sum() + np.log1p(mu.sum(0)).sum() - np.log1p(mu * nu).sum())
+    return p / total[:, None], float(np.log(total).sum() + np.log(free + mu.sum(0)).sum() - np.log1p(mu * nu).sum())
 
 
 def new_track_probability(mu: np.ndarray) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions.lineage import written
@@ -9,7 +11,7 @@ from ..operators import analytics, assignment, conditioning, exact, lbp, metrics
 from ..operators import hypotheses as hy
 from . import lbp_sql
 from .catalog import ERR_R, MARGINAL_SQL, ORACLE, STEPS, Z_SQL, R, _errors, _joint, _labels, _z, lbp_theta, query, rounded, theta_posteriors
-from .problems import ENUMERATION, SQL, frames, problem
+from .problems import ENUMERATION, SIZE, SQL, frames, problem
 
 #: Rounds after which messages of the queries' problems stand still; tolerance and digits of converged results.
 ROUNDS, STILL, DIGITS = 40, 1e-12, 5
@@ -50,6 +52,58 @@ def approximate_evidence(spark, sf_dir):
     return rounded(_conditioned(spark, sf_dir, False).evidence(), "z")
 
 
+def _ways_sql() -> str:
+    """Messages of each hypothesis and set of used shared measurements (problems of clusters of two tracks), and sums over disjoint sets."""
+    out = f"""shared AS (SELECT frame, master, meas FROM gated JOIN cluster_map USING (frame, cluster) GROUP BY ALL HAVING count(*) > 1),
+alone AS (SELECT h.frame, c.master, h.cluster, h.hypo, h.tracks, h.prob / sum(h.prob) OVER (PARTITION BY h.frame, h.cluster) AS prob FROM hypothesis h JOIN cluster_map c USING (frame, cluster)),
+near AS (SELECT s.frame, s.cluster, s.hypo, list_sort(list(DISTINCT r.meas)) AS ms FROM alone s JOIN reward r ON r.frame = s.frame AND list_contains(s.tracks, r.track) JOIN shared k ON k.frame = s.frame AND k.master = s.master AND k.meas = r.meas GROUP BY ALL),
+sets AS MATERIALIZED (SELECT *, list_filter(ms, lambda m, i: (mask >> (i - 1)) & 1 = 1) AS uses, row_number() OVER (ORDER BY frame, cluster, hypo, mask) AS id FROM (SELECT s.*, coalesce(n.ms, []::INT[]) AS ms FROM alone s LEFT JOIN near n USING (frame, cluster, hypo)), (SELECT unnest(range(1 << {SIZE}))::INT AS mask) WHERE mask < (1 << len(ms))),
+opts AS MATERIALIZED (SELECT u.id, u.frame, r.track, r.meas, exp(r.ll) AS w, CASE WHEN list_contains(u.uses, r.meas) THEN {conditioning.UNUSED} ELSE 1 END AS c FROM sets u JOIN reward r ON r.frame = u.frame AND list_contains(u.tracks, r.track) AND (list_contains(u.uses, r.meas) OR NOT list_contains(u.ms, r.meas))),
+able AS MATERIALIZED (SELECT * FROM sets u WHERE len(uses) <= (SELECT count(DISTINCT track) FROM opts o WHERE o.id = u.id AND o.c < 1)),
+f0 AS MATERIALIZED (SELECT o.*, z.w AS w0, 1.0::DOUBLE AS nu FROM opts o JOIN opts z ON z.id = o.id AND z.track = o.track AND z.meas = 0 JOIN able ON able.id = o.id WHERE o.meas > 0),"""
+    for k in range(1, MIX + 1):
+        out += f"""
+e{k} AS MATERIALIZED (SELECT a.id, a.frame, a.track, a.meas, a.w, a.w0, a.c, a.w / (a.w0 + coalesce((SELECT sum(b.w * b.nu) FROM f{k - 1} b WHERE b.id = a.id AND b.track = a.track AND b.meas <> a.meas), 0)) AS mu FROM f{k - 1} a),
+f{k} AS MATERIALIZED (SELECT a.*, 1 / (a.c + coalesce((SELECT sum(b.mu) FROM e{k} b WHERE b.id = a.id AND b.meas = a.meas AND b.track <> a.track), 0)) AS nu FROM e{k} a),"""
+    return out + f"""
+whole AS MATERIALIZED (SELECT o.id, o.frame, o.track, o.w AS w0, o.w + coalesce((SELECT sum(f.w * f.nu) FROM f{MIX} f WHERE f.id = o.id AND f.track = o.track), 0) AS s FROM opts o JOIN able USING (id) WHERE o.meas = 0),
+way AS MATERIALIZED (SELECT a.id, a.frame, a.master, a.cluster, a.uses, a.prob * exp(coalesce((SELECT sum(ln(s)) FROM whole x WHERE x.id = a.id), 0)
+ + coalesce((SELECT sum(ln(t)) FROM (SELECT id, meas, any_value(c) + sum(mu) AS t FROM f{MIX} GROUP BY id, meas) x WHERE x.id = a.id), 0) - coalesce((SELECT sum(ln(1 + mu * nu)) FROM f{MIX} x WHERE x.id = a.id), 0)) AS w FROM able a),
+turn AS (SELECT frame, master, cluster, lag(cluster) OVER (PARTITION BY frame, master ORDER BY cluster) AS prior, count(*) OVER (PARTITION BY frame, master) AS n FROM cluster_map),
+both_of AS (SELECT y.frame, y.master, y.cluster AS at, 1 AS done, [y.id] AS ids, y.uses AS used, y.w FROM way y WHERE y.cluster = y.master
+ UNION ALL SELECT g.frame, g.master, y.cluster, g.done + 1, list_append(g.ids, y.id), list_concat(g.used, y.uses), g.w * y.w FROM both_of g JOIN turn t ON t.frame = g.frame AND t.master = g.master AND t.prior = g.at JOIN way y ON y.frame = g.frame AND y.cluster = t.cluster WHERE NOT list_has_any(g.used, y.uses)),
+met_all AS MATERIALIZED (SELECT g.frame, g.master, g.ids, g.w FROM both_of g JOIN turn t ON t.frame = g.frame AND t.cluster = g.at WHERE g.done = t.n),
+way_z AS (SELECT frame, master, sum(w) AS z FROM met_all GROUP BY ALL),
+way_p AS (SELECT id, sum(w / z) AS post FROM (SELECT frame, master, unnest(ids) AS id, w FROM met_all) JOIN way_z USING (frame, master) GROUP BY id),
+loopy AS (SELECT frame, track, 0 AS meas, post * w0 / s AS p FROM whole JOIN way_p USING (id) UNION ALL SELECT f.frame, f.track, f.meas, post * f.w * nu / s FROM f{MIX} f JOIN whole USING (id, track) JOIN way_p USING (id))"""
+
+
+#: Rounds of the messages of single hypotheses, which the oracles follow.
+MIX = 6
+WAYS_SQL = _ways_sql()
+
+
+def _loopy(spark, sf_dir):
+    r, h = map(written, problem(spark, sf_dir))
+    return conditioning.Conditioned(r, h, hy.merge_map(r, h), True, partial(conditioning.propagated, tol=0.0, most=MIX))
+
+
+@query(f"SELECT frame, track, meas, round(sum(p), {R}) + 0.0 AS p FROM loopy GROUP BY frame, track, meas", walk=False, more=WAYS_SQL)
+def propagated_conditioned(spark, sf_dir):
+    """Marginals by conditioning on the owners of linking measurements, each cluster solved by messages."""
+    return rounded(_loopy(spark, sf_dir).marginals().filter("kind <> 'nonexistence'").select("frame", "track", "meas", "p"), "p")
+
+
+@query(f"SELECT frame, master, round(z, {R}) AS z FROM way_z", walk=False, more=WAYS_SQL)
+def propagated_evidence(spark, sf_dir):
+    return rounded(_loopy(spark, sf_dir).evidence(), "z")
+
+
+@query(f"SELECT s.frame, s.cluster, s.hypo, round(sum(post), {R}) + 0.0 AS p FROM able s JOIN way_p USING (id) GROUP BY ALL", walk=False, more=WAYS_SQL)
+def propagated_theta(spark, sf_dir):
+    return rounded(_loopy(spark, sf_dir).theta(), "p")
+
+
 @query("SELECT frame, master, meas, dense_rank() OVER (PARTITION BY frame, master ORDER BY meas)::INT AS place FROM gated JOIN cluster_map USING (frame, cluster) GROUP BY frame, master, meas HAVING count(*) > 1", walk=False)
 def remapped_links(spark, sf_dir):
     r, h = problem(spark, sf_dir)
@@ -152,9 +206,6 @@ def convergence_summary(spark, sf_dir):
 
 # mixtures over joint hypotheses
 
-MIX = 6
-
-
 def _mix_sql() -> str:
     out = """
 jh AS MATERIALIZED (SELECT frame, master, labels, lp, unnest(tracks) AS track FROM merged),

@@ -48,6 +48,33 @@ def test_conditioned_results_equal_the_fixture(spark):
     assert {(x.cluster, x.hypo): x.p for x in c.theta().collect()} == pytest.approx(F1_THETA, abs=1e-6)
 
 
+@pytest.mark.parametrize("forced", [True, False])
+def test_loopy_solver_is_exact_without_loops(spark, forced):
+    """Each hypothesis' tracks share one measurement at most; track 3 can't be missed, and measurement 2 links the clusters."""
+    r, h = tables(spark, [[-0.6, 1.0, NO, NO], [-0.3, 0.2, 0.7, NO], [NO, NO, 0.4, 0.9]], [(0, 0, [1, 2], 0.7), (0, 1, [1], 0.3), (1, 0, [3], 0.6), (1, 1, [], 0.4)])
+    cm = hy.merge_map(r, h)
+    a, b = (conditioning.Conditioned(r, h, cm, forced, s) for s in (conditioning.enumerated, conditioning.propagated))
+    assert b.evidence().first().z == pytest.approx(a.evidence().first().z)
+    said = lambda rows: {(x.track, x.kind, x.meas): x.p for x in rows.collect()}
+    assert said(b.marginals()) == pytest.approx(said(a.marginals()), abs=1e-9)
+    post = lambda rows: {(x.cluster, x.hypo): x.p for x in rows.collect()}
+    assert post(b.theta()) == pytest.approx(post(a.theta()), abs=1e-9)
+
+
+def test_loopy_solver_leaves_out_what_cannot_be(spark):
+    """Two tracks with one measurement, neither of which can be missed."""
+    r, h = tables(spark, [[NO, 1.0], [NO, 1.0]], [(0, 0, [1, 2], 1.0)])
+    c = conditioning.Conditioned(r, h, hy.merge_map(r, h), solver=conditioning.propagated)
+    assert [x.z for x in c.evidence().collect()] == [0.0] and {x.p for x in c.theta().collect()} == {0.0}
+
+
+def test_loopy_solver_is_near_the_fixture(spark):
+    r, h = tables(spark, F1, F1_HYPOS)
+    c = conditioning.Conditioned(r, h, hy.merge_map(r, h), solver=conditioning.propagated)
+    assert c.evidence().first().z == pytest.approx(F1_Z, rel=0.1)
+    assert np.abs(table_of(c.marginals().collect(), 5, 2) - np.array(F1_P)).max() < 0.05
+
+
 def test_single_hypothesis_forms():
     rng = np.random.default_rng(3)
     w, w0 = rng.uniform(0.1, 2, (3, 1)), rng.uniform(0.2, 1, 3)
