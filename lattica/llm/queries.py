@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, minhash, quality, secrets, sharding, tokencount, tokenfile, toxicity, warc
+from . import bpe, decontaminate, divergence, minhash, quality, secrets, sharding, tokencount, tokenfile, toxicity, warc
 
 
 def tokenizer(name: str) -> str:
@@ -84,10 +84,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "n_tokens_edited", "n_bytes_edited", "n_bytes_encoded", F.element_at("tree", 1).alias("root_tokens"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_shards, op3_bpe, op4_warc, op5_toxicity, op6_quality, op7_token_file, op8_secrets, op9_near_duplicates, op10_token_counts, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_shards, op3_bpe, op4_warc, op5_toxicity, op6_quality, op7_token_file, op8_secrets, op9_near_duplicates, op10_token_counts, op13_divergence, pipeline)}

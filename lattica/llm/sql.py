@@ -42,4 +42,26 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id =
 FROM documents d JOIN component ON id = d.doc_id LEFT JOIN size USING (doc_id)
 """
 
-ORACLE = {"op2_shards": _SHARDS, "op4_warc": _WARC, "op9_near_duplicates": _NEAR}
+_DIVERGENCE = r"""
+WITH named AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+used AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM named),
+kept AS (SELECT lang, term, count(*) AS n FROM used GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+lang_total AS (SELECT lang, sum(n)::HUGEINT AS total, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+counted AS (SELECT lang, source, term, count(*) AS n FROM used SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+grp AS (SELECT DISTINCT lang, source FROM named),
+grp_total AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM grp LEFT JOIN counted USING (lang, source) GROUP BY ALL),
+p AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (g.total + 2 * t.v) AS p,
+    1 + 1000000000::HUGEINT * (k.n + 2) // (t.total + 2 * t.v) AS q
+  FROM grp_total g JOIN kept k USING (lang) JOIN lang_total t USING (lang) LEFT JOIN counted c USING (lang, source, term)),
+summed AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM every)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLE = {"op2_shards": _SHARDS, "op4_warc": _WARC, "op9_near_duplicates": _NEAR, "op13_divergence": _DIVERGENCE}
