@@ -168,7 +168,7 @@ def _pairs_and_terms(batches):
         q = scaled(np.add.reduceat(n, at) + ADDED, (all_n + 2 * v)[at])[run]
         more = pa.array(np.flatnonzero(p > q))
         found = t.take(more)
-        yield pa.RecordBatch.from_arrays([found["lang"].combine_chunks(), found["source"].combine_chunks(), pa.array(["term"] * len(more)), found["term"].combine_chunks(), pa.array(value(p, q)[more.to_numpy()])], names=["lang", "source", "part", "item", "value"])
+        yield pa.RecordBatch.from_arrays([found["lang"].combine_chunks(), found["source"].combine_chunks(), pa.array(["term"] * len(more), pa.string()), found["term"].combine_chunks(), pa.array(value(p, q)[more.to_numpy()])], names=["lang", "source", "part", "item", "value"])
         lang, source = (t[c].combine_chunks().dictionary_encode() for c in ("lang", "source"))
         group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
         names, code = np.unique(group, return_inverse=True)

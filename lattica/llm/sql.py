@@ -64,4 +64,26 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
 """
 
-ORACLE = {"op2_shards": _SHARDS, "op4_warc": _WARC, "op9_near_duplicates": _NEAR, "op13_divergence": _DIVERGENCE}
+_TRIE = r"""
+WITH crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+turns AS (SELECT conv_id, turn, coalesce(text, '') AS text, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, digest, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS d FROM turns),
+ids AS (SELECT conv_id, count(*) AS n, list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM own GROUP BY conv_id),
+conv AS (SELECT conv_id, n, conv_id - conv_id % 100 AS base, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 6 AS h FROM ids, crc),
+rebuilt AS (
+  SELECT c.conv_id, o.d AS depth, o.digest, o.chars FROM conv c JOIN own o ON o.conv_id = c.base WHERE o.d <= c.h
+  UNION ALL SELECT c.conv_id, least(c.h, coalesce(b.n, 0)) + o.d - c.h, o.digest, o.chars FROM conv c JOIN own o USING (conv_id) LEFT JOIN ids b ON b.conv_id = c.base WHERE o.d > c.h),
+path AS (
+  SELECT conv_id, depth, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS node, chars FROM rebuilt
+  UNION ALL SELECT conv_id, 0, '', 0 FROM conv),
+node AS (SELECT node, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n, any_value(chars) AS chars FROM path GROUP BY node),
+kin AS (SELECT k.node, p.node AS above, q.conv_id AS parent_conv_id FROM node k JOIN path p ON p.conv_id = k.conv_id AND p.depth = k.depth - 1 JOIN node q ON q.node = p.node),
+kids AS (SELECT above AS node, count(*) AS n_children FROM kin GROUP BY above),
+sums AS (SELECT p.node, sum((k.n - 1) * k.chars) AS saved, count(*) FILTER (c.n_children IS NULL) AS leaves
+  FROM node k LEFT JOIN kids c ON c.node = k.node JOIN path p ON p.conv_id = k.conv_id AND p.depth <= k.depth GROUP BY p.node),
+ends AS (SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(node, depth) AS node FROM path GROUP BY conv_id) GROUP BY node)
+SELECT k.conv_id, k.depth, parent_conv_id, k.n AS n_convs, coalesce(n_children, 0) AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM node k LEFT JOIN kin USING (node) LEFT JOIN kids USING (node) JOIN sums USING (node) LEFT JOIN ends USING (node)
+"""
+
+ORACLE = {"op2_shards": _SHARDS, "op4_warc": _WARC, "op9_near_duplicates": _NEAR, "op12_prefix_trie": _TRIE, "op13_divergence": _DIVERGENCE}
