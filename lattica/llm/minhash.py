@@ -226,7 +226,7 @@ def _prune(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 _PAIR = T.StructType().add("a", "long").add("b", "long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, percent: int, size: int = SHINGLE) -> DataFrame:
     """The pairs that are links, by their full sets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     needed = by_ids(docs.select("doc_id", "text"), written(ids), "left_semi")
@@ -245,7 +245,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                     if seen not in known:
                         if len(known) > 200:
                             known.clear()
-                        known[seen] = shingles([t.to_pybytes() if t is not None else b""])[0]
+                        known[seen] = shingles([t.to_pybytes() if t is not None else b""], size)[0]
                     out.append(known[seen])
                 return out
 
@@ -322,6 +322,16 @@ def _apart(hot: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFram
     return written(rows.groupBy("band", "key", "lo", "hi").applyInArrow(run, _PAIR).distinct())
 
 
+def labelled(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of rows (doc_id, n_shingles, set_hash), from their classes (set_hash, rep, n) and the labels of reps."""
+    # classes of one that nothing is linked with need no lookup; a class' rows may be many
+    of_class = by_ids(classes.select("set_hash", "rep", "n"), labels.withColumnRenamed("id", "rep"), "left", "rep")
+    of_class = written(of_class.select("set_hash", F.coalesce("component", "rep").alias("component_id"), "n"))
+    total = rows.count()
+    looked = lookup_hot(rows.filter("set_hash is not null"), of_class, "set_hash", "n", total).select("doc_id", "n_shingles", "component_id")
+    return looked.union(rows.filter("set_hash is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row.
 
@@ -342,21 +352,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     tune(spark, 20_000)
     found = written(rows.mapInArrow(_bucket_pairs, _FOUND))
     pairs = written(found.filter("a is not null and a <> b").select("a", "b").distinct())
-    links = _verify(_prune(pairs, classes), docs, percent)
+    links = verified(_prune(pairs, classes), docs, percent)
     labels = components(links)
     hot = found.filter("a is null").select(F.col("b").alias("id"), "key", "band")
     if hot.limit(1).count():
         more = _apart(hot, classes, labels, docs, percent)
         if more.limit(1).count():
             labels = components(links.union(more))
-    # classes of one that nothing is linked with need no lookup; a class' rows may be many
-    of_class = by_ids(classes.select("set_hash", "rep", "n"), labels.withColumnRenamed("id", "rep"), "left", "rep")
-    of_class = written(of_class.select("set_hash", F.coalesce("component", "rep").alias("component_id"), "n"))
-    narrow = base.select("doc_id", "n_shingles", "set_hash")
-    total = narrow.count()
-    looked = lookup_hot(narrow.filter("set_hash is not null"), of_class, "set_hash", "n", total).select("doc_id", "n_shingles", "component_id")
-    alone = narrow.filter("set_hash is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return looked.union(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return labelled(base.select("doc_id", "n_shingles", "set_hash"), classes, labels).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:

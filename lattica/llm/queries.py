@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, divergence, minhash, prefixtrie, quality, secrets, sharding, tokencount, tokenfile, toxicity, warc
+from . import bpe, countjoin, decontaminate, divergence, minhash, prefixtrie, quality, secrets, sharding, tokencount, tokenfile, toxicity, warc
 
 
 def tokenizer(name: str) -> str:
@@ -84,6 +84,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "n_tokens_edited", "n_bytes_edited", "n_bytes_encoded", F.element_at("tree", 1).alias("root_tokens"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return countjoin.joined(_table(spark, sf_dir, "documents"), 85)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.build(_table(spark, sf_dir, "conversations"))
 
@@ -98,4 +102,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_shards, op3_bpe, op4_warc, op5_toxicity, op6_quality, op7_token_file, op8_secrets, op9_near_duplicates, op10_token_counts, op12_prefix_trie, op13_divergence, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_shards, op3_bpe, op4_warc, op5_toxicity, op6_quality, op7_token_file, op8_secrets, op9_near_duplicates, op10_token_counts, op11_ngram_join, op12_prefix_trie, op13_divergence, pipeline)}

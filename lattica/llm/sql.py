@@ -86,4 +86,5 @@ SELECT k.conv_id, k.depth, parent_conv_id, k.n AS n_convs, coalesce(n_children,
 FROM node k LEFT JOIN kin USING (node) LEFT JOIN kids USING (node) JOIN sums USING (node) LEFT JOIN ends USING (node)
 """
 
-ORACLE = {"op2_shards": _SHARDS, "op4_warc": _WARC, "op9_near_duplicates": _NEAR, "op12_prefix_trie": _TRIE, "op13_divergence": _DIVERGENCE}
+ORACLE = {"op2_shards": _SHARDS, "op4_warc": _WARC, "op9_near_duplicates": _NEAR, "op11_ngram_join": _NEAR.replace("< 5", "< 4").replace("k + 4", "k + 3").replace("- 3)", "- 2)").replace(", d.doc_id = component_id AS kept", ""),
+          "op12_prefix_trie": _TRIE, "op13_divergence": _DIVERGENCE}
