@@ -1,4 +1,5 @@
-"""Exact inference: all joint associations of a master are built inside one row, so frames need one shuffle and no join grows."""
+"""Exact inference: all joint associations of a joint hypothesis are built inside one row and summed as they leave it, so frames need
+one shuffle, no join grows, and no table of associations is written. Sums are kept as logarithms."""
 
 from __future__ import annotations
 
@@ -13,70 +14,101 @@ LIMIT = 1e6
 
 
 def joint(reward: DataFrame, h: DataFrame, cluster_map: DataFrame | None = None, limit: float = LIMIT) -> DataFrame:
-    """frame, master, hypo, labels, picks (track, meas), ll: every way to give each track of a joint hypothesis no measurement (0) or
-    one that it gates and no other has. Raises where the bound exceeds `limit`."""
+    """frame, master, hypo, labels, log_prob, top, picks (track, meas), ll: every way to give each track of a joint hypothesis no measurement
+    (0) or one that it gates and no other has; top is the largest ll of the joint hypothesis. Raises where the bound exceeds `limit`."""
     cluster_map = merge_map(reward, h) if cluster_map is None else cluster_map
-    options = reward.groupBy("frame").agg(F.collect_list(F.struct("track", "meas", "ll")).alias("options"))
-    rows = merged(h, cluster_map).join(options, "frame", "left")
-    bound = F.expr("aggregate(tracks, CAST(1 AS double), (a, t) -> a * size(filter(options, o -> o.track = t)))")
+    rows = merged(h, cluster_map).join(options(reward), "frame", "left")
+    bound = F.expr("aggregate(tracks, CAST(1 AS double), (a, t) -> a * size(coalesce(element_at(options, t), array())))")
     rows = rows.withColumn("options", F.when(F.coalesce(bound, F.lit(1.0)) <= limit, F.col("options")).otherwise(F.raise_error(F.lit("too many joint associations"))))
     walk = """aggregate(tracks, array(struct(CAST(array() AS array<struct<track:int,meas:int>>) AS picks, log_prob AS ll)),
       (acc, t) -> flatten(transform(acc, s -> transform(
-        filter(options, o -> o.track = t AND (o.meas = 0 OR NOT exists(s.picks, p -> p.meas = o.meas))),
+        filter(coalesce(element_at(options, t), array()), o -> o.meas = 0 OR NOT exists(s.picks, p -> p.meas = o.meas)),
         o -> struct(array_append(s.picks, struct(t AS track, o.meas AS meas)) AS picks, s.ll + o.ll AS ll)))))"""
-    return rows.select("frame", "master", "hypo", "labels", F.explode(F.expr(walk)).alias("x")).select("frame", "master", "hypo", "labels", "x.picks", "x.ll")
+    rows = rows.select("frame", "master", "hypo", "labels", "log_prob", F.expr(walk).alias("ways")).withColumn("top", F.array_max(F.transform("ways", lambda x: x["ll"])))
+    return rows.withColumn("x", F.explode("ways")).select("frame", "master", "hypo", "labels", "log_prob", "top", "x.picks", "x.ll")
+
+
+def options(reward: DataFrame) -> DataFrame:
+    """frame and a map from its tracks to their weights (meas, ll), by one shuffle."""
+    by_track = reward.repartition("frame").groupBy("frame", "track").agg(F.collect_list(F.struct("meas", "ll")).alias("os"))
+    return by_track.groupBy("frame").agg(F.map_from_entries(F.collect_list(F.struct("track", "os"))).alias("options"))
+
+
+def masses(j: DataFrame) -> DataFrame:
+    """Sums over the associations of a master, without a table of them: frame, master, kind, a, b, lw (log of the sum), n.
+
+    Kinds: `all` (every association), `pick` (those that give track a the measurement b), `label` (those of cluster a's hypothesis b),
+    `hypo` (those of joint hypothesis a; lw less its prior). Weights are summed relative to the largest of their joint hypothesis, and those sums
+    relative to the largest of the master, so that they neither overflow nor vanish."""
+    key = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("a"), b.cast("int").alias("b"))
+    nil = F.lit(None)
+    keys = F.concat(F.array(key("all", nil, nil), key("hypo", F.col("hypo"), nil)), F.transform("picks", lambda p: key("pick", p["track"], p["meas"])), F.transform("labels", lambda x: key("label", x["cluster"], x["hypo"])))
+    rows = j.withColumn("w", F.exp(F.col("ll") - F.col("top"))).select("frame", "master", "hypo", "log_prob", "top", "w", F.explode(keys).alias("k"))
+    per = rows.groupBy("frame", "master", "hypo", "k").agg(F.first("top").alias("top"), F.first("log_prob").alias("log_prob"), F.sum("w").alias("w"), F.count("*").alias("n"))
+    per = per.withColumn("most", F.max("top").over(Window.partitionBy("frame", "master")))
+    sums = per.groupBy("frame", "master", "k").agg(F.first("most").alias("most"), F.sum(F.col("w") * F.exp(F.col("top") - F.col("most"))).alias("w"), F.max(F.ln("w") + F.col("top") - F.col("log_prob")).alias("own"), F.sum("n").alias("n"))
+    return sums.select("frame", "master", "k.*", F.when(F.col("k.kind") == "hypo", F.col("own")).when(F.col("w") > 0, F.ln("w") + F.col("most")).otherwise(float("-inf")).alias("lw"), "n")
+
+
+def _masses(j: DataFrame) -> DataFrame:
+    """masses(j), of associations or of what is that already."""
+    return j if "lw" in j.columns else masses(j)
 
 
 def evidence_by_master(j: DataFrame, cluster_map: DataFrame | None = None) -> DataFrame:
-    """frame, master, z, n (associations). With the cluster map, masters without a possible association have z 0."""
-    per = j.groupBy("frame", "master").agg(F.sum(F.exp("ll")).alias("z"), F.count("*").alias("n"))
+    """frame, master, z, log_z, n (associations) of associations or their masses. With the cluster map, masters without a possible association
+    have z 0, log_z -inf and n 0. z is 0 or infinite, too, where it doesn't fit; log_z and n tell."""
+    per = _masses(j).filter("kind = 'all'").select("frame", "master", F.exp("lw").alias("z"), F.col("lw").alias("log_z"), "n")
     if cluster_map is None:
         return per
     every = cluster_map.filter("is_master").select("frame", "master")
-    return every.join(per, ["frame", "master"], "left").fillna({"z": 0.0, "n": 0})
+    return every.join(per, ["frame", "master"], "left").fillna({"z": 0.0, "n": 0, "log_z": float("-inf")})
 
 
 def evidence(j: DataFrame, cluster_map: DataFrame | None = None) -> DataFrame:
     """frame, z (product over masters), log_z, n_joint (associations of the whole frame). j lacks masters without a possible association,
     whose frame has z 0 and log_z -inf; only the cluster map tells of them."""
-    log = F.when(F.col("z") > 0, F.ln("z")).otherwise(float("-inf"))
-    return evidence_by_master(j, cluster_map).groupBy("frame").agg(F.product("z").alias("z"), F.sum(log).alias("log_z"), F.product(F.col("n").cast("double")).alias("n_joint"))
+    per = evidence_by_master(j, cluster_map).groupBy("frame").agg(F.sum("log_z").alias("log_z"), F.product(F.col("n").cast("double")).alias("n_joint"))
+    return per.select("frame", F.exp("log_z").alias("z"), "log_z", "n_joint")
 
 
 def marginals(j: DataFrame, tracks: DataFrame) -> DataFrame:
-    """MARGINAL: p of a missed detection (meas 0), of each measurement, and of not existing (meas null) for every track of `tracks`
-    (frame, track, master). Tracks of a master without a possible association have p 0 of everything, told by their row of not existing.
-    Pre-aggregated by (master, track, measurement) before it's divided by the evidence."""
-    picked = j.select("frame", "master", F.explode("picks").alias("p"), F.exp("ll").alias("w")).groupBy("frame", "master", F.col("p.track").alias("track"), F.col("p.meas").alias("meas")).agg(F.sum("w").alias("w"))
-    z = evidence_by_master(j).select("frame", "master", "z")
-    seen = picked.groupBy("frame", "master", "track").agg(F.sum("w").alias("w"))
-    gone = tracks.join(seen, ["frame", "master", "track"], "left").join(z, ["frame", "master"], "left").select("frame", "track", F.lit("nonexistence").alias("kind"), F.lit(None).cast("int").alias("meas"), F.coalesce(1 - F.coalesce("w", F.lit(0.0)) / F.col("z"), F.lit(0.0)).alias("p"))
-    there = picked.join(z, ["frame", "master"]).select("frame", "track", F.when(F.col("meas") == 0, "missed").otherwise("detection").alias("kind"), "meas", (F.col("w") / F.col("z")).alias("p"))
-    return there.unionByName(gone)
+    """MARGINAL of associations or their masses: p of a missed detection (meas 0), of each measurement, and of not existing (meas null) for
+    every track of `tracks` (frame, track, master). Tracks of a master without a possible association have p 0 of everything, told by
+    their row of not existing."""
+    m = _masses(j)
+    z = m.filter("kind = 'all'").select("frame", "master", F.col("lw").alias("log_z"))
+    there = m.filter("kind = 'pick'").join(z, ["frame", "master"]).select("frame", "master", F.col("a").alias("track"), F.col("b").alias("meas"), F.exp(F.col("lw") - F.col("log_z")).alias("p"))
+    seen = there.groupBy("frame", "master", "track").agg(F.sum("p").alias("s"))
+    gone = tracks.join(seen, ["frame", "master", "track"], "left").join(z, ["frame", "master"], "left")
+    gone = gone.select("frame", "track", F.lit("nonexistence").alias("kind"), F.lit(None).cast("int").alias("meas"), F.when(F.col("log_z").isNotNull(), 1 - F.coalesce("s", F.lit(0.0))).otherwise(0.0).alias("p"))
+    return there.select("frame", "track", F.when(F.col("meas") == 0, "missed").otherwise("detection").alias("kind"), "meas", "p").unionByName(gone)
 
 
 def members(h: DataFrame, cluster_map: DataFrame) -> DataFrame:
     return h.select("frame", "cluster", F.explode("tracks").alias("track")).distinct().join(cluster_map.select("frame", "cluster", "master"), ["frame", "cluster"]).select("frame", "track", "master")
 
 
-def theta_posteriors(j: DataFrame) -> DataFrame:
-    """Posterior of each prior hypothesis: mass of the joint hypotheses that it's part of."""
-    mass = j.groupBy("frame", "master", "labels").agg(F.sum(F.exp("ll")).alias("w"))
-    per = mass.select("frame", F.explode("labels").alias("l"), "w").groupBy("frame", F.col("l.cluster").alias("cluster"), F.col("l.hypo").alias("hypo")).agg(F.sum("w").alias("w"))
-    return per.select("frame", "cluster", "hypo", (F.col("w") / F.sum("w").over(Window.partitionBy("frame", "cluster"))).alias("p"))
+def theta_posteriors(j: DataFrame, h: DataFrame | None = None) -> DataFrame:
+    """Posterior of each prior hypothesis: mass of the joint hypotheses that it's part of. With h, hypotheses that no association is
+    part of have p 0, as with conditioning; without, only j is known, which lacks them."""
+    m = _masses(j)
+    z = m.filter("kind = 'all'").select("frame", "master", F.col("lw").alias("log_z"))
+    p = m.filter("kind = 'label'").join(z, ["frame", "master"]).select("frame", F.col("a").alias("cluster"), F.col("b").alias("hypo"), F.exp(F.col("lw") - F.col("log_z")).alias("p"))
+    return p if h is None else h.select("frame", "cluster", "hypo").join(p, ["frame", "cluster", "hypo"], "left").fillna({"p": 0.0})
 
 
 def hypothesis_likelihoods(j: DataFrame, m: DataFrame) -> DataFrame:
-    """Likelihood of the measurements given each joint hypothesis: its mass over its prior."""
-    mass = j.groupBy("frame", "master", "hypo").agg(F.sum(F.exp("ll")).alias("w"))
-    return mass.join(m.select("frame", "master", "hypo", "log_prob"), ["frame", "master", "hypo"]).select("frame", "master", "hypo", (F.col("w") / F.exp("log_prob")).alias("likelihood"))
+    """Likelihood of the measurements given each joint hypothesis of m: its mass over its prior; 0 without a possible association."""
+    own = _masses(j).filter("kind = 'hypo'").select("frame", "master", F.col("a").alias("hypo"), "lw")
+    return m.select("frame", "master", "hypo").join(own, ["frame", "master", "hypo"], "left").select("frame", "master", "hypo", F.coalesce(F.exp("lw"), F.lit(0.0)).alias("likelihood"), F.coalesce("lw", F.lit(float("-inf"))).alias("log_likelihood"))
 
 
 def measurement_marginals(j: DataFrame) -> DataFrame:
     """Probability that a gated measurement belongs to each track, and (track 0) to none."""
-    z = evidence_by_master(j).select("frame", "master", "z")
-    own = j.select("frame", "master", F.explode("picks").alias("p"), F.exp("ll").alias("w")).filter("p.meas > 0").groupBy("frame", "master", F.col("p.meas").alias("meas"), F.col("p.track").alias("track")).agg(F.sum("w").alias("w"))
-    own = own.join(z, ["frame", "master"]).select("frame", "meas", "track", (F.col("w") / F.col("z")).alias("p"))
+    m = _masses(j)
+    z = m.filter("kind = 'all'").select("frame", "master", F.col("lw").alias("log_z"))
+    own = m.filter("kind = 'pick' and b > 0").join(z, ["frame", "master"]).select("frame", F.col("b").alias("meas"), F.col("a").alias("track"), F.exp(F.col("lw") - F.col("log_z")).alias("p"))
     none = own.groupBy("frame", "meas").agg((1 - F.sum("p")).alias("p")).select("frame", "meas", F.lit(0).alias("track"), "p")
     return own.unionByName(none)
 
@@ -84,5 +116,6 @@ def measurement_marginals(j: DataFrame) -> DataFrame:
 def top_associations(j: DataFrame, k: int) -> DataFrame:
     """The k best joint associations of each master, ties by hypothesis and picks; with their rank and share of all mass."""
     order = Window.partitionBy("frame", "master").orderBy(F.round("ll", 9).desc(), "hypo", "picks")
-    all_mass = F.sum(F.exp("ll")).over(Window.partitionBy("frame", "master"))
-    return j.withColumn("share", F.exp("ll") / all_mass).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = j.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    z = evidence_by_master(j).select("frame", "master", "log_z")
+    return best.join(z, ["frame", "master"]).withColumn("share", F.exp(F.col("ll") - F.col("log_z"))).drop("log_z")

@@ -118,7 +118,7 @@ def _sure(spark, sf_dir):
     r, h = problem(spark, sf_dir)
     r = r.filter("meas > 0 OR track % 2 = 0")
     cm = written(hy.merge_map(r, h))
-    return r, h, cm, written(exact.joint(r, h, cm))
+    return r, h, cm, written(exact.masses(exact.joint(r, h, cm)))
 
 
 def _with_sql(sql: str):
@@ -338,11 +338,11 @@ def evidence_scatter(spark, sf_dir):
 LARGEST = ERR_R + ", large AS (SELECT frame, max(abs(error)) AS largest FROM er GROUP BY frame)"
 
 
-@query("""SELECT frame, round(largest, 5) AS largest, (SELECT count(*) FROM track t WHERE t.frame = large.frame) AS n_tracks, (SELECT count(*) FROM hypothesis h WHERE h.frame = large.frame) AS n_hypos,
+@query("""SELECT frame, largest, (SELECT count(*) FROM track t WHERE t.frame = large.frame) AS n_tracks, (SELECT count(*) FROM hypothesis h WHERE h.frame = large.frame) AS n_hypos,
 coalesce(g.n_gated, 0) AS n_gated, coalesce(g.most_competing, 0) AS most_competing FROM large LEFT JOIN (SELECT frame, count(*) AS n_gated, max(c) AS most_competing FROM (SELECT frame, meas, count(*) AS c FROM reward WHERE meas > 0 GROUP BY ALL) GROUP BY frame) g USING (frame)""", more=LARGEST)
 def scatter_table(spark, sf_dir):
     r, h = problem(spark, sf_dir)
-    return analytics.scatter_table(_errors(spark, sf_dir), r, h).withColumn("largest", F.round("largest", 5))
+    return analytics.scatter_table(_errors(spark, sf_dir), r, h)
 
 
 @query("SELECT frame, largest >= 0.05 AS large_error, relative < 0 AS larger_bethe, abs(ln(1 - relative)) > 0.01 AS large_evidence_error, relative > 0 AND relative * 100 < 1 AS very_right FROM large JOIN rel USING (frame)", more=LARGEST + "," + Z_SQL.replace(lbp_sql.steps(STEPS) + ",", "", 1))
@@ -352,11 +352,11 @@ def notable_frames(spark, sf_dir):
     return analytics.notable(_errors(spark, sf_dir), z, 0.05, 0.01)
 
 
-@query("SELECT message_iterations > 0 AS converged, count(*) AS n, round(avg(largest), 5) AS mean, round(stddev_pop(largest), 5) AS sd, round(max(largest), 5) AS top FROM large JOIN met USING (frame) GROUP BY 1", more=LARGEST.replace(lbp_sql.steps(STEPS), lbp_sql.steps(LOOSE_MOST), 1) + "," + NORM)
+@query("SELECT message_iterations > 0 AS converged, count(*) AS n, round(avg(largest), 5) AS mean, round(stddev_pop(largest), 5) AS sd, max(largest) AS top FROM large JOIN met USING (frame) GROUP BY 1", more=LARGEST.replace(lbp_sql.steps(STEPS), lbp_sql.steps(LOOSE_MOST), 1) + "," + NORM)
 def divergence_comparison(spark, sf_dir):
     """Largest errors of the frames whose messages stood still, and of the others."""
     out = analytics.divergence_comparison(_errors(spark, sf_dir), _loose(spark, sf_dir))
-    return out.withColumns({c: F.round(c, 5) for c in ("mean", "sd", "top")})
+    return out.withColumns({c: F.round(c, 5) for c in ("mean", "sd")})
 
 
 CONV = LARGEST.replace(lbp_sql.steps(STEPS), lbp_sql.steps(LOOSE_MOST), 1) + "," + NORM
@@ -472,4 +472,4 @@ def shared_measurements(spark, sf_dir):
 @query()
 def sampled_frames(spark, sf_dir):
     """A seeded sample of 20 frames (the feature is the sample) with exact evidence."""
-    return analytics.sampled(rounded(exact.evidence(_joint(spark, sf_dir)[3]), "z", "log_z"), 20, 7, "frame")
+    return analytics.sampled(rounded(exact.evidence(exact.masses(_joint(spark, sf_dir)[3])), "z", "log_z"), 20, 7, "frame")
