@@ -4,6 +4,7 @@ A cluster is solved once for each distinct set of linking measurements that it u
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 from typing import Protocol
 
@@ -13,7 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import written
+from ..functions.logspace import logsumexp
 from .assignment import hungarian
+from .exact import options
 from .hypotheses import linking_measurements, normalize
 from .single import clean
 
@@ -22,8 +25,8 @@ CASES = 1e6
 
 
 class Solver(Protocol):
-    """Solves clusters alone: (reward, member, shared) to rows (frame, master, cluster, hypo, uses, picks, w), the weights of the ways in which
-    a cluster uses sets of its shared measurements. Ways may be single associations or sums of them, exact or not: a pick
+    """Solves clusters alone: (reward, member, shared) to rows (frame, master, cluster, hypo, uses, picks, lw), the log-weights of the ways in
+    which a cluster uses sets of its shared measurements. Ways may be single associations or sums of them, exact or not: a pick
     (track, meas, share) says which share of its way's weight it has."""
 
     def __call__(self, reward: DataFrame, member: DataFrame, shared: DataFrame) -> DataFrame: ...
@@ -31,44 +34,50 @@ class Solver(Protocol):
 
 def enumerated(reward: DataFrame, member: DataFrame, shared: DataFrame) -> DataFrame:
     """The exact solver: every association of a cluster by itself."""
-    options = reward.groupBy("frame").agg(F.collect_list(F.struct("track", "meas", "ll")).alias("options"))
     walk = """aggregate(tracks, array(struct(CAST(array() AS array<struct<track:int,meas:int,share:double>>) AS picks, ln(prob) AS ll)),
       (acc, t) -> flatten(transform(acc, s -> transform(
-        filter(options, o -> o.track = t AND (o.meas = 0 OR NOT exists(s.picks, p -> p.meas = o.meas))),
+        filter(coalesce(element_at(options, t), array()), o -> o.meas = 0 OR NOT exists(s.picks, p -> p.meas = o.meas)),
         o -> struct(array_append(s.picks, struct(t AS track, o.meas AS meas, CAST(1 AS double) AS share)) AS picks, s.ll + o.ll AS ll)))))"""
-    rows = member.join(options, "frame", "left").join(shared, ["frame", "master"], "left").withColumn("shared", F.coalesce("shared", F.expr("CAST(array() AS array<int>)")))
+    rows = member.join(options(reward), "frame", "left").join(shared, ["frame", "master"], "left").withColumn("shared", F.coalesce("shared", F.expr("CAST(array() AS array<int>)")))
     rows = rows.select("frame", "master", "cluster", "hypo", "shared", F.explode(F.expr(walk)).alias("x"))
     uses = F.array_sort(F.array_intersect(F.transform("x.picks", lambda p: p["meas"]), F.col("shared")))
-    return rows.select("frame", "master", "cluster", "hypo", uses.alias("uses"), "x.picks", F.exp("x.ll").alias("w"))
+    return rows.select("frame", "master", "cluster", "hypo", uses.alias("uses"), "x.picks", F.col("x.ll").alias("lw"))
 
 
 #: Weight of no track for a measurement that must be used: none, but that messages stay finite.
 UNUSED = 1e-12
-WAYS = "frame long, master int, cluster int, hypo int, uses array<int>, picks array<struct<track:int,meas:int,share:double>>, w double"
+WAYS = "frame long, master int, cluster int, hypo int, uses array<int>, picks array<struct<track:int,meas:int,share:double>>, lw double"
+#: Sets of shared measurements of one hypothesis that messages are passed for at most.
+SETS = 4096
 
 
 def propagated(reward: DataFrame, member: DataFrame, shared: DataFrame, tol: float = 1e-12, most: int = 300) -> DataFrame:
     """The loopy solver: one way for each hypothesis and each set of its shared measurements that its tracks can use all at once, weighed by
     the Bethe evidence of messages in which the set is used and the other shared measurements are left out.
 
-    Exact where a hypothesis' tracks and measurements have no loop. Sets are listed up to CASES a hypothesis; more raise. With tol 0
-    there are `most` rounds."""
-    options = reward.groupBy("frame").agg(F.collect_list("track").alias("t"), F.collect_list("meas").alias("j"), F.collect_list("ll").alias("ll"))
-    rows = member.select("frame", "master", "cluster", "hypo", "tracks", "prob").join(options, "frame", "left").join(shared, ["frame", "master"], "left")
+    Exact where a hypothesis' tracks and measurements have no loop. More than SETS sets of a hypothesis raise; factors.by_junction_tree
+    takes such frames. With tol 0 there are `most` rounds. A track's weights are divided by its largest, which messages don't notice."""
+    gates = reward.groupBy("frame").agg(F.collect_list("track").alias("t"), F.collect_list("meas").alias("j"), F.collect_list("ll").alias("ll"))
+    rows = member.select("frame", "master", "cluster", "hypo", "tracks", "prob").join(gates, "frame", "left").join(shared, ["frame", "master"], "left")
 
     def solve(tracks, prob, t, j, ll, links):
         order = np.sort(np.asarray(tracks, int))
         if not len(order):
-            return [([], [], prob)]
+            return [([], [], math.log(prob) if prob > 0 else -math.inf)]
         t, j, ll = (np.asarray([] if x is None else x, kind) for x, kind in ((t, int), (j, int), (ll, float)))
         own = np.isin(t, order)
-        t, j, e = t[own], j[own], np.exp(ll[own])
+        t, j, ll = t[own], j[own], ll[own]
         meas, hit, at = np.unique(j[j > 0]), j > 0, np.searchsorted(order, t)
+        most_of = np.full(len(order), -np.inf)
+        np.maximum.at(most_of, at, ll)
+        if not np.isfinite(most_of).all():
+            return []
+        e = np.exp(ll - most_of[at])
         w, w0 = np.zeros((len(order), len(meas))), np.zeros(len(order))
         w[at[hit], np.searchsorted(meas, j[hit])] = e[hit]
         w0[at[~hit]] = e[~hit]
         linked = np.isin(meas, [] if links is None else links)
-        if 2.0 ** linked.sum() > CASES:
+        if sum(math.comb(int(linked.sum()), n) for n in range(min(int(linked.sum()), len(order)) + 1)) > SETS:
             raise ValueError("too many sets of shared measurements")
         out = []
         for n in range(min(int(linked.sum()), len(order)) + 1):
@@ -81,7 +90,7 @@ def propagated(reward: DataFrame, member: DataFrame, shared: DataFrame, tol: flo
                 p, log_z = clean(sub, w0, tol, most, np.where(must, UNUSED, 1.0))
                 columns = [0, *meas[keep].tolist()]
                 picks = [{"track": int(order[r]), "meas": int(columns[c]), "share": float(p[r, c])} for r, c in zip(*np.nonzero(p), strict=True)]
-                out.append((meas[list(used)].tolist(), picks, prob * float(np.exp(log_z))))
+                out.append((meas[list(used)].tolist(), picks, math.log(prob) + float(most_of.sum()) + float(log_z) if prob > 0 else -math.inf))
         return out
 
     def run(batches):
@@ -89,7 +98,7 @@ def propagated(reward: DataFrame, member: DataFrame, shared: DataFrame, tol: flo
             keys = zip(b["frame"], b["master"], b["cluster"], b["hypo"], strict=True)
             given = zip(b["tracks"], b["prob"], b["t"], b["j"], b["ll"], b["shared"], strict=True)
             out = [(*k, *x) for k, g in zip(keys, given, strict=True) for x in solve(*g)]
-            yield pd.DataFrame(out, columns=["frame", "master", "cluster", "hypo", "uses", "picks", "w"])
+            yield pd.DataFrame(out, columns=["frame", "master", "cluster", "hypo", "uses", "picks", "lw"])
 
     return rows.mapInPandas(run, WAYS)
 
@@ -130,35 +139,36 @@ class Conditioned:
         shared = links.groupBy("frame", "master").agg(F.array_sort(F.collect_list("meas")).alias("shared"))
         self.ways = written(solver(reward, self.member, shared))
         self.masters = cluster_map.filter("is_master").select("frame", "master")
-        uses = self.ways.groupBy("frame", "master", "cluster", "uses").agg(F.sum("w").alias("w"))
+        uses = logsumexp(self.ways, "lw", "frame", "master", "cluster", "uses", to="lw")
         cases = ownerships(links)
         empty = F.expr("CAST(array() AS array<struct<meas:int,owner:int>>)")
         cases = self.masters.join(cases, ["frame", "master"], "left").withColumn("case", F.coalesce("case", F.lit(0))).withColumn("owners", F.coalesce("owners", empty))
         owned = cases.join(cluster_map.select("frame", "master", "cluster"), ["frame", "master"])
         owned = owned.withColumn("owns", F.array_sort(F.expr("transform(filter(owners, o -> o.owner = cluster), o -> o.meas)")))
         fits = (F.col("uses") == F.col("owns")) if forced else (F.size(F.array_except("uses", "owns")) == 0)
-        #: What each set of used measurements weighs in each case, and the product over the other clusters of the case.
-        fit = written(owned.join(uses, ["frame", "master", "cluster"]).filter(fits).select("frame", "master", "case", "cluster", "uses", "w"))
-        per = fit.groupBy("frame", "master", "case", "cluster").agg(F.sum("w").alias("own"))
+        #: What each set of used measurements weighs in each case, and the product over all clusters of the case; as logarithms.
+        fit = written(owned.join(uses, ["frame", "master", "cluster"]).filter(fits).select("frame", "master", "case", "cluster", "uses", "lw").filter(F.col("lw") > float("-inf")))
+        per = logsumexp(fit, "lw", "frame", "master", "case", "cluster", to="own")
         n = cluster_map.groupBy("frame", "master").agg(F.count("*").alias("n"))
-        whole = per.groupBy("frame", "master", "case").agg(F.product("own").alias("whole"), F.count("*").alias("has")).join(n, ["frame", "master"]).filter("has = n AND whole > 0").drop("has", "n")
-        self.whole = whole = written(whole)
-        factor = fit.join(per, ["frame", "master", "case", "cluster"]).join(whole, ["frame", "master", "case"])
-        self.factor = factor.groupBy("frame", "master", "cluster", "uses").agg(F.sum(F.col("whole") / F.col("own")).alias("factor"))
+        whole = per.groupBy("frame", "master", "case").agg(F.sum("own").alias("whole"), F.count("*").alias("has")).join(n, ["frame", "master"]).filter("has = n").drop("has", "n")
+        whole = written(whole)
+        self.z = written(logsumexp(whole, "whole", "frame", "master", to="log_z"))
+        factor = fit.join(per, ["frame", "master", "case", "cluster"]).join(whole, ["frame", "master", "case"]).withColumn("lf", F.col("whole") - F.col("own"))
+        self.factor = logsumexp(factor, "lf", "frame", "master", "cluster", "uses", to="factor")
 
     def evidence(self) -> DataFrame:
-        """frame, master, z; 0 where nothing is possible."""
-        z = self.whole.groupBy("frame", "master").agg(F.sum("whole").alias("z"))
-        return self.masters.join(z, ["frame", "master"], "left").fillna({"z": 0.0})
+        """frame, master, z, log_z; 0 and -inf where nothing is possible. z is 0 or infinite, too, where it doesn't fit."""
+        rows = self.masters.join(self.z, ["frame", "master"], "left").fillna({"log_z": float("-inf")})
+        return rows.select("frame", "master", F.exp("log_z").alias("z"), "log_z")
 
     def _weighed(self) -> DataFrame:
-        z = self.whole.groupBy("frame", "master").agg(F.sum("whole").alias("z"))
-        return self.ways.join(self.factor, ["frame", "master", "cluster", "uses"]).join(z, ["frame", "master"]).withColumn("p", F.col("w") * F.col("factor") / F.col("z"))
+        p = F.exp(F.col("lw") + F.col("factor") - F.col("log_z"))
+        return self.ways.join(self.factor, ["frame", "master", "cluster", "uses"]).join(self.z, ["frame", "master"]).withColumn("p", p)
 
     def marginals(self) -> DataFrame:
         """MARGINAL of all tracks of hypotheses; tracks of a master where nothing is possible have p 0 of not existing."""
         picked = self._weighed().select("frame", F.explode("picks").alias("x"), "p").groupBy("frame", F.col("x.track").alias("track"), F.col("x.meas").alias("meas")).agg(F.sum(F.col("p") * F.col("x.share")).alias("p"))
-        able = self.whole.select("frame", "master").distinct().withColumn("one", F.lit(1.0))
+        able = self.z.select("frame", "master", F.lit(1.0).alias("one"))
         tracks = self.member.select("frame", "master", F.explode("tracks").alias("track")).distinct().join(able, ["frame", "master"], "left")
         sums = picked.groupBy("frame", "track").agg(F.sum("p").alias("s"))
         gone = tracks.join(sums, ["frame", "track"], "left").select("frame", "track", F.lit("nonexistence").alias("kind"), F.lit(None).cast("int").alias("meas"), F.coalesce(F.col("one") - F.coalesce("s", F.lit(0.0)), F.lit(0.0)).alias("p"))
@@ -171,6 +181,8 @@ class Conditioned:
 
 
 def conditioned_evidence(reward: DataFrame, h: DataFrame, cluster_map: DataFrame, forced: bool = True) -> DataFrame:
-    """frame, master, z of the masters with links. See Conditioned."""
+    """frame, master, z, log_z of the masters with links; others aren't solved. See Conditioned."""
     links = linking_measurements(reward, h, cluster_map).select("frame", "master").distinct()
-    return Conditioned(reward, h, cluster_map, forced).evidence().join(links, ["frame", "master"], "left_semi")
+    linked = written(cluster_map.join(links, ["frame", "master"], "left_semi"))
+    own = h.join(linked.select("frame", "cluster"), ["frame", "cluster"], "left_semi")
+    return Conditioned(reward, own, linked, forced).evidence()

@@ -140,8 +140,8 @@ def unmerging_clusters(spark, sf_dir):
 @query(f"SELECT frame, master, round(z, {R}) AS z FROM total JOIN sizes USING (frame, master) WHERE sizes.n > 1")
 def conditioned_evidence(spark, sf_dir):
     """Evidence by conditioning on the owners of linking measurements; the oracle enumerates merged hypotheses instead."""
-    r, h = problem(spark, sf_dir)
-    return rounded(conditioning.conditioned_evidence(r, h, hy.merge_map(r, h)), "z")
+    r, h = map(written, problem(spark, sf_dir))
+    return rounded(conditioning.conditioned_evidence(r, h, written(hy.merge_map(r, h))).select("frame", "master", "z"), "z")
 
 
 @query("""SELECT frame, master, product(k)::BIGINT AS n_cases FROM (SELECT frame, master, meas, count(*) + 1 AS k FROM gated JOIN cluster_map USING (frame, cluster) GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL""", walk=False)

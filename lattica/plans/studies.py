@@ -41,15 +41,24 @@ zv AS (SELECT frame, master, sum(v) AS z FROM many GROUP BY ALL),
 pv AS (SELECT frame, master, unnest(tracks) AS track, unnest(picks) AS meas, v FROM many)"""
 
 
-@query(f"SELECT frame, track, meas, round(sum(v) / any_value(z), {R}) + 0.0 AS p FROM pv JOIN zv USING (frame, master) GROUP BY frame, track, meas", more=ALLOWED)
+#: Of sums p by frame, track and meas (0 missed): all kinds, with what is left for not existing.
+ALL_KINDS = """SELECT frame, track, CASE WHEN meas = 0 THEN 'missed' ELSE 'detection' END AS kind, meas, round(p, {R}) + 0.0 AS p FROM ({p})
+UNION ALL SELECT m.frame, m.track, 'nonexistence', NULL, round(1 - coalesce(sum(x.p), 0), {R}) + 0.0 FROM member m LEFT JOIN ({p}) x ON x.frame = m.frame AND x.track = m.track GROUP BY m.frame, m.track"""
+
+
+def _all_kinds(p: str) -> str:
+    return ALL_KINDS.replace("{p}", p).replace("{R}", str(R))
+
+
+@query(_all_kinds("SELECT frame, track, meas, sum(v) / any_value(z) AS p FROM pv JOIN zv USING (frame, master) GROUP BY frame, track, meas"), more=ALLOWED)
 def approximate_conditioned(spark, sf_dir):
     """Marginals where an owner may leave what it owns: an association counts for each ownership that allows it."""
-    return rounded(_conditioned(spark, sf_dir, False).marginals().filter("kind <> 'nonexistence'").select("frame", "track", "meas", "p"), "p")
+    return rounded(_conditioned(spark, sf_dir, False).marginals(), "p")
 
 
 @query(f"SELECT frame, master, round(z, {R}) AS z FROM zv", more=ALLOWED)
 def approximate_evidence(spark, sf_dir):
-    return rounded(_conditioned(spark, sf_dir, False).evidence(), "z")
+    return rounded(_conditioned(spark, sf_dir, False).evidence().select("frame", "master", "z"), "z")
 
 
 def _ways_sql() -> str:
@@ -88,15 +97,15 @@ def _loopy(spark, sf_dir):
     return conditioning.Conditioned(r, h, hy.merge_map(r, h), True, partial(conditioning.propagated, tol=0.0, most=MIX))
 
 
-@query(f"SELECT frame, track, meas, round(sum(p), {R}) + 0.0 AS p FROM loopy GROUP BY frame, track, meas", walk=False, more=WAYS_SQL)
+@query(_all_kinds("SELECT frame, track, meas, sum(p) AS p FROM loopy GROUP BY frame, track, meas"), walk=False, more=WAYS_SQL)
 def propagated_conditioned(spark, sf_dir):
     """Marginals by conditioning on the owners of linking measurements, each cluster solved by messages."""
-    return rounded(_loopy(spark, sf_dir).marginals().filter("kind <> 'nonexistence'").select("frame", "track", "meas", "p"), "p")
+    return rounded(_loopy(spark, sf_dir).marginals(), "p")
 
 
 @query(f"SELECT frame, master, round(z, {R}) AS z FROM way_z", walk=False, more=WAYS_SQL)
 def propagated_evidence(spark, sf_dir):
-    return rounded(_loopy(spark, sf_dir).evidence(), "z")
+    return rounded(_loopy(spark, sf_dir).evidence().select("frame", "master", "z"), "z")
 
 
 @query(f"SELECT s.frame, s.cluster, s.hypo, round(sum(post), {R}) + 0.0 AS p FROM able s JOIN way_p USING (id) GROUP BY ALL", walk=False, more=WAYS_SQL)
@@ -131,22 +140,71 @@ def _with_sql(sql: str):
     return add
 
 
-@_with_sql(f"""WITH RECURSIVE {SURE},{ENUMERATION} SELECT c.frame, round(product(coalesce(z, 0)), {R}) AS z, product(coalesce(n, 0)::DOUBLE) AS n_joint
+@_with_sql(f"""WITH RECURSIVE {SURE},{ENUMERATION} SELECT c.frame, round(product(coalesce(z, 0)), {R}) AS z, round(sum(coalesce(ln(z), '-inf'::DOUBLE)), {R}) + 0.0 AS log_z, product(coalesce(n, 0)::DOUBLE) AS n_joint
 FROM cluster_map c LEFT JOIN total t ON t.frame = c.frame AND t.master = c.cluster WHERE c.is_master GROUP BY c.frame""")
 def infeasible_evidence(spark, sf_dir):
     """Evidence where some masters have no association: their frame's is 0."""
     _, _, cm, j = _sure(spark, sf_dir)
-    return rounded(exact.evidence(j, cm).select("frame", "z", "n_joint"), "z")
-
+    out = rounded(exact.evidence(j, cm), "z")
+    return out.withColumn("log_z", F.when(F.col("log_z") > float("-inf"), F.round("log_z", R) + F.lit(0.0)).otherwise(F.col("log_z")))
 
 
-
-@_with_sql(f"""WITH RECURSIVE {SURE},{ENUMERATION}, there AS (SELECT frame, master, unnest(tracks) AS track, w FROM joint), s AS (SELECT frame, track, sum(w) AS w FROM there GROUP BY ALL)
-SELECT m.frame, m.track, round(CASE WHEN z IS NULL THEN 0 ELSE 1 - coalesce(s.w, 0) / z END, {R}) + 0.0 AS p FROM member m JOIN cluster_map c USING (frame, cluster) LEFT JOIN total t ON t.frame = m.frame AND t.master = c.master LEFT JOIN s ON s.frame = m.frame AND s.track = m.track""")
+@_with_sql(f"""WITH RECURSIVE {SURE},{ENUMERATION}, there AS (SELECT frame, master, unnest(tracks) AS track, unnest(picks) AS meas, w FROM joint), s AS (SELECT frame, track, sum(w) AS w FROM there GROUP BY ALL)
+SELECT m.frame, m.track, 'nonexistence' AS kind, NULL::INT AS meas, round(CASE WHEN z IS NULL THEN 0 ELSE 1 - coalesce(s.w, 0) / z END, {R}) + 0.0 AS p FROM member m JOIN cluster_map c USING (frame, cluster) LEFT JOIN total t ON t.frame = m.frame AND t.master = c.master LEFT JOIN s ON s.frame = m.frame AND s.track = m.track
+UNION ALL SELECT frame, track, CASE WHEN meas = 0 THEN 'missed' ELSE 'detection' END, meas, round(sum(w) / any_value(z), {R}) + 0.0 FROM there JOIN total USING (frame, master) GROUP BY frame, track, meas""")
 def infeasible_marginals(spark, sf_dir):
     _, h, cm, j = _sure(spark, sf_dir)
-    return rounded(exact.marginals(j, exact.members(h, cm)).filter("kind = 'nonexistence'").select("frame", "track", "p"), "p")
+    return rounded(exact.marginals(j, exact.members(h, cm)), "p")
+
+
+#: What every log-weight is raised by: sums of such weights vanish unless they're taken relative to the largest.
+RAISED = -800
+
+
+def _raised(spark, sf_dir):
+    r, h = map(written, problem(spark, sf_dir))
+    return r.withColumn("ll", F.col("ll") + RAISED), h
+
+
+@query(f"SELECT frame, track, kind, meas, round(p, {R}) + 0.0 AS p FROM raised_p", walk=False, more="""
+-- tracks in the first hypothesis of each cluster alone: each association has all tracks of a frame's cluster, so raising changes no share
+first_of AS (SELECT * FROM hypothesis WHERE hypo = 0),
+go AS (SELECT m.frame, m.master, list_sort(flatten(list(f.tracks))) AS tracks FROM first_of f JOIN cluster_map m USING (frame, cluster) GROUP BY ALL),
+rw AS (SELECT frame, master, tracks, 0 AS done, []::INT[] AS picks, 0.0::DOUBLE AS ll FROM go
+  UNION ALL SELECT w.frame, w.master, w.tracks, w.done + 1, list_append(w.picks, r.meas), w.ll + r.ll FROM rw w JOIN reward r ON r.frame = w.frame AND r.track = w.tracks[w.done + 1] WHERE w.done < len(w.tracks) AND (r.meas = 0 OR NOT list_contains(w.picks, r.meas))),
+rz AS (SELECT frame, master, sum(exp(ll)) AS z FROM rw WHERE done = len(tracks) GROUP BY ALL),
+raised_p AS (SELECT k.frame, track, CASE WHEN meas = 0 THEN 'missed' ELSE 'detection' END AS kind, meas, sum(w) / any_value(z) AS p
+  FROM (SELECT frame, master, unnest(tracks) AS track, unnest(picks) AS meas, exp(ll) AS w FROM rw WHERE done = len(tracks)) k JOIN rz USING (frame, master) GROUP BY k.frame, track, meas
+  UNION ALL SELECT frame, unnest(tracks), 'nonexistence', NULL, 0 FROM go)""")
+def raised_marginals(spark, sf_dir):
+    """Marginals where every weight is e^-800 of what it was: the oracle has them as they were."""
+    r, h = _raised(spark, sf_dir)
+    h = h.filter("hypo = 0")
+    cm = written(hy.merge_map(r, h))
+    return rounded(exact.marginals(written(exact.masses(exact.joint(r, h, cm))), exact.members(h, cm)), "p")
+
+
+RAISED_Z = f"""SELECT frame, master, round(ln(sum(exp(ln(w) - 0.0) * exp({RAISED}::DOUBLE * (len(tracks) - least_n)))) + {RAISED}::DOUBLE * any_value(least_n), {R}) + 0.0 AS log_z
+FROM joint JOIN (SELECT frame, master, min(len(tracks)) AS least_n FROM joint GROUP BY ALL) USING (frame, master) GROUP BY frame, master"""
+
 
+@query(RAISED_Z)
+def raised_evidence(spark, sf_dir):
+    r, h = _raised(spark, sf_dir)
+    return rounded(exact.evidence_by_master(exact.masses(exact.joint(r, h))).select("frame", "master", "log_z"), "log_z")
+
+
+@query(RAISED_Z)
+def raised_conditioned_evidence(spark, sf_dir):
+    r, h = _raised(spark, sf_dir)
+    return rounded(conditioning.Conditioned(r, h, hy.merge_map(r, h)).evidence().select("frame", "master", "log_z"), "log_z")
+
+
+@query(f"""SELECT frame, l.cluster, l.hypo, round(w / sum(w) OVER (PARTITION BY frame, l.cluster), {R}) + 0.0 AS p
+FROM (SELECT frame, l, sum(w) AS w FROM (SELECT frame, unnest(labels) AS l, w * exp({RAISED}::DOUBLE * (len(tracks) - least_n)) AS w FROM joint JOIN (SELECT frame, master, min(len(tracks)) AS least_n FROM joint GROUP BY ALL) USING (frame, master)) GROUP BY ALL)""")
+def raised_theta(spark, sf_dir):
+    r, h = _raised(spark, sf_dir)
+    return rounded(exact.theta_posteriors(written(exact.masses(exact.joint(r, h))), h), "p")
 
 
 # converged propagation
@@ -235,11 +293,10 @@ def _mixture(spark, sf_dir, log_z=single.by_bethe):
     return written(single.per_hypothesis(r, m, log_z, 0.0, MIX)), m
 
 
-@query(f"SELECT frame, track, meas, round(p, {R}) + 0.0 AS p FROM mix_p", more=MIX_SQL)
+@query(_all_kinds("SELECT frame, track, meas, p FROM mix_p"), more=MIX_SQL)
 def mixture_marginals(spark, sf_dir):
     """Marginals by total probability: messages of each joint hypothesis alone, weighted by its Bethe evidence."""
-    out = single.total_probability(*_mixture(spark, sf_dir)).filter("kind <> 'nonexistence'")
-    return rounded(out.select("frame", "track", "meas", "p"), "p")
+    return rounded(single.total_probability(*_mixture(spark, sf_dir)).select("frame", "track", "kind", "meas", "p"), "p")
 
 
 @query(f"SELECT frame, round(sum(z), {R}) + 0.0 AS log_z FROM (SELECT frame, master, ln(sum(exp(lp + log_z))) AS z FROM hyp_z GROUP BY frame, master) GROUP BY frame", more=MIX_SQL)
