@@ -215,28 +215,65 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(joined.select("a", "b", "na", "nb", "owna", "nexta", "ownb", "nextb").mapInArrow(run, _PAIR).distinct())
 
 
-def _searched(shared: DataFrame, labels: DataFrame, sets: DataFrame, classes: Classes) -> DataFrame:
-    """Pairs of sets that share a key and aren't in one component, as a tree over their points finds them. In each bucket what isn't of its
-    largest component is looked for among all; blocks of the one meet blocks of the other, bounded on average, so that a row goes to as
-    many places as the other side has blocks."""
-    now = by_ids(shared.select("key", "id", "head"), labels, "left", "id").withColumn("component", F.coalesce("component", "id"))
+def _parts(shared: DataFrame, labels: DataFrame, alone: str) -> tuple[DataFrame, DataFrame]:
+    """Members of shared keys with their components, and of each key how they part: largest component, its n, all n, parts. Without the
+    members that `alone` says, which have met all others already."""
+    now = written(by_ids(shared.filter(alone).select("key", "id", "head"), labels, "left", "id").withColumn("component", F.coalesce("component", "id")))
     of = now.groupBy("key", "component").agg(F.count("*").alias("n"))
     most = of.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.count("*").alias("parts"))
+    return now, most.filter("parts > 1").select("key", F.col("largest.component").alias("largest"), F.col("largest.n").alias("n_largest"), "n")
+
+
+def _gathered(shared: DataFrame, links: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """More links, and the components, after rounds in which the member of each large bucket's largest component that has most links meets
+    what is apart: members of one crowd are mostly linked by way of few. Rounds go on while a tenth of those pairs are links; what they leave
+    apart is searched."""
+    labels = components(links)
+    large = written(by_ids(shared, shared.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > FAN).select("key"), "left_semi", "key"))
+    while True:
+        now, parts = _parts(large, labels, "true")
+        degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+        rows = by_ids(by_ids(now, written(parts), "inner", "key"), written(degree), "left", "id")
+        hub = rows.filter("component = largest").groupBy("key").agg(F.max_by("id", F.struct(F.coalesce("degree", F.lit(0)), "id")).alias("hub"))
+        apart = rows.filter("component <> largest").select("key", "id").join(hub, "key")
+        pairs = written(apart.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct())
+        tried = pairs.count()
+        if not tried:
+            return links, labels
+        more = verified(_bounded(pairs, sets, percent), docs, percent, SHINGLE)
+        found = more.count()
+        if found:
+            links = written(links.union(more).distinct())
+            labels = components(links)
+        if 10 * found < tried:
+            return links, labels
+
+
+def _searched(shared: DataFrame, labels: DataFrame, sets: DataFrame, classes: Classes) -> DataFrame:
+    """Pairs of sets that share a key and aren't in one component, as far as their points let them link. The points of a bucket over FAN are
+    searched by trees: what isn't of its largest component is looked for among all, blocks of the one meeting blocks of the other, bounded
+    on average, so that a row goes to as many places as the other side has blocks. A smaller bucket would be one leaf: its pairs are
+    bounded one by one, each once however many buckets have it."""
+    now, parts = _parts(shared, labels, "id <> head")
+    small = by_ids(now, written(parts.filter(F.col("n") <= FAN).select("key")), "left_semi", "key").select("key", "id", "component")
+    other = small.select("key", F.col("id").alias("b"), F.col("component").alias("apart"))
+    pairs = small.join(other, "key").filter("id < b and component <> apart").select(F.col("id").alias("a"), "b").distinct()
+    pairs = _bounded(written(pairs), sets, classes.percent)
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    mixed = most.filter("parts > 1").select("key", F.col("largest.component").alias("largest"), blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("largest.n")).alias("stray_blocks"))
-    rows = by_ids(written(now), written(mixed), "inner", "key").withColumn("stray", F.col("component") != F.col("largest"))
+    mixed = written(parts.filter(F.col("n") > FAN).select("key", "largest", blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("n_largest")).alias("stray_blocks")))
+    rows = by_ids(now, mixed, "inner", "key").withColumn("stray", F.col("component") != F.col("largest"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.hash("id"), F.col(n))
     left = rows.filter("stray").withColumns({"lo": own("stray_blocks"), "side": F.lit(0)}).withColumn("hi", every("blocks"))
     right = rows.withColumns({"hi": own("blocks"), "side": F.lit(1)}).withColumn("lo", every("stray_blocks"))
-    names = ["key", "lo", "hi", "side", "stray", "head", "id", "component"]
+    names = ["key", "lo", "hi", "side", "stray", "id", "component"]
     at = written(left.select(names).unionByName(right.select(names)))
     at = at.join(sets.select("id", "n_shingles", "own", "next"), "id")
     mask, groups, percent = (1 << CLASS_BITS) - 1, classes.groups, classes.percent
 
     def run(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
-        ids, comp, side, head, n = (t.column(c).to_numpy() for c in ("id", "component", "side", "head", "n_shingles"))
+        ids, comp, side, n = (t.column(c).to_numpy() for c in ("id", "component", "side", "n_shingles"))
         stray = t.column("stray").to_numpy(zero_copy_only=False)
         width = 2 * int(groups[t.column("key")[0].as_py() & mask])
         chosen = [p if p is not None and len(p) == width else q for p, q in zip(t.column("own").to_pylist(), t.column("next").to_pylist(), strict=True)]
@@ -245,12 +282,11 @@ def _searched(shared: DataFrame, labels: DataFrame, sets: DataFrame, classes: Cl
         tree = CountTree(vectors[right], n[right], percent)
         for i in left.tolist():
             j = right[tree.near(vectors[i], n[i])]
-            # of two strays the lesser one finds the other; the least member has met all
-            j = j[(comp[j] != comp[i]) & (~stray[j] | (ids[j] > ids[i])) & (ids[j] != head[j]) & (ids[i] != head[i])]
+            j = j[(comp[j] != comp[i]) & (~stray[j] | (ids[j] > ids[i]))]  # of two strays the lesser one finds the other
             out += [sorted((int(ids[i]), int(x))) for x in ids[j]]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return written(at.groupBy("key", "lo", "hi").applyInArrow(run, _PAIR).distinct())
+    return written(at.groupBy("key", "lo", "hi").applyInArrow(run, _PAIR).union(pairs).distinct())
 
 
 def joined(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -292,9 +328,10 @@ def joined(docs: DataFrame, percent: int = 85) -> DataFrame:
     tune(spark)
     empties = _shared(by_ids(sets.select("id", "own", "next"), tight, "inner", "id").select("id", "kind", "own", "next").mapInArrow(empty_rows, _ROW))
     shared = shared.filter("not hot").unionByName(every).unionByName(empties)
+    shared = written(shared)
     # a bucket's least member meets all; what is apart then is searched
     links = verified(_bounded(written(shared.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()), sets, percent), docs, percent, SHINGLE)
-    labels = components(links)
+    links, labels = _gathered(shared, links, sets, docs, percent)
     more = _searched(shared, labels, sets, classes)
     if more.limit(1).count():
         labels = components(links.union(verified(more, docs, percent, SHINGLE)))
