@@ -1,4 +1,5 @@
-"""Problems as graphs of factor tables: exact marginals and evidence by elimination, and sum-product message passing on any graph.
+"""Problems as graphs of factor tables: exact marginals and evidence by elimination and by junction trees, and sum-product message passing
+on any graph.
 
 A frame's rows are gathered into one row, and frames are worked on one at a time: a table never outgrows LIMIT entries, or the
 frame is refused. The enumeration in exact.py is the oracle of the first, propagation in lbp.py of the second.
@@ -6,6 +7,7 @@ frame is refused. The enumeration in exact.py is the oracle of the first, propag
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -86,6 +88,105 @@ def eliminated(domains: dict[Variable, list[int]], factors: list[Factor], target
     return (last / total, log_z + math.log(total)) if total > 0 else (last, float("-inf"))
 
 
+def elimination_order(domains: dict[Variable, list[int]], factors: list[Factor]) -> list[tuple[Variable, tuple[Variable, ...]]]:
+    """Variables and those each is joined with when it's summed out, the one of the smallest table next; only the neighbours of what
+    goes are looked at again."""
+    near: dict[Variable, set[Variable]] = {v: set() for v in domains}
+    for vs, _ in factors:
+        for v in vs:
+            near[v].update(u for u in vs if u != v)
+    size = lambda v: math.prod(len(domains[u]) for u in near[v]) * len(domains[v])
+    now = {v: size(v) for v in domains}
+    heap, out = [(n, v) for v, n in now.items()], []
+    heapq.heapify(heap)
+    while heap:
+        n, v = heapq.heappop(heap)
+        if now.get(v) != n:
+            continue
+        if n > LIMIT:
+            raise ValueError(f"a table of {n} entries; at most {LIMIT} are allowed")
+        del now[v]
+        around = near.pop(v)
+        out.append((v, tuple(sorted(around))))
+        for u in around:
+            near[u] |= around
+            near[u] -= {u, v}
+        for u in around:
+            now[u] = size(u)
+            heapq.heappush(heap, (now[u], u))
+    return out
+
+
+class JunctionTree:
+    """A tree of cliques, one for each variable with those it's joined with when it's summed out; a clique hangs on that of the first of
+    those to go. `work` counts the entries of the tables made."""
+
+    def __init__(self, domains: dict[Variable, list[int]], factors: list[Factor]):
+        self.domains, self.work = domains, 0
+        self.order = elimination_order(domains, factors)
+        place = {v: i for i, (v, _) in enumerate(self.order)}
+        self.parent = [min((place[u] for u in around), default=-1) for _, around in self.order]
+        self.own: list[list[Factor]] = [[] for _ in self.order]
+        self.constant = 0.0
+        for f in factors:
+            self.own[min(place[v] for v in f[0])].append(f)
+
+    def calibrated(self) -> tuple[dict[Variable, np.ndarray], float]:
+        """Marginals of all variables and the log-evidence: one pass of messages up, one down. A clique's table is multiplied once;
+        what comes down to a child is its parent's table over the separator less what went up."""
+        tables: list[np.ndarray] = []
+        up: list[np.ndarray] = []
+        below: list[list[int]] = [[] for _ in self.order]
+        log_z = self.constant
+        for i, (v, around) in enumerate(self.order):
+            ones: Factor = ((v, *around), np.ones([len(self.domains[u]) for u in (v, *around)]))
+            table = _multiplied([ones, *self.own[i], *((self.order[c][1], up[c]) for c in below[i])], (v, *around))
+            self.work += table.size
+            message = table.sum(axis=0)
+            top = float(message.max())
+            if top <= 0:
+                return {u: np.zeros(len(d)) for u, d in self.domains.items()}, float("-inf")
+            log_z += math.log(top)
+            tables.append(table / top)
+            up.append(message / top)
+            if self.parent[i] >= 0:
+                below[self.parent[i]].append(i)
+        out = {}
+        for i in range(len(self.order) - 1, -1, -1):
+            v, around = self.order[i]
+            if (p := self.parent[i]) >= 0:
+                names = (self.order[p][0], *self.order[p][1])
+                whole = _multiplied([(names, tables[p])], around)
+                self.work += tables[p].size
+                tables[i] = tables[i] * np.divide(whole, up[i], out=np.zeros_like(whole), where=up[i] > 0)
+            belief = tables[i].sum(axis=tuple(range(1, tables[i].ndim)))
+            out[v] = belief / belief.sum()
+            tables[i] = tables[i] / tables[i].sum()
+        return out, log_z
+
+
+def shifted(reward: list[tuple[int, int, float]], hypos: list[tuple[int, int, list[int], float]]) -> tuple[list, list, float]:
+    """The same problem with each track's largest weight taken out of its weights and put into the hypotheses that have it, those taken
+    relative to their cluster's sum, and what that takes out of the log-evidence: so no weight vanishes or overflows."""
+    top: dict[int, float] = {}
+    for t, _, ll in reward:
+        top[t] = max(top.get(t, -math.inf), ll)
+    owner: dict[int, int] = {}
+    for c, _, tracks, _ in sorted(hypos, key=lambda x: x[:2]):
+        for t in tracks:
+            owner.setdefault(t, c)
+    out, offset = [], 0.0
+    for c in sorted({x[0] for x in hypos}):
+        rows = [x for x in hypos if x[0] == c]
+        total = sum(p for *_, p in rows)
+        lp = [(math.log(p / total) if p > 0 else -math.inf) + sum(top.get(t, 0.0) for t in ts if owner[t] == c) for _, _, ts, p in rows]
+        most = max(lp)
+        w = [math.exp(x - most) for x in lp]
+        offset += most + math.log(sum(w))
+        out += [(*x[:3], y) for x, y in zip(rows, w, strict=True)]
+    return [(t, j, ll - top[t]) for t, j, ll in reward], out, offset
+
+
 def passed(domains: dict[Variable, list[int]], factors: list[Factor], most: int = 100, tol: float = 1e-9) -> tuple[dict[Variable, np.ndarray], int]:
     """Beliefs of sum-product message passing, all messages at once in each round, and the rounds taken: until none changes by more than
     tol, `most` at most."""
@@ -119,8 +220,10 @@ def _each_frame(reward: DataFrame, h: DataFrame, solve) -> DataFrame:
             out = []
             for frame, rs, own in zip(batch["frame"], batch["r"], batch["h"], strict=True):
                 pairs = [(x["track"], x["meas"], x["ll"]) for x in rs] if rs is not None else []
-                domains, factors = graph(pairs, [(x["cluster"], x["hypo"], [int(t) for t in x["tracks"]], x["prob"]) for x in own])
+                pairs, hypos, offset = shifted(pairs, [(x["cluster"], x["hypo"], [int(t) for t in x["tracks"]], x["prob"]) for x in own])
+                domains, factors = graph(pairs, hypos)
                 beliefs, log_z = solve(domains, factors)
+                log_z = None if log_z is None else log_z + offset
                 out += [(frame, v[0], v[1], x, p, log_z) for v, b in beliefs.items() for x, p in zip(domains[v], b.tolist(), strict=True)]
             yield pd.DataFrame(out, columns=["frame", "kind", "key", "value", "p", "log_z"])
 
@@ -128,14 +231,9 @@ def _each_frame(reward: DataFrame, h: DataFrame, solve) -> DataFrame:
 
 
 def by_elimination(reward: DataFrame, h: DataFrame) -> DataFrame:
-    """RESULT: exact marginals of all hypotheses, tracks and measurements, and the frame's log-evidence. A frame without a possible
-    association has p 0 and log_z -inf."""
-
-    def solve(domains, factors):
-        done = {v: eliminated(domains, factors, v) for v in domains}
-        return {v: p for v, (p, _) in done.items()}, next(iter(done.values()))[1] if done else 0.0
-
-    return _each_frame(reward, h, solve)
+    """RESULT: exact marginals of all hypotheses, tracks and measurements, and the frame's log-evidence, by two passes over a junction
+    tree. A frame without a possible association has p 0 and log_z -inf."""
+    return _each_frame(reward, h, lambda domains, factors: JunctionTree(domains, factors).calibrated())
 
 
 def by_messages(reward: DataFrame, h: DataFrame, most: int = 100) -> DataFrame:

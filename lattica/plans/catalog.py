@@ -19,13 +19,13 @@ STEPS = 3
 R = 6
 
 
-def query(sql: str | None = None, walk: bool = True, more: str = ""):
+def query(sql: str | None = None, walk: bool = True, more: str = "", tables: str = SQL):
     """Register a query by its function's name. sql: the select of its oracle, after the tables of problems.SQL (and joint, total)."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE[f.__name__] = f"WITH RECURSIVE {SQL}{',' + ENUMERATION if walk else ''}{',' + more if more else ''} {sql}"
+            ORACLE[f.__name__] = f"WITH RECURSIVE {tables}{',' + ENUMERATION if walk else ''}{',' + more if more else ''} {sql}"
         return f
 
     return add
