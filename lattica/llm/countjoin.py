@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import by_ids, column_out, join_salted, mix, offsets, pieces, tune, written
-from .minhash import components, labelled, shingles, verified
+from .minhash import components, labelled, shingles, similar, verified
 
 #: Words of a shingle.
 SHINGLE = 4
@@ -289,6 +289,67 @@ def _searched(shared: DataFrame, labels: DataFrame, sets: DataFrame, classes: Cl
     return written(at.groupBy("key", "lo", "hi").applyInArrow(run, _PAIR).union(pairs).distinct())
 
 
+def _crowded(hot: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame, classes: Classes) -> DataFrame:
+    """Links that join the components of crowds: of sets that keys over HOT connect, in so many keys each that they're brought together once
+    for the crowd. What isn't of a crowd's largest component is looked for among all, block by block as in `_searched`; what trees find is held
+    against the full sets there, and once two components are joined in a block, no more pairs of theirs are looked at. So at most one
+    link less than a block has components leaves it."""
+    now, parts = _parts(hot, labels, "true")
+    rows = written(by_ids(now, written(parts.select("key")), "left_semi", "key"))
+    crowd = components(rows.groupBy("key").agg(F.min("id").alias("a")).join(rows.select("key", F.col("id").alias("b")), "key").select("a", "b").filter("a <> b").distinct())
+    own = rows.select("id", "component").distinct().join(crowd.withColumnRenamed("component", "crowd"), "id")
+    most = own.groupBy("crowd", "component").agg(F.count("*").alias("n")).groupBy("crowd").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    most = written(most.select("crowd", F.col("largest.component").alias("largest"), blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("largest.n")).alias("stray_blocks")))
+    own = by_ids(written(own), most, "inner", "crowd").withColumn("stray", F.col("component") != F.col("largest"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at = lambda n: F.pmod(F.hash("id"), F.col(n))
+    left = own.filter("stray").withColumns({"lo": at("stray_blocks"), "side": F.lit(0)}).withColumn("hi", every("blocks"))
+    right = own.withColumns({"hi": at("blocks"), "side": F.lit(1)}).withColumn("lo", every("stray_blocks"))
+    names = ["crowd", "lo", "hi", "side", "id", "component"]
+    places = written(left.select(names).unionByName(right.select(names)))
+    ids = written(places.select(F.col("id").alias("doc_id")).distinct())
+    texts = by_ids(docs, ids, "left_semi").withColumnRenamed("doc_id", "id")
+    full = places.join(sets.select("id", "n_shingles", "own", "next"), "id").join(texts, "id")
+    percent, kinds = classes.percent, {2 * int(g): k for k, g in enumerate(classes.groups)}
+
+    def run(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        ids, comp, side, n = (t.column(c).to_numpy() for c in ("id", "component", "side", "n_shingles"))
+        text, known, top, out = t.column("text"), {}, {}, []
+
+        def full_set(k: int) -> np.ndarray:
+            if k not in known:
+                known[k] = shingles([(text[k].as_py() or "").encode()], SHINGLE)[0]
+            return known[k]
+
+        def root(c: int) -> int:
+            while top.get(c, c) != c:
+                c = top[c]
+            return c
+
+        by_kind: dict[int, dict[int, bytes]] = {}
+        for column in ("own", "next"):
+            for k, p in enumerate(t.column(column).to_pylist()):
+                if p is not None:
+                    by_kind.setdefault(kinds[len(p)], {})[k] = p
+        for points_of in by_kind.values():
+            members = np.array(list(points_of))
+            vectors = np.frombuffer(b"".join(points_of.values()), np.uint16).reshape(len(members), -1)
+            left, right = np.flatnonzero(side[members] == 0), np.flatnonzero(side[members] == 1)
+            tree = CountTree(vectors[right], n[members[right]], percent)
+            for i in left.tolist():
+                a = int(members[i])
+                for b in members[right[tree.near(vectors[i], n[a])]].tolist():
+                    p, q = root(int(comp[a])), root(int(comp[b]))
+                    if p != q and similar(full_set(a), full_set(b), percent):
+                        top[max(p, q)] = min(p, q)
+                        out.append(sorted((int(ids[a]), int(ids[b]))))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return written(full.groupBy("crowd", "lo", "hi").applyInArrow(run, _PAIR).distinct())
+
+
 def joined(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of each row.
 
@@ -332,7 +393,10 @@ def joined(docs: DataFrame, percent: int = 85) -> DataFrame:
     # a bucket's least member meets all; what is apart then is searched
     links = verified(_bounded(written(shared.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()), sets, percent), docs, percent, SHINGLE)
     links, labels = _gathered(shared, links, sets, docs, percent)
-    more = _searched(shared, labels, sets, classes)
+    if shared.filter("hot").limit(1).count():
+        links = written(links.union(_crowded(shared.filter("hot"), labels, sets, docs, classes)))
+        labels = components(links)
+    more = _searched(shared.filter("not hot"), labels, sets, classes)
     if more.limit(1).count():
         labels = components(links.union(verified(more, docs, percent, SHINGLE)))
     return labelled(narrow, same, labels)
