@@ -93,6 +93,26 @@ def pruned(h: DataFrame, tail: float = 0.0006, least: float = 0.0006, limit: int
     return rows.withColumn("prob", normalized(F.col("prob"), *by))
 
 
+def bid_pruned(h: DataFrame, cap: int = 150, tail: float = 0.0006, least: float = 0.0006, tracks: DataFrame | None = None, exists: float = 1e-6) -> DataFrame:
+    """Prune under one cap for all clusters of a frame. A hypothesis is doubtful if it's in its cluster's tail of mass `tail` and itself under
+    `least`, or beyond rank `cap`, or if all its tracks (frame, track, exi; where given) have an existence under `exists`. What isn't
+    doubtful stays, even beyond the cap. Then clusters bid, round by round, their best doubtful hypothesis, the likeliest bid first, until
+    the frame has `cap`: the sorted lists of clusters merge by (round, probability). Ties go by cluster and hypo. Normalised again."""
+    order = Window.partitionBy(*CLUSTER).orderBy(F.col("prob").desc(), "hypo")
+    rows = h.withColumn("prob", normalized(F.col("prob"), *CLUSTER)).withColumn("place", F.row_number().over(order))
+    after = F.coalesce(F.sum("prob").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
+    doubtful = ((after < tail) & (F.col("prob") < least)) | (F.col("place") > cap)
+    if tracks is not None:
+        lives = h.select(*CLUSTER, "hypo", F.explode("tracks").alias("track")).join(tracks.select("frame", "track", "exi"), ["frame", "track"]).groupBy(*CLUSTER, "hypo").agg(F.max("exi").alias("lives"))
+        rows = rows.join(lives, [*CLUSTER, "hypo"], "left")
+        doubtful = doubtful | F.coalesce(F.col("lives") < exists, F.lit(False))
+    rows = rows.withColumn("doubtful", doubtful)
+    rows = rows.withColumn("round", F.when(F.col("doubtful"), F.row_number().over(Window.partitionBy(*CLUSTER, "doubtful").orderBy(F.col("prob").desc(), "hypo"))).otherwise(0))
+    rows = rows.withColumn("bid", F.row_number().over(Window.partitionBy("frame").orderBy("round", F.col("prob").desc(), "cluster", "hypo")))
+    kept = rows.filter(~F.col("doubtful") | (F.col("bid") <= cap)).drop("place", "doubtful", "round", "bid", "lives")
+    return kept.withColumn("prob", normalized(F.col("prob"), *CLUSTER))
+
+
 def proportional_children(h: DataFrame, children: int = 150) -> DataFrame:
     """How many children each hypothesis gets of a total, in proportion to its probability, at least one."""
     return normalize(h).withColumn("children", F.greatest(F.lit(1), F.round(F.col("prob") * children)).cast("int"))
@@ -106,6 +126,41 @@ def merged_by_history(tracks: DataFrame, by: tuple[str, ...] = ("frame",)) -> Da
     return tracks.groupBy(*by, "history").agg(F.min("track").alias("track"), w.alias("weight"), mean.alias("x"), (F.sum(F.col("weight") * (F.col("p") + F.col("x") * F.col("x"))) / w - mean * mean).alias("p"), (F.sum(F.col("weight") * F.col("exi")) / w).alias("exi"), F.count("*").alias("n_merged"))
 
 
+def histories_merged(tracks: DataFrame, h: DataFrame, dims: int) -> tuple[DataFrame, DataFrame]:
+    """Tracks of a frame with equal histories become one, numbered anew from 1 in the order of their least old number, and hypotheses follow.
+
+    tracks: frame, track, history (array), x (array), p (covariance, rows end to end), exi. A merged track has mean and covariance by moment
+    matching, weighed by its tracks' total probability in h (tracks that no hypothesis has weigh nothing; of tracks that together weigh nothing each
+    weighs the same), existence as weighted mean, and n_merged. Hypotheses with the same merged tracks in a cluster become one, their
+    probabilities summed, named by the least hypo. A merged track in several clusters stays where hypotheses with it have most
+    probability (ties: the least cluster); elsewhere hypotheses with it go, also if a cluster loses all. Tracks that no hypothesis
+    has any more go as well. Null histories are equal to each other."""
+    total = track_probability(h).groupBy("frame", "track").agg(F.sum("p").alias("total"))
+    group = Window.partitionBy("frame", "history")
+    rows = tracks.join(total, ["frame", "track"], "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
+    rows = rows.withColumns({"first": F.min("track").over(group), "whole": F.sum("total").over(group), "of": F.count("*").over(group)})
+    rows = rows.withColumn("w", F.when(F.col("whole") > 0, F.col("total") / F.col("whole")).otherwise(1 / F.col("of")))
+    rows = rows.withColumn("new", F.dense_rank().over(Window.partitionBy("frame").orderBy("first")))
+    # the sums of x, and of p + x x', entry by entry
+    second = F.expr(f"transform(p, (v, k) -> v + x[k div {dims}] * x[k % {dims}])")
+    entries = rows.select("frame", "new", "w", F.posexplode(F.concat(F.col("x").cast("array<double>"), second.cast("array<double>"))).alias("k", "v"))
+    sums = entries.groupBy("frame", "new", "k").agg(F.sum(F.col("w") * F.col("v")).alias("v")).groupBy("frame", "new").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("v"))
+    sums = sums.select("frame", "new", F.slice("v", 1, dims).alias("x"), F.slice("v", dims + 1, dims * dims).alias("q"))
+    moments = sums.select("frame", "new", "x", F.expr(f"transform(q, (v, k) -> v - x[k div {dims}] * x[k % {dims}])").alias("p"))
+    one = rows.groupBy("frame", "new").agg(F.first("history").alias("history"), F.sum(F.col("w") * F.col("exi")).alias("exi"), F.count("*").alias("n_merged"))
+    renamed = rows.select("frame", "track", "new")
+    picked = normalize(h).select(*CLUSTER, "hypo", "prob", F.explode_outer("tracks").alias("track")).join(renamed, ["frame", "track"], "left")
+    named = picked.groupBy(*CLUSTER, "hypo").agg(F.first("prob").alias("prob"), F.array_sort(F.collect_set("new")).alias("tracks"))
+    same = named.groupBy(*CLUSTER, "tracks").agg(F.min("hypo").alias("hypo"), F.sum("prob").alias("prob"))
+    mass = same.select(*CLUSTER, "hypo", "prob", F.explode("tracks").alias("new"))
+    best = mass.groupBy("frame", "new", "cluster").agg(F.sum("prob").alias("mass")).withColumn("k", F.row_number().over(Window.partitionBy("frame", "new").orderBy(F.round("mass", 12).desc(), "cluster")))
+    gone = mass.join(best.filter("k > 1").select("frame", "new", "cluster"), ["frame", "new", "cluster"]).select(*CLUSTER, "hypo").distinct()
+    left = normalize(same.join(gone, [*CLUSTER, "hypo"], "left_anti")).select(*CLUSTER, "hypo", "tracks", "prob")
+    lives = left.select("frame", F.explode("tracks").alias("new")).distinct()
+    merged_tracks = moments.join(one, ["frame", "new"]).join(lives, ["frame", "new"], "left_semi").withColumnRenamed("new", "track")
+    return merged_tracks, left
+
+
 def shared_tracks(h: DataFrame) -> DataFrame:
     """Tracks in several clusters: an invariant says there are none."""
     return h.select("frame", "cluster", F.explode("tracks").alias("track")).groupBy("frame", "track").agg(F.countDistinct("cluster").alias("n")).filter("n > 1")

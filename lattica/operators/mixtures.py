@@ -2,31 +2,82 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def _bounds(w: np.ndarray, mean: np.ndarray, cov: np.ndarray, log_det: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """What merging component i with others costs at most: ((w1 + w2) ln|P| - w1 ln|P1| - w2 ln|P2|) / 2."""
+    total = w[i] + w[others]
+    a, b = (w[i] / total)[:, None, None], (w[others] / total)[:, None, None]
+    d = mean[others] - mean[i]
+    p = a * cov[i] + b * cov[others] + a * b * d[:, :, None] * d[:, None, :]
+    return 0.5 * (total * np.linalg.slogdet(p)[1] - w[i] * log_det[i] - w[others] * log_det[others])
+
+
+def reduced(w: np.ndarray, mean: np.ndarray, cov: np.ndarray, most: int, least: float = 1e-5, dearest: float = np.inf, always: float = 0.0) -> list[tuple[float, np.ndarray, np.ndarray, list[int]]]:
+    """Components (weight, mean, covariance, the numbers of those merged). Those under `least` go; then the pair that costs least is merged, ties by
+    the least numbers, while over `most` are left and it costs under `dearest`, or it costs under `always`. Costs wait in a heap;
+    a merge puts in those of the new component alone."""
+    alive = [int(k) for k in np.flatnonzero(w >= least)]
+    n = len(w)
+    size = n + max(0, len(alive) - 1)
+    weight, at, spread, log_det = np.zeros(size), np.zeros((size, mean.shape[1])), np.zeros((size, *cov.shape[1:])), np.zeros(size)
+    weight[:n], at[:n], spread[:n] = w, mean, cov
+    if n:
+        log_det[:n] = np.linalg.slogdet(cov)[1]
+    members, left, heap = {k: [k] for k in alive}, dict.fromkeys(alive), []
+    for k, i in enumerate(alive[1:], 1):
+        others = np.array(alive[:k])
+        heap += [(float(c), int(j), i) for c, j in zip(_bounds(weight, at, spread, log_det, i, others), others, strict=True)]
+    heapq.heapify(heap)
+    new = n
+    while heap:
+        cost, i, j = heapq.heappop(heap)
+        if i not in left or j not in left:
+            continue
+        if not (len(left) > most and cost < dearest or cost < always):
+            break
+        total = weight[i] + weight[j]
+        d = at[i] - at[j]
+        weight[new], at[new] = total, (weight[i] * at[i] + weight[j] * at[j]) / total
+        spread[new] = (weight[i] * spread[i] + weight[j] * spread[j]) / total + weight[i] * weight[j] / total**2 * np.outer(d, d)
+        log_det[new], members[new] = np.linalg.slogdet(spread[new])[1], sorted(members[i] + members[j])
+        del left[i], left[j]
+        if left:
+            others = np.array(list(left))
+            for c, k in zip(_bounds(weight, at, spread, log_det, new, others), others.tolist(), strict=True):
+                heapq.heappush(heap, (float(c), k, new))
+        left[new] = None
+        new += 1
+    return [(float(weight[k]), at[k], spread[k], members[k]) for k in left]
 
 
 def reduce_mixture(w: np.ndarray, mean: np.ndarray, cov: np.ndarray, most: int, least: float = 1e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Drop components under `least`, then merge the pair whose merging costs least by the bound
-    ((w1 + w2) ln|P| - w1 ln|P1| - w2 ln|P2|) / 2 until `most` are left."""
-    keep = w >= least
-    w, mean, cov = list(w[keep]), list(mean[keep]), list(cov[keep])
-    log_det = [np.linalg.slogdet(p)[1] for p in cov]
-
-    def joined(i: int, j: int):
-        total = w[i] + w[j]
-        d = mean[i] - mean[j]
-        p = (w[i] * cov[i] + w[j] * cov[j]) / total + w[i] * w[j] / total**2 * np.outer(d, d)
-        return total, (w[i] * mean[i] + w[j] * mean[j]) / total, p
-
-    while len(w) > most:
-        costs = []
-        for i in range(len(w)):
-            for j in range(i):
-                total, _, p = joined(i, j)
-                costs.append((0.5 * (total * np.linalg.slogdet(p)[1] - w[i] * log_det[i] - w[j] * log_det[j]), i, j))
-        _, i, j = min(costs)
-        w[j], mean[j], cov[j] = joined(i, j)
-        log_det[j] = np.linalg.slogdet(cov[j])[1]
-        for x in (w, mean, cov, log_det):
-            del x[i]
-    return np.array(w), np.array(mean), np.array(cov)
+    """Weights, means and covariances of `reduced`."""
+    out = reduced(w, mean, cov, most, least)
+    d = mean.shape[1]
+    return np.array([x[0] for x in out]), np.array([x[1] for x in out]).reshape(-1, d), np.array([x[2] for x in out]).reshape(-1, d, d)
+
+
+REDUCED = "frame long, component int, weight double, x array<double>, p array<double>, members array<int>"
+
+
+def reduced_components(components: DataFrame, most: int, least: float = 1e-5, dearest: float = float("inf"), always: float = 0.0) -> DataFrame:
+    """REDUCED: the mixture of each frame, (frame, component, weight, x, p), with `most` components at best; p has its rows end to end. A merged
+    component is named by its least member; a frame's components stand in one group."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("component", kind="stable")
+        x = np.array(rows["x"].tolist(), float)
+        d, names = x.shape[1], rows["component"].tolist()
+        out = reduced(rows["weight"].to_numpy(float), x, np.array(rows["p"].tolist(), float).reshape(-1, d, d), most, least, dearest, always)
+        back = [(int(rows["frame"].iloc[0]), min(names[k] for k in own), w, m.tolist(), c.ravel().tolist(), [names[k] for k in own]) for w, m, c, own in out]
+        return pd.DataFrame(back, columns=["frame", "component", "weight", "x", "p", "members"])
+
+    good = components.select("frame", F.col("component").cast("int").alias("component"), F.col("weight").cast("double").alias("weight"), F.col("x").cast("array<double>").alias("x"), F.col("p").cast("array<double>").alias("p"))
+    return good.groupBy("frame").applyInPandas(run, REDUCED)
