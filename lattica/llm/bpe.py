@@ -242,13 +242,13 @@ def cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 class ChunkTable:
     """Encodes texts chunk by chunk through `encode_chunks`, remembering distinct chunks by two 64-bit hashes of their bytes.
 
-    `cut` says whether the encoder's pre-tokens never cross the places of cuts(); else whole texts are chunks."""
+    `cut` says whether the encoder's pre-tokens never cross the places of cuts(); else whole texts are chunks, as are those that hold one
+    of the strings `whole`."""
 
-    def __init__(self, encode_chunks, rows: int = TABLE_ROWS, cut: bool = True):
-        self.encode_chunks, self.rows, self.cut = encode_chunks, rows, cut
-        bases = np.frombuffer(os.urandom(16), np.uint64) | np.uint64(1)
-        with np.errstate(over="ignore"):
-            self.powers = [np.concatenate([[np.uint64(1)], np.full(HASHED, b)]).cumprod() for b in bases]
+    def __init__(self, encode_chunks, rows: int = TABLE_ROWS, cut: bool = True, whole: tuple[bytes, ...] = ()):
+        self.encode_chunks, self.rows, self.cut, self.whole = encode_chunks, rows, cut, whole
+        #: A random number for each place in a chunk and each byte there, twice.
+        self.tables = [np.frombuffer(os.urandom(8 * 256 * CHUNK_BYTES), np.uint64).copy() for _ in range(2)]
         self._clear()
 
     def _clear(self) -> None:
@@ -289,19 +289,19 @@ class ChunkTable:
         return out
 
     def _hashes(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Two hashes of each chunk: polynomials in odd numbers that each process draws; long chunks, for which these could be forged, have
-        a digest."""
+        """Two hashes of each chunk: sums of random numbers, one for each place and byte, that each process draws. So two different chunks
+        agree in both with probability 2^-128, whatever texts somebody chooses. Long chunks have a digest."""
         out = np.empty((len(begin), 2), np.uint64)
         k = 0
         while k < len(begin):
             e = max(k + 1, int(np.searchsorted(end, begin[k] + HASHED, "right")))
             if end[k] - begin[k] <= HASHED:
-                a, b = begin[k:e] - begin[k], end[k:e] - begin[k]
-                part = raw[begin[k] : end[e - 1]].astype(np.uint64) + np.uint64(1)
-                for side, power in enumerate(self.powers):
-                    total = np.zeros(len(part) + 1, np.uint64)
-                    np.cumsum(part * power[: len(part)], out=total[1:])
-                    out[k:e, side] = (total[b] - total[a]) * power[HASHED - a]
+                at = begin[k:e] - begin[k]
+                part = raw[begin[k] : end[e - 1]]
+                place = np.arange(len(part), dtype=np.int32) - np.repeat(at, end[k:e] - begin[k:e]).astype(np.int32)
+                index = np.minimum(place, CHUNK_BYTES - 1) << 8 | part
+                for side, table in enumerate(self.tables):
+                    out[k:e, side] = np.add.reduceat(table[index], at)
             k = e
         for k in np.flatnonzero(end - begin > CHUNK_BYTES).tolist():
             out[k] = np.frombuffer(xxhash.xxh3_128_digest(raw[begin[k] : end[k]].tobytes()), np.uint64)
@@ -360,6 +360,10 @@ class ChunkTable:
         if not len(raw):
             return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
         begin = cuts(raw, at) if self.cut else np.unique(at[:-1][np.diff(at) > 0])
+        if self.cut and any(s in text for s in self.whole for text in texts):
+            held = np.array([any(s in text for s in self.whole) for text in texts])
+            text_of = np.searchsorted(at, begin, "right") - 1
+            begin = begin[~held[text_of] | (begin == at[text_of])]
         end = np.append(begin[1:], len(raw))
         key = self._hashes(raw, begin, end)
         rows = self._find(key)

@@ -47,8 +47,10 @@ def library_table(path: str) -> ChunkTable:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    # the library takes these strings out of a text first, wherever they stand
+    added = tuple(a["content"].encode() for a in spec.get("added_tokens") or [])
     spaced = np.array([(t.id_to_token(k) or "").startswith(SPACE) for k in range(t.get_vocab_size())])
 
     def alone(chunks: list[bytes]) -> list[np.ndarray]:
@@ -63,6 +65,8 @@ def library_table(path: str) -> ChunkTable:
         at, raw = offsets(size), np.frombuffer(b"".join(chunks) + b"  ", np.uint8)
         first, second, last = raw[at[:-1]], raw[at[:-1] + 1], raw[np.maximum(at[1:] - 1, 0)]
         seen = lambda x: (x > 32) & (x < 127)
+        if any(s in chunk for s in added for chunk in chunks):
+            first = np.where([any(s in chunk for s in added) for chunk in chunks], 0, first)  # those aren't joined
         n_space, n_line = (np.diff(offsets(raw[:-2] == c)[at]) for c in (32, 10))
         after = np.flatnonzero((size > 1) & (first == 32) & seen(second) & seen(last) & (n_space == 1)).tolist()
         bare = np.flatnonzero(seen(first) & seen(last) & (n_space == 0) & (n_line == 0)).tolist() if len(newline) == 1 else []
@@ -84,11 +88,10 @@ def library_table(path: str) -> ChunkTable:
         flat, lens = np.concatenate([*flat, *got]), np.concatenate([*lens, np.array([len(x) for x in got], np.int64)])
         return ragged(flat, offsets(lens)[:-1][place], lens[place]), lens[place]
 
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
     own = spec.get("pre_tokenizer") or {}
     byte_level = own.get("type") == "ByteLevel" and own.get("use_regex", True) and not own.get("add_prefix_space", True)
-    return ChunkTable(encode, cut=byte_level and spec.get("normalizer") is None and all(a["special"] for a in spec.get("added_tokens") or []))
+    plain = all(a["special"] and not a.get("normalized") for a in spec.get("added_tokens") or [])
+    return ChunkTable(encode, cut=byte_level and spec.get("normalizer") is None and plain, whole=added)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END, encoding: str = "dictionary") -> None:

@@ -81,7 +81,6 @@ def test_encode_and_decode_tables(odd_docs):
 
 def own_ids(texts):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
@@ -188,7 +187,39 @@ def test_other_patterns_are_not_cut():
 def test_hashes_of_one_value_do_not_harm():
     """Different chunks whose first hashes agree are told apart by the second."""
     made = bpe.ChunkTable(bpe.load(RANKS, P.PATTERN).encode_chunks)
-    made.powers[0][:] = 0
+    made.tables[0][:] = 0
     text = "all of these words have one first hash"
     for _ in range(2):
         assert made.encode([text.encode()])[0].tolist() == by_library(text)
+
+
+def thue_morse(n, one, other):
+    return bytes((other if bin(k).count("1") & 1 else one)[0] for k in range(n))
+
+
+@pytest.mark.parametrize("pair", [(b"A", b"a"), (b"1", b"q"), (b"x", b"y"), (b"(", b"Z")])
+def test_chosen_texts_have_hashes_of_their_own(pair):
+    """Texts in which polynomials modulo a power of two agree for many bases: fresh tables tell them apart."""
+    core, one, two = bpe.load(RANKS, P.PATTERN), *pair
+    for n in (128, 256, 512):
+        a, b = thue_morse(n, one, two), thue_morse(n, two, one)
+        for k in range(50):
+            made = bpe.ChunkTable(core.encode_chunks, cut=False)
+            raw, begin = np.frombuffer(a + b, np.uint8), np.array([0, n])
+            keys = made._hashes(raw, begin, begin + n)
+            assert (keys[0] != keys[1]).all()
+            if k < 2:
+                flat, counts = made.encode([a, b])
+                assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [by_library(a.decode()), by_library(b.decode())]
+
+
+def test_special_strings_as_the_library_has_them():
+    """By its default they stand for their ids wherever they are, and part the text."""
+    end = "<|endoftext|>"
+    texts = [f"hello {end} world", end, f"a{end}", f" {end}", f"{end}{end} b", f"x.{end}\ny", "<|endoftext", f"one\ntwo {end}\n three", "plain text", f"a {end}", " b", f"{end} c"]
+    lib = tokenfile.library_table(P.path("byte_bpe_50k.json"))
+    for made in (lib, bpe.ChunkTable(lib.encode_chunks, 4, whole=lib.whole)):
+        for batch in (texts, texts[::-1], *([t] for t in texts)):
+            flat, counts = made.encode([t.encode() for t in batch])
+            assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == own_ids(batch)
+    assert own_ids(texts)[0] == [31373, 220, 50256, 995]
