@@ -55,48 +55,71 @@ def propagated(reward: DataFrame, member: DataFrame, shared: DataFrame, tol: flo
     """The loopy solver: one way for each hypothesis and each set of its shared measurements that its tracks can use all at once, weighed by
     the Bethe evidence of messages in which the set is used and the other shared measurements are left out.
 
-    Exact where a hypothesis' tracks and measurements have no loop. More than SETS sets of a hypothesis raise; factors.by_junction_tree
+    Exact where a hypothesis' tracks and measurements have no loop. More than SETS sets of a hypothesis raise; factors.by_elimination
     takes such frames. With tol 0 there are `most` rounds. A track's weights are divided by its largest, which messages don't notice."""
+    return _by_sets(reward, member, shared.withColumn("links", F.col("shared")), ["frame", "master"], tol, most, True)
+
+
+def allowed(reward: DataFrame, member: DataFrame, shared: DataFrame, tol: float = 1e-12, most: int = 300) -> DataFrame:
+    """The loopy solver that lets a cluster use what it owns: one way for each hypothesis and each set of its cluster's shared measurements, weighed
+    by the Bethe evidence of messages in which the others are left out and those of the set may be used.
+
+    With Conditioned's default, each ownership takes the way of just the set that the cluster owns, so an association counts once for
+    each ownership that allows it. Sets that are the same for a hypothesis' own tracks are solved once. Bounds as in `propagated`."""
+    gates = reward.filter("meas > 0").join(member.select("frame", "master", "cluster", F.explode("tracks").alias("track")).distinct(), ["frame", "track"])
+    own = gates.groupBy("frame", "master", "cluster").agg(F.collect_set("meas").alias("gated")).join(shared, ["frame", "master"])
+    links = own.select("frame", "master", "cluster", F.array_sort(F.array_intersect("gated", "shared")).alias("links"))
+    return _by_sets(reward, member, links, ["frame", "master", "cluster"], tol, most, False)
+
+
+def _by_sets(reward: DataFrame, member: DataFrame, links: DataFrame, keys: list[str], tol: float, most: int, forced: bool) -> DataFrame:
     gates = reward.groupBy("frame").agg(F.collect_list("track").alias("t"), F.collect_list("meas").alias("j"), F.collect_list("ll").alias("ll"))
-    rows = member.select("frame", "master", "cluster", "hypo", "tracks", "prob").join(gates, "frame", "left").join(shared, ["frame", "master"], "left")
+    rows = member.select("frame", "master", "cluster", "hypo", "tracks", "prob").join(gates, "frame", "left").join(links, keys, "left")
 
     def solve(tracks, prob, t, j, ll, links):
         order = np.sort(np.asarray(tracks, int))
-        if not len(order):
-            return [([], [], math.log(prob) if prob > 0 else -math.inf)]
         t, j, ll = (np.asarray([] if x is None else x, kind) for x, kind in ((t, int), (j, int), (ll, float)))
+        links = np.asarray([] if links is None else links, int)
         own = np.isin(t, order)
         t, j, ll = t[own], j[own], ll[own]
         meas, hit, at = np.unique(j[j > 0]), j > 0, np.searchsorted(order, t)
         most_of = np.full(len(order), -np.inf)
         np.maximum.at(most_of, at, ll)
-        if not np.isfinite(most_of).all():
+        if not np.isfinite(most_of).all() or prob <= 0:
             return []
         e = np.exp(ll - most_of[at])
         w, w0 = np.zeros((len(order), len(meas))), np.zeros(len(order))
         w[at[hit], np.searchsorted(meas, j[hit])] = e[hit]
         w0[at[~hit]] = e[~hit]
-        linked = np.isin(meas, [] if links is None else links)
-        if sum(math.comb(int(linked.sum()), n) for n in range(min(int(linked.sum()), len(order)) + 1)) > SETS:
+        linked = np.isin(meas, links)
+        sets = meas[linked] if forced else links
+        longest = min(len(sets), len(order)) if forced else len(sets)
+        if sum(math.comb(len(sets), n) for n in range(longest + 1)) > SETS:
             raise ValueError("too many sets of shared measurements")
-        out = []
-        for n in range(min(int(linked.sum()), len(order)) + 1):
-            for used in combinations(np.flatnonzero(linked).tolist(), n):
-                # tracks that can't be missed need a measurement of their own as well
-                keep = np.flatnonzero(~linked | np.isin(np.arange(len(meas)), used))
-                sub, must = w[:, keep], np.isin(keep, used)
-                if not _feasible(sub, w0, must):
-                    continue
-                p, log_z = clean(sub, w0, tol, most, np.where(must, UNUSED, 1.0))
-                columns = [0, *meas[keep].tolist()]
-                picks = [{"track": int(order[r]), "meas": int(columns[c]), "share": float(p[r, c])} for r, c in zip(*np.nonzero(p), strict=True)]
-                out.append((meas[list(used)].tolist(), picks, math.log(prob) + float(most_of.sum()) + float(log_z) if prob > 0 else -math.inf))
+        base, out, known = math.log(prob) + float(most_of.sum()), [], {}
+        for n in range(longest + 1):
+            for used in combinations(sets.tolist(), n):
+                inside = tuple(x for x in used if x in meas)
+                if inside not in known:
+                    known[inside] = None
+                    keep = np.flatnonzero(~linked | np.isin(meas, inside))
+                    sub, must = w[:, keep], np.isin(meas[keep], inside) & forced
+                    # tracks that can't be missed need a measurement of their own as well
+                    if not len(order):
+                        known[inside] = ([], base)
+                    elif _feasible(sub, w0, must):
+                        p, log_z = clean(sub, w0, tol, most, np.where(must, UNUSED, 1.0))
+                        columns = [0, *meas[keep].tolist()]
+                        picks = [{"track": int(order[r]), "meas": int(columns[c]), "share": float(p[r, c])} for r, c in zip(*np.nonzero(p), strict=True)]
+                        known[inside] = (picks, base + float(log_z))
+                if known[inside] is not None:
+                    out.append((list(used), *known[inside]))
         return out
 
     def run(batches):
         for b in batches:
             keys = zip(b["frame"], b["master"], b["cluster"], b["hypo"], strict=True)
-            given = zip(b["tracks"], b["prob"], b["t"], b["j"], b["ll"], b["shared"], strict=True)
+            given = zip(b["tracks"], b["prob"], b["t"], b["j"], b["ll"], b["links"], strict=True)
             out = [(*k, *x) for k, g in zip(keys, given, strict=True) for x in solve(*g)]
             yield pd.DataFrame(out, columns=["frame", "master", "cluster", "hypo", "uses", "picks", "lw"])
 

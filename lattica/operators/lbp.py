@@ -183,3 +183,92 @@ def phd_evidence(reward: DataFrame) -> DataFrame:
     missed = reward.filter("meas = 0").groupBy("frame").agg(F.exp(-F.sum(1 - F.exp("ll"))).alias("base"))
     gated = reward.filter("meas > 0").groupBy("frame", "meas").agg((1 + F.sum(F.exp("ll"))).alias("x")).groupBy("frame").agg(F.product("x").alias("x"))
     return missed.join(gated, "frame", "left").select("frame", (F.col("base") * F.coalesce("x", F.lit(1.0))).alias("z"))
+
+
+def rounds(x: Frames):
+    """(round, mu, nu, rho, sigma) from round 0 on, without end and without a stop rule."""
+    live = x.track[:, :, None] & (x.w > 0)
+    w = x.w = np.where(live, x.w, 0.0)
+    sigma, nu, k = np.ones(x.w0.shape), np.ones(w.shape), 0
+    while True:
+        wn = w * nu
+        mu = w / np.where(live, wn.sum(2, keepdims=True) - wn + (x.w0 + sigma)[:, :, None], 1.0)
+        nu = 1.0 / (1.0 + mu.sum(1, keepdims=True) - mu)
+        rho = x.w0 + (w * nu).sum(2)
+        sigma = x.sigma(rho)
+        yield k, mu, nu, rho, sigma
+        k += 1
+
+
+#: The stop rule by marginals: messages change by no more than the first (as a logarithm), or marginals, looked at every few
+#: rounds, by no more than the second.
+STILL_MESSAGES, STILL_MARGINALS, EVERY = 1e-7, 1e-6, 5
+
+
+def _by_marginals(x: Frames, messages: float, marginals: float, every: int, most: int) -> pd.DataFrame:
+    f = len(x.frames)
+    done, by = np.zeros(f, int), np.array([""] * f, object)
+    kept = last_nu = last_p = None
+    for k, mu, nu, rho, sigma in rounds(x):
+        total = rho + sigma
+        p = np.concatenate([(x.w0 / total)[:, :, None], x.w * nu / total[:, :, None], (sigma / total)[:, :, None]], 2)
+        on = done == 0
+        kept = p.copy() if kept is None else np.where(on[:, None, None], p, kept)
+        if k:
+            err = np.abs(np.log(np.where(x.w > 0, nu / last_nu, 1.0))).max((1, 2))
+            met = on & (err <= messages)
+            done[met], by[met] = k, "messages"
+        if k and k % every == 0:
+            if last_p is not None:
+                met = (done == 0) & (np.abs(p - last_p).max((1, 2)) <= marginals)
+                done[met], by[met] = k, "marginals"
+            last_p = p
+        last_nu = nu
+        if k >= most or (done > 0).all():
+            break
+    done[done == 0] = k
+    parts = []
+    for kind, value in (("missed", kept[:, :, 0]), ("nonexistence", kept[:, :, -1])):
+        a, t = np.nonzero(x.track)
+        parts.append(pd.DataFrame({"frame": x.frames[a], "track": x.track_of[a, t], "kind": kind, "meas": 0 if kind == "missed" else None, "p": value[a, t], "iterations": done[a], "stopped_by": by[a]}))
+    a, t, j = np.nonzero(x.w > 0)
+    parts.append(pd.DataFrame({"frame": x.frames[a], "track": x.track_of[a, t], "kind": "detection", "meas": x.meas_of[a, j], "p": kept[:, :, 1:-1][a, t, j], "iterations": done[a], "stopped_by": by[a]}))
+    out = pd.concat(parts, ignore_index=True)
+    out["meas"] = out["meas"].astype("Int32")
+    return out
+
+
+def _traced(x: Frames, most: int) -> pd.DataFrame:
+    parts = []
+    for k, mu, nu, rho, sigma in rounds(x):
+        if k > most:
+            break
+        for message, value, mask in (("mu", mu, x.w > 0), ("nu", nu, x.w > 0), ("inverse_rho", 1 / np.where(rho > 0, rho, 1.0), x.track & (rho > 0)), ("sigma", sigma, x.track)):
+            axes = tuple(range(1, value.ndim))
+            some = np.flatnonzero(mask.any(axis=axes))
+            least, largest = (g(np.where(mask, value, fill), axis=axes) for g, fill in ((np.min, np.inf), (np.max, -np.inf)))
+            parts.append(pd.DataFrame({"frame": x.frames[some], "round": k, "message": message, "least": least[some], "largest": largest[some]}))
+    return pd.concat(parts, ignore_index=True)
+
+
+def _in_shares(reward: DataFrame, h: DataFrame, frames: int, work, result: str) -> DataFrame:
+    """work(Frames) -> rows for each share of frames, as lbp deals them."""
+    shares = F.pmod(F.xxhash64("frame"), F.lit(max(1, -(-frames // SHARE)))).alias("share")
+
+    def run(r: pd.DataFrame, hy: pd.DataFrame) -> pd.DataFrame:
+        return work(Frames(r, hy)) if len(r) else pd.DataFrame(columns=[c.split()[0] for c in result.split(", ")])
+
+    own = lambda df, *cols: df.select(*[F.col(c).alias(c) for c in cols], shares).groupBy("share")
+    return own(reward, "frame", "track", "meas", "ll").cogroup(own(h, "frame", "cluster", "hypo", "tracks", "prob")).applyInPandas(run, result)
+
+
+def by_marginals(reward: DataFrame, h: DataFrame, frames: int, messages: float = STILL_MESSAGES, marginals: float = STILL_MARGINALS, every: int = EVERY, most: int = MAX_ITERATIONS) -> DataFrame:
+    """MARGINAL with iterations and stopped_by (messages, marginals, or nothing after `most` rounds): the same messages as lbp, which stop
+    for each frame when they, or its marginals, stand still."""
+    return _in_shares(reward, h, frames, lambda x: _by_marginals(x, messages, marginals, every, most), "frame long, track int, kind string, meas int, p double, iterations int, stopped_by string")
+
+
+def trace(reward: DataFrame, h: DataFrame, frames: int, most: int) -> DataFrame:
+    """frame, round (0 to `most`), message (mu and nu between tracks and measurements, sigma and the inverse of rho between tracks and
+    hypotheses), least, largest: the extremes of each round's messages. Frames without gates have no mu and nu."""
+    return _in_shares(reward, h, frames, lambda x: _traced(x, most), "frame long, round int, message string, least double, largest double")

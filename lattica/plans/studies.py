@@ -61,14 +61,17 @@ def approximate_evidence(spark, sf_dir):
     return rounded(_conditioned(spark, sf_dir, False).evidence().select("frame", "master", "z"), "z")
 
 
-def _ways_sql() -> str:
-    """Messages of each hypothesis and set of used shared measurements (problems of clusters of two tracks), and sums over disjoint sets."""
+def _ways_sql(forced: bool = True) -> str:
+    """Messages of each hypothesis and set of used (or allowed) shared measurements (problems of clusters of two tracks), and sums over
+    disjoint sets."""
+    tracks_of = "s.tracks" if forced else "(SELECT any_value(p.tracks) FROM per p WHERE p.frame = s.frame AND p.cluster = s.cluster)"
+    unused = conditioning.UNUSED if forced else 1
     out = f"""shared AS (SELECT frame, master, meas FROM gated JOIN cluster_map USING (frame, cluster) GROUP BY ALL HAVING count(*) > 1),
 alone AS (SELECT h.frame, c.master, h.cluster, h.hypo, h.tracks, h.prob / sum(h.prob) OVER (PARTITION BY h.frame, h.cluster) AS prob FROM hypothesis h JOIN cluster_map c USING (frame, cluster)),
-near AS (SELECT s.frame, s.cluster, s.hypo, list_sort(list(DISTINCT r.meas)) AS ms FROM alone s JOIN reward r ON r.frame = s.frame AND list_contains(s.tracks, r.track) JOIN shared k ON k.frame = s.frame AND k.master = s.master AND k.meas = r.meas GROUP BY ALL),
+near AS (SELECT s.frame, s.cluster, s.hypo, list_sort(list(DISTINCT r.meas)) AS ms FROM alone s JOIN reward r ON r.frame = s.frame AND list_contains({tracks_of}, r.track) JOIN shared k ON k.frame = s.frame AND k.master = s.master AND k.meas = r.meas GROUP BY ALL),
 sets AS MATERIALIZED (SELECT *, list_filter(ms, lambda m, i: (mask >> (i - 1)) & 1 = 1) AS uses, row_number() OVER (ORDER BY frame, cluster, hypo, mask) AS id FROM (SELECT s.*, coalesce(n.ms, []::INT[]) AS ms FROM alone s LEFT JOIN near n USING (frame, cluster, hypo)), (SELECT unnest(range(1 << {SIZE}))::INT AS mask) WHERE mask < (1 << len(ms))),
-opts AS MATERIALIZED (SELECT u.id, u.frame, r.track, r.meas, exp(r.ll) AS w, CASE WHEN list_contains(u.uses, r.meas) THEN {conditioning.UNUSED} ELSE 1 END AS c FROM sets u JOIN reward r ON r.frame = u.frame AND list_contains(u.tracks, r.track) AND (list_contains(u.uses, r.meas) OR NOT list_contains(u.ms, r.meas))),
-able AS MATERIALIZED (SELECT * FROM sets u WHERE len(uses) <= (SELECT count(DISTINCT track) FROM opts o WHERE o.id = u.id AND o.c < 1)),
+opts AS MATERIALIZED (SELECT u.id, u.frame, r.track, r.meas, exp(r.ll) AS w, CASE WHEN list_contains(u.uses, r.meas) THEN {unused} ELSE 1 END AS c FROM sets u JOIN reward r ON r.frame = u.frame AND list_contains(u.tracks, r.track) AND (list_contains(u.uses, r.meas) OR NOT list_contains(u.ms, r.meas))),
+able AS MATERIALIZED (SELECT * FROM sets u {'WHERE len(uses) <= (SELECT count(DISTINCT track) FROM opts o WHERE o.id = u.id AND o.c < 1)' if forced else ''}),
 f0 AS MATERIALIZED (SELECT o.*, z.w AS w0, 1.0::DOUBLE AS nu FROM opts o JOIN opts z ON z.id = o.id AND z.track = o.track AND z.meas = 0 JOIN able ON able.id = o.id WHERE o.meas > 0),"""
     for k in range(1, MIX + 1):
         out += f"""
@@ -113,6 +116,25 @@ def propagated_theta(spark, sf_dir):
     return rounded(_loopy(spark, sf_dir).theta(), "p")
 
 
+ALLOWED_SQL = _ways_sql(False)
+
+
+def _allowing(spark, sf_dir):
+    r, h = map(written, problem(spark, sf_dir))
+    return conditioning.Conditioned(r, h, hy.merge_map(r, h), True, partial(conditioning.allowed, tol=0.0, most=MIX))
+
+
+@query(_all_kinds("SELECT frame, track, meas, sum(p) AS p FROM loopy GROUP BY frame, track, meas"), walk=False, more=ALLOWED_SQL)
+def allowed_marginals(spark, sf_dir):
+    """Marginals by one run of messages for each set of measurements that a cluster may use."""
+    return rounded(_allowing(spark, sf_dir).marginals(), "p")
+
+
+@query(f"SELECT frame, master, round(z, {R}) AS z FROM way_z", walk=False, more=ALLOWED_SQL)
+def allowed_evidence(spark, sf_dir):
+    return rounded(_allowing(spark, sf_dir).evidence().select("frame", "master", "z"), "z")
+
+
 @query("SELECT frame, master, meas, dense_rank() OVER (PARTITION BY frame, master ORDER BY meas)::INT AS place FROM gated JOIN cluster_map USING (frame, cluster) GROUP BY frame, master, meas HAVING count(*) > 1", walk=False)
 def remapped_links(spark, sf_dir):
     r, h = problem(spark, sf_dir)
@@ -231,6 +253,21 @@ def converged_evidence(spark, sf_dir):
     return _still(spark, sf_dir).groupBy("frame").agg((F.round(F.first("log_z"), DIGITS) + F.lit(0.0)).alias("log_z"))
 
 
+@query(f"SELECT frame, track, kind, meas, round(p, {DIGITS}) + 0.0 AS p FROM still_p", walk=False, more=STILL_SQL)
+def alternative_marginals(spark, sf_dir):
+    """The fixed point again, where messages stop by the marginals they make."""
+    r, h = problem(spark, sf_dir)
+    out = lbp.by_marginals(r, h, r.select("frame").distinct().count(), STILL, STILL)
+    return out.select("frame", "track", "kind", "meas", (F.round("p", DIGITS) + F.lit(0.0)).alias("p"))
+
+
+@query(" UNION ALL ".join(f"SELECT frame, {k} AS round, message, round(min(v), {R}) + 0.0 AS least, round(max(v), {R}) + 0.0 AS largest FROM (SELECT frame, unnest([{{'message': 'mu', 'v': mu}}, {{'message': 'nu', 'v': nu}}], recursive := true) FROM edge{k} UNION ALL SELECT frame, 'inverse_rho', 1 / rho FROM node{k} UNION ALL SELECT frame, 'sigma', sigma FROM node{k}) GROUP BY frame, message" for k in range(STEPS + 2)), walk=False, more=lbp_sql.steps(STEPS + 1))
+def message_trace(spark, sf_dir):
+    """The extremes of each round's messages."""
+    r, h = problem(spark, sf_dir)
+    return rounded(lbp.trace(r, h, r.select("frame").distinct().count(), STEPS + 1), "least", "largest")
+
+
 LOOSE, LOOSE_MOST = 1e-3, 12
 NORM = "norm AS (" + " UNION ALL ".join(f"SELECT a.frame, {k} AS k, max(abs(ln(a.nu / b.nu))) AS err FROM edge{k} a JOIN edge{k - 1} b USING (frame, track, meas) GROUP BY a.frame" for k in range(1, LOOSE_MOST + 1)) + f""" UNION ALL SELECT frame, 1, 0 FROM w0 WHERE frame NOT IN (SELECT frame FROM w) GROUP BY frame),
 met AS (SELECT frame, coalesce(min(k) FILTER (err <= {LOOSE}), 0)::INT AS message_iterations FROM norm GROUP BY frame)"""
