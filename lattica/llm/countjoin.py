@@ -97,7 +97,8 @@ def sketch(docs: DataFrame, percent: int) -> DataFrame:
                 counts, key, at = points([sets[k] for k in use], kind[use], classes)
                 for i, k in enumerate(use.tolist()):
                     c, filled = counts[at[i] : at[i + 1]], counts[at[i] : at[i + 1]] > 0
-                    put[k] = c.astype(np.uint16).tobytes()
+                    # a byte for each count; should one not fit (hashes fill groups with some five each), the point bounds nothing
+                    put[k] = (c if c.max() < 256 else np.full(len(c), 255)).astype(np.uint8).tobytes()
                     room[k] = int(len(c) - classes.differ[kind[k]] - (len(c) - filled.sum()))
                     keys[k] = (keys[k] or b"") + key[at[i] : at[i + 1]][filled].tobytes()
             hashes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
@@ -205,7 +206,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for k, (p, q, r, s) in enumerate(zip(owna, nexta, ownb, nextb, strict=True)):
                 for x, y in ((p, r), (q, r), (p, s)):
                     if x is not None and y is not None and len(x) == len(y):
-                        bound[k] = np.minimum(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)).sum(dtype=np.int64)
+                        bound[k] = np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum(dtype=np.int64)
                         break
             keep = may_link(bound, _np(batch, "na"), _np(batch, "nb"), percent)
             yield pa.RecordBatch.from_arrays([pa.array(_np(batch, x)[keep]) for x in ("a", "b")], names=["a", "b"])
@@ -275,9 +276,9 @@ def _searched(shared: DataFrame, labels: DataFrame, sets: DataFrame, classes: Cl
         t = table.combine_chunks()
         ids, comp, side, n = (t.column(c).to_numpy() for c in ("id", "component", "side", "n_shingles"))
         stray = t.column("stray").to_numpy(zero_copy_only=False)
-        width = 2 * int(groups[t.column("key")[0].as_py() & mask])
+        width = int(groups[t.column("key")[0].as_py() & mask])
         chosen = [p if p is not None and len(p) == width else q for p, q in zip(t.column("own").to_pylist(), t.column("next").to_pylist(), strict=True)]
-        vectors = np.frombuffer(b"".join(chosen), np.uint16).reshape(-1, width // 2)
+        vectors = np.frombuffer(b"".join(chosen), np.uint8).reshape(-1, width)
         left, right, out = np.flatnonzero(side == 0), np.flatnonzero(side == 1), []
         tree = CountTree(vectors[right], n[right], percent)
         for i in left.tolist():
@@ -311,7 +312,7 @@ def _crowded(hot: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame
     ids = written(places.select(F.col("id").alias("doc_id")).distinct())
     texts = by_ids(docs, ids, "left_semi").withColumnRenamed("doc_id", "id")
     full = places.join(sets.select("id", "n_shingles", "own", "next"), "id").join(texts, "id")
-    percent, kinds = classes.percent, {2 * int(g): k for k, g in enumerate(classes.groups)}
+    percent, kinds = classes.percent, {int(g): k for k, g in enumerate(classes.groups)}
 
     def run(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
@@ -335,7 +336,7 @@ def _crowded(hot: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame
                     by_kind.setdefault(kinds[len(p)], {})[k] = p
         for points_of in by_kind.values():
             members = np.array(list(points_of))
-            vectors = np.frombuffer(b"".join(points_of.values()), np.uint16).reshape(len(members), -1)
+            vectors = np.frombuffer(b"".join(points_of.values()), np.uint8).reshape(len(members), -1)
             left, right = np.flatnonzero(side[members] == 0), np.flatnonzero(side[members] == 1)
             tree = CountTree(vectors[right], n[members[right]], percent)
             for i in left.tolist():
@@ -381,7 +382,7 @@ def joined(docs: DataFrame, percent: int = 85) -> DataFrame:
         for batch in batches:
             k, i = [], []
             for x, c, p, q in zip(*(batch.column(batch.schema.get_field_index(name)).to_pylist() for name in ("id", "kind", "own", "next")), strict=True):
-                v = np.frombuffer(next(y for y in (p, q) if y is not None and len(y) == 2 * groups[c]), np.uint16)
+                v = np.frombuffer(next(y for y in (p, q) if y is not None and len(y) == groups[c]), np.uint8)
                 none = np.flatnonzero(v == 0)
                 k.append(group_keys(np.zeros(len(none), np.uint64), np.full(len(none), c), none).view(np.int64)), i.append(np.full(len(none), x))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y) if y else np.zeros(0, np.int64)) for y in (k, i)], names=["key", "id"])
@@ -390,6 +391,7 @@ def joined(docs: DataFrame, percent: int = 85) -> DataFrame:
     empties = _shared(by_ids(sets.select("id", "own", "next"), tight, "inner", "id").select("id", "kind", "own", "next").mapInArrow(empty_rows, _ROW))
     shared = shared.filter("not hot").unionByName(every).unionByName(empties)
     shared = written(shared)
+    sets = written(by_ids(sets.select("id", "n_shingles", "own", "next"), written(shared.select("id").distinct()), "left_semi", "id"))
     # a bucket's least member meets all; what is apart then is searched
     links = verified(_bounded(written(shared.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()), sets, percent), docs, percent, SHINGLE)
     links, labels = _gathered(shared, links, sets, docs, percent)
