@@ -16,8 +16,11 @@ from pyspark.sql import types as T
 from .common import by_ids, column_out, mix, offsets, pieces, tune, written
 
 #: Tokens of a window, and how many of them must be no placeholder in a window of templates. Shorter items are one window of
-#: their length. Windows of the words as they stand have no such limit.
-WINDOW, LITERALS = 8, 5
+#: their length. Windows of the words as they stand have no such limit. An item none of whose windows has so many is one window as a whole, if it
+#: has WINDOW tokens, or this many literals.
+WINDOW, LITERALS, FEW = 8, 5, 2
+#: Kinds of windows: of templates, of words as they stand, of whole templates.
+TEMPLATE, WORD, WHOLE = 0, 1, 2
 #: An item is in a document if so large a share of its windows match there in their order, or so many windows in a row.
 COVERAGE, RUN = 0.5, 6
 #: Windows of each kind (templates, words) of benchmark items that are held in a worker at once; more are taken in blocks, each against all documents.
@@ -114,30 +117,56 @@ def windows(mixed: np.ndarray, lit: np.ndarray, at: np.ndarray, length: int, lea
     return start, mix(key[start])
 
 
+def whole_windows(mixed: np.ndarray, at: np.ndarray, lengths: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """First token and hash of every window of each length, from one running sum. Chosen texts may have equal hashes: who finds one compares
+    tokens."""
+    power, back = np.full(len(mixed) + 1, _POWERS[0]), np.full(len(mixed) + 1, np.uint64(pow(int(_POWERS[0]), -1, 1 << 64)))
+    power[0] = back[0] = 1
+    power, back = np.multiply.accumulate(power), np.multiply.accumulate(back)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * power[:-1], dtype=np.uint64)])
+    out = []
+    for n in lengths:
+        m = max(0, len(mixed) - n + 1)
+        start = np.arange(m)
+        start = start[np.searchsorted(at, start, "right") == np.searchsorted(at, start + n - 1, "right")]
+        out.append((start, mix((total[start + n] - total[start]) * back[start] ^ mix(np.full(1, n, np.uint64)))))
+    return out
+
+
 class Index:
-    """Windows of a block of benchmark items, by hash: of templates, and of the words as they stand, whatever stands before them."""
+    """Windows of a block of benchmark items, by hash: of templates, of the words as they stand, whatever stands before them, and of whole templates
+    of items with few literals."""
 
     def __init__(self, ids: list[int], texts: list[bytes]):
         self.ids = np.array(ids, np.int64)
         self.token, self.value, self.at = Templates()(texts)
         size = np.minimum(np.diff(self.at), WINDOW)
-        self.lengths = [(kind, int(n)) for kind in (0, 1) for n in np.unique(size) if n >= (1 if kind else LITERALS)]
+        self.lengths = [(kind, int(n)) for kind in (TEMPLATE, WORD) for n in np.unique(size) if n >= (1 if kind else LITERALS)]
+        self.dense: list[int] = []
+        start, key, kind, length = self._windows(self.token, self.value, self.at)
+        item = np.searchsorted(self.at, start, "right") - 1
+        has = np.bincount(item[(kind == TEMPLATE) & (size[item] == length)], minlength=len(ids))
+        n_tokens = np.diff(self.at)
+        literals = np.array([int((~np.isin(self.token[a:b], (_NUM, _NAME, _UNIT))).sum()) for a, b in zip(self.at[:-1], self.at[1:], strict=True)], np.int64)
+        dense = (has == 0) & ((n_tokens >= WINDOW) | (literals >= FEW)) & (n_tokens > 0)
+        self.dense = np.unique(n_tokens[dense]).tolist()
         start, key, kind, length = self._windows(self.token, self.value, self.at)
         item = np.searchsorted(self.at, start, "right") - 1
-        own = size[item] == length
+        own = np.where(kind == WHOLE, dense[item] & (n_tokens[item] == length), size[item] == length)
         start, key, kind, item = start[own], key[own], kind[own], item[own]
         order = np.argsort(key, kind="stable")
         self.key, self.start, self.kind, self.item = key[order], start[order], kind[order], item[order]
-        self.count = np.stack([np.bincount(item[kind == k], minlength=len(ids)) for k in (0, 1)])
+        self.count = np.stack([np.bincount(item[kind == k], minlength=len(ids)) for k in (TEMPLATE, WORD, WHOLE)])
         self.bits = np.zeros(1 << (22 if len(key) <= BLOCK_WINDOWS else 23), bool)
         self.bits[self.key & np.uint64(len(self.bits) - 1)] = True
 
     def _windows(self, token: np.ndarray, value: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-        """First token, hash, kind (0: templates, 1: words) and length of the windows of all kinds and lengths that items have."""
+        """First token, hash, kind and length of the windows of all kinds and lengths that items have."""
         lit = offsets(~((token == _NUM) | (token == _NAME) | (token == _UNIT)))
         mixed, parts = (mix(token), mix(value ^ _POWERS[0])), []
-        for kind, n in self.lengths:
-            start, key = windows(mixed[kind], lit, at, n, 0 if kind else LITERALS)
+        found = [(kind, n, windows(mixed[kind], lit, at, n, 0 if kind else LITERALS)) for kind, n in self.lengths]
+        found += [(WHOLE, n, x) for n, x in zip(self.dense, whole_windows(mixed[0], at, self.dense) if self.dense else [], strict=True)]
+        for kind, n, (start, key) in found:
             if hasattr(self, "bits"):
                 maybe = np.flatnonzero(self.bits[key & np.uint64(len(self.bits) - 1)])
                 start, key = start[maybe], key[maybe]
@@ -154,14 +183,20 @@ class Index:
             return []
         start, row = np.repeat(start, n), np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(offsets(n)[:-1], n)
         text, item, kind, there = np.searchsorted(at, start, "right") - 1, self.item[row], self.kind[row], self.start[row]
+        if (kind == WHOLE).any():  # these hashes may be forged
+            sure = kind != WHOLE
+            for r in np.flatnonzero(~sure).tolist():
+                a, b = int(self.at[item[r]]), int(self.at[item[r] + 1])
+                sure[r] = np.array_equal(self.token[a:b], token[start[r] : start[r] + b - a])
+            text, item, kind, there, start = text[sure], item[sure], kind[sure], there[sure], start[sure]
         order = np.lexsort((start, start - there, kind, item, text))
         text, item, kind, there, start = text[order], item[order], kind[order], there[order], start[order]
-        again = np.concatenate([[False], (text[1:] == text[:-1]) & (item[1:] == item[:-1]) & (kind[1:] == 1) & (kind[:-1] == 1)])
-        first = np.flatnonzero(~(again & (self.count[1, item] == 1)))  # of items of one window of words the first place says all
+        again = np.concatenate([[False], (text[1:] == text[:-1]) & (item[1:] == item[:-1]) & (kind[1:] == WORD) & (kind[:-1] == WORD)])[: len(text)]
+        first = np.flatnonzero(~(again & (self.count[WORD, item] == 1)))  # of items of one window of words the first place says all
         text, item, kind, there, start = text[first], item[first], kind[first], there[first], start[first]
         edge = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (kind[1:] != kind[:-1]) | ((start - there)[1:] != (start - there)[:-1])]))
-        best: tuple[dict[tuple[int, int], tuple], ...] = ({}, {})
-        for s, e in zip(edge.tolist(), [*edge[1:].tolist(), len(start)], strict=True):
+        best: tuple[dict[tuple[int, int], tuple], ...] = ({}, {}, {})
+        for s, e in zip(edge.tolist(), [*edge[1:].tolist(), len(start)], strict=True) if len(start) else ():
             k, i, words, steps = int(text[s]), int(item[s]), int(kind[s]), there[s:e]
             count = int(self.count[words, i])
             if e - s < COVERAGE * count and e - s < RUN:
@@ -171,8 +206,8 @@ class Index:
             if e - s < COVERAGE * count and run < RUN:
                 continue
             same, differ = True, False
-            if not words:
-                spot = np.unique(np.minimum(steps[:, None] + np.arange(WINDOW), self.at[i + 1] - 1))
+            if words != WORD:
+                spot = np.arange(self.at[i], self.at[i + 1]) if words == WHOLE else np.unique(np.minimum(steps[:, None] + np.arange(WINDOW), self.at[i + 1] - 1))
                 spot = spot[(spot + start[s] - there[s] < at[k + 1])]
                 other = spot + (start[s] - there[s])
                 held = (self.token[spot] == token[other]) & np.isin(self.token[spot], (_NUM, _NAME, _UNIT))
@@ -183,8 +218,8 @@ class Index:
                     same = len(np.unique(pairs[:, 0])) == len(pairs)
             if same and (e - s) > best[words].get((k, i), (0,))[0]:
                 best[words][k, i] = (e - s, count, run, int(start[s] - at[k]), differ)
-        told = best[0]
-        for at_, x in best[1].items():
+        told = best[WHOLE] | best[TEMPLATE]
+        for at_, x in best[WORD].items():
             if at_ not in told or told[at_][-1] and x[0] == x[1]:
                 told[at_] = x
         return [(k, i, *x) for (k, i), x in told.items()]
@@ -198,7 +233,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A row and an item match if their windows of templates agree along one diagonal for COVERAGE of the item's windows or RUN
     windows in a row, and no value of the item's slots stands for two values of the document; or if their windows of words (case
-    and outer marks aside) agree so, which finds verbatim copies of every item, also of a word or two. Null and empty texts match
+    and outer marks aside) agree so, which finds verbatim copies of every item, also of a word or two; or, of an item none of whose windows of
+    templates has LITERALS literals, if its whole template stands there (items of under WINDOW tokens need FEW literals) with such slots. Null and empty texts match
     nothing; n_windows and n_item_windows are of the kind of windows that found the item; repeated rows match each; items with equal ids and texts count once. The
     benchmark is read in blocks of BLOCK_WINDOWS windows of each kind, each sent to all workers and dropped before the next; a block's size
     is bounded, their number isn't. A block takes an item longer than it whole."""

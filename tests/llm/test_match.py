@@ -145,3 +145,36 @@ def test_verbatim_items_of_the_small_tables(spark, sf_dir):
     items = [norm(r.text) for r in bench.collect()]
     want = {r.doc_id for r in docs.collect() if any(x in norm(r.text or "") for x in items)}
     assert {r.doc_id for r in decontaminate.contaminated(docs, bench).collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_items_of_all_lengths_and_slots_are_found(seed):
+    """Items of 3 to 40 tokens with no slots to all, planted verbatim and with other values: all with two literals or eight tokens are found, and only
+    those of another item's template besides."""
+    rng = random.Random(seed)
+    items, planted, want = [], [], []
+    for k in range(60):
+        n, share = rng.randrange(3, 41), rng.choice([0, 0.2, 0.5, 0.8, 1])
+        slots = [rng.random() < share for _ in range(n)]
+        used = rng.sample(range(1000, 9999), n)
+        other = rng.sample(range(10_000, 99_999), n)
+        words = [f"lit{rng.randrange(10**6)}" for _ in range(n)]
+        items.append(" ".join(str(u) if s else w for s, u, w in zip(slots, used, words, strict=True)))
+        again = rng.random() < 0.7
+        body = " ".join(str(o if again else u) if s else w for s, u, o, w in zip(slots, used, other, words, strict=True))
+        planted.append(f"some words before {body} and after")
+        if not again or n >= 8 or sum(not s for s in slots) >= 2 or n == sum(not s for s in slots):
+            want.append(k)
+    index = decontaminate.Index(list(range(60)), [t.encode() for t in items])
+    found = {(k, int(index.ids[i])) for k, i, *_ in index.find(*decontaminate.Templates()([t.encode() for t in planted]))}
+    assert all((k, k) in found for k in want)
+    clean = [" ".join(f"plain{rng.randrange(10**6)}" for _ in range(200)).encode() for _ in range(5)]
+    assert not index.find(*decontaminate.Templates()(clean))
+
+
+def test_few_literals_need_the_whole_template_and_consistent_slots(spark):
+    bench = spark.createDataFrame([(1, "What is 7 plus 9?"), (2, "12 34 56"), (3, "3 km 4 km 5 km 3 km 6 km and 7 km")], "item_id long, text string")
+    rows = ["He asked: What is 70 plus 90? he said", "what is 70 plus cats", "99 98 97 in a row", "12 34 56", "x 30 km 40 km 50 km 30 km 60 km and 70 km y", "x 30 km 40 km 50 km 31 km 60 km and 70 km y", "What is 8 plus 8?"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {(r.doc_id, tuple(r.item_ids), r.reparameterised) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(0, (1,), True), (3, (2,), False), (4, (3,), True), (6, (1,), True)}
