@@ -158,10 +158,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     rest = [max(1e-6, 1 - sum(share(y, n, r.yt + r.yc) for r in words for y in [(r.yt if toxic else r.yc)])) for toxic, n in ((1, nt), (0, nc))]
     model = Model(scores, min(-1e-3, math.log(rest[0] / rest[1])), 0.0)
     # the law of the largest score on clean documents: E[S - ln n] = ln K + Euler's constant
-    found = sample.mapInArrow(_scorer(model, ["toxic"], _LARGEST), T.StructType([T.StructField("toxic", T.IntegerType()), *_LARGEST])).collect()
-    clean = [r.largest - math.log(max(1, r.n_words)) for r in found if not r.toxic and r.n_words]
-    model.ln_k = float(np.mean(clean)) - 0.5772156649 if clean else 0.0
-    x = np.array([evidence(r.best, math.log(max(1, r.n_words)) + model.ln_k) for r in found])
+    toxic = T.StructField("toxic", T.IntegerType())
+    largest = sample.mapInArrow(_scorer(model, ["toxic"], _LARGEST), T.StructType([toxic, *_LARGEST])).filter("toxic <= 0 and n_words > 0")
+    mean = largest.agg(F.avg(F.col("largest") - F.ln("n_words"))).first()[0]
+    model.ln_k = mean - 0.5772156649 if mean is not None else 0.0
+    # then a number for each document of the sample
+    found = sample.mapInArrow(_scorer(model, ["toxic"], _EVIDENCE), T.StructType([toxic, *_EVIDENCE])).collect()
+    x = np.array([r.evidence for r in found])
     model.slope, model.bias = _logistic(x, np.array([r.toxic > 0 for r in found], float))
     return model
 
@@ -208,33 +211,34 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / sd), float(w[1] - w[0] * mean / sd)
 
 
-_LARGEST = T.StructType().add("n_words", "long").add("largest", "double").add("best", T.ArrayType(T.DoubleType()))
+_LARGEST = T.StructType().add("n_words", "long").add("largest", "double")
+_EVIDENCE = T.StructType().add("evidence", "double")
 PASSAGES = T.ArrayType(T.StructType().add("begin_word", "integer").add("end_word", "integer").add("segment_score", "double").add("p_value", "double"))
 RESULT = T.StructType().add("n_words", "long").add("largest", "double").add("score", "double").add("passages", PASSAGES)
 
 
 def _scorer(model: Model, keep: list[str], result: T.StructType):
-    full = "passages" in result.names
+    """Rows with what `result` names: _LARGEST, _EVIDENCE or RESULT."""
 
     def run(batches):
         get = _Scores(model).__getitem__
         kind = pa.list_(pa.struct([("begin_word", pa.int32()), ("end_word", pa.int32()), ("segment_score", pa.float64()), ("p_value", pa.float64())]))
         for part, texts in pieces(batches):
-            n, largest, passages, score, bests = [], [], [], [], []
+            n, largest, passages, score, sure = [], [], [], [], []
             for t in texts:
                 words = t.split()
                 s = np.fromiter(map(get, words), np.float64, len(words))
                 found = segments(s)
-                top = max((x[2] for x in found), default=0.0)
                 best = sorted((x[2] for x in found), reverse=True)
-                n.append(len(s)), largest.append(top), bests.append(best)
-                if full:
-                    size = math.log(max(1, len(s))) + model.ln_k
+                n.append(len(s)), largest.append(best[0] if best else 0.0)
+                size = math.log(max(1, len(s))) + model.ln_k
+                sure.append(evidence(best, size))
+                if "passages" in result.names:
                     expect = [(b, e, x, math.exp(min(50.0, size - x))) for b, e, x in found]
                     passages.append([{"begin_word": b, "end_word": e, "segment_score": x, "p_value": -math.expm1(-v)} for b, e, x, v in expect if v <= SEGMENT_E])
-                    score.append(1 / (1 + math.exp(-max(-500.0, min(500.0, model.slope * evidence(best, size) + model.bias)))))
-            new = {"n_words": pa.array(n, pa.int64()), "largest": pa.array(largest, pa.float64())}
-            yield column_out(part, keep, new | ({"score": pa.array(score, pa.float64()), "passages": pa.array(passages, kind)} if full else {"best": pa.array(bests, pa.list_(pa.float64()))}))
+                    score.append(1 / (1 + math.exp(-max(-500.0, min(500.0, model.slope * sure[-1] + model.bias)))))
+            new = {"n_words": pa.array(n, pa.int64()), "largest": pa.array(largest, pa.float64()), "evidence": pa.array(sure, pa.float64()), "score": pa.array(score, pa.float64()), "passages": pa.array(passages, kind)}
+            yield column_out(part, keep, {c: new[c] for c in result.names})
 
     return run
 
