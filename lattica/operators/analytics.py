@@ -101,7 +101,7 @@ def notable(err: DataFrame, z: DataFrame, large: float = LARGE_ERROR, log: float
 
 def sampled(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
     """n rows (the feature is a sample) by a seeded hash of their key: the same rows whatever their partitions."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])), *key).limit(n)
 
 
 def heat_pivot(cells: DataFrame, bins: int) -> DataFrame:
