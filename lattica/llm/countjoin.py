@@ -28,7 +28,7 @@ GROWTH, SURPLUS = 1.5, 1.2
 #: Bits of a key that tell the class, and as many classes (sizes up to 10^10).
 CLASS_BITS = 6
 #: Sets sharing a key from which on it's skipped by sets that can.
-HOT = 200
+HOT = 64
 #: Points of a leaf, and children of a node.
 FAN = 16
 #: Rows of a block on average when a bucket's points are searched.
@@ -225,31 +225,6 @@ def _parts(shared: DataFrame, labels: DataFrame, alone: str) -> tuple[DataFrame,
     return now, most.filter("parts > 1").select("key", F.col("largest.component").alias("largest"), F.col("largest.n").alias("n_largest"), "n")
 
 
-def _gathered(shared: DataFrame, links: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """More links, and the components, after rounds in which the member of each large bucket's largest component that has most links meets
-    what is apart: members of one crowd are mostly linked by way of few. Rounds go on while a tenth of those pairs are links; what they leave
-    apart is searched."""
-    labels = components(links)
-    large = written(by_ids(shared, shared.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > FAN).select("key"), "left_semi", "key"))
-    while True:
-        now, parts = _parts(large, labels, "true")
-        degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-        rows = by_ids(by_ids(now, written(parts), "inner", "key"), written(degree), "left", "id")
-        hub = rows.filter("component = largest").groupBy("key").agg(F.max_by("id", F.struct(F.coalesce("degree", F.lit(0)), "id")).alias("hub"))
-        apart = rows.filter("component <> largest").select("key", "id").join(hub, "key")
-        pairs = written(apart.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct())
-        tried = pairs.count()
-        if not tried:
-            return links, labels
-        more = verified(_bounded(pairs, sets, percent), docs, percent, SHINGLE)
-        found = more.count()
-        if found:
-            links = written(links.union(more).distinct())
-            labels = components(links)
-        if 10 * found < tried:
-            return links, labels
-
-
 def _searched(shared: DataFrame, labels: DataFrame, sets: DataFrame, classes: Classes) -> DataFrame:
     """Pairs of sets that share a key and aren't in one component, as far as their points let them link. The points of a bucket over FAN are
     searched by trees: what isn't of its largest component is looked for among all, blocks of the one meeting blocks of the other, bounded
@@ -394,7 +369,7 @@ def joined(docs: DataFrame, percent: int = 85) -> DataFrame:
     sets = written(by_ids(sets.select("id", "n_shingles", "own", "next"), written(shared.select("id").distinct()), "left_semi", "id"))
     # a bucket's least member meets all; what is apart then is searched
     links = verified(_bounded(written(shared.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()), sets, percent), docs, percent, SHINGLE)
-    links, labels = _gathered(shared, links, sets, docs, percent)
+    labels = components(links)
     if shared.filter("hot").limit(1).count():
         links = written(links.union(_crowded(shared.filter("hot"), labels, sets, docs, classes)))
         labels = components(links)
