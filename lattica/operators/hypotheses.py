@@ -74,6 +74,30 @@ def merged(h: DataFrame, cluster_map: DataFrame) -> DataFrame:
     return rows.select("frame", "master", "hypo", "x.labels", F.array_sort("x.tracks").alias("tracks"), F.col("x.lp").alias("log_prob"))
 
 
+def lineage(m: DataFrame) -> DataFrame:
+    """frame, master, merged_hypo, cluster, hypo: which prior hypothesis of each cluster a joint hypothesis is made of."""
+    return m.select("frame", "master", F.col("hypo").alias("merged_hypo"), F.explode("labels").alias("x")).select("frame", "master", "merged_hypo", "x.cluster", "x.hypo")
+
+
+def descending_from(m: DataFrame, priors: DataFrame) -> DataFrame:
+    """The joint hypotheses that have any of the listed prior hypotheses (frame, cluster, hypo), once each."""
+    hit = lineage(m).join(priors.select("frame", "cluster", "hypo"), ["frame", "cluster", "hypo"]).select("frame", "master", F.col("merged_hypo").alias("hypo")).distinct()
+    return m.join(hit, ["frame", "master", "hypo"], "left_semi")
+
+
+def selected(h: DataFrame, some: DataFrame) -> DataFrame:
+    """The listed hypotheses (frame, cluster, hypo) with their probabilities among all of their cluster (prob) and among those selected
+    (share). Hypotheses that aren't listed count in prob alone."""
+    return normalize(h).join(some.select("frame", "cluster", "hypo").distinct(), ["frame", "cluster", "hypo"], "left_semi").withColumn("share", normalized(F.col("prob"), *CLUSTER))
+
+
+def numbered(h: DataFrame) -> DataFrame:
+    """Tracks of each cluster numbered from 1 by where they first stand in its hypotheses, in the order of hypo; the other form of `reindexed`."""
+    first = h.select(*CLUSTER, "hypo", F.posexplode("tracks").alias("place", "track")).groupBy(*CLUSTER, "track").agg(F.min(F.struct("hypo", "place")).alias("at"))
+    old = first.groupBy(*CLUSTER).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "track"))), lambda x: x["track"]).alias("old"))
+    return h.join(old, list(CLUSTER), "left").withColumn("tracks", F.transform("tracks", lambda t: F.array_position("old", t).cast("int"))).drop("old")
+
+
 def linking_measurements(reward: DataFrame, h: DataFrame, cluster_map: DataFrame) -> DataFrame:
     """(frame, master, meas, clusters): measurements that several clusters of one master gate."""
     return gated(reward, h).join(cluster_map, list(CLUSTER)).groupBy("frame", "master", "meas").agg(F.array_sort(F.collect_list("cluster")).alias("clusters")).filter(F.size("clusters") > 1)

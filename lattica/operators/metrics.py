@@ -70,3 +70,14 @@ def thinned(df: DataFrame, column: str, gap: float) -> DataFrame:
     grid = df.select(F.round(F.col(column) / (gap / 10)).alias("g")).distinct().agg(F.array_sort(F.collect_list("g")).alias("gs"))
     fold = "aggregate(gs, CAST(array() AS array<double>), (a, x) -> CASE WHEN size(a) = 0 OR x - element_at(a, -1) > 10 THEN array_append(a, x) ELSE a END)"
     return grid.select(F.explode(F.expr(fold)).alias("g")).select((F.col("g") * (gap / 10)).alias(column))
+
+
+def by_method(exact: DataFrame, methods: dict[str, DataFrame]) -> DataFrame:
+    """method, kind, mean and largest absolute error, n, of several methods' MARGINAL tables against the exact one. A row that one side lacks is 0
+    there. Each method is one join; they're summed before they come together."""
+    out = None
+    for name, p in methods.items():
+        one = errors(exact, p).groupBy("kind").agg(F.avg(F.abs("error")).alias("mean"), F.max(F.abs("error")).alias("largest"), F.count("*").alias("n"))
+        one = one.select(F.lit(name).alias("method"), "kind", "mean", "largest", "n")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -31,3 +31,25 @@ def summary(s: DataFrame) -> DataFrame:
 def competing_tracks(reward: DataFrame) -> DataFrame:
     """How many measurements are gated by how many tracks."""
     return reward.filter("meas > 0").groupBy("frame", "meas").agg(F.count("*").alias("n_tracks")).groupBy("n_tracks").agg(F.count("*").alias("n_meas"))
+
+
+def competing_by_hypothesis(reward: DataFrame, m: DataFrame) -> DataFrame:
+    """frame, master, hypo, meas, n_tracks: how many of a joint hypothesis' tracks gate each measurement that some of them gates."""
+    own = m.select("frame", "master", "hypo", F.explode("tracks").alias("track"))
+    return own.join(reward.filter("meas > 0").select("frame", "track", "meas"), ["frame", "track"]).groupBy("frame", "master", "hypo", "meas").agg(F.count("*").alias("n_tracks"))
+
+
+def superclusters(reward: DataFrame, h: DataFrame, cluster_map: DataFrame) -> DataFrame:
+    """frame, master, n_clusters, n_hypos_before (sum), n_hypos_after (product), n_linking, and the least and most linking measurements of a
+    cluster, of the masters that several clusters merge into."""
+    per = h.groupBy("frame", "cluster").agg(F.count("*").alias("n")).join(cluster_map, ["frame", "cluster"])
+    many = per.groupBy("frame", "master").agg(F.count("*").alias("n_clusters"), F.sum("n").alias("n_hypos_before"), F.product(F.col("n").cast("double")).cast("long").alias("n_hypos_after")).filter("n_clusters > 1")
+    links = linking_measurements(reward, h, cluster_map)
+    by_cluster = links.select("frame", "master", F.explode("clusters").alias("cluster")).groupBy("frame", "master", "cluster").agg(F.count("*").alias("n"))
+    by_cluster = by_cluster.groupBy("frame", "master").agg(F.min("n").alias("least_linking"), F.max("n").alias("most_linking"))
+    return many.join(links.groupBy("frame", "master").agg(F.count("*").alias("n_linking")), ["frame", "master"]).join(by_cluster, ["frame", "master"])
+
+
+def histogram(df: DataFrame, column: str) -> DataFrame:
+    """value, n: how often each value of a column occurs."""
+    return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))

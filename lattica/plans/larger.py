@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.lineage import written
-from ..operators import conditioning, factors, lbp, search
+from ..operators import conditioning, factors, lbp, metrics, search, single, stats
 from ..operators import hypotheses as hy
 from . import lbp_sql
 from .catalog import LBP_P, MARGINAL_SQL, STEPS, R, query, rounded
 from .problems import LARGE_SQL, large_problem
+from .studies import MIX, MIX_SQL
 
 
 def large_query(sql: str, walk: bool = True, more: str = ""):
@@ -70,3 +71,56 @@ def searched_associations(spark, sf_dir):
 def searched_evidence(spark, sf_dir):
     """Log-evidence of the 150 best, with hypotheses, clusters and non-existence."""
     return rounded(search.truncated(written(_searched(spark, sf_dir)))[0], "log_z")
+
+
+@large_query("""SELECT c.frame, c.master, c.n_clusters, n_hypos_before, n_hypos_after, n_linking, least_linking, most_linking FROM (
+ SELECT frame, master, count(*) AS n_clusters, sum(n)::BIGINT AS n_hypos_before, product(n)::BIGINT AS n_hypos_after FROM (SELECT frame, cluster, count(*) AS n FROM hypothesis GROUP BY ALL) JOIN cluster_map USING (frame, cluster) GROUP BY ALL HAVING count(*) > 1) c
+ JOIN (SELECT frame, master, count(*) AS n_linking FROM lm GROUP BY ALL) USING (frame, master)
+ JOIN (SELECT frame, master, min(n) AS least_linking, max(n) AS most_linking FROM (SELECT frame, master, cluster, count(*) AS n FROM lm JOIN gated g USING (frame, meas) JOIN cluster_map m USING (frame, cluster, master) GROUP BY ALL) GROUP BY ALL) USING (frame, master)""", walk=False, more="lm AS (SELECT frame, master, meas FROM gated JOIN cluster_map USING (frame, cluster) GROUP BY ALL HAVING count(*) > 1)")
+def superclusters(spark, sf_dir):
+    """What merges into superclusters."""
+    r, h = _problem(spark, sf_dir)
+    return stats.superclusters(r, h, written(hy.merge_map(r, h)))
+
+
+@large_query("SELECT n_tracks AS value, count(*) AS n FROM (SELECT m.frame, m.master, m.labels, r.meas, count(*) AS n_tracks FROM (SELECT *, unnest(tracks) AS track FROM merged) m JOIN reward r ON r.frame = m.frame AND r.track = m.track AND r.meas > 0 GROUP BY ALL) GROUP BY n_tracks")
+def competition_by_hypothesis(spark, sf_dir):
+    """How often a joint hypothesis has how many tracks that compete for a measurement."""
+    r, h = _problem(spark, sf_dir)
+    return stats.histogram(stats.competing_by_hypothesis(r, hy.merged(h, hy.merge_map(r, h))), "n_tracks")
+
+
+@large_query("SELECT frame, master, (dense_rank() OVER (PARTITION BY frame, master ORDER BY labels) - 1)::INT AS merged_hypo, l.cluster, l.hypo FROM (SELECT frame, master, labels, unnest(labels) AS l FROM merged)")
+def hypothesis_lineage(spark, sf_dir):
+    r, h = _problem(spark, sf_dir)
+    return hy.lineage(hy.merged(h, hy.merge_map(r, h)))
+
+
+@large_query(f"SELECT frame, cluster, hypo, round(p, {R}) AS prob, round(p / sum(p) OVER (PARTITION BY frame, cluster), {R}) AS share FROM (SELECT *, prob / sum(prob) OVER (PARTITION BY frame, cluster) AS p FROM hypothesis) WHERE len(tracks) > 1", walk=False)
+def selected_hypotheses(spark, sf_dir):
+    """Probabilities of the hypotheses of several tracks, among all and among themselves."""
+    h = _problem(spark, sf_dir)[1]
+    return rounded(hy.selected(h, h.filter(F.size("tracks") > 1)).select("frame", "cluster", "hypo", "prob", "share"), "prob", "share")
+
+
+COMPARED = LBP_P + "," + MIX_SQL + """, mix_all AS (SELECT frame, track, CASE WHEN meas = 0 THEN 'missed' ELSE 'detection' END AS kind, meas, p FROM mix_p
+ UNION ALL SELECT m.frame, m.track, 'nonexistence', NULL, 1 - coalesce(sum(p), 0) FROM member m LEFT JOIN mix_p d ON d.frame = m.frame AND d.track = m.track GROUP BY m.frame, m.track),
+compared AS (SELECT coalesce(e.kind, a.kind) AS kind, 'messages' AS method, coalesce(e.p, 0) - coalesce(a.p, 0) AS error FROM exact_p e FULL JOIN lbp_p a ON e.frame = a.frame AND e.track = a.track AND e.kind = a.kind AND coalesce(e.meas, -1) = coalesce(a.meas, -1)
+ UNION ALL SELECT coalesce(e.kind, a.kind), 'mixture', coalesce(e.p, 0) - coalesce(a.p, 0) FROM exact_p e FULL JOIN mix_all a ON e.frame = a.frame AND e.track = a.track AND e.kind = a.kind AND coalesce(e.meas, -1) = coalesce(a.meas, -1)
+ UNION ALL SELECT kind, 'conditioned', 0 FROM exact_p UNION ALL SELECT kind, 'tree', 0 FROM exact_p)"""
+
+
+@large_query("SELECT method, kind, round(avg(abs(error)), 6) AS mean, round(max(abs(error)), 6) AS largest, count(*) AS n FROM compared GROUP BY ALL", more=MARGINAL_SQL + "," + COMPARED)
+def methods_compared(spark, sf_dir):
+    """Errors of marginals by junction tree, conditioning, messages and mixtures over hypotheses, by kind."""
+    r, h = _problem(spark, sf_dir)
+    kind = F.when(F.col("value") < 0, "nonexistence").when(F.col("value") == 0, "missed").otherwise("detection")
+    tree = factors.by_elimination(r, h).filter("kind = 'track'").select("frame", F.col("key").alias("track"), kind.alias("kind"), F.when(F.col("value") >= 0, F.col("value")).alias("meas"), "p")
+    loopy = lbp.lbp(r, h, r.select("frame").distinct().count(), STEPS).filter("kind in ('missed', 'detection', 'nonexistence')").select("frame", "track", "kind", "meas", "p")
+    m = written(hy.merged(h, hy.merge_map(r, h)))
+    mixture = single.total_probability(written(single.per_hypothesis(r, m, single.by_bethe, 0.0, MIX)), m).select("frame", "track", "kind", "meas", "p")
+    exact = written(conditioning.Conditioned(r, h, hy.merge_map(r, h)).marginals())
+    tree = written(tree)
+    # conditioning and the tree are both exact: each stands against the other
+    out = metrics.by_method(tree, {"conditioned": exact, "messages": loopy, "mixture": mixture}).unionByName(metrics.by_method(exact, {"tree": tree}))
+    return rounded(out, "mean", "largest")

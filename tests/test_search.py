@@ -145,3 +145,30 @@ def test_marginals_of_vanishing_weights(spark):
         assert {(x.track, x.meas): x.p for x in c.marginals().collect()} == pytest.approx(p, abs=1e-9)
     assert factors.by_elimination(r, h).first().log_z == pytest.approx(want)
     assert search.best_associations(r, h, 9, cm).count() == 3
+
+
+def test_lineage_selection_and_numbers(spark):
+    from lattica.operators import hypotheses as hy
+    from lattica.operators import metrics, stats
+
+    r = [(1, 1, 0, 0.0), (1, 1, 1, 1.0), (1, 2, 0, 0.0), (1, 2, 1, 1.0), (1, 3, 0, 0.0), (1, 3, 1, 0.5), (1, 3, 2, 0.5), (1, 4, 0, 0.0)]
+    h = [(1, 0, 0, [2, 1], 0.3), (1, 0, 1, [], 0.1), (1, 0, 2, [1], 0.6), (1, 1, 0, [3], 1.0), (1, 2, 0, [4], 1.0), (2, 0, 0, [7], 1.0)]
+    reward, hypos = spark.createDataFrame(r, schema.REWARD), spark.createDataFrame(h, schema.HYPOTHESIS)
+    cm = hy.merge_map(reward, hypos)
+    m = hy.merged(hypos, cm)
+    rows = {(x.frame, x.master, x.merged_hypo): set() for x in hy.lineage(m).collect()}
+    for x in hy.lineage(m).collect():
+        rows[x.frame, x.master, x.merged_hypo].add((x.cluster, x.hypo))
+    assert rows == {(1, 0, 0): {(0, 0), (1, 0)}, (1, 0, 1): {(0, 1), (1, 0)}, (1, 0, 2): {(0, 2), (1, 0)}, (1, 2, 0): {(2, 0)}, (2, 0, 0): {(0, 0)}}
+    some = spark.createDataFrame([(1, 0, 2), (1, 1, 0), (1, 1, 0)], "frame long, cluster int, hypo int")
+    assert sorted(x.hypo for x in hy.descending_from(m, some.limit(1)).collect()) == [2]
+    assert sorted(x.hypo for x in hy.descending_from(m, some).collect()) == [0, 1, 2]
+    picked = {(x.cluster, x.hypo): (x.prob, x.share) for x in hy.selected(hypos, spark.createDataFrame([(1, 0, 0), (1, 0, 1)], "frame long, cluster int, hypo int")).collect()}
+    assert picked[0, 0] == pytest.approx((0.3, 0.75)) and picked[0, 1] == pytest.approx((0.1, 0.25))
+    assert {(x.cluster, x.hypo): x.tracks for x in hy.numbered(hypos.filter("frame = 1")).collect()} == {(0, 0): [1, 2], (0, 1): [], (0, 2): [2], (1, 0): [1], (2, 0): [1]}
+    assert [tuple(x) for x in stats.superclusters(reward, hypos, cm).collect()] == [(1, 0, 2, 4, 3, 1, 1, 1)]
+    competing = {(x.master, x.hypo, x.meas): x.n_tracks for x in stats.competing_by_hypothesis(reward, m).collect()}
+    assert competing == {(0, 0, 1): 3, (0, 0, 2): 1, (0, 1, 1): 1, (0, 1, 2): 1, (0, 2, 1): 2, (0, 2, 2): 1}
+    p = spark.createDataFrame([(1, 1, "missed", 0, 0.5), (1, 1, "nonexistence", None, 0.5)], schema.MARGINAL)
+    got = {(x.method, x.kind): (x["mean"], x.n) for x in metrics.by_method(p, {"same": p, "none": p.limit(0)}).collect()}
+    assert got == {("same", "missed"): (0.0, 1), ("same", "nonexistence"): (0.0, 1), ("none", "missed"): (0.5, 1), ("none", "nonexistence"): (0.5, 1)}
