@@ -42,15 +42,14 @@ class Frames:
         h = hypo[np.isin(hypo["frame"], self.frames)]
         self.h_frame = np.searchsorted(self.frames, h["frame"])
         self.h_cluster, self.h_hypo = h["cluster"].to_numpy(int), h["hypo"].to_numpy(int)
-        key = self.h_frame * (1 << 20) + self.h_cluster
-        self.cluster_key, self.h_group = np.unique(key, return_inverse=True)
-        self.c_frame = self.cluster_key >> 20
+        self.clusters, of = np.unique(np.stack([self.h_frame, self.h_cluster], 1), axis=0, return_inverse=True)
+        self.h_group, self.c_frame = of.ravel(), self.clusters[:, 0]
         prob = h["prob"].to_numpy(float)
         self.phi = prob / np.bincount(self.h_group, prob)[self.h_group]
         self.has = np.zeros((len(h), n), bool)
         for k, ts in enumerate(h["tracks"]):
             self.has[k] = np.isin(self.track_of[self.h_frame[k]], np.asarray(ts, int))
-        self.of = np.zeros((len(self.cluster_key), n), bool)
+        self.of = np.zeros((len(self.clusters), n), bool)
         np.logical_or.at(self.of, self.h_group, self.has)
         self.track &= self._by_frame(self.of)
 
@@ -63,9 +62,9 @@ class Frames:
         return self.phi * np.where(self.has, rho[self.h_frame], 1.0).prod(axis=1)
 
     def sigma(self, rho: np.ndarray) -> np.ndarray:
-        mass, inside = self.hypothesis_mass(rho), np.zeros((len(self.cluster_key), rho.shape[1]))
+        mass, inside = self.hypothesis_mass(rho), np.zeros((len(self.clusters), rho.shape[1]))
         np.add.at(inside, self.h_group, self.has * mass[:, None])
-        total = np.bincount(self.h_group, mass, len(self.cluster_key))
+        total = np.bincount(self.h_group, mass, len(self.clusters))
         out = np.zeros(rho.shape)
         with np.errstate(divide="ignore", invalid="ignore"):
             part = np.where(self.of, rho[self.c_frame] * (total[:, None] - inside) / inside, 0.0)
@@ -79,8 +78,8 @@ class Frames:
         row = self.w0 + wn.sum(2)
         log = lambda x, mask: np.where(mask, np.log(np.where(mask, x, 1.0)), 0.0)
         mass = self.hypothesis_mass(rho)
-        z_theta = np.bincount(self.h_group, mass, len(self.cluster_key))
-        inside = np.zeros((len(self.cluster_key), rho.shape[1]))
+        z_theta = np.bincount(self.h_group, mass, len(self.clusters))
+        inside = np.zeros((len(self.clusters), rho.shape[1]))
         np.add.at(inside, self.h_group, self.has * mass[:, None])
         z_tth = row[self.c_frame] / np.where(self.of, rho[self.c_frame], 1.0) * inside + (z_theta[:, None] - inside)
         pair = self.track[:, :, None] & self.meas[:, None, :]

@@ -375,12 +375,7 @@ KS = (10, 20, 50, 100, 150)
 @query(" UNION ALL ".join(f"SELECT {k} AS k, frame, round(ln(sum(w)), {R}) + 0.0 AS log_z FROM ranks WHERE rank <= {k} GROUP BY frame" for k in KS), walk=False, more=FREE_ALL)
 def truncated_evidence(spark, sf_dir):
     """Log-evidence of the k best associations of each frame, for five k."""
-    r = problem(spark, sf_dir)[0]
-    out = None
-    for k in KS:
-        one = assignment.truncated_marginals(r, k).groupBy("frame").agg(F.first("log_z").alias("log_z")).select(F.lit(k).alias("k"), "frame", "log_z")
-        out = one if out is None else out.unionByName(one)
-    return rounded(out, "log_z")
+    return rounded(assignment.truncated_evidence(problem(spark, sf_dir)[0], KS), "log_z")
 
 
 @query(f"""SELECT frame, track, meas, round(sum(w) / any_value(z), 4) + 0.0 AS p FROM (SELECT frame, unnest(tracks) AS track, unnest(picks) AS meas, w FROM ranks WHERE rank <= 150) JOIN (SELECT frame, sum(w) AS z FROM ranks WHERE rank <= 150 GROUP BY frame) USING (frame) GROUP BY frame, track, meas""", walk=False, more=FREE_ALL)
@@ -439,6 +434,16 @@ def scatter_table(spark, sf_dir):
     return analytics.scatter_table(_errors(spark, sf_dir), r, h)
 
 
+EXPLAINED = ("largest", "n_tracks", "n_hypos", "n_gated", "most_competing")
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 5) AS correlation FROM explained" for i, a in enumerate(EXPLAINED) for b in EXPLAINED[i + 1 :]), more=LARGEST + """, explained AS (SELECT frame, largest, (SELECT count(*) FROM track t WHERE t.frame = large.frame) AS n_tracks, (SELECT count(*) FROM hypothesis h WHERE h.frame = large.frame) AS n_hypos,
+coalesce(g.n_gated, 0) AS n_gated, coalesce(g.most_competing, 0) AS most_competing FROM large LEFT JOIN (SELECT frame, count(*) AS n_gated, max(c) AS most_competing FROM (SELECT frame, meas, count(*) AS c FROM reward WHERE meas > 0 GROUP BY ALL) GROUP BY frame) g USING (frame))""")
+def scatter_correlations(spark, sf_dir):
+    """Correlation of frames' largest errors and what may explain them, each two."""
+    return analytics.scatter_matrix(scatter_table(spark, sf_dir), *EXPLAINED).withColumn("correlation", F.round("correlation", 5))
+
+
 @query("SELECT frame, largest >= 0.05 AS large_error, relative < 0 AS larger_bethe, abs(ln(1 - relative)) > 0.01 AS large_evidence_error, relative > 0 AND relative * 100 < 1 AS very_right FROM large JOIN rel USING (frame)", more=LARGEST + "," + Z_SQL.replace(lbp_sql.steps(STEPS) + ",", "", 1))
 def notable_frames(spark, sf_dir):
     """Frames by the predicates of a closer look, at limits that these small problems reach, on evidence at a resolution of 1e-6."""
@@ -459,7 +464,8 @@ CONV = LARGEST.replace(lbp_sql.steps(STEPS), lbp_sql.steps(LOOSE_MOST), 1) + ","
 @query("SELECT converged, x, round(sum(n) OVER (PARTITION BY converged ORDER BY x DESC) / sum(n) OVER (PARTITION BY converged), 3) AS share FROM (SELECT message_iterations > 0 AS converged, round(abs(error), 2) AS x, count(*) AS n FROM er JOIN met USING (frame) GROUP BY ALL)", more=CONV)
 def survival_by_convergence(spark, sf_dir):
     """Survival of absolute errors, of frames that converged and of others."""
-    err = _errors(spark, sf_dir).join(_loose(spark, sf_dir).select("frame", "converged"), "frame")
+    met, not_met = analytics.split_by_convergence(written(_errors(spark, sf_dir)), written(_loose(spark, sf_dir).select("frame", "converged")))
+    err = met.withColumn("converged", F.lit(True)).unionByName(not_met.withColumn("converged", F.lit(False)))
     return analytics.survival(err, 2, "converged").withColumn("share", F.round("share", 3))
 
 
