@@ -11,6 +11,8 @@ surplus. Sets that skip more have keys for all their groups.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -119,9 +121,9 @@ def _key_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), np.int64)), pa.array(ids)], names=["key", "id"])
 
 
-def _shared_keys(batches):
-    """Of a partition sorted by (key, id) the rows of keys that several ids have, with the least id, and whether over HOT have it. Holds HOT
-    ids of one key at most."""
+def _shared_keys(batches, most: int):
+    """Of a partition sorted by (key, id) the rows of keys that several ids have, with the least id, and whether over `most` have it. Holds so
+    many ids of one key at most."""
     key, ids, head, hot = 0, np.zeros(0, np.int64), 0, False
     for batch in batches:
         if not batch.num_rows:
@@ -132,7 +134,7 @@ def _shared_keys(batches):
         k, i = k[new], i[new]
         at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         size, heads = np.diff(np.append(at, len(k))), i[at]
-        over = size > HOT
+        over = size > most
         if hot and k[0] == key:
             over[0], heads[0] = True, head
         key, head, hot = k[-1], heads[-1], bool(over[-1])
@@ -149,7 +151,7 @@ def _shared_keys(batches):
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    return written(rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared_keys, _SHARED))
+    return written(rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(partial(_shared_keys, most=HOT), _SHARED))
 
 
 def may_link(bound: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:

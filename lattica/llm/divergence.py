@@ -9,6 +9,7 @@ the pairs of sources that share the term; what a pair owes to terms that one or
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,7 @@ def _starts(*cols: pa.Array) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _summed_runs(batches):
+def _summed_runs(batches, held: int):
     """Runs of what this task reads: for each (lang, source) and term its occurrences and documents since the last flush."""
     n: dict = defaultdict(Counter)
     docs: dict = defaultdict(Counter)
@@ -87,8 +88,8 @@ def _summed_runs(batches):
             words = list(of)
             for k in range(0, len(words), RUN_ROWS):
                 some = words[k : k + RUN_ROWS]
-                held = docs[lang, source]
-                columns = [[lang] * len(some), pa.array(some, pa.binary()).cast(pa.string()), [source] * len(some), [least[lang, source]] * len(some), [held[w] for w in some], [of[w] for w in some]]
+                own = docs[lang, source]
+                columns = [[lang] * len(some), pa.array(some, pa.binary()).cast(pa.string()), [source] * len(some), [least[lang, source]] * len(some), [own[w] for w in some], [of[w] for w in some]]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, (pa.string(), None, pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["lang", "term", "source", "document", "docs", "n"])
         n.clear(), docs.clear(), least.clear()
 
@@ -100,7 +101,7 @@ def _summed_runs(batches):
             docs[a, b].update(set(words))
             i = -1 if i is None else i
             least[a, b] = min(least.get((a, b), i), i)
-        if sum(map(len, n.values())) > HELD:
+        if sum(map(len, n.values())) > held:
             yield from flush()
     yield from flush()
 
@@ -201,7 +202,7 @@ def audit(docs: DataFrame) -> DataFrame:
     # a term's rows in one task number the tasks' flushes times its sources, however many documents hold it
     tune(spark)
     named = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    runs = named.mapInArrow(_summed_runs, _RUN).repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "document")
+    runs = named.mapInArrow(partial(_summed_runs, held=HELD), _RUN).repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "document")
     tune(spark, RUN_ROWS)
     kept = written(runs.mapInArrow(_kept, _KEPT))
     counted = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.sum("first").alias("firsts"))

@@ -102,13 +102,12 @@ def test_tree_finds_what_all_pairs_give():
     assert len(countjoin.CountTree(vectors[:0], sizes[:0], 85).near(vectors[0], 3)) == 0
 
 
-def test_keys_of_many_batches(monkeypatch):
+def test_keys_of_many_batches():
     import pyarrow as pa
 
-    monkeypatch.setattr(countjoin, "HOT", 3)
     rows = [(1, 1), (2, 1), (2, 1), (2, 5), *((3, k) for k in range(9)), (4, 2), (5, 7), (5, 7), (6, 1), (6, 2), (6, 3)]
     want = [(k, i, min(x for y, x in rows if y == k), len({x for y, x in rows if y == k}) > 3) for k, i in sorted(set(rows)) if len({x for y, x in rows if y == k}) > 1]
     for size in (1, 2, 3, 5, 50):
         batches = [pa.record_batch({"key": pa.array([k for k, _ in rows[n : n + size]]), "id": pa.array([i for _, i in rows[n : n + size]])}) for n in range(0, len(rows), size)]
-        got = [tuple(r.values()) for b in countjoin._shared_keys(batches) for r in b.to_pylist()]
+        got = [tuple(r.values()) for b in countjoin._shared_keys(batches, 3) for r in b.to_pylist()]
         assert sorted(got) == want
