@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import ragged
+from ..operators.resampling import prefixed
 
 
 def write_problem(path: str, reward: DataFrame, h: DataFrame, cluster_map: DataFrame) -> None:
@@ -48,35 +51,90 @@ def read_murty(spark: SparkSession, path: str, tolerance: float = 1e-6) -> DataF
     return rows.withColumn("p", F.when(good, F.col("p")).otherwise(F.raise_error(F.lit("a truncated result isn't whole"))))
 
 
-def write_column(df: DataFrame, column: str, path: str, *order: str) -> None:
-    """A column as raw little-endian doubles: a file of one record for each partition of the rows sorted by `order`, whose names sort."""
-    ordered = df.select(*order, F.col(column).cast("double").alias("x")).repartitionByRange(*order).sortWithinPartitions(*order)
+#: Doubles of a block of a raw column.
+BLOCK = 1 << 20
+
+
+def _sorted_doubles(df: DataFrame, column: str, order: tuple[str, ...]) -> DataFrame:
+    return df.select(*order, F.col(column).cast("double").alias("x")).repartitionByRange(*order).sortWithinPartitions(*order).select("x")
+
+
+def _blocks(batches, block: int) -> Iterator[bytes]:
+    """Little-endian doubles of a partition, in blocks of so many."""
+    held: list[bytes] = []
+    size = 0
+    for b in batches:
+        raw = b["x"].to_numpy("<f8").tobytes()
+        held.append(raw)
+        size += len(raw)
+        while size >= 8 * block:
+            whole = b"".join(held)
+            yield whole[: 8 * block]
+            held = [whole[8 * block :]]
+            size = len(held[0])
+    if size:
+        yield b"".join(held)
+
+
+def write_column(df: DataFrame, column: str, path: str, *order: str, block: int = BLOCK) -> None:
+    """A column as raw little-endian doubles in blocks of `block`, (part, block, data) rows of a table: parts are ranges of the rows sorted by
+    `order`. Nulls are NaN."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for k, data in enumerate(_blocks(batches, block)):
+            yield pd.DataFrame({"part": [part], "block": [k], "data": [data]})
+
+    _sorted_doubles(df, column, order).mapInPandas(run, "part int, block int, data binary").write.mode("overwrite").parquet(path)
+
+
+def write_binary(df: DataFrame, column: str, path: str, *order: str) -> int:
+    """A column as files 00000000.bin, 00000001.bin, ... of raw little-endian doubles that any program reads, in a folder that all executors reach
+    (a path or an address that Arrow knows); how many doubles there are. Files are ranges of the rows sorted by `order`. They're written under
+    a name of their task's attempt and renamed when they're whole, so that a task may be repeated. Files that were there stay, if they've other
+    names."""
 
     def run(batches):
+        from pyarrow import fs
         from pyspark import TaskContext
 
-        part, parts = TaskContext.get().partitionId(), [b["x"].to_numpy("<f8").tobytes() for b in batches]
-        if parts:
-            yield pd.DataFrame({"part": [part], "data": [b"".join(parts)]})
+        task = TaskContext.get()
+        place, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        name, out, n = f"{root.rstrip('/')}/{task.partitionId():08d}.bin", None, 0
+        for data in _blocks(batches, BLOCK):
+            if out is None:
+                place.create_dir(root, recursive=True)
+                out = place.open_output_stream(f"{name}.{task.taskAttemptId()}")
+            out.write(data)
+            n += len(data) // 8
+        if out is not None:
+            out.close()
+            place.move(f"{name}.{task.taskAttemptId()}", name)
+            yield pd.DataFrame({"n": [n]})
 
-    ordered.mapInPandas(run, "part int, data binary").write.mode("overwrite").parquet(path)
+    return _sorted_doubles(df, column, order).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def read_column(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
-    """place (from 0), x: doubles of write_column's table, or (raw) of files *.bin in the order of their names. A file is one task's."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select(F.col("path").alias("part"), F.col("content").alias("data")) if raw else spark.read.parquet(path)
-    sizes = sorted((r.part, r.n) for r in files.select("part", (F.length("data") / 8).cast("long").alias("n")).collect())
-    before, total = {}, 0
-    for part, n in sizes:
-        before[part], total = total, total + n
+    """place (from 0), x: doubles of write_column's table, or (raw) of files *.bin in the order of their paths, each of which a task reads whole
+    (Spark's limit for such files is 2 GB). Places are global prefix sums of the blocks' sizes, with nothing gathered on the driver."""
+    if raw:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select("path", "length", F.col("content").alias("data"))
+        keyed = files.select(F.struct("path").alias("key"), (F.col("length") / 8).cast("long").alias("n"), "data")
+    else:
+        keyed = spark.read.parquet(path).select(F.struct("part", "block").alias("key"), (F.length("data") / 8).cast("long").alias("n"), "data")
+    starts, _ = prefixed(keyed.select("key", "n"), "key", "n")
 
     def run(batches):
         for batch in batches:
-            for part, data in zip(batch["part"], batch["data"], strict=True):
+            for begin, data in zip(batch["begin"], batch["data"], strict=True):
                 x = np.frombuffer(data, "<f8")
-                yield pd.DataFrame({"place": before[part] + np.arange(len(x)), "x": x})
+                for k in range(0, len(x), BLOCK):
+                    yield pd.DataFrame({"place": int(begin) + np.arange(k, min(k + BLOCK, len(x))), "x": x[k : k + BLOCK]})
 
-    return files.mapInPandas(run, "place long, x double")
+    return keyed.join(starts.select("key", F.col("begin").cast("long").alias("begin")), "key").select("begin", "data").mapInPandas(run, "place long, x double")
 
 
 def decode_hypotheses(snapshots: DataFrame) -> DataFrame:

@@ -142,3 +142,21 @@ def test_recycled_tracks(spark):
     tracks = spark.createDataFrame([(1, 1, 0.9, 0.0, 1.0), (1, 2, 0.05, 1.0, 1.0), (1, 3, 1e-7, 2.0, 1.0)], "frame long, track int, exi double, x double, p double")
     stay, weak = tracking.recycled(tracks)
     assert [x.track for x in stay.collect()] == [1] and [(x.component, x.weight) for x in weak.collect()] == [(2, 0.05)]
+
+
+def test_columns_in_blocks_and_binary_files(spark, tmp_path):
+    """Several blocks a part, files that numpy reads, repeated values, nulls, no rows."""
+    rows = [(k, None if k % 50 == 3 else (k * 37 % 101) / 4) for k in range(200)]
+    df = spark.createDataFrame(rows, "k long, v double").repartition(5)
+    want = [(k, v) for k, v in rows]
+    snapshots.write_column(df, "v", str(tmp_path / "t"), "k", block=7)
+    same = lambda got: [(r.place, None if r.x != r.x else r.x) for r in got] == want
+    assert same(snapshots.read_column(spark, str(tmp_path / "t")).orderBy("place").collect())
+    assert spark.read.parquet(str(tmp_path / "t")).selectExpr("max(length(data))").first()[0] <= 56
+    assert snapshots.write_binary(df, "v", str(tmp_path / "bin"), "k") == 200
+    files = sorted((tmp_path / "bin").iterdir())
+    assert [f.suffix for f in files] == [".bin"] * len(files)
+    whole = np.concatenate([np.fromfile(f, "<f8") for f in files])
+    assert [None if x != x else x for x in whole.tolist()] == [v for _, v in rows]
+    assert same(snapshots.read_column(spark, str(tmp_path / "bin"), raw=True).orderBy("place").collect())
+    assert snapshots.write_binary(df.limit(0), "v", str(tmp_path / "none"), "k") == 0
