@@ -40,6 +40,18 @@ def without(a: Column, places: Column) -> Column:
     return F.filter(a, lambda _, i: ~F.array_contains(places, i + 1))
 
 
+def inserted(a: Column, place: Column | int, b: Column) -> Column:
+    """a with the elements of b from a (1-based) place on; one past the end appends. Null outside of that."""
+    place = place if isinstance(place, Column) else F.lit(place)
+    inside = (place >= 1) & (place <= F.size(a) + 1)
+    return F.when(inside, F.concat(F.slice(a, 1, F.greatest(place - 1, F.lit(0))), b, F.slice(a, F.greatest(place, F.lit(1)), F.size(a))))
+
+
+def reordered(a: Column, places: Column) -> Column:
+    """The elements of a at some (1-based) places, in their order; a place that isn't there gives null."""
+    return F.transform(places, lambda i: F.when((i >= 1) & (i <= F.size(a)), F.get(a, i - 1)))
+
+
 def cumulative(a: Column) -> Column:
     return F.transform(a, lambda _, i: F.aggregate(F.slice(a, 1, i + 1), F.lit(0.0), lambda s, x: s + x))
 
