@@ -218,6 +218,34 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(joined.select("a", "b", "na", "nb", "owna", "nexta", "ownb", "nextb").mapInArrow(run, _PAIR).distinct())
 
 
+#: Links that a task takes on average when those that say nothing new are left out.
+FOREST = 200_000
+
+
+def _spanning(batches):
+    """Of a partition's links those that join what isn't joined by the ones before."""
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := top.setdefault(x, x)) != x:
+            top[x] = x = top[up]
+        return x
+
+    for batch in batches:
+        keep = []
+        for a, b in zip(_np(batch, "a").tolist(), _np(batch, "b").tolist(), strict=True):
+            p, q = root(a), root(b)
+            keep.append(p != q)
+            if p != q:
+                top[max(p, q)] = min(p, q)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def _forest(links: DataFrame) -> DataFrame:
+    """Links with the same components, fewer than each task's share has ids: a crowd has many links that say the same."""
+    return written(links.select("a", "b").repartition(max(1, -(-links.count() // FOREST))).mapInArrow(_spanning, _PAIR))
+
+
 def _parts(shared: DataFrame, labels: DataFrame, alone: str) -> tuple[DataFrame, DataFrame]:
     """Members of shared keys with their components, and of each key how they part: largest component, its n, all n, parts. Without the
     members that `alone` says, which have met all others already."""
@@ -274,7 +302,7 @@ def _crowded(hot: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame
     link less than a block has components leaves it."""
     now, parts = _parts(hot, labels, "true")
     rows = written(by_ids(now, written(parts.select("key")), "left_semi", "key"))
-    crowd = components(rows.groupBy("key").agg(F.min("id").alias("a")).join(rows.select("key", F.col("id").alias("b")), "key").select("a", "b").filter("a <> b").distinct())
+    crowd = components(_forest(rows.groupBy("key").agg(F.min("id").alias("a")).join(rows.select("key", F.col("id").alias("b")), "key").select("a", "b").filter("a <> b").distinct()))
     own = rows.select("id", "component").distinct().join(crowd.withColumnRenamed("component", "crowd"), "id")
     most = own.groupBy("crowd", "component").agg(F.count("*").alias("n")).groupBy("crowd").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
@@ -370,12 +398,12 @@ def joined(docs: DataFrame, percent: int = 85) -> DataFrame:
     shared = written(shared)
     sets = written(by_ids(sets.select("id", "n_shingles", "own", "next"), written(shared.select("id").distinct()), "left_semi", "id"))
     # a bucket's least member meets all; what is apart then is searched
-    links = verified(_bounded(written(shared.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()), sets, percent), docs, percent, SHINGLE)
+    links = _forest(verified(_bounded(written(shared.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()), sets, percent), docs, percent, SHINGLE))
     labels = components(links)
     if shared.filter("hot").limit(1).count():
-        links = written(links.union(_crowded(shared.filter("hot"), labels, sets, docs, classes)))
+        links = _forest(links.union(_crowded(shared.filter("hot"), labels, sets, docs, classes)))
         labels = components(links)
     more = _searched(shared.filter("not hot"), labels, sets, classes)
     if more.limit(1).count():
-        labels = components(links.union(verified(more, docs, percent, SHINGLE)))
+        labels = components(_forest(links.union(verified(more, docs, percent, SHINGLE))))
     return labelled(narrow, same, labels)

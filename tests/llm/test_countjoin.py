@@ -111,3 +111,14 @@ def test_keys_of_many_batches():
         batches = [pa.record_batch({"key": pa.array([k for k, _ in rows[n : n + size]]), "id": pa.array([i for _, i in rows[n : n + size]])}) for n in range(0, len(rows), size)]
         got = [tuple(r.values()) for b in countjoin._shared_keys(batches, 3) for r in b.to_pylist()]
         assert sorted(got) == want
+
+
+def test_forest_keeps_components(spark, monkeypatch):
+    rng = random.Random(3)
+    links = [(rng.randrange(60), 60 + rng.randrange(60)) for _ in range(400)] + [(200 + k, 201 + k) for k in range(30)]
+    monkeypatch.setattr(countjoin, "FOREST", 1000)
+    df = spark.createDataFrame(links, "a long, b long")
+    left = countjoin._forest(df)
+    whole = lambda x: sorted(map(tuple, countjoin.components(x).collect()))
+    assert whole(left) == whole(df) and left.count() < 160
+    assert countjoin._forest(df.limit(0)).count() == 0
