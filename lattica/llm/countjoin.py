@@ -302,7 +302,8 @@ def _crowded(hot: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame
     link less than a block has components leaves it."""
     now, parts = _parts(hot, labels, "true")
     rows = written(by_ids(now, written(parts.select("key")), "left_semi", "key"))
-    crowd = components(_forest(rows.groupBy("key").agg(F.min("id").alias("a")).join(rows.select("key", F.col("id").alias("b")), "key").select("a", "b").filter("a <> b").distinct()))
+    # a key's least member, which its rows name, connects them
+    crowd = components(_forest(rows.select(F.col("head").alias("a"), F.col("id").alias("b")).filter("a <> b").distinct()))
     own = rows.select("id", "component").distinct().join(crowd.withColumnRenamed("component", "crowd"), "id")
     most = own.groupBy("crowd", "component").agg(F.count("*").alias("n")).groupBy("crowd").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
