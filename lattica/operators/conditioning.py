@@ -5,6 +5,9 @@ A cluster is solved once for each distinct set of linking measurements that it u
 from __future__ import annotations
 
 import math
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 from typing import Protocol
 
@@ -13,117 +16,126 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import written
-from ..functions.logspace import logsumexp
+from ..functions.lineage import dealt, kept
 from .assignment import hungarian
-from .exact import options
 from .hypotheses import linking_measurements, normalize
 from .single import clean
 
-#: Ownerships of a master that are listed at most; beyond, factors.by_elimination takes the frame.
+#: Ownerships of a master that are listed, or sets that are told apart, at most; beyond, factors.by_elimination takes the frame.
 CASES = 1e6
 
 
-class Solver(Protocol):
-    """Solves clusters alone: (reward, member, shared) to rows (frame, master, cluster, hypo, uses, picks, lw), the log-weights of the ways in
-    which a cluster uses sets of its shared measurements. Ways may be single associations or sums of them, exact or not: a pick
-    (track, meas, share) says which share of its way's weight it has."""
-
-    def __call__(self, reward: DataFrame, member: DataFrame, shared: DataFrame) -> DataFrame: ...
+#: A measurement and the log-weight of a track that has it (0: missed).
+Options = list[tuple[int, float]]
+Way = tuple[list[int], list[tuple[int, int, float]], float]
 
 
-def enumerated(reward: DataFrame, member: DataFrame, shared: DataFrame) -> DataFrame:
-    """The exact solver: every association of a cluster by itself."""
-    walk = """aggregate(tracks, array(struct(CAST(array() AS array<struct<track:int,meas:int,share:double>>) AS picks, ln(prob) AS ll)),
-      (acc, t) -> flatten(transform(acc, s -> transform(
-        filter(coalesce(element_at(options, t), array()), o -> o.meas = 0 OR NOT exists(s.picks, p -> p.meas = o.meas)),
-        o -> struct(array_append(s.picks, struct(t AS track, o.meas AS meas, CAST(1 AS double) AS share)) AS picks, s.ll + o.ll AS ll)))))"""
-    rows = member.join(options(reward), "frame", "left").join(shared, ["frame", "master"], "left").withColumn("shared", F.coalesce("shared", F.expr("CAST(array() AS array<int>)")))
-    rows = rows.select("frame", "master", "cluster", "hypo", "shared", F.explode(F.expr(walk)).alias("x"))
-    uses = F.array_sort(F.array_intersect(F.transform("x.picks", lambda p: p["meas"]), F.col("shared")))
-    return rows.select("frame", "master", "cluster", "hypo", uses.alias("uses"), "x.picks", F.col("x.ll").alias("lw"))
+class Solver(Protocol):
+    """Solves a cluster's hypothesis alone: its tracks and prior, the options of tracks, the master's shared measurements and those that the cluster
+    gates, to (uses, picks, lw), the log-weights of the ways to use sets of shared measurements. Ways may be single associations or
+    sums of them, exact or not: a pick (track, meas, share) says which share of its way's weight it has."""
+
+    def __call__(self, tracks: list[int], prob: float, weights: dict[int, Options], shared: list[int], gated: list[int]) -> list[Way]: ...
+
+
+def enumerated(tracks: list[int], prob: float, weights: dict[int, Options], shared: list[int], gated: list[int]) -> list[Way]:
+    """The exact solver: every association, summed by the set that it uses."""
+    bit: dict[int, int] = {}
+    ways: list = [(0, math.log(prob), ())] if prob > 0 else []
+    for t in tracks:
+        own = [((t, j), bit.setdefault(j, 1 << len(bit)) if j > 0 else 0, ll) for j, ll in weights.get(t, ())]
+        ways = [(taken | b, lw + ll, (*picks, pick)) for taken, lw, picks in ways for pick, b, ll in own if not taken & b]
+    linking = sum(bit[j] for j in shared if j in bit)
+    sets: dict[int, list] = {}
+    for taken, lw, picks in ways:
+        if lw > NONE:
+            sets.setdefault(taken & linking, []).append((lw, picks))
+    out = []
+    for used, some in sets.items():
+        lw, share = _log_sum([lw for lw, _ in some]), defaultdict(float)
+        for own, picks in some:
+            w = math.exp(own - lw)
+            for pick in picks:
+                share[pick] += w
+        out.append((sorted(j for j, b in bit.items() if b & used), [(t, j, w) for (t, j), w in share.items()], lw))
+    return out
+
+
+def _log_sum(xs: list[float]) -> float:
+    top = max(xs)
+    return top + math.log(sum(math.exp(x - top) for x in xs)) if top > NONE else NONE
 
 
 #: Weight of no track for a measurement that must be used: none, but that messages stay finite.
 UNUSED = 1e-12
-WAYS = "frame long, master int, cluster int, hypo int, uses array<int>, picks array<struct<track:int,meas:int,share:double>>, lw double"
+NONE = float("-inf")
+#: What Conditioned sums: kinds `all` (p is log_z), `label` (cluster a's hypothesis b) and `pick` (track a's measurement b).
+SUMS = "frame long, master int, kind string, a int, b int, p double"
 #: Sets of shared measurements of one hypothesis that messages are passed for at most.
 SETS = 4096
 
 
-def propagated(reward: DataFrame, member: DataFrame, shared: DataFrame, tol: float = 1e-12, most: int = 300) -> DataFrame:
-    """The loopy solver: one way for each hypothesis and each set of its shared measurements that its tracks can use all at once, weighed by
+def propagated(tracks: list[int], prob: float, weights: dict[int, Options], shared: list[int], gated: list[int], tol: float = 1e-12, most: int = 300) -> list[Way]:
+    """The loopy solver: one way for each set of its shared measurements that a hypothesis' tracks can use all at once, weighed by
     the Bethe evidence of messages in which the set is used and the other shared measurements are left out.
 
     Exact where a hypothesis' tracks and measurements have no loop. More than SETS sets of a hypothesis raise; factors.by_elimination
     takes such frames. With tol 0 there are `most` rounds. A track's weights are divided by its largest, which messages don't notice."""
-    return _by_sets(reward, member, shared.withColumn("links", F.col("shared")), ["frame", "master"], tol, most, True)
+    return _by_sets(tracks, prob, weights, shared, tol, most, True)
 
 
-def allowed(reward: DataFrame, member: DataFrame, shared: DataFrame, tol: float = 1e-12, most: int = 300) -> DataFrame:
-    """The loopy solver that lets a cluster use what it owns: one way for each hypothesis and each set of its cluster's shared measurements, weighed
+def allowed(tracks: list[int], prob: float, weights: dict[int, Options], shared: list[int], gated: list[int], tol: float = 1e-12, most: int = 300) -> list[Way]:
+    """The loopy solver that lets a cluster use what it owns: one way for each set of its cluster's shared measurements, weighed
     by the Bethe evidence of messages in which the others are left out and those of the set may be used.
 
     With Conditioned's default, each ownership takes the way of just the set that the cluster owns, so an association counts once for
     each ownership that allows it. Sets that are the same for a hypothesis' own tracks are solved once. Bounds as in `propagated`."""
-    gates = reward.filter("meas > 0").join(member.select("frame", "master", "cluster", F.explode("tracks").alias("track")).distinct(), ["frame", "track"])
-    own = gates.groupBy("frame", "master", "cluster").agg(F.collect_set("meas").alias("gated")).join(shared, ["frame", "master"])
-    links = own.select("frame", "master", "cluster", F.array_sort(F.array_intersect("gated", "shared")).alias("links"))
-    return _by_sets(reward, member, links, ["frame", "master", "cluster"], tol, most, False)
-
-
-def _by_sets(reward: DataFrame, member: DataFrame, links: DataFrame, keys: list[str], tol: float, most: int, forced: bool) -> DataFrame:
-    gates = reward.groupBy("frame").agg(F.collect_list("track").alias("t"), F.collect_list("meas").alias("j"), F.collect_list("ll").alias("ll"))
-    rows = member.select("frame", "master", "cluster", "hypo", "tracks", "prob").join(gates, "frame", "left").join(links, keys, "left")
-
-    def solve(tracks, prob, t, j, ll, links):
-        order = np.sort(np.asarray(tracks, int))
-        t, j, ll = (np.asarray([] if x is None else x, kind) for x, kind in ((t, int), (j, int), (ll, float)))
-        links = np.asarray([] if links is None else links, int)
-        own = np.isin(t, order)
-        t, j, ll = t[own], j[own], ll[own]
-        meas, hit, at = np.unique(j[j > 0]), j > 0, np.searchsorted(order, t)
-        most_of = np.full(len(order), -np.inf)
-        np.maximum.at(most_of, at, ll)
-        if not np.isfinite(most_of).all() or prob <= 0:
-            return []
-        e = np.exp(ll - most_of[at])
-        w, w0 = np.zeros((len(order), len(meas))), np.zeros(len(order))
-        w[at[hit], np.searchsorted(meas, j[hit])] = e[hit]
-        w0[at[~hit]] = e[~hit]
-        linked = np.isin(meas, links)
-        sets = meas[linked] if forced else links
-        longest = min(len(sets), len(order)) if forced else len(sets)
-        if sum(math.comb(len(sets), n) for n in range(longest + 1)) > SETS:
-            raise ValueError("too many sets of shared measurements")
-        base, out, known = math.log(prob) + float(most_of.sum()), [], {}
-        for n in range(longest + 1):
-            for used in combinations(sets.tolist(), n):
-                inside = tuple(x for x in used if x in meas)
-                if inside not in known:
-                    known[inside] = None
-                    keep = np.flatnonzero(~linked | np.isin(meas, inside))
-                    sub, must = w[:, keep], np.isin(meas[keep], inside) & forced
-                    # tracks that can't be missed need a measurement of their own as well
-                    if not len(order):
-                        known[inside] = ([], base)
-                    elif _feasible(sub, w0, must):
-                        p, log_z = clean(sub, w0, tol, most, np.where(must, UNUSED, 1.0))
-                        columns = [0, *meas[keep].tolist()]
-                        picks = [{"track": int(order[r]), "meas": int(columns[c]), "share": float(p[r, c])} for r, c in zip(*np.nonzero(p), strict=True)]
-                        known[inside] = (picks, base + float(log_z))
-                if known[inside] is not None:
-                    out.append((list(used), *known[inside]))
-        return out
-
-    def run(batches):
-        for b in batches:
-            keys = zip(b["frame"], b["master"], b["cluster"], b["hypo"], strict=True)
-            given = zip(b["tracks"], b["prob"], b["t"], b["j"], b["ll"], b["links"], strict=True)
-            out = [(*k, *x) for k, g in zip(keys, given, strict=True) for x in solve(*g)]
-            yield pd.DataFrame(out, columns=["frame", "master", "cluster", "hypo", "uses", "picks", "lw"])
-
-    return rows.mapInPandas(run, WAYS)
+    return _by_sets(tracks, prob, weights, [j for j in shared if j in gated], tol, most, False)
+
+
+def _by_sets(tracks: list[int], prob: float, weights: dict[int, Options], links: list[int], tol: float, most: int, forced: bool) -> list[Way]:
+    order = sorted(tracks)
+    meas = sorted({j for t in order for j, _ in weights.get(t, ()) if j > 0})
+    column = {j: i for i, j in enumerate(meas)}
+    top = [max((ll for _, ll in weights.get(t, ())), default=NONE) for t in order]
+    if prob <= 0 or NONE in top:
+        return []
+    w, w0 = np.zeros((len(order), len(meas))), np.zeros(len(order))
+    for r, t in enumerate(order):
+        for j, ll in weights[t]:
+            if j > 0:
+                w[r, column[j]] = math.exp(ll - top[r])
+            else:
+                w0[r] = math.exp(ll - top[r])
+    linked = np.isin(meas, links)
+    sets = [j for j in meas if j in links] if forced else links
+    longest = min(len(sets), len(order)) if forced else len(sets)
+    if sum(math.comb(len(sets), n) for n in range(longest + 1)) > SETS:
+        raise ValueError("too many sets of shared measurements")
+    base = math.log(prob) + sum(top)
+    uses = [used for n in range(longest + 1) for used in combinations(sets, n)]
+    if not order:
+        return [(list(used), [], base) for used in uses]
+    if forced:
+        able = {frozenset()}
+        for t in order:
+            able |= {x | {j} for x in able for j, _ in weights[t] if j in links and j not in x}
+        uses = [used for used in uses if frozenset(used) in able]
+    inside = {used: tuple(j for j in used if j in column) for used in uses}
+    solved = list(dict.fromkeys(inside.values()))
+    keep = np.array([~linked | np.isin(meas, used) for used in solved]).reshape(len(solved), 1, len(meas))
+    must = keep & linked & forced
+    # tracks that can't be missed need a measurement of their own as well
+    if (w0 <= 0).any():
+        fit = [_feasible(w[:, k[0]], w0, m[0][k[0]]) for k, m in zip(keep, must, strict=True)]
+        solved, keep, must = [x for x, y in zip(solved, fit, strict=True) if y], keep[fit], must[fit]
+    if not solved:
+        return []
+    # all sets at once: what's left out weighs nothing
+    p, log_z = clean(w * keep, w0, tol, most, np.where(must, UNUSED, 1.0))
+    columns = [0, *meas]
+    known = {used: ([(order[r], columns[c], float(x[r, c])) for r, c in zip(*(i.tolist() for i in np.nonzero(x)), strict=True)], base + float(z)) for used, x, z in zip(solved, p, log_z, strict=True)}
+    return [(list(used), *known[inside[used]]) for used in uses if inside[used] in known]
 
 
 def _feasible(w: np.ndarray, w0: np.ndarray, must: np.ndarray) -> bool:
@@ -149,48 +161,128 @@ def remapped(links: DataFrame) -> DataFrame:
     return links.withColumn("place", F.dense_rank().over(Window.partitionBy("frame", "master").orderBy("meas")))
 
 
+def _disjoint(one: dict[int, float], other: dict[int, float], keep: int) -> dict[int, float]:
+    """Log-weights of sets that are unions of disjoint sets of the two, of which only the bits of keep are told apart."""
+    sums: dict[int, list[float]] = {}
+    for a, x in one.items():
+        for b, y in other.items():
+            if not a & b:
+                sums.setdefault((a | b) & keep, []).append(x + y)
+    if len(sums) > CASES:
+        raise ValueError("too many ownerships")
+    return {k: _log_sum(v) for k, v in sums.items()}
+
+
+def _within(mask: int) -> Iterator[int]:
+    """All sets of bits of the mask."""
+    part = mask
+    while True:
+        yield part
+        if not part:
+            return
+        part = (part - 1) & mask
+
+
+def rest_of(weights: list[dict[int, float]], gates: list[int]) -> list[dict[int, float]]:
+    """For each cluster and each of its sets of shared measurements, the log-weight of what all other clusters do with the rest: the sum over all
+    ways to give them disjoint sets. weights: of each cluster's sets, as bits; gates: the shared measurements that it gates.
+
+    One pass from the first cluster on and one from the last, so that ownerships aren't listed; what neither a cluster that's passed nor
+    one to come both gate is not told apart."""
+    n = len(weights)
+    past, future = [0] * (n + 1), [0] * (n + 1)
+    for i in range(n):
+        past[i + 1], future[n - 1 - i] = past[i] | gates[i], future[n - i] | gates[n - 1 - i]
+    ahead, behind = [{0: 0.0}], [{0: 0.0}]
+    for i in range(n - 1):
+        ahead.append(_disjoint(ahead[-1], weights[i], future[i + 1]))
+        behind.append(_disjoint(behind[-1], weights[n - 1 - i], past[n - 1 - i]))
+    out = []
+    for i in range(n):
+        others = _disjoint(ahead[i], behind[n - 1 - i], gates[i])
+        out.append({own: _log_sum(xs) for own in weights[i] if (xs := [x for k, x in others.items() if not k & own])})
+    return out
+
+
+def _sums(clusters: dict[int, list], weights: dict[int, Options], solver: Solver, forced: bool) -> list[tuple]:
+    """SUMS of a master, without its keys; nothing where nothing is possible. clusters: (hypo, prob, tracks) of each."""
+    gated = [{j for _, _, ts in hs for t in ts for j, _ in weights.get(t, ()) if j > 0} for hs in clusters.values()]
+    times = Counter(j for own in gated for j in own)
+    shared = sorted(j for j, n in times.items() if n > 1)
+    bit = {j: 1 << i for i, j in enumerate(shared)}
+    gates = [sum(bit[j] for j in own if j in bit) for own in gated]
+    sets: list[dict[int, list[float]]] = [{} for _ in clusters]
+    ways = []
+    for i, (c, hs) in enumerate(clusters.items()):
+        for hypo, prob, tracks in hs:
+            for uses, picks, lw in solver(tracks, prob, weights, shared, sorted(gated[i])):
+                used = sum(bit[j] for j in uses)
+                ways.append((i, used, c, hypo, picks, lw))
+                sets[i].setdefault(used, []).append(lw)
+    own = [{k: _log_sum(v) for k, v in s.items()} for s in sets]
+    if not forced:
+        if max(g.bit_count() for g in gates) > math.log2(CASES):
+            raise ValueError("too many ownerships")
+        own = [{k: _log_sum(xs) for k in _within(g) if (xs := [v for u, v in s.items() if not u & ~k])} for g, s in zip(gates, own, strict=True)]
+    rest = rest_of(own, gates)
+    log_z = _log_sum([NONE, *(lw + rest[0][k] for k, lw in own[0].items() if k in rest[0])])
+    if log_z == NONE:
+        return []
+    labels, picked, factor = defaultdict(float), defaultdict(float), {}
+    for i, used, c, hypo, picks, lw in ways:
+        if (i, used) not in factor:
+            factor[i, used] = _log_sum([NONE, *(v for k, v in rest[i].items() if (k == used if forced else not used & ~k))])
+        p = math.exp(lw + factor[i, used] - log_z)
+        labels[c, hypo] += p
+        for t, j, share in picks:
+            picked[t, j] += p * share
+    return [("all", None, None, log_z), *(("label", *k, p) for k, p in labels.items()), *(("pick", *k, p) for k, p in picked.items())]
+
+
+def _summed(batches: Iterator[pd.DataFrame], solver: Solver, forced: bool) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for row in zip(*(batch[c] for c in ("frame", "master", "cluster", "hypo", "prob", "size", "tracks", "t", "j", "ll")), strict=True):
+            frame, master = row[:2]
+            cluster, hypo, prob, size, tracks, t, j, ll = ([] if x is None else x.tolist() for x in row[2:])
+            weights: dict[int, Options] = {}
+            for k, *x in zip(t, j, ll, strict=True):
+                weights.setdefault(k, []).append(tuple(x))
+            clusters: dict[int, list] = {}
+            end = 0
+            for c, h, p, n in zip(cluster, hypo, prob, size, strict=True):
+                clusters.setdefault(c, []).append((h, p, tracks[end : end + n]))
+                end += n
+            out += [(frame, master, *x) for x in _sums(clusters, weights, solver, forced)]
+        yield pd.DataFrame(out, columns=["frame", "master", "kind", "a", "b", "p"]).astype({"a": "Int32", "b": "Int32"})
+
+
 class Conditioned:
     """Evidence, marginals and posteriors of all masters (those of one cluster, too) by summing over ownerships.
 
     An owner must use what it owns (`forced`, exact), or merely may (approximate: an association counts once for each ownership that
-    allows it); others may not. Masters whose ownerships would be over CASES raise."""
+    allows it); others may not. A master's hypotheses and weights stand in one row and its ownerships nowhere: clusters are passed one by one, with the sets
+    that those before them have taken. Masters with over CASES such sets raise."""
 
     def __init__(self, reward: DataFrame, h: DataFrame, cluster_map: DataFrame, forced: bool = True, solver: Solver = enumerated):
-        cluster_map = written(cluster_map)
+        cluster_map = kept(cluster_map)
+        keys = ["frame", "master"]
         self.member = normalize(h).join(cluster_map.select("frame", "cluster", "master"), ["frame", "cluster"])
-        links = written(linking_measurements(reward, h, cluster_map))
-        shared = links.groupBy("frame", "master").agg(F.array_sort(F.collect_list("meas")).alias("shared"))
-        self.ways = written(solver(reward, self.member, shared))
-        self.masters = cluster_map.filter("is_master").select("frame", "master")
-        uses = logsumexp(self.ways, "lw", "frame", "master", "cluster", "uses", to="lw")
-        cases = ownerships(links)
-        empty = F.expr("CAST(array() AS array<struct<meas:int,owner:int>>)")
-        cases = self.masters.join(cases, ["frame", "master"], "left").withColumn("case", F.coalesce("case", F.lit(0))).withColumn("owners", F.coalesce("owners", empty))
-        owned = cases.join(cluster_map.select("frame", "master", "cluster"), ["frame", "master"])
-        owned = owned.withColumn("owns", F.array_sort(F.expr("transform(filter(owners, o -> o.owner = cluster), o -> o.meas)")))
-        fits = (F.col("uses") == F.col("owns")) if forced else (F.size(F.array_except("uses", "owns")) == 0)
-        #: What each set of used measurements weighs in each case, and the product over all clusters of the case; as logarithms.
-        fit = written(owned.join(uses, ["frame", "master", "cluster"]).filter(fits).select("frame", "master", "case", "cluster", "uses", "lw").filter(F.col("lw") > float("-inf")))
-        per = logsumexp(fit, "lw", "frame", "master", "case", "cluster", to="own")
-        n = cluster_map.groupBy("frame", "master").agg(F.count("*").alias("n"))
-        whole = per.groupBy("frame", "master", "case").agg(F.sum("own").alias("whole"), F.count("*").alias("has")).join(n, ["frame", "master"]).filter("has = n").drop("has", "n")
-        whole = written(whole)
-        self.z = written(logsumexp(whole, "whole", "frame", "master", to="log_z"))
-        factor = fit.join(per, ["frame", "master", "case", "cluster"]).join(whole, ["frame", "master", "case"]).withColumn("lf", F.col("whole") - F.col("own"))
-        self.factor = logsumexp(factor, "lf", "frame", "master", "cluster", "uses", to="factor")
+        self.masters = cluster_map.filter("is_master").select(keys)
+        hs = self.member.groupBy(keys).agg(F.collect_list(F.struct("cluster", "hypo", "prob", "tracks")).alias("hs"))
+        hs = hs.select(*keys, "hs.cluster", "hs.hypo", "hs.prob", F.expr("transform(hs.tracks, x -> size(x)) AS size"), F.flatten("hs.tracks").alias("tracks"))
+        gates = reward.groupBy("frame").agg(F.collect_list("track").alias("t"), F.collect_list("meas").alias("j"), F.collect_list("ll").alias("ll"))
+        self.sums = kept(dealt(hs.join(gates, "frame", "left"), *keys).mapInPandas(partial(_summed, solver=solver, forced=forced), SUMS))
+        self.z = self.sums.filter("kind = 'all'").select(*keys, F.col("p").alias("log_z"))
 
     def evidence(self) -> DataFrame:
         """frame, master, z, log_z; 0 and -inf where nothing is possible. z is 0 or infinite, too, where it doesn't fit."""
         rows = self.masters.join(self.z, ["frame", "master"], "left").fillna({"log_z": float("-inf")})
         return rows.select("frame", "master", F.exp("log_z").alias("z"), "log_z")
 
-    def _weighed(self) -> DataFrame:
-        p = F.exp(F.col("lw") + F.col("factor") - F.col("log_z"))
-        return self.ways.join(self.factor, ["frame", "master", "cluster", "uses"]).join(self.z, ["frame", "master"]).withColumn("p", p)
-
     def marginals(self) -> DataFrame:
         """MARGINAL of all tracks of hypotheses; tracks of a master where nothing is possible have p 0 of not existing."""
-        picked = self._weighed().select("frame", F.explode("picks").alias("x"), "p").groupBy("frame", F.col("x.track").alias("track"), F.col("x.meas").alias("meas")).agg(F.sum(F.col("p") * F.col("x.share")).alias("p"))
+        picked = self.sums.filter("kind = 'pick'").groupBy("frame", F.col("a").alias("track"), F.col("b").alias("meas")).agg(F.sum("p").alias("p"))
         able = self.z.select("frame", "master", F.lit(1.0).alias("one"))
         tracks = self.member.select("frame", "master", F.explode("tracks").alias("track")).distinct().join(able, ["frame", "master"], "left")
         sums = picked.groupBy("frame", "track").agg(F.sum("p").alias("s"))
@@ -199,13 +291,13 @@ class Conditioned:
 
     def theta(self) -> DataFrame:
         """frame, cluster, hypo, p: posteriors of prior hypotheses; 0 where nothing is possible."""
-        p = self._weighed().groupBy("frame", "cluster", "hypo").agg(F.sum("p").alias("p"))
+        p = self.sums.filter("kind = 'label'").select("frame", F.col("a").alias("cluster"), F.col("b").alias("hypo"), "p")
         return self.member.select("frame", "cluster", "hypo").join(p, ["frame", "cluster", "hypo"], "left").fillna({"p": 0.0})
 
 
 def conditioned_evidence(reward: DataFrame, h: DataFrame, cluster_map: DataFrame, forced: bool = True) -> DataFrame:
     """frame, master, z, log_z of the masters with links; others aren't solved. See Conditioned."""
     links = linking_measurements(reward, h, cluster_map).select("frame", "master").distinct()
-    linked = written(cluster_map.join(links, ["frame", "master"], "left_semi"))
+    linked = kept(cluster_map.join(links, ["frame", "master"], "left_semi"))
     own = h.join(linked.select("frame", "cluster"), ["frame", "cluster"], "left_semi")
     return Conditioned(reward, own, linked, forced).evidence()

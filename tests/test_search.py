@@ -172,3 +172,17 @@ def test_lineage_selection_and_numbers(spark):
     p = spark.createDataFrame([(1, 1, "missed", 0, 0.5), (1, 1, "nonexistence", None, 0.5)], schema.MARGINAL)
     got = {(x.method, x.kind): (x["mean"], x.n) for x in metrics.by_method(p, {"same": p, "none": p.limit(0)}).collect()}
     assert got == {("same", "missed"): (0.0, 1), ("same", "nonexistence"): (0.0, 1), ("none", "missed"): (0.5, 1), ("none", "nonexistence"): (0.5, 1)}
+
+
+def test_conditioning_lists_no_ownerships(spark):
+    """Two clusters that share 14 measurements: 3 ** 14 ownerships, which used to raise, and 15 associations each."""
+    from lattica.operators import conditioning
+    from lattica.operators import hypotheses as hy
+
+    r = spark.createDataFrame([(1, t, j, 0.1 * j * t if j else -1.0) for t in (1, 2) for j in range(15)], schema.REWARD)
+    h = spark.createDataFrame([(1, 0, 0, [1], 1.0), (1, 1, 0, [2], 0.7), (1, 1, 1, [], 0.3)], schema.HYPOTHESIS)
+    cm = hy.merge_map(r, h)
+    c, j = conditioning.Conditioned(r, h, cm), exact.joint(r, h, cm)
+    assert c.evidence().first().log_z == pytest.approx(exact.evidence(j).first().log_z)
+    want = {(x.track, x.kind, x.meas): x.p for x in exact.marginals(j, exact.members(h, cm)).collect()}
+    assert {(x.track, x.kind, x.meas): x.p for x in c.marginals().collect()} == pytest.approx(want, abs=1e-9)
