@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import written
+from ..functions.lineage import kept
 
 
 def units(weight: Column, per: float = 2.0**20) -> Column:
@@ -18,7 +18,7 @@ def units(weight: Column, per: float = 2.0**20) -> Column:
 def prefixed(df: DataFrame, key: str, weight: str) -> tuple[DataFrame, int]:
     """df with `begin`, the sum of the weights (long) before a row in the order of `key`, and the whole sum. Rows of one key follow in the
     order of their weights. Partitions are ranges of the key; only their totals, one row each, come together."""
-    ranged = written(df.repartitionByRange(key, weight).withColumn("_part", F.spark_partition_id()))
+    ranged = kept(df.repartitionByRange(key, weight).withColumn("_part", F.spark_partition_id()))
     number = lambda c: F.col(c).cast("decimal(38,0)")
     totals = ranged.groupBy("_part").agg(F.sum(number(weight)).alias("_total"))
     before = totals.withColumn("_before", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("decimal(38,0)"))

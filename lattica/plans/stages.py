@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.lineage import written
+from ..functions.lineage import kept
 from ..operators import cardinality, cutting, gating, mixtures, resampling
 from ..operators import hypotheses as hy
 from .catalog import R, query, rounded
@@ -51,7 +51,7 @@ def _single(spark, sf_dir):
     """The larger problems with each track as a cluster."""
     r, h = large_problem(spark, sf_dir)
     own = r.select("frame", "track").distinct()
-    return written(r), own.select("frame", F.col("track").alias("cluster"), F.lit(0).alias("hypo"), F.array("track").alias("tracks"), F.lit(1.0).alias("prob"))
+    return kept(r), own.select("frame", F.col("track").alias("cluster"), F.lit(0).alias("hypo"), F.array("track").alias("tracks"), F.lit(1.0).alias("prob"))
 
 
 # all simple paths, of which the shortest between two nodes count; measurements are negative nodes

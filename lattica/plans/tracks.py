@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import written
+from ..functions.lineage import kept
 from ..operators.assignment import gospa_by
 from ..streaming import pmbm
 from .catalog import query, rounded
@@ -65,7 +65,7 @@ def estimated_targets(spark, sf_dir):
 @query()
 def tracking_errors(spark, sf_dir):
     """Squared GOSPA of the estimates of each day against the table of true targets, and of all measurements taken as targets."""
-    m, t = written(measurements(spark, sf_dir)), truth(spark, sf_dir)
+    m, t = kept(measurements(spark, sf_dir)), truth(spark, sf_dir)
     est = pmbm.track(m, model()).select("scenario", "scan", F.slice("x", 1, 2).alias("x"))
     tracked = gospa_by(t, est, "scenario", "scan", c=20.0)
     raw = gospa_by(t, m.withColumnRenamed("z", "x"), "scenario", "scan", c=20.0).select("scenario", "scan", F.col("squared").alias("raw"))

@@ -186,3 +186,10 @@ def test_conditioning_lists_no_ownerships(spark):
     assert c.evidence().first().log_z == pytest.approx(exact.evidence(j).first().log_z)
     want = {(x.track, x.kind, x.meas): x.p for x in exact.marginals(j, exact.members(h, cm)).collect()}
     assert {(x.track, x.kind, x.meas): x.p for x in c.marginals().collect()} == pytest.approx(want, abs=1e-9)
+
+
+def test_written_tables_are_not_broadcast_for_their_size_on_disk(spark, sf_dir):
+    from lattica.plans import larger
+
+    plan = larger.selected_hypotheses(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
