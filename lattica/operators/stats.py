@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .exact import by_frame, by_master, frame_rows
 from .hypotheses import gated, linking_measurements, merged
 
 
@@ -39,6 +44,31 @@ def competing_by_hypothesis(reward: DataFrame, m: DataFrame) -> DataFrame:
     return own.join(reward.filter("meas > 0").select("frame", "track", "meas"), ["frame", "track"]).groupBy("frame", "master", "hypo", "meas").agg(F.count("*").alias("n_tracks"))
 
 
+def _competition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out: Counter = Counter()
+    for frames in frame_rows(batches):
+        for _, masters, clusters, weights in frames:
+            for part in by_master(masters, clusters).values():
+                # of each cluster and measurement, how many hypotheses have how many tracks that gate it
+                own = [[Counter(j for t in ts for j, _ in weights.get(t, ()) if j > 0) for *_, ts in hs] for _, hs in part]
+                for j in {j for hs in own for x in hs for j in x}:
+                    some = Counter({0: 1})
+                    for hs in own:
+                        each, now = Counter(x[j] for x in hs), Counter()
+                        for a, n in some.items():
+                            for b, m in each.items():
+                                now[a + b] += n * m
+                        some = now
+                    out.update(some)
+    yield pd.DataFrame([(v, n) for v, n in out.items() if v > 0], columns=["value", "n"])
+
+
+def competition(reward: DataFrame, h: DataFrame, cluster_map: DataFrame | None = None) -> DataFrame:
+    """histogram(competing_by_hypothesis(...), "n_tracks"), without a table of joint hypotheses: a measurement's counts of a master are those
+    of its clusters, added in all ways."""
+    return by_frame(reward, h, cluster_map).mapInPandas(_competition, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
+
+
 def superclusters(reward: DataFrame, h: DataFrame, cluster_map: DataFrame) -> DataFrame:
     """frame, master, n_clusters, n_hypos_before (sum), n_hypos_after (product), n_linking, and the least and most linking measurements of a
     cluster, of the masters that several clusters merge into."""

@@ -3,11 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from lattica import schema
 from lattica.functions.lineage import kept
-from lattica.operators import exact, factors, search
+from lattica.operators import assignment, exact, factors, search, stats
 from lattica.operators import hypotheses as hy
 
 
@@ -65,3 +66,21 @@ def test_best_of_associations_that_are_too_many_to_list(spark):
     """A bound of 43,046,721 associations, over exact.LIMIT: all tracks of 0 and 8 measurements, all weights alike."""
     clusters = [(0, [(0, 0.0, list(range(1, 9)))])]
     assert exact.best_weights(clusters, {t: [(j, float(j == 0)) for j in range(9)] for t in range(1, 9)}, 100) == [8.0, *[7.0] * 64, *[6.0] * 35]
+
+
+def test_listed_associations_equal_those_of_partitioning():
+    rng = random.Random(2)
+    for _ in range(20):
+        rows = [(t, j, rng.gauss(0, 2)) for t in range(rng.randrange(1, 5)) for j in range(5) if rng.random() < 0.6]
+        t, j, ll = (np.array(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        want = assignment.murty(assignment.frame_matrix(t, j, ll)[1], 150)
+        got = assignment.best_picks(t, j, ll, 150)
+        assert [x for x, _ in got] == pytest.approx([x for _, x in want])
+        for total, picks in got:
+            assert total == pytest.approx(sum(x for a, b, x in rows if (a, b) in picks)) and len({b for _, b in picks if b}) == sum(b > 0 for _, b in picks)
+
+
+def test_competition_equals_that_of_joint_hypotheses(spark):
+    r, h = map(kept, tables(spark, 7))
+    want = stats.histogram(stats.competing_by_hypothesis(r, hy.merged(h, hy.merge_map(r, h))), "n_tracks")
+    assert sorted(map(tuple, stats.competition(r, h).collect())) == sorted(map(tuple, want.collect()))
