@@ -8,7 +8,7 @@ import pytest
 
 from lattica import schema
 from lattica.functions.lineage import kept
-from lattica.operators import assignment, exact, factors, search, stats
+from lattica.operators import assignment, exact, factors, search, shapes, stats
 from lattica.operators import hypotheses as hy
 
 
@@ -101,3 +101,23 @@ def test_chains_equal_the_tree():
         assert z == pytest.approx(log_z)
         for v, p in want.items():
             assert got[v] == pytest.approx(p, abs=1e-9)
+
+
+def test_frames_that_differ_in_numbers_alone_are_one_shape(spark):
+    """Track 1 gates two measurements, of which track 2 gates one, whatever their numbers."""
+    rng = random.Random(6)
+    reward, hypos = [], []
+    for f in range(20):
+        a, b = rng.sample(range(1, 9), 2)
+        reward += [(f, t, j, rng.gauss(0, 2)) for t, j in ((1, 0), (1, a), (1, b), (2, 0), (2, b))]
+        hypos += [(f, 0, 0, [1], rng.random() + 0.1), (f, 1, 0, [2], 0.5), (f, 1, 1, [], rng.random() + 0.1)]
+    r, h = spark.createDataFrame(reward, schema.REWARD), spark.createDataFrame(hypos, schema.HYPOTHESIS)
+    batch = exact.by_frame(r, h).toPandas().map(lambda x: np.array(x) if isinstance(x, list) else x)
+    (shape,) = shapes.grouped(batch)
+    assert sorted(shape.frame) == list(range(20))
+    for frames in exact.frame_rows([batch]):
+        for frame, masters, clusters, weights in frames:
+            at = list(shape.frame).index(frame)
+            log_z, n, _ = exact.lattice(exact.by_master(masters, clusters)[0], weights)
+            got_z, got_n, _ = exact.lattice(exact.by_master(masters, shape.clusters)[0], shape.weights, shape.counts)
+            assert (got_z[at], got_n[at]) == (pytest.approx(log_z), n)
