@@ -16,9 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import dealt, kept
+from ..functions.lineage import kept
 from .assignment import hungarian
+from .exact import by_frame, by_master, table
 from .hypotheses import linking_measurements, normalize
+from .shapes import grouped
 from .single import clean
 
 #: Ownerships of a master that are listed, or sets that are told apart, at most; beyond, factors.by_elimination takes the frame.
@@ -33,7 +35,8 @@ Way = tuple[list[int], list[tuple[int, int, float]], float]
 class Solver(Protocol):
     """Solves a cluster's hypothesis alone: its tracks and prior, the options of tracks, the master's shared measurements and those that the cluster
     gates, to (uses, picks, lw), the log-weights of the ways to use sets of shared measurements. Ways may be single associations or
-    sums of them, exact or not: a pick (track, meas, share) says which share of its way's weight it has."""
+    sums of them, exact or not: a pick (track, meas, share) says which share of its way's weight it has. Priors and weights are numbers, or arrays of
+    frames of one shape, and so are shares and log-weights."""
 
     def __call__(self, tracks: list[int], prob: float, weights: dict[int, Options], shared: list[int], gated: list[int]) -> list[Way]: ...
 
@@ -41,27 +44,31 @@ class Solver(Protocol):
 def enumerated(tracks: list[int], prob: float, weights: dict[int, Options], shared: list[int], gated: list[int]) -> list[Way]:
     """The exact solver: every association, summed by the set that it uses."""
     bit: dict[int, int] = {}
-    ways: list = [(0, math.log(prob), ())] if prob > 0 else []
+    ways: list = [(0, np.log(prob), ())] if np.all(prob > 0) else []
     for t in tracks:
         own = [((t, j), bit.setdefault(j, 1 << len(bit)) if j > 0 else 0, ll) for j, ll in weights.get(t, ())]
         ways = [(taken | b, lw + ll, (*picks, pick)) for taken, lw, picks in ways for pick, b, ll in own if not taken & b]
     linking = sum(bit[j] for j in shared if j in bit)
     sets: dict[int, list] = {}
     for taken, lw, picks in ways:
-        if lw > NONE:
+        if np.any(lw > NONE):
             sets.setdefault(taken & linking, []).append((lw, picks))
     out = []
     for used, some in sets.items():
         lw, share = _log_sum([lw for lw, _ in some]), defaultdict(float)
         for own, picks in some:
-            w = math.exp(own - lw)
+            w = np.exp(own - np.where(lw > NONE, lw, 0.0))
             for pick in picks:
-                share[pick] += w
+                share[pick] = share[pick] + w
         out.append((sorted(j for j, b in bit.items() if b & used), [(t, j, w) for (t, j), w in share.items()], lw))
     return out
 
 
-def _log_sum(xs: list[float]) -> float:
+def _log_sum(xs: list) -> float | np.ndarray:
+    if len(xs) < 2:
+        return xs[0] if xs else NONE
+    if isinstance(xs[0], np.ndarray):
+        return np.logaddexp.reduce(xs)
     top = max(xs)
     return top + math.log(sum(math.exp(x - top) for x in xs)) if top > NONE else NONE
 
@@ -93,29 +100,37 @@ def allowed(tracks: list[int], prob: float, weights: dict[int, Options], shared:
     return _by_sets(tracks, prob, weights, [j for j in shared if j in gated], tol, most, False)
 
 
+#: Numbers that arrays of messages have at most.
+CELLS = 4_000_000
+
+
 def _by_sets(tracks: list[int], prob: float, weights: dict[int, Options], links: list[int], tol: float, most: int, forced: bool) -> list[Way]:
     order = sorted(tracks)
     meas = sorted({j for t in order for j, _ in weights.get(t, ()) if j > 0})
     column = {j: i for i, j in enumerate(meas)}
-    top = [max((ll for _, ll in weights.get(t, ())), default=NONE) for t in order]
-    if prob <= 0 or NONE in top:
+    n = np.size(prob)
+    top = np.array([np.max([np.broadcast_to(ll, n) for _, ll in weights[t]], axis=0) if weights.get(t) else np.full(n, NONE) for t in order]).reshape(len(order), n).T
+    if np.any(np.less_equal(prob, 0)) or (top <= NONE).all(axis=0).any():
         return []
-    w, w0 = np.zeros((len(order), len(meas))), np.zeros(len(order))
+    # by frame, track and measurement
+    w, w0 = np.zeros((n, len(order), len(meas))), np.zeros((n, len(order)))
     for r, t in enumerate(order):
         for j, ll in weights[t]:
+            x = np.exp(ll - np.where(top[:, r] > NONE, top[:, r], 0.0))
             if j > 0:
-                w[r, column[j]] = math.exp(ll - top[r])
+                w[:, r, column[j]] = x
             else:
-                w0[r] = math.exp(ll - top[r])
+                w0[:, r] = x
     linked = np.isin(meas, links)
     sets = [j for j in meas if j in links] if forced else links
     longest = min(len(sets), len(order)) if forced else len(sets)
-    if sum(math.comb(len(sets), n) for n in range(longest + 1)) > SETS:
+    if sum(math.comb(len(sets), k) for k in range(longest + 1)) > SETS:
         raise ValueError("too many sets of shared measurements")
-    base = math.log(prob) + sum(top)
-    uses = [used for n in range(longest + 1) for used in combinations(sets, n)]
+    base = np.log(prob) + top.sum(axis=1)
+    out = (lambda x: x) if isinstance(prob, np.ndarray) else (lambda x: float(x[0]))
+    uses = [used for k in range(longest + 1) for used in combinations(sets, k)]
     if not order:
-        return [(list(used), [], base) for used in uses]
+        return [(list(used), [], out(base)) for used in uses]
     if forced:
         able = {frozenset()}
         for t in order:
@@ -125,16 +140,21 @@ def _by_sets(tracks: list[int], prob: float, weights: dict[int, Options], links:
     solved = list(dict.fromkeys(inside.values()))
     keep = np.array([~linked | np.isin(meas, used) for used in solved]).reshape(len(solved), 1, len(meas))
     must = keep & linked & forced
-    # tracks that can't be missed need a measurement of their own as well
-    if (w0 <= 0).any():
-        fit = [_feasible(w[:, k[0]], w0, m[0][k[0]]) for k, m in zip(keep, must, strict=True)]
+    # tracks that can't be missed need a measurement of their own as well; frames of one shape are alike in what weighs nothing
+    if (w0[0] <= 0).any():
+        fit = [_feasible(w[0][:, k[0]], w0[0], m[0][k[0]]) for k, m in zip(keep, must, strict=True)]
         solved, keep, must = [x for x, y in zip(solved, fit, strict=True) if y], keep[fit], must[fit]
     if not solved:
         return []
     # all sets at once: what's left out weighs nothing
-    p, log_z = clean(w * keep, w0, tol, most, np.where(must, UNUSED, 1.0))
+    step = max(1, CELLS // max(1, keep.size * len(order)))
+    some = [clean(w[k : k + step, None] * keep, w0[k : k + step, None], tol, most, np.where(must, UNUSED, 1.0)) for k in range(0, n, step)]
+    p, log_z = np.concatenate([x for x, _ in some]), np.concatenate([x for _, x in some])
     columns = [0, *meas]
-    known = {used: ([(order[r], columns[c], float(x[r, c])) for r, c in zip(*(i.tolist() for i in np.nonzero(x)), strict=True)], base + float(z)) for used, x, z in zip(solved, p, log_z, strict=True)}
+    known = {}
+    for i, used in enumerate(solved):
+        picks = [(order[r], columns[c], out(p[:, i, r, c])) for r, c in np.argwhere((p[:, i] > 0).any(axis=0)).tolist()]
+        known[used] = (picks, out(base + log_z[:, i]))
     return [(list(used), *known[inside[used]]) for used in uses if inside[used] in known]
 
 
@@ -225,54 +245,55 @@ def _sums(clusters: dict[int, list], weights: dict[int, Options], solver: Solver
             raise ValueError("too many ownerships")
         own = [{k: _log_sum(xs) for k in _within(g) if (xs := [v for u, v in s.items() if not u & ~k])} for g, s in zip(gates, own, strict=True)]
     rest = rest_of(own, gates)
-    log_z = _log_sum([NONE, *(lw + rest[0][k] for k, lw in own[0].items() if k in rest[0])])
-    if log_z == NONE:
+    log_z = _log_sum([lw + rest[0][k] for k, lw in own[0].items() if k in rest[0]])
+    if np.all(log_z == NONE):
         return []
     labels, picked, factor = defaultdict(float), defaultdict(float), {}
     for i, used, c, hypo, picks, lw in ways:
         if (i, used) not in factor:
-            factor[i, used] = _log_sum([NONE, *(v for k, v in rest[i].items() if (k == used if forced else not used & ~k))])
-        p = math.exp(lw + factor[i, used] - log_z)
-        labels[c, hypo] += p
+            factor[i, used] = _log_sum([v for k, v in rest[i].items() if (k == used if forced else not used & ~k)])
+        p = np.exp(lw + factor[i, used] - log_z)
+        labels[c, hypo] = labels[c, hypo] + p
         for t, j, share in picks:
-            picked[t, j] += p * share
+            picked[t, j] = picked[t, j] + p * share
     return [("all", None, None, log_z), *(("label", *k, p) for k, p in labels.items()), *(("pick", *k, p) for k, p in picked.items())]
 
 
 def _summed(batches: Iterator[pd.DataFrame], solver: Solver, forced: bool) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for row in zip(*(batch[c] for c in ("frame", "master", "cluster", "hypo", "prob", "size", "tracks", "t", "j", "ll")), strict=True):
-            frame, master = row[:2]
-            cluster, hypo, prob, size, tracks, t, j, ll = ([] if x is None else x.tolist() for x in row[2:])
-            weights: dict[int, Options] = {}
-            for k, *x in zip(t, j, ll, strict=True):
-                weights.setdefault(k, []).append(tuple(x))
-            clusters: dict[int, list] = {}
-            end = 0
-            for c, h, p, n in zip(cluster, hypo, prob, size, strict=True):
-                clusters.setdefault(c, []).append((h, p, tracks[end : end + n]))
-                end += n
-            out += [(frame, master, *x) for x in _sums(clusters, weights, solver, forced)]
-        yield pd.DataFrame(out, columns=["frame", "master", "kind", "a", "b", "p"]).astype({"a": "Int32", "b": "Int32"})
+        for x in grouped(batch):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                for master, part in by_master(x.masters, x.clusters).items():
+                    clusters = {c: [(hypo, np.exp(prior), tracks) for hypo, prior, tracks in hs] for c, hs in part}
+                    sums = _sums(clusters, x.weights, solver, forced)
+                    if not sums:
+                        continue
+                    log_z = np.broadcast_to(sums[0][-1], x.frame.shape)
+                    some = log_z > NONE
+                    for kind, a, b, p in sums:
+                        p = np.broadcast_to(p, x.frame.shape)
+                        if kind == "pick":
+                            frame, meas, share, p = x.picked(a, b, some, p)
+                            out.append((frame, master, kind, a, meas, p * np.exp(share)))
+                        else:
+                            out.append((x.frame[some], master, kind, a, b, p[some]))
+        yield table(out, [c.split()[0] for c in SUMS.split(", ")], {"frame": "int64", "master": "int32", "a": "Int32", "b": "Int32", "p": "float64"})
 
 
 class Conditioned:
     """Evidence, marginals and posteriors of all masters (those of one cluster, too) by summing over ownerships.
 
     An owner must use what it owns (`forced`, exact), or merely may (approximate: an association counts once for each ownership that
-    allows it); others may not. A master's hypotheses and weights stand in one row and its ownerships nowhere: clusters are passed one by one, with the sets
-    that those before them have taken. Masters with over CASES such sets raise."""
+    allows it); others may not. A frame's hypotheses and weights stand in one row and its ownerships nowhere: clusters are passed one by one, with the sets
+    that those before them have taken, for all frames of one shape at once. Masters with over CASES such sets raise."""
 
     def __init__(self, reward: DataFrame, h: DataFrame, cluster_map: DataFrame, forced: bool = True, solver: Solver = enumerated):
         cluster_map = kept(cluster_map)
         keys = ["frame", "master"]
         self.member = normalize(h).join(cluster_map.select("frame", "cluster", "master"), ["frame", "cluster"])
         self.masters = cluster_map.filter("is_master").select(keys)
-        hs = self.member.groupBy(keys).agg(F.collect_list(F.struct("cluster", "hypo", "prob", "tracks")).alias("hs"))
-        hs = hs.select(*keys, "hs.cluster", "hs.hypo", "hs.prob", F.expr("transform(hs.tracks, x -> size(x)) AS size"), F.flatten("hs.tracks").alias("tracks"))
-        gates = reward.groupBy("frame").agg(F.collect_list("track").alias("t"), F.collect_list("meas").alias("j"), F.collect_list("ll").alias("ll"))
-        self.sums = kept(dealt(hs.join(gates, "frame", "left"), *keys).mapInPandas(partial(_summed, solver=solver, forced=forced), SUMS))
+        self.sums = kept(by_frame(reward, h, cluster_map).mapInPandas(partial(_summed, solver=solver, forced=forced), SUMS))
         self.z = self.sums.filter("kind = 'all'").select(*keys, F.col("p").alias("log_z"))
 
     def evidence(self) -> DataFrame:

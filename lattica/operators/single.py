@@ -55,17 +55,17 @@ def bethe(a: np.ndarray, w0: np.ndarray, mu: np.ndarray, nu: np.ndarray) -> floa
 def clean(w: np.ndarray, w0: np.ndarray, tol: float = TOL, most: int = MOST, free: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray | float]:
     """Probabilities (missed, detections) and log-evidence without division by missed detections, whose weight may be 0 where a track has
     detections. Sums over others are taken without the own term, as messages may be very large. `free`: what each measurement weighs
-    without a track. Several problems of the same tracks stand in leading dimensions of w (and of free, before a dimension of one)."""
+    without a track. Several problems of the same tracks stand in leading dimensions of w (and of w0, and of free before a dimension of one)."""
     others = lambda n: 1.0 - np.eye(n)
     rows, columns, nu = others(w.shape[-2]), others(w.shape[-1]), np.ones_like(w)
     mu = np.zeros_like(w)
     for _ in range(most):
         before = nu
-        mu = w / np.maximum(w0[:, None] + (w * nu) @ columns, 1e-300)
+        mu = w / np.maximum(w0[..., None] + (w * nu) @ columns, 1e-300)
         nu = 1 / (free + rows @ mu)
         if tol > 0 and (np.abs(nu - before).max(axis=(-1, -2), initial=0.0) <= tol * np.maximum(1.0, nu.max(axis=(-1, -2), initial=0.0))).all():
             break
-    p = np.concatenate([np.broadcast_to(w0[:, None], (*w.shape[:-1], 1)), w * nu], -1)
+    p = np.concatenate([np.broadcast_to(w0[..., None], (*w.shape[:-1], 1)), w * nu], -1)
     total = p.sum(-1)
     log_z = np.log(total).sum(-1) + np.log(free + mu.sum(-2, keepdims=True)).sum((-1, -2)) - np.log1p(mu * nu).sum((-1, -2))
     return p / total[..., None], log_z if w.ndim > 2 else float(log_z)
