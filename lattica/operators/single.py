@@ -1,6 +1,6 @@
 """Loopy belief propagation for one hypothesis (its tracks all exist), its Bethe log-evidence, and mixtures over joint hypotheses.
 
-A joint hypothesis and the options of its tracks are one row; messages are numpy arrays of that row's tracks and measurements."""
+A joint hypothesis and the options of its tracks are one row; messages are numpy arrays of the rows of a batch with as many tracks and measurements."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shapes import WORD, flat
+
 #: Stop when what's left is bounded under half of ln(1 + TOL), looked at every CHECK iterations; MOST iterations at most.
 TOL, MOST, CHECK = 1e-3, 300, 5
 
@@ -47,9 +49,34 @@ def messages(a: np.ndarray, tol: float = TOL, most: int = MOST, check: int = CHE
     return mu, nu, k
 
 
-def bethe(a: np.ndarray, w0: np.ndarray, mu: np.ndarray, nu: np.ndarray) -> float:
-    """Log-evidence of the messages' fixed point."""
-    return float(np.log(w0).sum() + np.log1p((a * nu).sum(1)).sum() + np.log1p(mu.sum(0)).sum() - np.log1p(mu * nu).sum())
+def messages_of_all(a: np.ndarray, tol: float = TOL, most: int = MOST, check: int = CHECK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`messages` of many problems of as many tracks and measurements, each of which stops by itself."""
+    mu, nu, k = np.zeros_like(a), np.ones_like(a), np.zeros(len(a), int)
+    half, top = 0.5 * np.log1p(tol), a.sum(-1).max(-1, initial=0.0)
+    on, done = np.arange(len(a)), 0
+    b, now = a, nu
+    while len(on) and done < most:
+        done += 1
+        before, an = now, b * now
+        to = b / (1 + an.sum(-1, keepdims=True) - an)
+        now = 1 / (1 + to.sum(-2, keepdims=True) - to)
+        met = np.zeros(len(on), bool)
+        if tol > 0 and done % check == 0:
+            d = np.abs(np.log(np.where(b > 0, now / before, 1.0))).max((-1, -2), initial=0.0)
+            some = np.where(d > 0, d, 1.0)
+            met = (d <= 0) | ((np.log1p(top[on] * np.exp(some)) - np.log1p(top[on])) / some * (some + half) < half)
+        out = np.flatnonzero(met | (done == most))
+        if len(out):
+            mu[on[out]], nu[on[out]], k[on[out]] = to[out], now[out], done
+            left = np.flatnonzero(~met)
+            on, b, now = on[left], b[left], now[left]
+    return mu, nu, k
+
+
+def bethe(a: np.ndarray, w0: np.ndarray, mu: np.ndarray, nu: np.ndarray) -> float | np.ndarray:
+    """Log-evidence of the messages' fixed point; of many problems, which stand in leading dimensions."""
+    z = np.log(w0).sum(-1) + np.log1p((a * nu).sum(-1)).sum(-1) + np.log1p(mu.sum(-2)).sum(-1) - np.log1p(mu * nu).sum((-1, -2))
+    return z if a.ndim > 2 else float(z)
 
 
 def clean(w: np.ndarray, w0: np.ndarray, tol: float = TOL, most: int = MOST, free: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray | float]:
@@ -76,52 +103,76 @@ def new_track_probability(mu: np.ndarray) -> np.ndarray:
     return 1 / (1 + mu.sum(0))
 
 
-def phd_constant(w: np.ndarray, w0: np.ndarray) -> float:
+def phd_constant(w: np.ndarray, w0: np.ndarray) -> float | np.ndarray:
     """Log of exp(-sum(1 - w0)) times the product over measurements of 1 plus their tracks' weights."""
-    return float(-(1 - w0).sum() + np.log1p(w.sum(0)).sum())
+    z = -(1 - w0).sum(-1) + np.log1p(w.sum(-2)).sum(-1)
+    return z if w.ndim > 2 else float(z)
 
 
-#: What gives the log-evidence of a hypothesis: (w, w0, mu, nu) -> log Z.
-Evidence = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], float]
+#: What gives the log-evidence of a hypothesis, or of many in a leading dimension: (w, w0, mu, nu) -> log Z.
+Evidence = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], float | np.ndarray]
 
 
-def by_bethe(w: np.ndarray, w0: np.ndarray, mu: np.ndarray, nu: np.ndarray) -> float:
-    return bethe(w / w0[:, None], w0, mu, nu)
+def by_bethe(w: np.ndarray, w0: np.ndarray, mu: np.ndarray, nu: np.ndarray) -> float | np.ndarray:
+    return bethe(w / w0[..., None], w0, mu, nu)
 
 
-def by_phd(w: np.ndarray, w0: np.ndarray, mu: np.ndarray, nu: np.ndarray) -> float:
+def by_phd(w: np.ndarray, w0: np.ndarray, mu: np.ndarray, nu: np.ndarray) -> float | np.ndarray:
     return phd_constant(w, w0)
 
 
+def _solved(batch: pd.DataFrame, log_z: Evidence, tol: float, most: int) -> pd.DataFrame:
+    """RESULT of a batch of joint hypotheses and their frames' options: those of as many tracks and measurements are solved at once."""
+    n = len(batch)
+    tracks, t_row = flat(batch["tracks"], int)
+    t, o_row = flat(batch["t"], int)
+    j, e = flat(batch["j"], int)[0], np.exp(flat(batch["ll"], float)[0])
+    # tracks and measurements by their place in their hypothesis
+    member = np.unique(t_row * WORD + tracks)
+    key = o_row * WORD + t
+    own = np.isin(key, member)
+    key, o_row, j, e = key[own], o_row[own], j[own], e[own]
+    gated = np.unique((o_row * WORD + j)[j > 0])
+    t_first, j_first = (np.searchsorted(x // WORD, np.arange(n + 1)) for x in (member, gated))
+    r, c = np.searchsorted(member, key) - t_first[o_row], np.searchsorted(gated, o_row * WORD + j) - j_first[o_row]
+    sizes, of = np.unique(np.stack([np.diff(t_first), np.diff(j_first)], 1), axis=0, return_inverse=True)
+    names = [x.split()[0] for x in RESULT.split(", ")]
+    ids = [batch[x].to_numpy() for x in names[:3]]
+    parts = []
+    for k, (tall, wide) in enumerate(sizes.tolist()):
+        rows = np.flatnonzero(of.ravel() == k)
+        if not tall:
+            parts.append(pd.DataFrame(dict(zip(names, [*(x[rows] for x in ids), None, None, None, 0.0, 0], strict=True))))
+            continue
+        at, some = np.full(n, -1), np.isin(o_row, rows)
+        at[rows] = np.arange(len(rows))
+        w, w0 = np.zeros((len(rows), tall, wide)), np.zeros((len(rows), tall))
+        hit = some & (j > 0)
+        w[at[o_row[hit]], r[hit], c[hit]] = e[hit]
+        miss = some & (j <= 0)
+        w0[at[o_row[miss]], r[miss]] = e[miss]
+        a = w / w0[..., None]
+        mu, nu, took = messages_of_all(a, tol, most)
+        p = np.concatenate([np.ones((len(rows), tall, 1)), a * nu], -1)
+        p /= p.sum(-1, keepdims=True)
+        z = log_z(w, w0, mu, nu)
+        f, x, y = np.nonzero(np.concatenate([np.ones((len(rows), tall, 1)), w], -1) > 0)
+        meas = np.zeros(len(f), int)
+        meas[y > 0] = gated[j_first[rows[f[y > 0]]] + y[y > 0] - 1] % WORD
+        parts.append(pd.DataFrame(dict(zip(names, [*(i[rows[f]] for i in ids), member[t_first[rows[f]] + x] % WORD, meas, p[f, x, y], z[f], took[f]], strict=True))))
+    out = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=names)
+    return out.astype({"track": "Int32", "meas": "Int32", "p": "Float64"})
+
+
 def per_hypothesis(reward: DataFrame, merged: DataFrame, log_z: Evidence = by_bethe, tol: float = TOL, most: int = MOST) -> DataFrame:
     """RESULT: for each joint hypothesis of `merged` (frame, master, hypo, tracks) the marginals of its tracks given that it holds (meas 0
     missed), its log-evidence and iterations. A hypothesis without tracks has one row with track null. Every track needs a missed detection."""
     options = reward.groupBy("frame").agg(F.collect_list("track").alias("t"), F.collect_list("meas").alias("j"), F.collect_list("ll").alias("ll"))
     rows = merged.select("frame", "master", "hypo", "tracks").join(options, "frame", "left")
 
-    def solve(tracks, t, j, ll):
-        tracks = np.asarray(tracks, int)
-        if not len(tracks):
-            return [(None, None, None, 0.0, 0)]
-        t, j, ll = np.asarray(t, int), np.asarray(j, int), np.asarray(ll, float)
-        own = np.isin(t, tracks)
-        t, j, e = t[own], j[own], np.exp(ll[own])
-        order, meas = np.sort(tracks), np.unique(j[j > 0])
-        w, w0, hit = np.zeros((len(order), len(meas))), np.zeros(len(order)), j > 0
-        at = np.searchsorted(order, t)
-        w[at[hit], np.searchsorted(meas, j[hit])] = e[hit]
-        w0[at[~hit]] = e[~hit]
-        mu, nu, k = messages(w / w0[:, None], tol, most)
-        p = np.concatenate([np.ones((len(order), 1)), w / w0[:, None] * nu], 1)
-        p /= p.sum(1, keepdims=True)
-        z = log_z(w, w0, mu, nu)
-        return [(int(order[r]), int(meas[c - 1]) if c else 0, float(p[r, c]), z, k) for r in range(len(order)) for c in range(p.shape[1]) if c == 0 or w[r, c - 1] > 0]
-
     def run(batches):
-        for b in batches:
-            out = [(f, m, h, *x) for f, m, h, ts, t, j, ll in zip(b["frame"], b["master"], b["hypo"], b["tracks"], b["t"], b["j"], b["ll"], strict=True) for x in solve(ts, t, j, ll)]
-            pdf = pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
-            yield pdf.astype({"track": "Int32", "meas": "Int32"})
+        for batch in batches:
+            yield _solved(batch, log_z, tol, most)
 
     return rows.mapInPandas(run, RESULT)
 

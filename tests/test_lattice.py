@@ -8,7 +8,7 @@ import pytest
 
 from lattica import schema
 from lattica.functions.lineage import kept
-from lattica.operators import assignment, exact, factors, search, shapes, stats
+from lattica.operators import assignment, exact, factors, search, shapes, single, stats
 from lattica.operators import hypotheses as hy
 
 
@@ -121,3 +121,15 @@ def test_frames_that_differ_in_numbers_alone_are_one_shape(spark):
             log_z, n, _ = exact.lattice(exact.by_master(masters, clusters)[0], weights)
             got_z, got_n, _ = exact.lattice(exact.by_master(masters, shape.clusters)[0], shape.weights, shape.counts)
             assert (got_z[at], got_n[at]) == (pytest.approx(log_z), n)
+
+
+def test_messages_of_many_hypotheses_stop_by_themselves():
+    rng = np.random.default_rng(3)
+    a = rng.gamma(0.5, 3.0, (40, 3, 4)) * (rng.random((40, 3, 4)) < 0.7)
+    for tol, most in ((single.TOL, single.MOST), (0.0, 6)):
+        mu, nu, k = single.messages_of_all(a, tol, most)
+        for i in range(len(a)):
+            want = single.messages(a[i], tol, most)
+            assert k[i] == want[2]
+            assert (mu[i], nu[i]) == (pytest.approx(want[0]), pytest.approx(want[1]))
+        assert tol == 0 or len(set(k.tolist())) > 1
