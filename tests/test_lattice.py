@@ -133,3 +133,9 @@ def test_messages_of_many_hypotheses_stop_by_themselves():
             assert k[i] == want[2]
             assert (mu[i], nu[i]) == (pytest.approx(want[0]), pytest.approx(want[1]))
         assert tol == 0 or len(set(k.tolist())) > 1
+
+
+def test_no_rows_are_a_table():
+    columns = [c.split()[0] for c in exact.SUMS.split(", ")]
+    out = exact.table([], columns, {"frame": "int64"})
+    assert list(out) == columns and out["kind"].dtype == object and out["frame"].dtype == "int64"
