@@ -1,5 +1,6 @@
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -157,6 +158,24 @@ def all_matchings(reward):
     return sorted((x for x in out if np.isfinite(x)), reverse=True)
 
 
+def test_parts_of_a_matching_share_its_matrix():
+    a = np.random.default_rng(0).exponential(size=(240, 120))
+    found = assignment.first_matching(a)
+    tracemalloc.start()
+    parts = assignment.parts_without(found, 120)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(parts) == 120 and held < 2 * a.nbytes
+    got = [x for _, x in assignment.murty(a, 30)]
+    assert got == sorted(got, reverse=True) and got[0] == pytest.approx(found[0])
+    best = [assignment.solved_part(a, p) for p in parts]
+    assert got[1] == pytest.approx(max(x[0] for x in best)) and all(x[0] <= p[0] + 1e-9 for x, p in zip(best, parts, strict=True))
+    for x in best[::17]:  # potentials stay those of an optimum
+        d = x[2]
+        spare = d.cost - d.u[:, None] - d.v
+        assert abs(spare[np.arange(120), x[1]]).max() < 1e-9
+
+
 def test_assignment_solvers_equal_brute_force():
     for a in matrices(1):
         want = all_matchings(a)

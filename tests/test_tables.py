@@ -102,6 +102,12 @@ def test_tracked_sectors_have_competing_targets(spark, sf_dir):
     assert (picked > 1).any()
 
 
+def test_each_scenario_is_tracked_in_a_task_of_its_own(spark):
+    rows = [(s, k, float(50 * s + k)) for s in range(4) for k in range(20)]
+    out = tracker.track(spark.createDataFrame(rows, "scenario long, scan long, z double"))
+    assert out.select("scenario", F.spark_partition_id().alias("p")).distinct().agg(F.countDistinct("p"), F.count("*")).first()[:] == (4, 4)
+
+
 def test_frames_of_large_cells_stay_apart(spark, tmp_path):
     base = 1_700_000_000 // 3600 * 3600
     rows = [(k, base + 3600 * h, u, float(k % 97)) for k, (h, u) in enumerate([(0, 0)] * 4100 + [(0, 1)] * 300 + [(1, 0)] * 9)]
