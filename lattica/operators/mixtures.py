@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _bounds(w: np.ndarray, mean: np.ndarray, cov: np.ndarray, log_det: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
-    """What merging component i with others costs at most: ((w1 + w2) ln|P| - w1 ln|P1| - w2 ln|P2|) / 2."""
-    total = w[i] + w[others]
-    a, b = (w[i] / total)[:, None, None], (w[others] / total)[:, None, None]
-    d = mean[others] - mean[i]
-    p = a * cov[i] + b * cov[others] + a * b * d[:, :, None] * d[:, None, :]
-    return 0.5 * (total * np.linalg.slogdet(p)[1] - w[i] * log_det[i] - w[others] * log_det[others])
+#: Pairs whose bounds are taken at once.
+PAIRS = 20_000
+
+
+def _bounds(w: np.ndarray, mean: np.ndarray, cov: np.ndarray, log_det: np.ndarray, i: int | np.ndarray, others: np.ndarray) -> np.ndarray:
+    """What merging components i with others costs at most: ((w1 + w2) ln|P| - w1 ln|P1| - w2 ln|P2|) / 2."""
+    own = w[others]
+    total = w[i] + own
+    b = own / total
+    a, d = 1 - b, mean[others] - mean[i]
+    off = np.sqrt(a * b)[:, None] * d
+    p = a[:, None, None] * cov[i] + b[:, None, None] * cov[others] + off[:, :, None] * off[:, None, :]
+    return 0.5 * (total * np.linalg.slogdet(p)[1] - w[i] * log_det[i] - own * log_det[others])
 
 
 def reduced(w: np.ndarray, mean: np.ndarray, cov: np.ndarray, most: int, least: float = 1e-5, dearest: float = np.inf, always: float = 0.0) -> list[tuple[float, np.ndarray, np.ndarray, list[int]]]:
     """Components (weight, mean, covariance, the numbers of those merged). Those under `least` go; then the pair that costs least is merged, ties by
-    the least numbers, while over `most` are left and it costs under `dearest`, or it costs under `always`. Costs wait in a heap;
-    a merge puts in those of the new component alone."""
+    the least numbers, while over `most` are left and it costs under `dearest`, or it costs under `always`. Each component knows
+    which of those before it is cheapest; after a merge those look anew that have lost theirs, and costs of the new component alone are added."""
     alive = [int(k) for k in np.flatnonzero(w >= least)]
     n = len(w)
     size = n + max(0, len(alive) - 1)
@@ -30,28 +34,41 @@ def reduced(w: np.ndarray, mean: np.ndarray, cov: np.ndarray, most: int, least:
     weight[:n], at[:n], spread[:n] = w, mean, cov
     if n:
         log_det[:n] = np.linalg.slogdet(cov)[1]
-    members, left, heap = {k: [k] for k in alive}, dict.fromkeys(alive), []
-    for k, i in enumerate(alive[1:], 1):
-        others = np.array(alive[:k])
-        heap += [(float(c), int(j), i) for c, j in zip(_bounds(weight, at, spread, log_det, i, others), others, strict=True)]
-    heapq.heapify(heap)
-    new = n
-    while heap:
-        cost, i, j = heapq.heappop(heap)
-        if i not in left or j not in left:
-            continue
-        if not (len(left) > most and cost < dearest or cost < always):
+    members, left, new = {k: [k] for k in alive}, dict.fromkeys(alive), n
+    # by component and one before it; the cheapest of them, and its cost
+    cost, partner, low = np.full((size, size), np.inf), np.zeros(size, int), np.full(size, np.inf)
+    later, sooner = np.tril_indices(len(alive), -1)
+    for k in range(0, len(later), PAIRS):
+        j, i = (np.array(alive)[x[k : k + PAIRS]] for x in (later, sooner))
+        cost[j, i] = _bounds(weight, at, spread, log_det, j, i)
+    if size:
+        partner, low = cost.argmin(1), cost.min(1)
+    while len(left) > 1:
+        j = int(low.argmin())
+        least = low[j]
+        if not (len(left) > most and least < dearest or least < always):
             break
+        if len(same := np.flatnonzero(low == least)) > 1:
+            j = int(same[partner[same].argmin()])
+        i = int(partner[j])
         total = weight[i] + weight[j]
         d = at[i] - at[j]
         weight[new], at[new] = total, (weight[i] * at[i] + weight[j] * at[j]) / total
-        spread[new] = (weight[i] * spread[i] + weight[j] * spread[j]) / total + weight[i] * weight[j] / total**2 * np.outer(d, d)
-        log_det[new], members[new] = np.linalg.slogdet(spread[new])[1], sorted(members[i] + members[j])
+        spread[new] = (weight[i] * spread[i] + weight[j] * spread[j]) / total + weight[i] * weight[j] / total**2 * (d[:, None] * d)
+        log_det[new], members[new] = (2 * least + weight[i] * log_det[i] + weight[j] * log_det[j]) / total, sorted(members[i] + members[j])
         del left[i], left[j]
+        cost[:, i] = cost[:, j] = low[i] = low[j] = np.inf
+        lost = np.flatnonzero(((partner == i) | (partner == j)) & (low < np.inf))
+        if len(lost):
+            own = cost[lost, :new]
+            partner[lost] = own.argmin(1)
+            low[lost] = own.min(1)
         if left:
             others = np.array(list(left))
-            for c, k in zip(_bounds(weight, at, spread, log_det, new, others), others.tolist(), strict=True):
-                heapq.heappush(heap, (float(c), k, new))
+            own = _bounds(weight, at, spread, log_det, new, others)
+            cost[new, others] = own
+            k = own.argmin()
+            partner[new], low[new] = others[k], own[k]
         left[new] = None
         new += 1
     return [(float(weight[k]), at[k], spread[k], members[k]) for k in left]

@@ -7,6 +7,7 @@ of assignment spaces under their bounds, and solved assignments; what comes firs
 from __future__ import annotations
 
 import heapq
+import math
 from itertools import count
 
 import numpy as np
@@ -22,6 +23,8 @@ from .hypotheses import merge_map, normalize
 RESULT = "frame long, master int, rank int, labels array<struct<cluster:int,hypo:int>>, picks array<struct<track:int,meas:int>>, ll double, solved int, parents int"
 
 Hypothesis = tuple[int, int, list[int], float]
+#: Joint associations, bounded from above by the options of tracks, that listed_joint lists at most.
+LISTED = 1000
 
 
 def _matrix(tracks: list[int], weights: dict[int, dict[int, float]]) -> tuple[np.ndarray, list[int]]:
@@ -76,6 +79,23 @@ def best_joint(clusters: list[list[Hypothesis]], weights: dict[int, dict[int, fl
     return out, solved, opened
 
 
+def listed_joint(clusters: list[list[Hypothesis]], weights: dict[int, dict[int, float]], k: int, most: int = LISTED) -> list[tuple[list, list, float]] | None:
+    """The associations of best_joint from a list of all; none if there may be over `most`."""
+    if math.prod(sum(math.prod(len(weights.get(t, ())) for t in ts) for _, _, ts, _ in hs) for hs in clusters) > most:
+        return None
+    ways: list = [((), (), 0, 0.0)]
+    for hs in clusters:
+        own = []
+        for c, h, tracks, prior in hs:
+            some: list = [((), 0, prior)]
+            for t in tracks:
+                some = [((*picks, (t, j)), used | 1 << j if j else used, lw + ll) for picks, used, lw in some for j, ll in weights.get(t, {}).items() if not j or not used >> j & 1]
+            own += [((c, h), *x) for x in some if x[2] > NONE]
+        ways = [((*labels, label), picks + more, used | new, lw + ll) for labels, picks, used, lw in ways for label, more, new, ll in own if not used & new]
+    ways.sort(key=lambda x: -x[3])
+    return [(list(labels), sorted(picks), lw) for labels, picks, _, lw in ways[:k]]
+
+
 def best_associations(reward: DataFrame, h: DataFrame, k: int = 150, cluster_map: DataFrame | None = None, births: DataFrame | None = None) -> DataFrame:
     """RESULT: the k best joint associations of each master by their log-weight, with the assignment problems solved and parents opened for
     the whole master. Equal weights come in any order. Masters without a possible association have no row.

@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from ..functions.lineage import dealt
 from ..operators.cutting import small_cuts
 from ..operators.mixtures import reduced
-from ..operators.search import best_joint
+from ..operators.search import best_joint, listed_joint
 
 OUTPUT = "scenario long, scan long, track long, x array<double>, exi double, n_hypotheses int, n_components int"
 STREAMED = OUTPUT + ", kind string"
@@ -88,33 +88,47 @@ class World:
         return World(last, labels, [(w, np.array(x), np.array(p)) for w, x, p in intensity], {k: Track(n, np.array(x), np.array(p), e, tuple(h)) for k, n, x, p, e, h in tracks}, [[(tuple(ts), lp) for ts, lp in c] for c in clusters])
 
 
-def _log_normal(nu: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Squared distances and log-densities of innovations (rows)."""
+def _predicted(x: np.ndarray, p: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    return x @ m.motion.T, m.motion @ p @ m.motion.T + m.process
+
+
+def _updated(x: np.ndarray, p: np.ndarray, z: np.ndarray, m: Model) -> tuple[np.ndarray, ...]:
+    """Of Gaussians and measurements: squared distances and log-densities of innovations, the means after each (by Gaussian and measurement),
+    and the covariances after any (by Gaussian)."""
+    s, nu = m.measure @ p @ m.measure.T + m.noise, z - (x @ m.measure.T)[:, None]
     low = np.linalg.cholesky(s)
-    d = (np.linalg.solve(low, nu.T) ** 2).sum(0)
-    return d, -0.5 * d - np.log(np.diag(low)).sum() - 0.5 * len(s) * math.log(2 * math.pi)
+    d = (np.linalg.solve(low, nu.transpose(0, 2, 1)) ** 2).sum(1)
+    log = -0.5 * d - np.log(np.diagonal(low, axis1=1, axis2=2)).sum(1)[:, None] - 0.5 * len(m.measure) * math.log(2 * math.pi)
+    turned = np.linalg.solve(s, m.measure @ p)
+    return d, log, x[:, None] + nu @ turned, (np.eye(x.shape[1]) - turned.transpose(0, 2, 1) @ m.measure) @ p
 
 
-def _updated(x: np.ndarray, p: np.ndarray, z: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
-    s = m.measure @ p @ m.measure.T + m.noise
-    gain = np.linalg.solve(s, m.measure @ p).T
-    return x + gain @ (z - m.measure @ x), (np.eye(len(x)) - gain @ m.measure) @ p
+def _stacked(parts: list[tuple[np.ndarray, np.ndarray]], m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Means and covariances of a list, as arrays."""
+    n = len(m.motion)
+    return np.array([x for x, _ in parts]).reshape(-1, n), np.array([p for _, p in parts]).reshape(-1, n, n)
 
 
 def _moments(parts: list[tuple[float, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    total = sum(w for w, *_ in parts)
-    mean = sum(w / total * x for w, x, _ in parts)
-    return mean, sum(w / total * (p + np.outer(x - mean, x - mean)) for w, x, p in parts)
+    w, x, p = (np.array(a) for a in zip(*parts, strict=True))
+    w = w / w.sum()
+    mean = w @ x
+    return mean, np.tensordot(w, p, 1) + (w[:, None] * (x - mean)).T @ (x - mean)
 
 
 def _normal(hypos: list[tuple[tuple[int, ...], float]]) -> list[tuple[tuple[int, ...], float]]:
     """Equal hypotheses as one, probabilities that sum to 1, the likeliest first."""
-    sums: dict[tuple[int, ...], float] = {}
+    own: dict[tuple[int, ...], list[float]] = {}
     for ts, lp in hypos:
-        key = tuple(sorted(set(ts)))
-        sums[key] = np.logaddexp(sums[key], lp) if key in sums else lp
-    total = np.logaddexp.reduce(list(sums.values()))
-    return sorted(((ts, float(lp - total)) for ts, lp in sums.items()), key=lambda h: (-h[1], h[0]))
+        own.setdefault(tuple(sorted(set(ts))), []).append(lp)
+    sums = {ts: _log_sum(lps) for ts, lps in own.items()}
+    total = _log_sum(list(sums.values()))
+    return sorted(((ts, lp - total) for ts, lp in sums.items()), key=lambda h: (-h[1], h[0]))
+
+
+def _log_sum(xs: list[float]) -> float:
+    top = max(xs, default=-math.inf)
+    return top if len(xs) < 2 or top == -math.inf else top + math.log(sum([math.exp(x - top) for x in xs]))
 
 
 def _mass(clusters: list) -> dict[int, float]:
@@ -169,13 +183,21 @@ def _merged(w: World, n: int) -> None:
             exi = sum(v * t.exi for v, t in own) / sum(v for v, _ in own)
             strongest = max(own, key=lambda o: o[0])[1]
             w.tracks[ks[0]] = Track(strongest.label, x, p, exi, strongest.history)
-    w.clusters = [_normal([(tuple(new[t] for t in ts), lp) for ts, lp in c]) for c in w.clusters]
+    gone = {k for k, kept in new.items() if k != kept}
+    w.clusters = [_normal([(tuple(new[t] for t in ts), lp) for ts, lp in c]) if _has(c, gone) else c for c in w.clusters]
+
+
+def _has(cluster: list, tracks: set[int]) -> bool:
+    return bool(tracks) and not all(tracks.isdisjoint(ts) for ts, _ in cluster)
 
 
 def _pruned(clusters: list, m: Model) -> list:
     """One cap for all clusters: what isn't doubtful stays, then clusters bid in turn."""
     kept, bids = [], []
     for c, hypos in enumerate(clusters):
+        if len(hypos) == 1 or len(hypos) <= m.hypotheses and math.exp(hypos[-1][1]) >= m.least:  # the last is the least likely
+            kept.append(hypos)
+            continue
         p = np.exp([lp for _, lp in hypos])
         after = p[::-1].cumsum()[::-1] - p
         doubtful = ((after < m.tail) & (p < m.least)) | (np.arange(len(p)) >= m.hypotheses)
@@ -185,7 +207,7 @@ def _pruned(clusters: list, m: Model) -> list:
     room = m.hypotheses - sum(map(len, kept))
     for _, _, c, k in sorted(bids)[: max(0, room)]:
         kept[c].append(clusters[c][k])
-    return [_normal(c) for c in kept]
+    return [_normal(c) if len(c) < len(hypos) else c for c, hypos in zip(kept, clusters, strict=True)]
 
 
 def _split(w: World, m: Model) -> None:
@@ -194,6 +216,9 @@ def _split(w: World, m: Model) -> None:
     for c in w.clusters:
         mass = _mass([c])
         own = {t for t, p in mass.items() if p > m.apart} if any(len(ts) > 1 for ts, _ in c) else set()
+        if not own:
+            out.append(c)
+            continue
         rest = _normal([(tuple(t for t in ts if t not in own), lp) for ts, lp in c])
         out += [[((t,), math.log(min(1.0, mass[t]))), *([((), math.log(1 - mass[t]))] if mass[t] < 1 - 1e-12 else [])] for t in sorted(own)]
         out.append(rest)
@@ -202,30 +227,32 @@ def _split(w: World, m: Model) -> None:
 
 def step(w: World, z: np.ndarray, m: Model, scan: int) -> World:
     """The state after a scan with measurements z (rows); the state before isn't changed. Scans that were left out are predicted through."""
-    intensity, tracks = list(w.intensity), dict(w.tracks)
+    z = z if (n := len(z)) else np.zeros((0, len(m.measure)))
+    v, (x, p) = np.array([v for v, *_ in w.intensity]), _stacked([(x, p) for _, x, p in w.intensity], m)
+    born_v, (born_x, born_p) = np.array([v for v, *_ in m.birth]), _stacked([(x, p) for _, x, p in m.birth], m)
+    place, (tx, tp), exi = {k: i for i, k in enumerate(w.tracks)}, _stacked([(t.x, t.p) for t in w.tracks.values()], m), np.array([t.exi for t in w.tracks.values()])
     for _ in range(1 if w.last is None else max(1, scan - w.last)):
-        intensity = [(v * m.survival, m.motion @ x, m.motion @ p @ m.motion.T + m.process) for v, x, p in intensity] + list(m.birth)
-        tracks = {k: Track(t.label, m.motion @ t.x, m.motion @ t.p @ m.motion.T + m.process, t.exi * m.survival, t.history) for k, t in tracks.items()}
-    n = len(z)
+        x, p = _predicted(x, p, m)
+        v, x, p = np.concatenate([v * m.survival, born_v]), np.concatenate([x, born_x]), np.concatenate([p, born_p])
+        (tx, tp), exi = _predicted(tx, tp, m), exi * m.survival
     # what new targets explain of each measurement, and the track that would start there
-    unseen, born = np.zeros(n), {}
-    parts: list[list] = [[] for _ in range(n)]
-    for v, x, p in intensity:
-        d, log = _log_normal(z - m.measure @ x, m.measure @ p @ m.measure.T + m.noise) if n else (np.zeros(0), np.zeros(0))
-        for j in np.flatnonzero(d < m.gate).tolist():
-            parts[j].append((v * m.detection * math.exp(log[j]), x, p))
-    for j, own in enumerate(parts):
-        unseen[j] = sum(v for v, *_ in own)
-        if unseen[j] > 0:
-            born[j] = _moments([(v, *_updated(x, p, z[j], m)) for v, x, p in own])
-    intensity = [(v * (1 - m.detection), x, p) for v, x, p in intensity]
-    weights: dict[int, dict[int, float]] = {}
-    for k, t in tracks.items():
-        weights[k] = {0: math.log(1 - t.exi * m.detection)}
-        if n:
-            d, log = _log_normal(z - m.measure @ t.x, m.measure @ t.p @ m.measure.T + m.noise)
-            for j in np.flatnonzero(d < m.gate).tolist():
-                weights[k][j + 1] = math.log(t.exi * m.detection) + float(log[j]) - math.log(m.clutter + unseen[j])
+    d, log, after, spread = _updated(x, p, z, m)
+    share = np.where(d < m.gate, v[:, None] * m.detection * np.exp(log), 0.0)
+    unseen = share.sum(0)
+    share = share / np.where(unseen > 0, unseen, 1.0)
+    mean = np.einsum("ij,ijk->jk", share, after)
+    off = after - mean
+    cov = np.tensordot(share.T, spread, 1) + (share[:, :, None] * off).transpose(1, 2, 0) @ off.transpose(1, 0, 2)
+    born = {j: (mean[j], cov[j]) for j in np.flatnonzero(unseen > 0).tolist()}
+    intensity = list(zip((v * (1 - m.detection)).tolist(), x, p, strict=True))
+    missed = 1 - exi * m.detection
+    d, log, after, spread = _updated(tx, tp, z, m)
+    own, gate = np.log(exi * m.detection)[:, None] + log - np.log(m.clutter + unseen), d < m.gate
+    weights = {k: {0: ll} for k, ll in zip(place, np.log(missed).tolist(), strict=True)}
+    numbers = list(place)
+    for i, j, ll in zip(*(a.tolist() for a in np.nonzero(gate)), own[gate].tolist(), strict=True):
+        weights[numbers[i]][j + 1] = ll
+    unseen, exi, missed = unseen.tolist(), exi.tolist(), missed.tolist()
     out = World(scan, w.labels, intensity)
     children: dict[tuple[int, int], int] = {}
 
@@ -237,9 +264,9 @@ def step(w: World, z: np.ndarray, m: Model, scan: int) -> World:
                 out.tracks[children[k, j]] = Track(out.labels, *born[j - 1], unseen[j - 1] / (m.clutter + unseen[j - 1]), (j,))
                 out.labels += 1
             else:
-                t = tracks[k]
-                x, p, exi = (t.x, t.p, t.exi * (1 - m.detection) / (1 - t.exi * m.detection)) if j == 0 else (*_updated(t.x, t.p, z[j - 1], m), 1.0)
-                out.tracks[children[k, j]] = Track(t.label, x, p, exi, (*t.history[1 - m.scans :], j) if m.scans > 1 else (j,))
+                t, i = w.tracks[k], place[k]
+                now = (tx[i], tp[i], exi[i] * (1 - m.detection) / missed[i]) if j == 0 else (after[i, j - 1], spread[i], 1.0)
+                out.tracks[children[k, j]] = Track(t.label, *now, (*t.history[1 - m.scans :], j) if m.scans > 1 else (j,))
         return children[k, j]
 
     claimed: set[int] = set()
@@ -247,7 +274,9 @@ def step(w: World, z: np.ndarray, m: Model, scan: int) -> World:
         hypos = [[(c, k, list(ts), lp) for k, (ts, lp) in enumerate(w.clusters[c])] for c in group]
         gated = {j for hs in hypos for h in hs for t in h[2] for j in weights[t] if j > 0}
         claimed |= gated
-        found, _, _ = best_joint(hypos, weights, m.hypotheses)
+        found = listed_joint(hypos, weights, m.hypotheses)
+        if found is None:
+            found, _, _ = best_joint(hypos, weights, m.hypotheses)
         rows = []
         for _, picks, ll in found:
             taken = {j for _, j in picks}
@@ -263,7 +292,7 @@ def step(w: World, z: np.ndarray, m: Model, scan: int) -> World:
     mass = _mass(out.clusters)
     weak = {k for k, t in out.tracks.items() if k in mass and t.exi < m.recycle}
     out.intensity += [(mass[k] * out.tracks[k].exi, out.tracks[k].x, out.tracks[k].p) for k in sorted(weak)]
-    out.clusters = [_normal([(tuple(t for t in ts if t not in weak), lp) for ts, lp in c]) for c in out.clusters]
+    out.clusters = [_normal([(tuple(t for t in ts if t not in weak), lp) for ts, lp in c]) if _has(c, weak) else c for c in out.clusters]
     _split(out, m)
     if out.intensity:
         v, x, p = (np.array(a) for a in zip(*out.intensity, strict=True))

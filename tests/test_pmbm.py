@@ -132,3 +132,27 @@ def test_stream_equals_fold_with_late_rows_and_expiry(spark, tmp_path):
     assert want and sorted(r.scenario for r in got if r.kind == "over") == [1, 2]
     # the late row is told, unless Spark itself has left it out as older than the watermark; either way it's in no state
     assert [(r.scenario, r.scan) for r in got if r.kind == "late"] in ([], [(1, 2)])
+
+
+def test_a_step_updates_all_targets_at_once(monkeypatch):
+    rows, _ = scene(3, 12)
+    w, m, calls = pmbm.World(), model(), []
+    plain = np.linalg.cholesky
+    for s in range(12):
+        z = pmbm._measurements([v for k, v in rows if k == s])
+        if s == 11:
+            monkeypatch.setattr(np.linalg, "cholesky", lambda a: calls.append(len(a)) or plain(a))
+        before, w = w, pmbm.step(w, z, m, s)
+    assert len(before.tracks) > 4 and sorted(calls) == sorted([len(before.intensity) + len(m.birth), len(before.tracks)])
+    monkeypatch.undo()
+    # each alone
+    t, z = next(iter(before.tracks.values())), z[:3]
+    x, p = m.motion @ t.x, m.motion @ t.p @ m.motion.T + m.process
+    s = m.measure @ p @ m.measure.T + m.noise
+    d, log, after, spread = pmbm._updated(*pmbm._predicted(t.x[None], t.p[None], m), z, m)
+    for k, own in enumerate(z):
+        nu, gain = own - m.measure @ x, p @ m.measure.T @ np.linalg.inv(s)
+        assert d[0, k] == pytest.approx(nu @ np.linalg.inv(s) @ nu) and after[0, k] == pytest.approx(x + gain @ nu)
+        assert log[0, k] == pytest.approx(-0.5 * (d[0, k] + np.log(np.linalg.det(2 * np.pi * s)))) and spread[0] == pytest.approx(p - gain @ s @ gain.T)
+    empty = pmbm.step(pmbm.World(), np.zeros((0, 0)), m, 0)
+    assert not empty.tracks and pmbm.step(empty, np.zeros((0, 0)), m, 3).last == 3

@@ -50,6 +50,15 @@ def test_best_joint_equals_enumeration(seed):
             assert len(set(taken)) == len(taken)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_listed_joint_equals_the_search(seed):
+    clusters, weights = random_problem(random.Random(seed), 1 + seed % 3, 3, 4, 3)
+    want, got = search.best_joint(clusters, weights, 40)[0], search.listed_joint(clusters, weights, 40, 10**6)
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want]) and len(got) == len(want)
+    assert {(tuple(a), tuple(b)) for a, b, _ in got} == {(tuple(a), tuple(b)) for a, b, _ in want}
+    assert search.listed_joint(clusters, weights, 40, 1) is None
+
+
 def test_large_problem_opens_few_parents():
     """20 tracks and measurements, 100 parents: the 150 best without opening all parents, or solving more than a few problems for each."""
     rng = random.Random(3)
