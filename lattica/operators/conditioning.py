@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import kept
 from .assignment import hungarian
+from .dense import solved
 from .exact import by_frame, by_master, table
 from .hypotheses import linking_measurements, normalize
 from .shapes import grouped
@@ -259,9 +260,29 @@ def _sums(clusters: dict[int, list], weights: dict[int, Options], solver: Solver
     return [("all", None, None, log_z), *(("label", *k, p) for k, p in labels.items()), *(("pick", *k, p) for k, p in picked.items())]
 
 
+def _by_size(batch: pd.DataFrame) -> tuple[list[tuple], pd.DataFrame]:
+    """SUMS of exact conditioning of the rows whose masters are of one or two clusters (dense.solved), and the rows left. A row with an option that
+    weighs nothing is left, too, as options that can't be differ there from those that hardly are."""
+    x = solved(batch, True)
+    m = x.of
+    x.drop(np.unique(m.row[m.m_of[m.o_mem[x.option <= 0]]]))
+    left = x.bad_rows()
+    x.drop(left)
+    own, h, o = x.good, x.good[m.of], x.good[m.m_of[m.o_mem]]
+    of = m.m_of[m.o_mem[o]]
+    parts = [
+        (m.row_frame[m.row[own]], m.name[own], "all", None, None, x.log_z[own]),
+        (m.row_frame[m.row[m.of[h]]], m.name[m.of[h]], "label", m.cluster[h], m.hypo[h], x.hypo[h]),
+        (m.row_frame[m.row[of]], m.name[of], "pick", m.track[m.o_mem[o]], m.j[o], x.option[o]),
+    ]
+    return parts, batch.iloc[left]
+
+
 def _summed(batches: Iterator[pd.DataFrame], solver: Solver, forced: bool) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
+        if solver is enumerated and forced and len(batch):
+            out, batch = _by_size(batch)
         for x in grouped(batch):
             with np.errstate(divide="ignore", invalid="ignore"):
                 for master, part in by_master(x.masters, x.clusters).items():

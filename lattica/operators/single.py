@@ -4,6 +4,7 @@ A joint hypothesis and the options of its tracks are one row; messages are numpy
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -11,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import dense
+from .exact import by_frame, table
 from .shapes import WORD, flat
 
 #: Stop when what's left is bounded under half of ln(1 + TOL), looked at every CHECK iterations; MOST iterations at most.
@@ -177,6 +180,57 @@ def per_hypothesis(reward: DataFrame, merged: DataFrame, log_z: Evidence = by_be
     return rows.mapInPandas(run, RESULT)
 
 
+def _mixed_size(g: dense.Group, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of what tracks have alone and of shared measurements, of a group's masters: messages are passed once for each set of
+    sharing tracks that a joint hypothesis has."""
+    has, lw = g.has[0], g.lp[0]
+    for more, lp in zip(g.has[1:], g.lp[1:], strict=True):
+        n = has.shape[1] * more.shape[1]
+        has = (has[:, :, None] | more[:, None]).reshape(len(lw), n, has.shape[-1])
+        lw = (lw[:, :, None] + lp[:, None]).reshape(len(lw), n)
+    lw = lw + np.einsum("fht,ft->fh", has.astype(float), g.free)
+    sets, of = dense.subsets(has[..., : g.sharing])
+    a = np.exp(g.ll - g.free[:, : g.sharing, None])[:, None] * sets[None, :, :, None]
+    mu, nu, _ = messages_of_all(a.reshape(len(a) * len(sets), *a.shape[2:]), 0.0, rounds)
+    mu, an = mu.reshape(a.shape), a * nu.reshape(a.shape)
+    z = np.log1p(an.sum(-1)).sum(-1) + np.log1p(mu.sum(-2)).sum(-1) - np.log1p(mu * nu.reshape(a.shape)).sum((-1, -2))
+    lw = lw + np.take_along_axis(z, of, 1)
+    p = np.exp(lw - lw.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    alone = np.einsum("fh,fht->ft", p, has.astype(float))
+    by_set = dense.gathered(p, of, len(sets))[:, :, None] * sets / (1 + an.sum(-1))
+    alone[:, : g.sharing] = by_set.sum(1)
+    return alone, (by_set[..., None] * an).sum(1)
+
+
+def _mixed(batch: pd.DataFrame, rounds: int) -> pd.DataFrame:
+    m = dense.Masters(batch)
+    alone, p = np.zeros(len(m.track)), np.zeros(len(m.j))
+    for g in m.groups(np.ones(len(m.row), bool), lambda hs, tall, sharing, wide: math.prod(hs) * (tall + sharing * wide + 1)):
+        alone[g.mem], hit = _mixed_size(g, rounds)
+        p[g.at[g.at >= 0]] = hit[g.at >= 0]
+    own = m.col < 0
+    p[own] = (alone[m.o_mem] * np.exp(m.share))[own]
+    there = np.exp(m.ll) > 0
+    frame, n = m.row_frame[m.row[m.m_of]], len(m.track)
+    mem, j, p = m.o_mem[there], m.j[there], p[there]
+    kind = np.where(j == 0, "missed", "detection").astype(object)
+    return table([(frame[mem], m.track[mem], kind, j, p), (frame, m.track, "nonexistence", None, 1 - np.bincount(mem, p, n))], ["frame", "track", "kind", "meas", "p"], {"frame": "int64", "track": "int32", "meas": "Int32", "p": "float64"})
+
+
+def mixed(reward: DataFrame, h: DataFrame, cluster_map: DataFrame, rounds: int) -> DataFrame:
+    """MARGINAL: total_probability(per_hypothesis(reward, merged(h, cluster_map), by_bethe, 0.0, rounds), ...), without a table of joint hypotheses: a master's
+    stand in its frame's row. Every track needs a missed detection, and is in clusters of one master."""
+    names = "frame long, track int, kind string, meas int, p double"
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                yield _mixed(batch, rounds)
+
+    return by_frame(reward, h, cluster_map).mapInPandas(run, names)
+
+
 def hypothesis_posteriors(per: DataFrame, merged: DataFrame) -> DataFrame:
     """frame, master, hypo, log_w (prior times evidence), p of each joint hypothesis."""
     w = per.groupBy("frame", "master", "hypo").agg(F.first("log_z").alias("log_z")).join(merged.select("frame", "master", "hypo", "log_prob"), ["frame", "master", "hypo"])

@@ -2,13 +2,16 @@
 
 import math
 import random
+from functools import partial
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lattica import schema
 from lattica.functions.lineage import kept
-from lattica.operators import assignment, exact, factors, search, shapes, single, stats
+from lattica.operators import assignment, conditioning, dense, exact, factors, search, shapes, single, stats
 from lattica.operators import hypotheses as hy
 
 
@@ -139,3 +142,64 @@ def test_no_rows_are_a_table():
     columns = [c.split()[0] for c in exact.SUMS.split(", ")]
     out = exact.table([], columns, {"frame": "int64"})
     assert list(out) == columns and out["kind"].dtype == object and out["frame"].dtype == "int64"
+
+
+def batch_of(r, h, cm=None):
+    return exact.by_frame(r, h, cm).toPandas().map(lambda x: np.array(x) if isinstance(x, list) else x)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_masters_of_one_size_equal_those_solved_alone(spark, seed):
+    r, h = map(kept, tables(spark, seed, 20))
+    cm = kept(hy.merge_map(r, h))
+    batch = batch_of(r, h, cm)
+    parts, left = conditioning._by_size(batch)
+    assert len(left) < len(batch)
+    alone = partial(conditioning.enumerated)  # not the solver itself, so frames are taken by shape
+    names = [c.split()[0] for c in conditioning.SUMS.split(", ")]
+    want, got = (
+        {tuple(None if v is None or v != v else v for v in (x.frame, x.master, x.kind, x.a, x.b)): x.p for x in pd.concat(list(conditioning._summed([batch], s, True))).astype({"a": float, "b": float})[names].itertuples()}
+        for s in (alone, conditioning.enumerated)
+    )
+    # hypotheses that can't be have 0, or no row
+    want, got = ({k: p for k, p in x.items() if k[2] != "label" or p > 1e-12} for x in (want, got))
+    assert got == pytest.approx(want, abs=1e-12)
+    pairs, left = factors._by_size(batch_of(r, h))
+    columns = [c.split()[0] for c in factors.RESULT.split(", ")]
+    got = {(x.frame, x.kind, x.key, x.value): (x.p, x.log_z) for x in exact.table(pairs, columns, {}).itertuples()}
+    assert got and len(left) < len(batch)
+    rows, hypos = r.collect(), h.collect()
+    for f in {k[0] for k in got}:
+        pairs, own, offset = factors.shifted([(x.track, x.meas, x.ll) for x in rows if x.frame == f], [(x.cluster, x.hypo, x.tracks, x.prob) for x in hypos if x.frame == f])
+        domains, beliefs, log_z = factors.tree_beliefs(pairs, own)
+        want = {(f, *v, x): p for v, b in beliefs.items() for x, p in zip(domains[v], b.tolist(), strict=True)}
+        assert {k: got[k][0] for k in got if k[0] == f} == pytest.approx(want, abs=1e-12)
+        assert all(x[1] == pytest.approx(log_z + offset) for k, x in got.items() if k[0] == f)
+
+
+def test_mixtures_by_frame_equal_those_by_hypothesis(spark):
+    r, h = tables(spark, 8, 12)
+    r = kept(r.filter("meas > 0").unionByName(r.select("frame", "track").distinct().selectExpr("frame", "track", "0 AS meas", "CAST(-1 - track * 0.1 AS DOUBLE) AS ll")))
+    h = kept(h.withColumn("tracks", F.array_sort(F.array_intersect("tracks", F.lit(list(range(1, 20)))))))
+    known = {(x.frame, x.track) for x in r.collect()}
+    h = kept(spark.createDataFrame([(x.frame, x.cluster, x.hypo, [t for t in x.tracks if (x.frame, t) in known], x.prob) for x in h.collect()], schema.HYPOTHESIS))
+    cm = kept(hy.merge_map(r, h))
+    m = kept(hy.merged(h, cm))
+    rows = lambda df: {(x.frame, x.track, x.kind, x.meas): x.p for x in df.collect()}
+    want = rows(single.total_probability(single.per_hypothesis(r, m, single.by_bethe, 0.0, 6), m))
+    assert rows(single.mixed(r, h, cm, 6)) == pytest.approx(want)
+
+
+def test_frames_of_one_size_are_passed_together(spark, monkeypatch):
+    """A hundred frames whose tracks gate in their own way each, but four tracks share three measurements in all of them."""
+    rng = random.Random(9)
+    reward, hypos = [], []
+    for f in range(100):
+        reward += [(f, t, 0, -1.0) for t in range(1, 5)] + [(f, t, j, rng.gauss(0, 1)) for j in range(1, 4) for t in sorted({j, j + 1, rng.randrange(1, 5)})]
+        hypos += [(f, 0, 0, [1, 2, 3, 4], 0.5), (f, 0, 1, rng.sample([1, 2, 3, 4], 2), 0.5)]
+    r, h = spark.createDataFrame(reward, schema.REWARD), spark.createDataFrame(hypos, schema.HYPOTHESIS)
+    sizes = []
+    passed = dense.passed
+    monkeypatch.setattr(dense, "passed", lambda g, conditioned: sizes.append(len(g.master)) or passed(g, conditioned))
+    _, left = factors._by_size(batch_of(r, h))
+    assert sizes == [100] and not len(left)
