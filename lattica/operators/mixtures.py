@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import dealt
 
 #: Pairs whose bounds are taken at once.
 PAIRS = 20_000
@@ -82,19 +83,95 @@ def reduce_mixture(w: np.ndarray, mean: np.ndarray, cov: np.ndarray, most: int,
 
 
 REDUCED = "frame long, component int, weight double, x array<double>, p array<double>, members array<int>"
+#: Numbers that the covariances of all pairs of mixtures of one size have at most; mixtures of over MANY components are reduced one by one.
+CELLS, MANY = 1_000_000, 64
+
+
+def reduced_all(w: np.ndarray, mean: np.ndarray, cov: np.ndarray, most: int, dearest: float = np.inf, always: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """`reduced` of many mixtures (the first axis) of as many components, none too light: weights, means and covariances, which are left, and for each
+    original component the one it's in. A merged component stands last, so that ties go as there."""
+    f, n = w.shape
+    size = max(1, 2 * n - 1)
+    weight, at, spread, log_det = np.zeros((f, size)), np.zeros((f, size, mean.shape[2])), np.zeros((f, size, *cov.shape[2:])), np.zeros((f, size))
+    weight[:, :n], at[:, :n], spread[:, :n], log_det[:, :n] = w, mean, cov, np.linalg.slogdet(cov)[1]
+    left, inside = np.zeros((f, size), bool), np.tile(np.arange(n), (f, 1))
+    left[:, :n] = True
+    # by component and one before it
+    cost = np.full((f, size, size), np.inf)
+
+    def bounds(rows: np.ndarray, j: np.ndarray, i: np.ndarray) -> np.ndarray:
+        u, v = weight[rows, j], weight[rows, i]
+        total = u + v
+        b = v / total
+        a, d = 1 - b, at[rows, i] - at[rows, j]
+        off = np.sqrt(a * b)[..., None] * d
+        p = a[..., None, None] * spread[rows, j] + b[..., None, None] * spread[rows, i] + off[..., :, None] * off[..., None, :]
+        return 0.5 * (total * np.linalg.slogdet(p)[1] - u * log_det[rows, j] - v * log_det[rows, i])
+
+    later, sooner = np.tril_indices(n, -1)
+    on = np.arange(f)
+    cost[:, later, sooner] = bounds(on[:, None], later[None], sooner[None])
+    for new in range(n, size):
+        low = cost[on].reshape(len(on), -1).min(1)
+        go = (left[on].sum(1) > 1) & (((left[on].sum(1) > most) & (low < dearest)) | (low < always))
+        on, low = on[go], low[go]
+        if not len(on):
+            break
+        # of equal costs the least earlier component, then the least later one
+        i, j = np.divmod((cost[on] == low[:, None, None]).transpose(0, 2, 1).reshape(len(on), -1).argmax(1), size)
+        u, v = weight[on, i], weight[on, j]
+        total = u + v
+        d = at[on, i] - at[on, j]
+        weight[on, new] = total
+        at[on, new] = (u[:, None] * at[on, i] + v[:, None] * at[on, j]) / total[:, None]
+        both = u[:, None, None] * spread[on, i] + v[:, None, None] * spread[on, j]
+        spread[on, new] = both / total[:, None, None] + (u * v / total**2)[:, None, None] * (d[:, :, None] * d[:, None, :])
+        log_det[on, new] = (2 * low + u * log_det[on, i] + v * log_det[on, j]) / total
+        inside[on] = np.where((inside[on] == i[:, None]) | (inside[on] == j[:, None]), new, inside[on])
+        left[on, i] = left[on, j] = False
+        for k in (i, j):
+            cost[on, k], cost[on, :, k] = np.inf, np.inf
+        some = np.arange(new)
+        cost[on, new, :new] = np.where(left[on, :new], bounds(on[:, None], np.full((1, 1), new), some[None]), np.inf)
+        left[on, new] = True
+    return weight, at, spread, left, inside
 
 
 def reduced_components(components: DataFrame, most: int, least: float = 1e-5, dearest: float = float("inf"), always: float = 0.0) -> DataFrame:
     """REDUCED: the mixture of each frame, (frame, component, weight, x, p), with `most` components at best; p has its rows end to end. A merged
-    component is named by its least member; a frame's components stand in one group."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("component", kind="stable")
-        x = np.array(rows["x"].tolist(), float)
-        d, names = x.shape[1], rows["component"].tolist()
-        out = reduced(rows["weight"].to_numpy(float), x, np.array(rows["p"].tolist(), float).reshape(-1, d, d), most, least, dearest, always)
-        back = [(int(rows["frame"].iloc[0]), min(names[k] for k in own), w, m.tolist(), c.ravel().tolist(), [names[k] for k in own]) for w, m, c, own in out]
-        return pd.DataFrame(back, columns=["frame", "component", "weight", "x", "p", "members"])
+    component is named by its least member; a frame's components stand in one row, and mixtures of as many components are reduced at once."""
+    names = [c.split()[0] for c in REDUCED.split(", ")]
+
+    def rows_of(frame: np.ndarray, name: np.ndarray, w: np.ndarray, x: np.ndarray, p: np.ndarray) -> list[tuple]:
+        weight, at, spread, left, inside = reduced_all(w, x, p, most, dearest, always)
+        f, k = np.nonzero(left)
+        own = inside[f] == k[:, None]
+        flat = spread[f, k].reshape(len(f), -1)
+        members = [name[r][m].tolist() for r, m in zip(f.tolist(), own, strict=True)]
+        return list(zip(frame[f].tolist(), [min(m) for m in members], weight[f, k].tolist(), at[f, k].tolist(), flat.tolist(), members, strict=True))
+
+    def run(batches):
+        for batch in batches:
+            out, sizes = [], {}
+            for row in zip(batch["frame"], *(batch[c] for c in ("component", "weight", "x", "p")), strict=True):
+                frame, name, w = row[0], np.asarray(row[1]), np.asarray(row[2], float)
+                x, p = (np.concatenate(v).reshape(len(name), -1) for v in row[3:])
+                keep = w >= least
+                n, d = int(keep.sum()), x.shape[1]
+                if n <= MANY:
+                    sizes.setdefault((n, d), []).append((frame, name[keep], w[keep], x[keep], p[keep]))
+                    continue
+                found = reduced(w, x, p.reshape(-1, d, d), most, least, dearest, always)
+                out += [(frame, min(name[own].tolist()), v, m.tolist(), c.ravel().tolist(), name[own].tolist()) for v, m, c, own in found]
+            for (n, d), rows in sizes.items():
+                if not n:
+                    continue
+                step = max(1, CELLS // (4 * n * n * d * d))
+                for k in range(0, len(rows), step):
+                    frame, name, w, x, p = (np.array(v) for v in zip(*rows[k : k + step], strict=True))
+                    out += rows_of(frame, name, w, x, p.reshape(len(w), n, d, d))
+            yield pd.DataFrame(out, columns=names)
 
     good = components.select("frame", F.col("component").cast("int").alias("component"), F.col("weight").cast("double").alias("weight"), F.col("x").cast("array<double>").alias("x"), F.col("p").cast("array<double>").alias("p"))
-    return good.groupBy("frame").applyInPandas(run, REDUCED)
+    one = good.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("component", "weight", "x", "p"))).alias("c"))
+    return dealt(one.select("frame", "c.component", "c.weight", "c.x", "c.p"), "frame").mapInPandas(run, REDUCED)

@@ -236,3 +236,20 @@ def test_queries_equal_their_sql(spark, sf_dir, name):
     want = sorted(repr([r[rel.columns.index(c)] for c in names]) for r in rel.fetchall())
     assert sorted(repr([r[c] for c in names]) for r in out.collect()) == want
     assert want
+
+
+def test_mixtures_of_one_size_are_reduced_together(spark):
+    """Three hundred mixtures of five components, as by one, and thirty more with equal components, whose costs tie; a large one goes alone."""
+    rng = np.random.default_rng(5)
+    rows = [(f, c, float(rng.random() + 0.1) if f < 300 else 0.5, [float(v) for v in (rng.normal(size=2) * 3 if f < 300 else (c % 2, 0))], [2.0, 0.5, 0.5, 1.0]) for f in range(330) for c in range(5)]
+    rows += [(400, c, 0.1, [float(c), 0.0], [1.0, 0.0, 0.0, 1.0]) for c in range(70)]
+    table = spark.createDataFrame(rows, "frame long, component int, weight double, x array<double>, p array<double>")
+    out = mixtures.reduced_components(table, 2)
+    assert "MapInPandas" in out._jdf.queryExecution().executedPlan().toString()  # not a call for each frame
+    got = {(r.frame, tuple(r.members)): r for r in out.collect()}
+    want = {}
+    for f in [*range(330), 400]:
+        own = [r for r in rows if r[0] == f]
+        for w, m, c, members in mixtures.reduced(np.array([r[2] for r in own]), np.array([r[3] for r in own]), np.array([r[4] for r in own]).reshape(-1, 2, 2), 2):
+            want[f, tuple(members)] = (min(members), w, *m, *c.ravel())
+    assert {k: (r.component, r.weight, *r.x, *r.p) for k, r in got.items()} == {k: pytest.approx(v) for k, v in want.items()}
