@@ -223,3 +223,37 @@ def test_mixture_reduction_keeps_mass_and_mean():
     assert len(a) == 4 and a.sum() == pytest.approx(w.sum()) and np.allclose(a @ b, w @ mean)
     second = lambda w, m, p: sum(x * (q + np.outer(y, y)) for x, y, q in zip(w, m, p, strict=True))
     assert np.allclose(second(a, b, c), second(w, mean, cov))
+
+
+def test_rows_alike_are_passed_together(monkeypatch):
+    """Sixty copies of three tracks compete for fifty copies of three measurements; each may be missed, too."""
+    rng = np.random.default_rng(12)
+    n, b = 180, 150
+    reward = np.full((b + n, n), -np.inf)
+    reward[:b] = np.repeat(np.repeat(rng.normal(size=(3, 3)) + 3, 50, 0), 60, 1)
+    reward[b + np.arange(n), np.arange(n)] = np.repeat(rng.normal(size=3), 60)
+    steps = []
+    scan = assignment._scan
+    monkeypatch.setattr(assignment, "_scan", lambda *x: steps.append(1) or scan(*x))
+    match, u, v = assignment.matching(-reward.T, assignment.alike(-reward.T))
+    assert len(steps) < 5 * n  # each by itself: 7,321
+    # potentials prove that it is the best
+    cost = -reward.T
+    assert len(set(match.tolist())) == n and (cost - u[:, None] - v).min() > -1e-9
+    assert cost[np.arange(n), match] == pytest.approx(u + v[match])
+    assert (v <= 1e-12).all() and not np.delete(v, match).any()
+
+
+def test_best_matchings_of_copies_equal_those_listed():
+    rng = np.random.default_rng(13)
+    for _ in range(6):
+        n, b = 8, 3
+        reward = np.full((b + n, n), -np.inf)
+        reward[:b] = rng.normal(size=(2, 3))[rng.integers(0, 2, b)][:, rng.integers(0, 3, n)]
+        reward[b + np.arange(n), np.arange(n)] = rng.normal(size=n)
+        assert assignment.alike(-reward.T) is not None
+        ways = [(0.0, frozenset())]
+        for t in range(n):
+            ways = [(x + reward[j, t], used | {j}) for x, used in ways for j in (*range(b), b + t) if j not in used]
+        want = sorted((x for x, _ in ways), reverse=True)[:30]
+        assert [x for _, x in assignment.murty(reward, 30)] == pytest.approx(want)
